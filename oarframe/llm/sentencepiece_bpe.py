@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import _BASE, fresh_name, mix, pieces, text_buffers
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -109,7 +109,7 @@ class PieceModel:
         self.char_table = np.full(table_size, -1, np.int32)
         self.char_table[list(self.chars)] = list(self.chars.values())
         # Pairs of frequent characters are looked up in a bitmap; the others in the sorted list.
-        self.span_map = np.zeros((512, 512), bool)
+        self.span_map = np.zeros((513, 513), bool)
         for a, b in spans:
             if (x := _fold(ord(a))) < 512 and (y := _fold(ord(b))) < 512:
                 self.span_map[x, y] = True
@@ -120,10 +120,8 @@ class PieceModel:
     def joinable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether some piece has these two characters side by side."""
         x, y = _fold(left), _fold(right)
-        common = (x < 512) & (y < 512)
-        out = np.zeros(len(left), bool)
-        out[common] = self.span_map[x[common], y[common]]
-        rare = np.flatnonzero(~common)
+        out = self.span_map.ravel()[x.astype(np.int32) * 513 + y]
+        rare = np.flatnonzero((x == 512) | (y == 512))
         if len(rare):
             keys = (left[rare].astype(np.int64) << 32) + right[rare]
             at = np.minimum(np.searchsorted(self.spans, keys), len(self.spans) - 1)
@@ -212,7 +210,7 @@ class PieceModel:
         """Ids of all texts in one array, and len(texts)+1 offsets."""
         spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         sizes = np.array([len(t) for t in spaced], np.int64)
-        code = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         if len(code):
             cut = np.ones(len(code), bool)
@@ -256,11 +254,14 @@ class PieceModel:
         return "".join(out)
 
 
+_FOLD = np.full(1 << 16, 512, np.uint16)
+_FOLD[:256] = np.arange(256)
+_FOLD[ord(SPACE)] = 511
+
+
 def _fold(code):
-    """Characters below 256 keep their number, the space mark is 511, all others are 512 or more."""
-    if isinstance(code, np.ndarray):
-        return np.where(code == ord(SPACE), 511, np.where(code < 256, code, 512))
-    return 511 if code == ord(SPACE) else code if code < 256 else 512
+    """Characters below 256 keep their number, the space mark is 511, all others are 512."""
+    return _FOLD[np.minimum(code, (1 << 16) - 1)]
 
 
 def _decode_bytes(raw: bytes) -> str:
@@ -287,14 +288,21 @@ def _decode_bytes(raw: bytes) -> str:
 def _distinct(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word the number of its spelling, and for each spelling one word that has it.
 
-    Words are grouped by length, and within a length compared whole, so no hash decides equality.
+    A hash groups the words; then each word is compared whole with its group's first word, and if
+    two spellings ever share a hash, the words are grouped by their bytes instead.
     """
-    raw = code.astype("<u4")
-    names, seen, which, distinct = raw.tobytes(), {}, np.empty(len(starts), np.int64), []
-    begin, end = (starts * 4).tolist(), ((starts + lengths) * 4).tolist()
-    which[:] = [seen.setdefault(names[b:e], len(seen)) for b, e in zip(begin, end)]
-    distinct = np.full(len(seen), len(starts), np.int64)
-    np.minimum.at(distinct, which, np.arange(len(starts)))
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(code)) - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()) + 1, _BASE))
+    hashes = mix(np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * powers[place], starts) ^ lengths.astype(np.uint64))
+    _, distinct, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first = distinct[which]
+    if (lengths == lengths[first]).all() and (code == code[np.repeat(starts[first], lengths) + place]).all():
+        return which, distinct
+    raw, seen = code.astype("<u4").tobytes(), {}
+    which = np.array([seen.setdefault(raw[4 * s : 4 * (s + n)], len(seen)) for s, n in zip(starts.tolist(), lengths.tolist())])
+    _, distinct = np.unique(which, return_index=True)
     return which, distinct
 
 
@@ -302,3 +310,70 @@ def _distinct(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
 def load_model(path: str) -> PieceModel:
     with open(path, "rb") as f:
         return PieceModel(f.read())
+
+
+def _pairs(batches, path: str, add_eos: bool):
+    model = load_model(path)
+    for batch in batches:
+        texts = batch.column(0)
+        _, sizes = text_buffers(texts)
+        for lo, hi in pieces(sizes, 8 << 20):
+            ids, at = model.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], add_eos)
+            yield batch.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", add_eos: bool = False) -> DataFrame:
+    """df with the piece ids of each whole text; null and empty texts give no ids but the end id.
+
+    Every row stands for itself, so repeated rows are kept and nothing is shuffled.  The other
+    columns pass through unchanged; one already named ids_col is replaced.  model_path must be
+    readable on every executor.
+    """
+    kept = [c for c in df.columns if c.lower() != ids_col.lower()]
+    text = fresh_name(kept, "text_in")
+
+    def run(batches):
+        for rows, ids in _pairs(batches, model_path, add_eos):
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], ids], names=[*kept, ids_col])
+
+    source = df.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in kept])
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, "array<int>")
+    return source.mapInArrow(run, schema)
+
+
+def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """df with the text that each id list stands for; a null list gives an empty text.
+
+    Ids outside the vocabulary raise.  Other columns pass through; one named text_col is replaced.
+    """
+    kept = [c for c in df.columns if c.lower() != text_col.lower()]
+    ids = fresh_name(kept, "ids_in")
+
+    def run(batches):
+        model = load_model(model_path)
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.nan_to_num(np.array(lists.value_lengths().to_pylist(), float)).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            texts = [model.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*kept, text_col])
+
+    source = df.select(F.col(f"`{ids_col}`").cast("array<int>").alias(ids), *[F.col(f"`{c}`") for c in kept])
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, "string")
+    return source.mapInArrow(run, schema)
+
+
+def default_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents' ids and of the texts decoded from them."""
+    path = default_model()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    coded = encode_pieces(docs, path, add_eos=True).drop("text")
+    digest = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    return decode_pieces(digest, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
