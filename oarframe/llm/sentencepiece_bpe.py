@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _BASE, fresh_name, mix, pieces, text_buffers
 
@@ -337,7 +338,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_co
             yield pa.RecordBatch.from_arrays([*rows.columns[1:], ids], names=[*kept, ids_col])
 
     source = df.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in kept])
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, "array<int>")
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema)
 
 
@@ -360,7 +361,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*kept, text_col])
 
     source = df.select(F.col(f"`{ids_col}`").cast("array<int>").alias(ids), *[F.col(f"`{c}`") for c in kept])
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, "string")
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, T.StringType())
     return source.mapInArrow(run, schema)
 
 
