@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .langid import op4_language_id
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
 
-_QUERIES = [op2_ring_shards, op3_sentencepiece]
+_QUERIES = [op2_ring_shards, op3_sentencepiece, op4_language_id]
 _SQL: dict[str, str] = {}
 
 
