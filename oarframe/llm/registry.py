@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .langid import op4_language_id
+from .media import op6_webp_columns
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
 
-_QUERIES = [op2_ring_shards, op3_sentencepiece, op4_language_id]
+_QUERIES = [op2_ring_shards, op3_sentencepiece, op4_language_id, op6_webp_columns]
 _SQL: dict[str, str] = {}
 
 
