@@ -318,7 +318,7 @@ def _pairs(batches, path: str, add_eos: bool):
     for batch in batches:
         texts = batch.column(0)
         _, sizes = text_buffers(texts)
-        for lo, hi in pieces(sizes, 8 << 20):
+        for lo, hi in pieces(sizes, 2 << 20):
             ids, at = model.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], add_eos)
             yield batch.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
 
