@@ -5,10 +5,11 @@ from __future__ import annotations
 from .ann import OP5_SQL, op5_one_bit_neighbours
 from .langid import op4_language_id
 from .media import op6_webp_columns
+from .secret_scan import op8_secret_scan
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
 
-_QUERIES = [op2_ring_shards, op3_sentencepiece, op4_language_id, op5_one_bit_neighbours, op6_webp_columns]
+_QUERIES = [op2_ring_shards, op3_sentencepiece, op4_language_id, op5_one_bit_neighbours, op6_webp_columns, op8_secret_scan]
 _SQL: dict[str, str] = {"op5_one_bit_neighbours": OP5_SQL}
 
 
