@@ -1,8 +1,75 @@
-"""The corpus pipeline (stages follow)."""
+"""From raw documents to token ids: language, near-duplicates, secrets, mixing, SentencePiece.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the
+columns of documents.  ORACLE_SQL is None: the stages' hashes and models are beyond SQL, so the
+pipeline is tested against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oarframe.llm import langid, minhash, mixing, secret_scan, sentencepiece_bpe
+from oarframe.llm.common import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMILARITY_PERCENT = 80
+MAX_REPEATS = 1.5
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, or far from every language that the labelled ones teach."""
+    found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
+    return found.filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate class."""
+    classes = minhash.near_duplicates(docs, percent=SIMILARITY_PERCENT, bands=30, rows=5)
+    dropped = classes.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets, and the weak parts that complete them, by a mark; no document goes."""
+    clean = secret_scan.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Flattens the source shares as far as no source repeats more than MAX_REPEATS times.
+
+    The budget is the least that uses every document once, so mixing repeats documents of small
+    sources and loses none.
+    """
+    return mixing.mix_sources(docs.select(*COLUMNS), max_repeats=MAX_REPEATS, budget_share=None).select(*COLUMNS)
+
+
+def encode_to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text (with ▁ read as a blank)."""
+    path = sentencepiece_bpe.default_model()
+    coded = sentencepiece_bpe.encode_pieces(docs.select(*COLUMNS), path, add_eos=True)
+    both = sentencepiece_bpe.decode_pieces(coded, path)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_bpe.SPACE, " ")
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", keep_known_language),
+    ("MinHash near-dedup", keep_one_of_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_to_weights),
+    ("SentencePiece encoding and decoding", encode_to_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each one's result written to the shared folder before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs)
+    return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import OP5_SQL, op5_one_bit_neighbours
 from .langid import op4_language_id
+from .license_scan import op7_license_scan
 from .lm_score import OP10_SQL, op10_backoff_scores
 from .media import op6_webp_columns
 from .minhash import op1_minhash_dedup
@@ -12,7 +13,7 @@ from .secret_scan import op8_secret_scan
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
 
-_QUERIES = [op1_minhash_dedup, op2_ring_shards, op3_sentencepiece, op4_language_id, op5_one_bit_neighbours, op6_webp_columns, op8_secret_scan, op9_temperature_mix, op10_backoff_scores]
+_QUERIES = [op1_minhash_dedup, op2_ring_shards, op3_sentencepiece, op4_language_id, op5_one_bit_neighbours, op6_webp_columns, op7_license_scan, op8_secret_scan, op9_temperature_mix, op10_backoff_scores]
 _SQL: dict[str, str] = {"op5_one_bit_neighbours": OP5_SQL, "op9_temperature_mix": OP9_SQL, "op10_backoff_scores": OP10_SQL}
 
 
