@@ -86,7 +86,7 @@ def normalize_synonyms(text: Column) -> Column:
 
 def name_tokens(text: Column) -> Column:
     """Distinct folded words in lower case, sorted: the fallback for lemmas."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(remove_symbols(normalize_synonyms(text))), " "), lambda w: w != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(remove_conjunctions(remove_symbols(normalize_synonyms(text)))), " "), lambda w: w != "")))
 
 
 def expand_tokens(tokens: Column) -> Column:
