@@ -1 +1,191 @@
-"""Queries follow."""
+"""Queries of the merge operators (MRG)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import metadata
+from ..operators import joins, merge
+from .filtering import _CLOSEST, _Q, _q
+from .registry import query
+
+_PLAN = f"""{_Q}, one AS ({_CLOSEST.format(q='q')}),
+  two AS (SELECT q.query_id, count(r.id) AS n, min(r.id) AS race_id FROM q JOIN one ON one.query_id = q.query_id AND one.status = 'none' LEFT JOIN race AS r ON r.date = q.date AND r.day = q.day AND r.gender = q.gender AND r.category = q.category
+    AND r.trophy_id IS NOT DISTINCT FROM q.trophy_id AND r.flag_id IS NOT DISTINCT FROM q.flag_id AND r.league_id IS NOT DISTINCT FROM q.league_id GROUP BY q.query_id),
+  m AS (SELECT one.query_id, CASE WHEN one.status = 'none' AND n = 1 THEN two.race_id ELSE one.race_id END AS race_id, one.status = 'ambiguous' OR coalesce(n, 0) > 1 AS several FROM one LEFT JOIN two USING (query_id)),
+  s AS (SELECT query_id, race_id, CASE WHEN query_id % 10 = 0 THEN 'IGNORED' WHEN several THEN 'REVIEW' WHEN race_id IS NULL THEN 'NEW' ELSE {{found}} END AS status FROM m)
+  SELECT query_id, CASE WHEN status = 'MERGED' THEN race_id END AS race_id, CASE WHEN status = 'NEW' THEN race_id END AS associated_id, status FROM s"""
+
+
+def _plan_docs(t):
+    return _q(t).withColumn("edition", F.when(F.col("query_id") % 10 != 0, 1))
+
+
+def _plan(name: str, policy: str, found: str) -> None:
+    @query(name, f"WITH {_PLAN.format(found=found)}")
+    def _(t):
+        return merge.plan_races(_plan_docs(t), t.race, policy)
+
+
+_plan("mrg_1_plan_races", "always", "'MERGED'")
+_plan("mrg_1_plan_races_never", "never", "'NEW'")
+
+
+@query(
+    "mrg_2_merge_race",
+    """SELECT r.id, CASE WHEN d.gender = r.gender THEN r.gender ELSE 'ALL' END AS gender, CASE WHEN d.category = r.category THEN r.category ELSE 'ALL' END AS category,
+      CASE WHEN r.laps = 4 AND d.laps = 2 THEN r.laps ELSE d.laps END AS laps, coalesce(d.lanes, r.lanes) AS lanes, coalesce(d.sponsor, r.sponsor) AS sponsor, r.place_id,
+      CASE WHEN d.name = 'TROFEO ' || r.trophy_id THEN d.name ELSE array_to_string(list_sort([d.name, 'TROFEO ' || coalesce(r.trophy_id, 0)]), ',') END AS race_names,
+      (SELECT count(*) FROM race_ref AS f WHERE f.race_id = r.id) + CASE WHEN d.pos % 4 = 0 THEN 0 ELSE 1 END AS refs
+    FROM race AS r JOIN doc AS d ON d.pos = r.id""",
+)
+def _(t):
+    stored = t.race_with_metadata.withColumn("race_names", F.array(F.concat(F.lit("TROFEO "), F.coalesce("trophy_id", F.lit(0)).cast("string"))))
+    none = F.lit(None)
+    new = t.doc.select(
+        F.col("pos").alias("id"), F.struct(F.lit(0).alias("pos"), F.col("datasource").alias("datasource_name"), F.col("ref_id").alias("ref_id")).alias("new_metadata"), F.col("gender").alias("new_gender"), F.col("category").alias("new_category"),
+        F.array("name").alias("new_race_names"), F.col("laps").alias("new_laps"), F.col("lanes").alias("new_lanes"), F.col("sponsor").alias("new_sponsor"), none.cast("long").alias("new_place_id"),
+    )
+    merged = merge.merge_race(stored.join(new, "id"))
+    return merged.select("id", "gender", "category", "laps", "lanes", "sponsor", "place_id", F.array_join("race_names", ",").alias("race_names"), F.size("metadata").cast("long").alias("refs"))
+
+
+_KEYS = ("trophy_id", "flag_id", "league_id", "trophy_edition", "flag_edition", "modality")
+_SAME = " AND ".join(f"r.{k} IS NOT DISTINCT FROM n.{k}" for k in _KEYS)
+
+
+@query(
+    "mrg_3_save_races",
+    f"""WITH n AS (SELECT * FROM race WHERE id % 5 = 2), old AS (SELECT * FROM race WHERE id % 5 <> 2),
+    c AS (SELECT n.id, n.day, n.yr, EXISTS (SELECT 1 FROM old AS r WHERE r.day = n.day AND {_SAME}) AS taken, EXISTS (SELECT 1 FROM old AS r WHERE r.day = 2 AND {_SAME}) AS second,
+      (SELECT min(r.id) FROM old AS r WHERE r.day = 1 AND r.yr = n.yr AND {_SAME}) AS first_id FROM n),
+    d AS (SELECT *, taken AND day = 1 AND NOT second AND first_id IS NOT NULL AS retry FROM c)
+    SELECT id, CASE WHEN retry THEN 2 ELSE day END AS day, CASE WHEN retry THEN 'SAVE_AS_DAY_2' WHEN taken OR (day = 2 AND first_id IS NULL) THEN 'REJECT' WHEN yr < 1996 THEN 'SAVE' ELSE 'REVIEW' END AS action,
+      CASE WHEN retry OR day = 2 THEN first_id END AS associated_id FROM d""",
+)
+def _(t):
+    return merge.save_races(t.race.filter("id % 5 = 2"), t.race.filter("id % 5 <> 2"), auto_before=1996)
+
+
+_BOATS = """d AS (SELECT id AS doc_id, race_id, club_id, gender, category, CASE WHEN id % 3 <> 0 THEN branch END AS branch, CASE WHEN id % 2 = 0 THEN laps_ms ELSE list_concat(laps_ms, [1::BIGINT]) END AS laps_ms, CASE WHEN id % 5 <> 0 THEN lane END AS lane, 'CLUB ' || club_id AS club_name FROM participant),
+  s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id, club_id, gender, category, branch ORDER BY id) AS k FROM participant WHERE id % 4 <> 0) WHERE k = 1),
+  j AS (SELECT d.*, s.id AS participant_id, s.laps_ms AS s_laps, s.lane AS s_lane, s.club_names AS s_names, len(d.laps_ms) > len(s.laps_ms) AS longer, d.lane IS NOT NULL AND d.lane IS DISTINCT FROM s.lane AS other, NOT list_contains(s.club_names, club_name) AS named
+    FROM d LEFT JOIN s ON s.race_id = d.race_id AND s.club_id = d.club_id AND s.gender = d.gender AND s.category = d.category AND s.branch IS NOT DISTINCT FROM d.branch)"""
+
+
+@query(
+    "mrg_4_plan_participants",
+    f"""WITH {_BOATS} SELECT doc_id, participant_id, CASE WHEN participant_id IS NULL THEN 'NEW' WHEN longer OR other OR named THEN 'MERGED' ELSE 'EXISTING' END AS status,
+      len(CASE WHEN participant_id IS NULL OR longer THEN laps_ms ELSE s_laps END) AS laps, CASE WHEN participant_id IS NULL OR other THEN lane ELSE s_lane END AS lane,
+      CASE WHEN participant_id IS NULL THEN club_name ELSE array_to_string(list_sort(list_distinct(list_append(s_names, club_name))), ',') END AS names FROM j""",
+)
+def _(t):
+    p = t.participant
+    docs = p.select(
+        F.col("id").alias("doc_id"), "race_id", "club_id", "gender", "category", F.when(F.col("id") % 3 != 0, F.col("branch")).alias("branch"),
+        F.when(F.col("id") % 2 == 0, F.col("laps_ms")).otherwise(F.concat("laps_ms", F.array(F.lit(1).cast("long")))).alias("laps_ms"), F.when(F.col("id") % 5 != 0, F.col("lane")).alias("lane"),
+        F.concat(F.lit("CLUB "), F.col("club_id").cast("string")).alias("club_name"),
+    )
+    planned = merge.plan_participants(docs, p.filter("id % 4 <> 0"))
+    return planned.select("doc_id", "participant_id", "status", F.size("laps_ms").cast("long").alias("laps"), "lane", F.array_join("club_names", ",").alias("names"))
+
+
+@query(
+    "mrg_5_merge_participant",
+    "SELECT id, len(laps_ms) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS laps, CASE WHEN id % 3 = 0 THEN 9 ELSE lane END AS lane, CASE WHEN id % 7 = 0 THEN 1 ELSE 2 END AS refs FROM participant",
+)
+def _(t):
+    ref = lambda name: F.struct(name.alias("datasource_name"), F.lit(None).cast("string").alias("ref_id"))
+    longer = F.when(F.col("id") % 2 == 0, F.concat("laps_ms", F.array(F.lit(1).cast("long")))).otherwise(F.slice("laps_ms", 1, 1))
+    pairs = t.participant.select("id", "laps_ms", "lane", longer.alias("new_laps_ms"), F.when(F.col("id") % 3 == 0, 9).alias("new_lane"), F.array(ref(F.lit("act"))).alias("metadata"), ref(F.when(F.col("id") % 7 == 0, "act").otherwise("arc")).alias("new_metadata"))
+    return merge.merge_participant(pairs).select("id", F.size("laps_ms").cast("long").alias("laps"), "lane", F.size("metadata").alias("refs"))
+
+
+@query("mrg_6_add_metadata", "SELECT r.race_id AS id, count(*) + CASE WHEN r.race_id % 3 = 0 THEN 0 ELSE 1 END AS refs FROM race_ref AS r GROUP BY r.race_id")
+def _(t):
+    new = F.struct(F.lit(5).alias("pos"), F.lit("act").alias("datasource_name"), (F.col("id") % 5000).cast("string").alias("ref_id"))
+    return t.race_with_metadata.select("id", F.size(metadata.add_element(F.col("metadata"), new)).cast("long").alias("refs"))
+
+
+_NEW = "n AS (SELECT participant_id, CASE WHEN participant_id % 2 = 0 THEN 'COLLISION' ELSE 'NO_LINE_START' END AS reason, true AS disqualification, CASE WHEN participant_id % 3 <> 0 THEN 'seen' END AS note FROM penalty WHERE participant_id % 4 < 2 UNION ALL SELECT id, 'OFF_THE_FIELD', false, 'late' FROM participant WHERE id % 50 = 0 AND id NOT IN (SELECT participant_id FROM penalty))"
+
+
+@query(
+    "mrg_7_upsert_penalty",
+    f"""WITH {_NEW}, p AS (SELECT participant_id, reason, disqualification, notes FROM penalty UNION ALL SELECT participant_id, 'COLLISION', false, ['second'] FROM penalty WHERE participant_id % 8 = 0),
+    c AS (SELECT *, count(*) OVER (PARTITION BY participant_id) AS n, count(*) OVER (PARTITION BY participant_id, reason) AS k FROM p),
+    u AS (SELECT n.participant_id, coalesce(c.reason, n.reason) AS reason, c.disqualification, array_to_string(CASE WHEN n.note IS NULL THEN c.notes ELSE list_append(c.notes, n.note) END, ',') AS notes, 'UPDATED' AS status FROM n JOIN c ON c.participant_id = n.participant_id AND (c.n = 1 OR (c.k = 1 AND c.reason = n.reason)))
+    SELECT * FROM u UNION ALL SELECT participant_id, reason, disqualification, coalesce(note, ''), 'CREATED' FROM n WHERE participant_id NOT IN (SELECT participant_id FROM u)""",
+)
+def _(t):
+    second = t.penalty.filter("participant_id % 8 = 0").select("participant_id", F.lit(False).alias("disqualification"), F.lit("COLLISION").alias("reason"), F.array(F.lit("second")).alias("notes"))
+    stored = t.penalty.unionByName(second)
+    reason = F.when(F.col("participant_id") % 2 == 0, "COLLISION").otherwise("NO_LINE_START")
+    new = t.penalty.filter("participant_id % 4 < 2").select("participant_id", reason.alias("reason"), F.lit(True).alias("disqualification"), F.when(F.col("participant_id") % 3 != 0, "seen").alias("note"))
+    late = t.participant.filter("id % 50 = 0").select(F.col("id").alias("participant_id"), F.lit("OFF_THE_FIELD").alias("reason"), F.lit(False).alias("disqualification"), F.lit("late").alias("note"))
+    new = new.unionByName(late.join(t.penalty.select("participant_id"), "participant_id", "left_anti"))
+    return merge.upsert_penalty(new, stored).withColumn("notes", F.array_join("notes", ","))
+
+
+@query("mrg_8_save_participants", "SELECT id AS doc_id, CASE WHEN id % 3 = 0 THEN 'KEEP' WHEN race_id % 2 = 0 THEN 'SAVE' ELSE 'REVIEW' END AS action FROM participant")
+def _(t):
+    plan = t.participant.select(F.col("id").alias("doc_id"), "race_id", F.when(F.col("id") % 3 == 0, "EXISTING").otherwise("NEW").alias("status"))
+    return merge.save_participants(plan, t.race.filter("id % 2 = 0").select(F.col("id").alias("race_id")))
+
+
+@query("mrg_9_mark_checked", "SELECT id, CASE WHEN id IN (SELECT flag_id FROM race WHERE yr = 1995 AND id % 30 = 0) THEN DATE '1999-01-01' ELSE last_checked END AS last_checked FROM flag")
+def _(t):
+    return merge.mark_checked(t.flag, t.race.filter("yr = 1995 and id % 30 = 0 and flag_id is not null"), "1999-01-01").select("id", "last_checked")
+
+
+@query(
+    "mrg_10_mix_participants",
+    """WITH d AS (SELECT id AS doc_id, race_id, laps_ms[-1] AS time FROM participant WHERE len(laps_ms) > 0 AND race_id IN (SELECT id FROM race WHERE gender = 'ALL')),
+    m AS (SELECT DISTINCT ON (doc_id) doc_id, p.id FROM d JOIN participant AS p ON p.race_id = d.race_id AND p.laps_ms[-1] = d.time ORDER BY doc_id, p.category <> 'SCHOOL', p.id)
+    SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'MIX' ELSE gender END AS gender, CASE WHEN id IN (SELECT id FROM m) THEN 'ABSOLUT' ELSE category END AS category FROM participant""",
+)
+def _(t):
+    timed = t.participant.filter(F.size("laps_ms") > 0)
+    of_all = timed.join(t.race.filter("gender = 'ALL'").select(F.col("id").alias("race_id")), "race_id", "left_semi")
+    docs = of_all.select(F.col("id").alias("doc_id"), "race_id", F.element_at("laps_ms", -1).alias("time"))
+    return merge.mix_participants(t.participant, joins.match_by_time(docs, timed)).select("id", "gender", "category")
+
+
+@query(
+    "mrg_11_backfill_participants",
+    "SELECT id, coalesce(branch, CASE WHEN id % 6 = 0 THEN 'C' END) AS branch, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS refs FROM participant",
+)
+def _(t):
+    pairs = t.participant.filter("id % 2 = 0").select(F.col("id").alias("participant_id"), F.when(F.col("id") % 6 == 0, "C").alias("new_branch"), F.struct(F.lit("act").alias("datasource_name"), F.lit(None).cast("string").alias("ref_id")).alias("new_metadata"))
+    empty = F.expr("cast(array() as array<struct<datasource_name:string,ref_id:string>>)")
+    return merge.backfill_participants(t.participant.withColumn("metadata", empty), pairs).select("id", "branch", F.size("metadata").alias("refs"))
+
+
+@query("mrg_12_flag_ref_names", "SELECT f.flag_id AS id, coalesce(f.ref_name, (SELECT arg_min('R' || r.id, r.id) FROM race AS r WHERE r.flag_id = f.flag_id AND r.id % 3 = 0)) AS ref_name FROM flag_ref AS f")
+def _(t):
+    one = F.array(F.concat(F.lit("R"), F.col("id").cast("string")))
+    names = t.race.filter("flag_id is not null").select("flag_id", F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, one).otherwise(F.concat(one, one)).alias("race_names"))
+    return merge.flag_ref_names(t.flag_with_metadata, names, "traineras").select("id", F.col("metadata")[0]["ref_name"].alias("ref_name"))
+
+
+@query("mrg_13_repeated_club_branches", "SELECT id, CASE WHEN len(club_names) > 0 AND club_names[1] LIKE '% B' THEN 'B' END AS branch FROM (SELECT *, count(*) OVER (PARTITION BY race_id, club_id, gender, category) AS n FROM participant) WHERE n > 1")
+def _(t):
+    return merge.repeated_club_branches(t.participant)
+
+
+@query(
+    "mrg_14_rewrite_metadata",
+    """SELECT pos AS id, pos::VARCHAR AS ref_id, CASE WHEN pos % 11 = 0 AND datasource = 'arc' THEN 'ete' ELSE datasource END AS datasource, CASE WHEN pos % 2 = 0 THEN 'FEMALE' END AS gender, CASE WHEN pos % 5 = 0 THEN 0 ELSE 1 END AS kept,
+      CASE WHEN pos % 16 = 0 THEN 1 ELSE 0 END AS names FROM doc""",
+)
+def _(t):
+    page = F.when(F.col("pos") % 2 == 0, "http://x/Femenino").otherwise("http://x/y")
+    values = F.when(F.col("pos") % 5 == 0, F.array(F.create_map(F.lit("gender"), F.lit("MALE")))).otherwise(F.array(F.create_map(F.lit("details_page"), page), F.create_map(F.lit("gender"), F.lit("MALE"))))
+    page_only = F.array(F.create_map(F.lit("details_page"), page))
+    old = lambda v: F.array(F.struct(F.col("pos").alias("id"), F.col("datasource").alias("datasource_name"), v.alias("values")))
+    new = metadata.values_to_object(old(values))
+    renamed = metadata.rename_source(new, F.col("pos") % 11, 0, "arc", "ete")
+    return t.doc.select(
+        F.col("pos").alias("id"), renamed[0]["ref_id"].alias("ref_id"), renamed[0]["datasource_name"].alias("datasource"), metadata.gender_from_url(metadata.values_to_object(old(page_only))).alias("gender"),
+        F.size(metadata.drop_empty_elements(new)).alias("kept"), F.size(metadata.single_name_to_array(F.col("sponsor"))).alias("names"),
+    )
