@@ -1 +1,71 @@
-"""Queries follow."""
+"""Queries of the scans (SRC); reading, writing and the stream are tested on files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import documents, scans
+from .registry import query
+
+
+@query("src_5_scan_by_year", "SELECT pos, ref_id FROM doc WHERE year(date) IN (1993, 1995)")
+def _(t):
+    return scans.scan_by_year(t.doc, [1993, 1995]).select("pos", "ref_id")
+
+
+@query("src_6_scan_last_weekend", "SELECT pos, date FROM doc WHERE date BETWEEN DATE '1996-07-06' AND DATE '1996-07-07'")
+def _(t):
+    return scans.scan_last_weekend(t.doc, "1996-07-10").select("pos", "date")
+
+
+@query("src_7_scan_by_ids", "SELECT pos FROM doc WHERE (datasource, ref_id) IN (SELECT datasource_name, ref_id FROM race_ref WHERE race_id % 28 = 0)")
+def _(t):
+    return scans.scan_by_ids(t.doc, t.race_ref.filter("race_id % 28 = 0").withColumnRenamed("datasource_name", "datasource")).select("pos")
+
+
+@query("src_8_scan_by_entity", "SELECT pos FROM doc WHERE year(date) = 1997 AND pos % 40 = 9")
+def _(t):
+    docs = t.doc.withColumn("club_refs", F.array((F.col("pos") % 40).cast("string")))
+    refs = t.club.select(F.col("id").alias("entity_id"), F.explode(F.array(F.struct(F.lit(1).alias("pos"), (F.col("id") + 20).cast("string").alias("ref_id")), F.struct(F.lit(0).alias("pos"), (F.col("id") + 4).cast("string").alias("ref_id")))).alias("r"), F.lit("act").alias("datasource_name"))
+    return scans.scan_by_entity(docs, refs.select("entity_id", "r.*", "datasource_name"), 5, 1997, "act").select("pos")
+
+
+def _flag_pages(t):
+    return t.doc.filter("flag_id is not null").select("pos", F.col("flag_id").cast("string").alias("flag"), (F.col("pos") % 52 == 0).alias("known"))
+
+
+@query("src_9_scan_by_flag", "SELECT pos FROM doc WHERE flag_id = 8 AND pos > coalesce((SELECT max(pos) FROM doc WHERE flag_id = 8 AND pos % 52 = 0), -1)")
+def _(t):
+    return scans.scan_by_flag(_flag_pages(t), "8", "pos", only_new=True).select("pos")
+
+
+@query("src_9_scan_by_flag_unknown", "SELECT pos FROM doc WHERE flag_id = 8 AND pos % 52 <> 0")
+def _(t):
+    return scans.scan_by_flag(_flag_pages(t), "8", "pos").select("pos")
+
+
+@query("src_10_drop_future", "SELECT pos FROM doc WHERE date <= DATE '1996-05-01'")
+def _(t):
+    return scans.drop_future(t.doc, "1996-05-01").select("pos")
+
+
+@query("src_11_drop_known", "SELECT pos FROM doc AS d WHERE pos % 15 <> 0 AND NOT EXISTS (SELECT 1 FROM race_ref AS f WHERE f.datasource_name = d.datasource AND f.ref_id = d.ref_id)")
+def _(t):
+    return scans.drop_known(t.doc, t.race_ref, t.doc.filter("pos % 15 = 0")).select("pos")
+
+
+_PAGES = "(SELECT page_id, '<h2>Place ' || page_id || ' - 01-07-2023 (12:30) - 5556 metros</h2>' || html || '<h2>Place ' || page_id || ' - 02-07-2023 (11:00) - 3000 metros - <b>Final</b></h2><h2>plain</h2>' AS html FROM pages)"
+
+
+@query(
+    "src_12_multi_table_pages",
+    f"""SELECT page_id, CAST(i AS INT) AS "table", trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS heading,
+      CASE i WHEN 1 THEN 'Place ' || page_id WHEN n - 1 THEN 'Place ' || page_id END AS place, CASE i WHEN 1 THEN DATE '2023-07-01' WHEN n - 1 THEN DATE '2023-07-02' END AS date,
+      CASE i WHEN 1 THEN '12:30' WHEN n - 1 THEN '11:00' END AS time, CASE i WHEN 1 THEN 5556 WHEN n - 1 THEN 3000 END AS distance, CASE WHEN i = n - 1 THEN 'Final' END AS tag
+    FROM (SELECT page_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i, len(hs) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1) AS hs FROM {_PAGES}))""",
+)
+def _(t):
+    n = F.col("page_id").cast("string")
+    before = F.concat(F.lit("<h2>Place "), n, F.lit(" - 01-07-2023 (12:30) - 5556 metros</h2>"))
+    after = F.concat(F.lit("<h2>Place "), n, F.lit(" - 02-07-2023 (11:00) - 3000 metros - <b>Final</b></h2><h2>plain</h2>"))
+    return documents.explode_multi_table_pages(t.pages.select("page_id", F.concat(before, "html", after).alias("html")))
