@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 METADATA_TYPE = "struct<datasource:array<struct<ref_id:string,ref_name:string,datasource_name:string,date:string,values:map<string,string>,data:string>>>"
-RACE_DOCUMENT_DDL = (
+RACE_DOCUMENT = (
     "name string, date string, day int, modality string, type string, league string, town string, organizer string, sponsor string, "
     "normalized_names array<array<string>>, race_ids array<string>, url string, datasource string, gender string, category string, "
     "race_notes string, race_laps int, race_lanes int, cancelled boolean, "
@@ -31,8 +31,6 @@ def schema_of(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLE_DDL[table])
 
 
-RACE_DOCUMENT = T.StructType.fromDDL(RACE_DOCUMENT_DDL)
-
 # The enumerated domains.
 RACE_TYPES = ("CONVENTIONAL", "TIME_TRIAL")
 MODALITIES = ("TRAINERA", "TRAINERILLA", "BATEL")
