@@ -184,8 +184,8 @@ def mix_participants(participants: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def backfill_participants(participants: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Boats with branch and metadata of their document (participant_id, new_branch, new_metadata); others as they are."""
-    found = pairs.select(F.col("participant_id").alias("paired_id"), "new_branch", "new_metadata")
+    """Boats with branch and metadata of their document (participant_id, new_branch, new_metadata); others as they are.  Of several for one boat one is taken."""
+    found = pairs.select(F.col("participant_id").alias("paired_id"), "new_branch", "new_metadata").dropDuplicates(["paired_id"])
     joined = participants.join(found, F.col("id") == F.col("paired_id"), "left")
     return joined.withColumn("branch", F.coalesce("branch", "new_branch")).withColumn("metadata", add_element(F.col("metadata"), F.col("new_metadata"))).drop("paired_id", "new_branch", "new_metadata")
 
