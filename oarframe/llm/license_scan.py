@@ -7,7 +7,7 @@ itself that share no three-word sequence with a template (at most `max_negatives
 a hash: a documented bound).  A temperature fitted on held-back training rows calibrates the
 probabilities.  A family is reported only if its probability reaches `threshold` and the paragraph
 contains `confirm` of some template's three-word sequences of that family; a confident prediction
-that no template confirms is `unknown`.
+that no template confirms, though some three words of a template occur, is `unknown`.
 """
 
 from __future__ import annotations
@@ -186,13 +186,15 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
 
     A null or empty text, and one without a licence, has an empty array.  Probability is calibrated,
     share says how much of a template stands in the paragraph; `unknown` is a paragraph that looks
-    like a licence but holds too little of every template.  Rows stand for themselves; a column
+    like a licence but holds too little of every template; one that shares no three words in a row
+    with any template is no licence.  Rows stand for themselves; a column
     named licenses is replaced.
     """
     kept = [c for c in df.columns if c.lower() != "licenses"]
     text = fresh_name(kept, "text_in")
     kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("share", pa.float64()), ("paragraph", pa.int32())]))
     none = len(model.classes) - 1
+    known = np.unique(np.concatenate([t for _, t in model.templates]))
 
     def found_in(data: np.ndarray, offsets: np.ndarray) -> list[list]:
         lines = np.concatenate([[0], np.flatnonzero(data == 10) + 1, offsets[:-1], [len(data)]])
@@ -206,6 +208,8 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
         for i in np.flatnonzero((best != none) & (p >= threshold)):
             piece = data[lines[i] : lines[i + 1]]
             grams = gram_hashes(*word_hashes(piece, np.array([0, len(piece)])), 3)[0]
+            if not np.isin(grams, known).any():
+                continue  # no template speaks for it
             share = model.confirmed(grams, best[i])
             name = model.classes[best[i]] if share >= confirm else "unknown"
             out[owner[i]].append({"family": name, "probability": float(p[i]), "share": float(share), "paragraph": int(i - start[owner[i]])})
