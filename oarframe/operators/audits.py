@@ -56,7 +56,7 @@ def field_size_differs(races: DataFrame, participants: DataFrame, trophies: Data
     largest = largest_fields(entries, races)
     held = not_playoff(races, trophies, by_date=True).filter(~F.col("cancelled") & F.col("league_id").isNotNull() & ~F.col("league_id").isin(*excluded_leagues))
     joined = held.withColumn("year", F.year("date")).join(counts, F.col("id") == F.col("counted_race"), "left").withColumn("boats", F.coalesce("n", F.lit(0)))
-    return joined.join(F.broadcast(largest), ["league_id", "gender", "year"]).filter("boats <> largest").select("id", "boats", "largest")
+    return joined.join(largest, ["league_id", "gender", "year"]).filter("boats <> largest").select("id", "boats", "largest")
 
 
 def tied(participants: DataFrame, resolution_ms: int = 1) -> DataFrame:

@@ -40,7 +40,7 @@ def keyword_search(races: DataFrame, trophies: DataFrame, flags: DataFrame, leag
     """Races whose trophy, flag, league, sponsor or place name holds the cleaned text as one piece."""
     named = races
     for dim, key in ((trophies, "trophy"), (flags, "flag"), (leagues, "league"), (places, "place")):
-        named = named.join(F.broadcast(dim.select(F.col("id").alias(f"{key}_key"), F.col("name").alias(f"{key}_text"))), F.col(f"{key}_id") == F.col(f"{key}_key"), "left")
+        named = named.join(dim.select(F.col("id").alias(f"{key}_key"), F.col("name").alias(f"{key}_text")), F.col(f"{key}_id") == F.col(f"{key}_key"), "left")
     wanted = remove_conjunctions(remove_symbols(F.lit(text)))
     hit = reduce(lambda a, b: a | b, [F.coalesce(contains_folded(F.col(c), wanted), F.lit(False)) for c in ("trophy_text", "flag_text", "league_text", "place_text", "sponsor")])
     return named.filter(hit).select(*races.columns)
@@ -130,7 +130,7 @@ def analogous_race(races: DataFrame, trophies: DataFrame) -> DataFrame:
     Play-offs are held without a league, so for them the other race has none.
     """
     playoffs = trophies.filter(is_play_off(F.col("name"))).select(F.col("id").alias("playoff_id"))
-    a = races.join(F.broadcast(playoffs), F.col("trophy_id") == F.col("playoff_id"), "left")
+    a = races.join(playoffs, F.col("trophy_id") == F.col("playoff_id"), "left")
     keys = ("id", "day", "trophy_id", "trophy_edition", "flag_id", "flag_edition", "league_id")
     a = a.select(F.year("date").alias("year"), F.col("playoff_id").isNotNull().alias("play_off"), *keys)
     b = races.select(F.year("date").alias("year"), *[F.col(c).alias(f"o_{c}") for c in keys])
@@ -197,6 +197,6 @@ def races_with_repeated_clubs(participants: DataFrame) -> DataFrame:
 def not_playoff(races: DataFrame, trophies: DataFrame, by_date: bool = False) -> DataFrame:
     """Races that are no play-off, or, by date, that share no date with one."""
     playoffs = trophies.filter(F.col("name").ilike("%PLAY%")).select(F.col("id").alias("playoff_id"))
-    held = races.join(F.broadcast(playoffs), F.col("trophy_id") == F.col("playoff_id"), "left_semi")
+    held = races.join(playoffs, F.col("trophy_id") == F.col("playoff_id"), "left_semi")
     key = "date" if by_date else "id"
     return races.join(held.select(F.col(key).alias("playoff_key")), F.col(key) == F.col("playoff_key"), "left_anti")

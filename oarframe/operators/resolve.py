@@ -145,7 +145,7 @@ def retrieve_competition(docs: DataFrame) -> DataFrame:
 
 def resolve_league(docs: DataFrame, leagues: DataFrame) -> DataFrame:
     """(doc_id, league_id) of (doc_id, name, league, db_league_id): the matched race's league, else the one of that name unless the race is a play-off."""
-    known = F.broadcast(leagues.select(F.col("id").alias("found_id"), fold(F.col("name")).alias("folded")))
+    known = leagues.select(F.col("id").alias("found_id"), fold(F.col("name")).alias("folded"))
     wanted = docs.withColumn("wanted", F.when(~is_play_off(remove_parenthesis(F.col("name"))), fold(remove_parenthesis(F.col("league")))))
     return wanted.join(known, F.col("wanted") == F.col("folded"), "left").select("doc_id", F.coalesce("db_league_id", "found_id").alias("league_id"))
 

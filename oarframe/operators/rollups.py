@@ -40,7 +40,7 @@ def single_distinct(column: str) -> Column:
 
 def _rollup(races: DataFrame, participants: DataFrame, leagues: DataFrame, column: str, alone: bool, missing: str | None) -> DataFrame:
     seen = participants.groupBy("race_id").agg(F.count("*").alias("boats"), F.min(column).alias("low"), F.max(column).alias("high"))
-    named = races.select("id", "league_id").join(F.broadcast(leagues.select(F.col("id").alias("league_id"), F.col(column).alias("of_league"))), "league_id", "left")
+    named = races.select("id", "league_id").join(leagues.select(F.col("id").alias("league_id"), F.col(column).alias("of_league")), "league_id", "left")
     joined = named.join(seen, F.col("id") == F.col("race_id"), "left")
     several = (F.col("low") != F.col("high")) | ((F.col("boats") == 1) if alone else F.lit(False))
     found = F.when(F.col("boats").isNull(), F.lit(missing)).when(several, "ALL").otherwise(F.col("high"))

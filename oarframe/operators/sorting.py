@@ -21,8 +21,8 @@ def race_order(by: str) -> list[Column]:
 
 def sort_races(races: DataFrame, by: str, trophies: DataFrame, flags: DataFrame) -> DataFrame:
     """Races in the named order, with `sort_name`: the trophy's name, else the flag's."""
-    t = F.broadcast(trophies.select(F.col("id").alias("trophy_key"), F.col("name").alias("trophy_name")))
-    f = F.broadcast(flags.select(F.col("id").alias("flag_key"), F.col("name").alias("flag_name")))
+    t = trophies.select(F.col("id").alias("trophy_key"), F.col("name").alias("trophy_name"))
+    f = flags.select(F.col("id").alias("flag_key"), F.col("name").alias("flag_name"))
     named = races.join(t, F.col("trophy_id") == F.col("trophy_key"), "left").join(f, F.col("flag_id") == F.col("flag_key"), "left")
     return named.withColumn("sort_name", F.coalesce("trophy_name", "flag_name")).orderBy(*race_order(by)).select(*races.columns, "sort_name")
 

@@ -107,8 +107,8 @@ _ROMAN = "['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII',
     FROM race AS r LEFT JOIN trophy AS t ON t.id = r.trophy_id LEFT JOIN flag AS f ON f.id = r.flag_id""",
 )
 def _(t):
-    named = t.race.join(F.broadcast(t.trophy.select(F.col("id").alias("trophy_id"), F.col("name").alias("trophy_name"))), "trophy_id", "left")
-    named = named.join(F.broadcast(t.flag.select(F.col("id").alias("flag_id"), F.col("name").alias("flag_name"))), "flag_id", "left")
+    named = t.race.join(t.trophy.select(F.col("id").alias("trophy_id"), F.col("name").alias("trophy_name")), "trophy_id", "left")
+    named = named.join(t.flag.select(F.col("id").alias("flag_id"), F.col("name").alias("flag_name")), "flag_id", "left")
     return named.select("id", joins.display_race(named).alias("shown"))
 
 

@@ -49,7 +49,7 @@ def _(t):
 @query("join_6_left_then_not_null", "SELECT r.id, trophy.name FROM race AS r LEFT JOIN trophy ON trophy.id = r.trophy_id WHERE trophy.name IS NOT NULL")
 def _(t):
     trophies = t.trophy.select(F.col("id").alias("trophy_id"), "name")
-    return t.race.join(F.broadcast(trophies), "trophy_id", "left").filter("name is not null").select("id", "name")
+    return t.race.join(trophies, "trophy_id", "left").filter("name is not null").select("id", "name")
 
 
 @query("join_7_scalar_subquery", "SELECT id, (SELECT count(*) FROM participant AS p WHERE p.race_id = r.id AND NOT p.guest) AS boats FROM race AS r")
