@@ -1,7 +1,7 @@
 """Stupid-backoff scores from count tables partitioned by hash.
 
 1. Documents are taken in chunks of a few megabytes; a chunk row holds its words as numbers into its
-   own sorted vocabulary of word hashes (written once to the shared folder).
+   own vocabulary of word hashes, frequent words first (written once to the shared folder).
 2. Each chunk asks for its distinct n-grams of every order, with its own counts, one request row for
    each range of the hash space (bucket).
 3. A bucket adds up the chunks' counts, which makes its part of the count tables, and joins the
@@ -15,6 +15,8 @@ number of buckets grows with the tokens, which bounds what one task holds.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,15 +30,53 @@ BUCKET_TOKENS = 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the largest needs; that width comes first."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    out = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as packed steps."""
+    return pack_numbers(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(packed), dtype=np.uint64)
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent, byte place by byte place and compressed."""
+    packed = pack_numbers(ranks)
+    return packed[:1] + zlib.compress(np.frombuffer(packed, np.uint8, offset=1).reshape(-1, packed[0]).T.tobytes(), 1)
+
+
+def unpack_ranks(packed: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    return unpack_numbers(packed[:1] + places.T.tobytes())
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """(chunk, n_tokens, ids, first, words, vocab) of (id, text); first, words and vocab are packed numbers."""
 
     def row(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         hashes, first = word_hashes(*text_buffers(table.column(1)))
-        vocab, words = np.unique(hashes, return_inverse=True)
+        vocab, words, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocab, words = vocab[order], rank[words]
         chunk = (TaskContext.get().partitionId() << 32) + number
-        packed = [first.astype(np.int64).tobytes(), words.astype(np.uint32).tobytes(), vocab.tobytes()]
+        packed = [pack_sorted(first), pack_ranks(words), pack_numbers(vocab)]
         ids = pa.array([table.column(0).to_pylist()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(words)]), ids, *[pa.array([p], pa.binary()) for p in packed]], names=["chunk", "n_tokens", "ids", "first", "words", "vocab"])
 
@@ -60,26 +100,30 @@ class ChunkGrams:
     """A chunk's distinct n-grams of each order, sorted by hash, and which of them ends at each token."""
 
     def __init__(self, first: bytes, words: bytes, vocab: bytes, order: int):
-        self.first = np.frombuffer(first, np.int64)
-        words = np.frombuffer(words, np.uint32).astype(np.int64)
-        base = np.frombuffer(vocab, np.uint64)
+        self.first = unpack_sorted(first).astype(np.int64)
+        words = unpack_ranks(words).astype(np.int64)
+        base = unpack_numbers(vocab)
         place = np.arange(len(words)) - np.repeat(self.first[:-1], np.diff(self.first))
         self.place = place
-        self.hashes, self.at, self.counts = [base], [words], [np.bincount(words, minlength=len(base))]
+        self.hashes, self.at, self.counts = [], [], []
+        self._add(base, words, np.bincount(words, minlength=len(base)))
         for n in range(2, order + 1):
             ends = np.flatnonzero(place >= n - 1)
             code = self.at[-1][ends - 1] * len(base) + words[ends]
             distinct, which, counts = np.unique(code, return_inverse=True, return_counts=True)
             left, right = np.divmod(distinct, max(1, len(base)))
             hashes = mix(mix(self.hashes[-1][left] * _STEP + np.uint64(n)) + base[right])
-            by_hash = np.argsort(hashes)
-            rank = np.empty(len(by_hash), np.int64)
-            rank[by_hash] = np.arange(len(by_hash))
             at = np.full(len(words), -1, np.int64)
-            at[ends] = rank[which]
-            self.hashes.append(hashes[by_hash])
-            self.at.append(at)
-            self.counts.append(counts[by_hash])
+            at[ends] = which
+            self._add(hashes, at, counts)
+
+    def _add(self, hashes: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
+        by_hash = np.argsort(hashes)
+        rank = np.append(np.empty(len(by_hash), np.int64), -1)
+        rank[by_hash] = np.arange(len(by_hash))
+        self.hashes.append(hashes[by_hash])
+        self.at.append(rank[at])
+        self.counts.append(counts[by_hash])
 
 
 def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
@@ -90,11 +134,11 @@ def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                 grams = ChunkGrams(first, words, vocab, order)
                 out = []
                 for n in range(order):
-                    hashes, counts = grams.hashes[n], grams.counts[n].astype(np.uint32)
+                    hashes, counts = grams.hashes[n], grams.counts[n]
                     bucket = (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
                     edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
                     for a, b in zip(edges[:-1], edges[1:]):
-                        out.append((int(bucket[a]), n + 1, chunk, hashes[a:b].tobytes(), counts[a:b].tobytes()))
+                        out.append((int(bucket[a]), n + 1, chunk, pack_sorted(hashes[a:b]), pack_numbers(counts[a:b])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["bucket", "n", "chunk", "hashes", "counts"])
 
@@ -102,19 +146,18 @@ def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def _replies(requests: DataFrame) -> DataFrame:
-    """(n, chunk, bucket, totals, wide): the corpus counts of each request's n-grams, in its order."""
+    """(n, chunk, bucket, totals): the corpus counts of each request's n-grams, in its order."""
 
     def join(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        parts = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([unpack_numbers(x) for x in table.column("counts").to_pylist()])
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
         totals = np.bincount(which, weights=counts).astype(np.int64)[which]
         edges = np.cumsum([len(p) for p in parts])[:-1]
-        wide = bool(totals.max(initial=0) >= 1 << 32)
-        packed = pa.array([x.astype(np.int64 if wide else np.uint32).tobytes() for x in np.split(totals, edges)], pa.binary())
-        return pa.table({"n": table.column("n"), "chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": packed, "wide": pa.array([wide] * table.num_rows)})
+        packed = pa.array([pack_numbers(x) for x in np.split(totals, edges)], pa.binary())
+        return pa.table({"n": table.column("n"), "chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": packed})
 
-    return requests.groupBy("bucket", "n").applyInArrow(join, "n int, chunk long, bucket long, totals binary, wide boolean")
+    return requests.groupBy("bucket", "n").applyInArrow(join, "n int, chunk long, bucket long, totals binary")
 
 
 def backoff_logs(grams: ChunkGrams, totals: list[np.ndarray], n_tokens: int, factor: float, min_count: int) -> np.ndarray:
@@ -152,14 +195,14 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for i in range(left.num_rows):
             ids, first, words, vocab = (left.column(c)[i].as_py() for c in ("ids", "first", "words", "vocab"))
             grams = ChunkGrams(first, words, vocab, order)
-            ordered = right.select(["n", "bucket", "totals", "wide"]).sort_by([("n", "ascending"), ("bucket", "ascending")]).to_pylist()
+            ordered = right.select(["n", "bucket", "totals"]).sort_by([("n", "ascending"), ("bucket", "ascending")]).to_pylist()
             totals = []
             for n in range(1, order + 1):
-                parts = [np.frombuffer(r["totals"], np.int64 if r["wide"] else np.uint32) for r in ordered if r["n"] == n]
+                parts = [unpack_numbers(r["totals"]) for r in ordered if r["n"] == n]
                 totals.append(np.concatenate([p.astype(np.float64) for p in parts]) if parts else np.zeros(0))
             logs = backoff_logs(grams, totals, n_tokens, factor, min_count)
             owner = np.repeat(np.arange(len(ids)), np.diff(grams.first))
-            sums = np.bincount(owner, weights=logs, minlength=len(ids))
+            sums = np.bincount(owner, weights=logs, minlength=len(ids)).astype(np.float64)
             out.append(pa.table({"id": pa.array(ids, pa.int64()), "n_tokens": np.diff(grams.first), "log_score": sums}))
         return pa.concat_tables(out)
 
