@@ -26,7 +26,7 @@ def build_participant_metadata(datasource: Column) -> Column:
 def collect_metadata(rows: DataFrame, refs: DataFrame, key: str, ref_key: str) -> DataFrame:
     """rows with `metadata`, the array of their references in order; an empty one if there is none."""
     fields = [c for c in ("pos", "datasource_name", "ref_id", "ref_name") if c in refs.columns]
-    grouped = refs.groupBy(F.col(ref_key).alias("metadata_key")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("metadata"))
+    grouped = refs.groupBy(F.col(ref_key).alias("metadata_key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("metadata"))
     joined = rows.join(grouped, F.col(key) == F.col("metadata_key"), "left").drop("metadata_key")
     return joined.withColumn("metadata", F.coalesce("metadata", F.expr(f"cast(array() as {grouped.schema['metadata'].dataType.simpleString()})")))
 

@@ -86,7 +86,7 @@ def normalize_synonyms(text: Column) -> Column:
 
 def name_tokens(text: Column) -> Column:
     """Distinct folded words in lower case, sorted: the fallback for lemmas."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(remove_conjunctions(remove_symbols(normalize_synonyms(text)))), " "), lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.split(F.lower(remove_conjunctions(remove_symbols(normalize_synonyms(text)))), " "), lambda w: w != "")))
 
 
 def expand_tokens(tokens: Column) -> Column:
@@ -96,10 +96,10 @@ def expand_tokens(tokens: Column) -> Column:
     """
     present = F.filter(F.array(*[F.lit(x) for x in INTERCHANGEABLE]), lambda x: F.array_contains(tokens, x))
     rest = F.array_except(tokens, F.array(*[F.lit(x) for x in INTERCHANGEABLE]))
-    swaps = F.transform(F.array(*[F.lit(x) for x in INTERCHANGEABLE]), lambda x: F.array_sort(F.array_union(rest, F.array(x))))
-    swapped = F.when(F.size(present) > 0, swaps).otherwise(F.array(F.array_sort(tokens)))
-    fewer = F.transform(swapped, lambda t: F.array_sort(F.array_except(t, F.array(*[F.lit(x) for x in OPTIONAL]))))
-    return F.array_distinct(F.concat(F.array(F.array_sort(tokens)), swapped, fewer))
+    swaps = F.transform(F.array(*[F.lit(x) for x in INTERCHANGEABLE]), lambda x: F.sort_array(F.array_union(rest, F.array(x))))
+    swapped = F.when(F.size(present) > 0, swaps).otherwise(F.array(F.sort_array(tokens)))
+    fewer = F.transform(swapped, lambda t: F.sort_array(F.array_except(t, F.array(*[F.lit(x) for x in OPTIONAL]))))
+    return F.array_distinct(F.concat(F.array(F.sort_array(tokens)), swapped, fewer))
 
 
 def is_play_off(name: Column) -> Column:
@@ -132,7 +132,7 @@ def normalize_club(name: Column, known: Column, sponsors: tuple = (), pairs: tup
     first, second = F.trim(F.split_part(name, F.lit("-"), F.lit(1))), F.trim(F.split_part(name, F.lit("-"), F.lit(2)))
     paired = F.lit(False)
     for a, b in pairs:
-        paired = paired | (F.array_sort(F.array(fold(first), fold(second))) == F.array(F.lit(a), F.lit(b)))
+        paired = paired | (F.sort_array(F.array(fold(first), fold(second))) == F.array(F.lit(a), F.lit(b)))
     usable = lambda part: known(fold(part)) & (part != "") & ~fold(part).isin(*sponsors) if sponsors else known(fold(part)) & (part != "")
     kept = F.concat_ws(" - ", F.when(usable(first), first), F.when(usable(second), second))
     return F.when(F.contains(name, F.lit("-")) & ~paired & (kept != ""), kept).otherwise(name)

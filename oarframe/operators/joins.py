@@ -28,10 +28,10 @@ def race_view(races: DataFrame, trophies: DataFrame, flags: DataFrame, leagues:
 
 def nest_children(races: DataFrame, participants: DataFrame, penalties: DataFrame) -> DataFrame:
     """(id, participants): each race's boats in order, each with its penalties; empty arrays where there are none."""
-    fines = penalties.groupBy(F.col("participant_id").alias("fined")).agg(F.array_sort(F.collect_list(F.struct("disqualification", "reason"))).alias("penalties"))
+    fines = penalties.groupBy(F.col("participant_id").alias("fined")).agg(F.sort_array(F.collect_list(F.struct("disqualification", "reason"))).alias("penalties"))
     boats = participants.join(fines, F.col("id") == F.col("fined"), "left")
     items = F.struct(F.col("id"), F.col("club_id"), F.coalesce("penalties", F.expr("cast(array() as array<struct<disqualification:boolean,reason:string>>)")).alias("penalties"))
-    grouped = boats.groupBy("race_id").agg(F.array_sort(F.collect_list(items)).alias("participants"))
+    grouped = boats.groupBy("race_id").agg(F.sort_array(F.collect_list(items)).alias("participants"))
     kind = grouped.schema["participants"].dataType.simpleString()
     return races.select("id").join(grouped, F.col("id") == F.col("race_id"), "left").select("id", F.coalesce("participants", F.expr(f"cast(array() as {kind})")).alias("participants"))
 

@@ -62,7 +62,7 @@ def merge_race(pairs: DataFrame) -> DataFrame:
     keep_laps = F.col("new_laps").isNull() | ((F.col("laps") == 4) & (F.col("new_laps") == 2))
     return pairs.select(
         "id", add_element(F.col("metadata"), F.col("new_metadata")).alias("metadata"), widened("gender"), widened("category"),
-        F.array_sort(F.array_union("race_names", "new_race_names")).alias("race_names"),
+        F.sort_array(F.array_union("race_names", "new_race_names")).alias("race_names"),
         F.when(keep_laps, F.col("laps")).otherwise(F.col("new_laps")).alias("laps"),
         *[_replaced(f"new_{c}", c).alias(c) for c in ("lanes", "sponsor", "place_id")],
     )
@@ -130,7 +130,7 @@ def plan_participants(docs: DataFrame, participants: DataFrame, update: str = "a
         "doc_id", "participant_id", "status",
         F.when(F.col("participant_id").isNull() | (use & longer), F.col("laps_ms")).otherwise(F.col("s_laps")).alias("laps_ms"),
         F.when(F.col("participant_id").isNull() | (use & other_lane), F.col("lane")).otherwise(F.col("s_lane")).alias("lane"),
-        F.when(F.col("participant_id").isNull(), F.array("club_name")).when(use, F.array_sort(F.array_union("s_names", F.array("club_name")))).otherwise(F.col("s_names")).alias("club_names"),
+        F.when(F.col("participant_id").isNull(), F.array("club_name")).when(use, F.sort_array(F.array_union("s_names", F.array("club_name")))).otherwise(F.col("s_names")).alias("club_names"),
     )
 
 

@@ -66,8 +66,8 @@ def metadata_shape(df: DataFrame, key: str, json: str, table: str) -> DataFrame:
     bad_values = F.array_contains(keys, "values") & (values.isNull() | F.coalesce(unquoted, F.lit(False)))
     problems = F.concat_ws(
         ";",
-        F.when(F.size(F.array_except(constants(REQUIRED[table]), keys)) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(F.array_except(constants(REQUIRED[table]), keys)), ","))),
-        F.when(F.size(F.array_except(keys, constants(ALLOWED[table]))) > 0, F.concat(F.lit("extra "), F.array_join(F.array_sort(F.array_except(keys, constants(ALLOWED[table]))), ","))),
+        F.when(F.size(F.array_except(constants(REQUIRED[table]), keys)) > 0, F.concat(F.lit("missing "), F.array_join(F.sort_array(F.array_except(constants(REQUIRED[table]), keys)), ","))),
+        F.when(F.size(F.array_except(keys, constants(ALLOWED[table]))) > 0, F.concat(F.lit("extra "), F.array_join(F.sort_array(F.array_except(keys, constants(ALLOWED[table]))), ","))),
         F.when(bad_values, F.lit("values")),
     )
     rows = df.select(F.col(key).alias("k"), F.explode(elements).alias("element")).withColumn("problems", problems).filter("problems <> ''")

@@ -23,7 +23,7 @@ def largest_fields(entries: DataFrame, races: DataFrame) -> DataFrame:
 def race_arrays(participants: DataFrame) -> DataFrame:
     """(race_id, clubs, times): club ids and finish times in one order, by club, then time."""
     pair = F.struct("club_id", last_lap(F.col("laps_ms")).alias("time"))
-    pairs = F.array_sort(F.collect_list(pair))
+    pairs = F.sort_array(F.collect_list(pair))
     return participants.groupBy("race_id").agg(pairs.alias("p")).select("race_id", F.transform("p", lambda x: x["club_id"]).alias("clubs"), F.transform("p", lambda x: x["time"]).alias("times"))
 
 
@@ -59,7 +59,7 @@ def rollup_race_category(races: DataFrame, participants: DataFrame, leagues: Dat
 
 def union_names(df: DataFrame, key: str, names: str) -> DataFrame:
     """(key, names): the sorted set of all names of a key."""
-    return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))).alias("names"))
+    return df.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(names)))).alias("names"))
 
 
 def participant_count_check(participants: DataFrame, documents: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def fold_consecutive(docs: DataFrame, source: str, position: str, as_of: str | N
     future = F.col("date") > F.to_date(F.lit(as_of)) if as_of else F.lit(False)
     marked = docs.withColumn("future", future).withColumn("starts", F.coalesce((F.lag("name").over(order) != F.col("name")) | F.lag("future").over(order), F.lit(True)))
     islands = marked.withColumn("island", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("future"))
-    refs = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col("ref_id"))))
+    refs = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col("ref_id"))))
     folded = islands.groupBy(source, "island").agg(
         F.min_by("name", position).alias("name"), F.min(position).alias("first"), refs.alias("refs"), F.sum("boats").alias("boats"),
         F.when(F.min("gender") != F.max("gender"), "ALL").otherwise(F.max("gender")).alias("gender"),

@@ -63,7 +63,7 @@ def year_speeds(boats: DataFrame, normalize: bool = False, keep_null_speeds: boo
         rows = rows.filter(F.col("speed").isNotNull())
     # A null speed sorts before all others of its date, as in a descending order with nulls first.
     item = F.struct("date", F.coalesce(-F.col("speed"), F.lit(float("-inf"))).alias("rank"), "speed")
-    return rows.groupBy("year").agg(F.array_sort(F.collect_list(item)).alias("items")).select("year", F.transform("items", lambda x: x["speed"]).alias("speeds"))
+    return rows.groupBy("year").agg(F.sort_array(F.collect_list(item)).alias("items")).select("year", F.transform("items", lambda x: x["speed"]).alias("speeds"))
 
 
 def nth_speed(boats: DataFrame, index: int, normalize: bool = False, keep_null_speeds: bool = True) -> DataFrame:

@@ -75,7 +75,7 @@ def _(t):
 
 @query("agg_7_matching_ids", "SELECT date, array_to_string(list(id ORDER BY id), ',') AS ids FROM race GROUP BY date HAVING count(*) > 1")
 def _(t):
-    ids = F.array_sort(F.collect_list("id"))
+    ids = F.sort_array(F.collect_list("id"))
     return t.race.groupBy("date").agg(ids.alias("i")).filter(F.size("i") > 1).select("date", F.array_join("i", ",").alias("ids"))
 
 
@@ -204,5 +204,5 @@ def _(t):
     FULL JOIN (SELECT race_id, list(club_id ORDER BY club_id) AS b FROM participant WHERE lane > 2 GROUP BY race_id) USING (race_id)""",
 )
 def _(t):
-    part = lambda test: t.participant.filter(test).groupBy("race_id").agg(F.array_sort(F.collect_list("club_id")).alias("clubs"))
+    part = lambda test: t.participant.filter(test).groupBy("race_id").agg(F.sort_array(F.collect_list("club_id")).alias("clubs"))
     return rollups.merge_tables(part("lane <= 2"), part("lane > 2"), "race_id", "clubs").withColumn("clubs", F.array_join("clubs", ","))

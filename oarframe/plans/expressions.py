@@ -141,7 +141,7 @@ def _(t):
     # In the order of the rule: as given, with each interchangeable token, then without optional ones.
     order = F.array(*[F.lit(x) for x in ("bandera", "trofeo", "regata")])
     key = F.transform(spelled, lambda s: F.struct((~s.contains("ayuntamiento")).cast("int").alias("a"), F.array_position(F.transform(order, lambda o: F.contains(s, o)), F.lit(True)).alias("b"), s.alias("s")))
-    return t.club.select("id", F.array_join(F.transform(F.array_sort(key), lambda x: x["s"]), "|").alias("alternatives"))
+    return t.club.select("id", F.array_join(F.transform(F.sort_array(key), lambda x: x["s"]), "|").alias("alternatives"))
 
 
 @query("fn_18_play_off", "SELECT id, name ILIKE '%play%off%' AS play_off, name ILIKE '%memorial%' AS memorial FROM trophy")

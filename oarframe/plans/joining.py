@@ -41,7 +41,7 @@ def _(t):
     SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.n = b.n AND a.k = b.k AND a.race_id <> b.race_id AND a.race_id % 20 = 0 AND b.race_id % 10 = 0""",
 )
 def _(t):
-    a = t.participant.groupBy("race_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("club_id") % 4)).alias("k"))
+    a = t.participant.groupBy("race_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("club_id") % 4)).alias("k"))
     left, right = a.filter("race_id % 20 = 0"), a.filter("race_id % 10 = 0")
     return left.join(right.withColumnRenamed("race_id", "other_id"), ["n", "k"]).filter("race_id <> other_id").select(F.col("race_id").alias("id"), "other_id")
 
