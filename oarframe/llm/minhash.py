@@ -6,9 +6,10 @@
 2. Classes that share a band key are a bucket.  In each bucket all members are paired with the
    smallest one only; sizes, then signatures, then the full sets confirm the link.
 3. Buckets whose members are not yet in one component are completed: each member outside the
-   bucket's largest component is compared with all members of other components, by signature, in
-   blocks of bounded size, and pairs that pass are confirmed on full sets.  A pair within one
-   component needs no check, so dense groups cost a pass, not a square.
+   bucket's largest component meets all members of other components in blocks of bounded size.  A
+   pair is looked at in the first band it shares, by size and signature, then on full sets, and a
+   block reports no more links than tie its components together.  A pair within one component needs
+   no check, so dense groups cost a pass, not a square.
 4. Components of all confirmed links come from alternating large-star and small-star.
 
 The chance that a link is missed is that of no common band, (1 - t**rows)**bands at the threshold t
@@ -124,27 +125,52 @@ def _signatures_agree(pairs: DataFrame, classes: DataFrame, percent: int) -> Dat
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets meet the threshold, written to the shared folder."""
-    pairs = materialize(pairs)
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(docs.join(needed, "id", "left_semi").select("id", "text"), n))
+BITMAP_BITS = 26
+
+
+def _only_hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (id, text) whose id hashes to a place that some id of ids hashes to: all of these and a few more.
+
+    The places are a bitmap of 2**26 bits, however many ids there are; it keeps most other texts out
+    of the shuffle that follows.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit("place"), c), 64 - BITMAP_BITS)
+    words = ids.select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # at most 2**20 rows
+        bitmap[r["word"]] = r["bits"]
+    packed = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches):
+        bits = np.frombuffer(packed.value, np.int64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = (bits[at >> 6] >> (at & 63)) & 1
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep == 1)) for i in (0, 1)], names=["id", "text"])
+
+    return docs.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(run, "id long, text string")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the threshold."""
 
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+            good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    return materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct())
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _open_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(block, id, component, main) of buckets that hold several components.
+    """(block, band, id, component, main) of buckets that hold several components.
 
     main marks the bucket's largest component.  The others are cut into blocks; each block meets
     itself, every later block, and every block of the main component.
@@ -160,53 +186,66 @@ def _open_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     with_main = F.transform(F.sequence(F.lit(0).cast("long"), main_blocks - 1), lambda j: F.struct(F.lit(True).alias("m"), F.col("own").alias("x"), j.alias("y")))
     as_main = F.transform(F.sequence(F.lit(0).cast("long"), other_blocks - 1), lambda i: F.struct(F.lit(True).alias("m"), i.alias("x"), F.col("own").alias("y")))
     meets = F.when(F.col("main"), as_main).otherwise(F.concat(with_others, with_main))
-    return rows.select("bucket", "id", "component", "main", F.explode(meets).alias("meet")).select(F.xxhash64("bucket", "meet").alias("block"), "id", "component", "main")
-
-
-def _compare_blocks(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a block that sizes and signatures allow."""
-    full = blocks.join(classes.select("id", "n_shingles", "sig"), "id").select("block", "id", "component", "main", "n_shingles", "sig")
-
-    def pairs_of(block, ids, component, main, size, sig):
-        found = []
-        longest = int(np.diff(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))).max(initial=0))
-        for s in range(1, longest):
-            i = np.flatnonzero((block[:-s] == block[s:]) & (component[:-s] != component[s:]))
-            j = i + s
-            i, j = (x[np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent] for x in (i, j))
-            for lo in range(0, len(i), 4096):
-                x, y = i[lo : lo + 4096], j[lo : lo + 4096]
-                good = (sig[x] == sig[y]).mean(axis=1) >= percent / 100 - MARGIN
-                found.append(np.stack([ids[x[good]], ids[y[good]]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        both = np.unique(np.sort(both, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+    return rows.select("bucket", "band", "id", "component", "main", F.explode(meets).alias("meet")).select(F.xxhash64("bucket", "meet").alias("block"), "band", "id", "component", "main")
+
+
+def _block_links(band: int, ids, component, size, sig, sets: list, percent: int, rows: int) -> list[tuple[int, int]]:
+    """Links of one block between members of different components, no more than tie these together."""
+    parent: dict[int, int] = {}
+
+    def root(c):
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    found = []
+    for s in range(1, len(ids)):
+        i = np.flatnonzero(component[:-s] != component[s:])
+        i = i[np.minimum(size[i], size[i + s]) * 100 >= np.maximum(size[i], size[i + s]) * percent]
+        for lo in range(0, len(i), 4096):
+            x = i[lo : lo + 4096]
+            same = sig[x] == sig[x + s]
+            whole = same.reshape(len(x), -1, rows).all(axis=2)  # which bands agree; the first of them looks at the pair
+            for k in x[(same.mean(axis=1) >= percent / 100 - MARGIN) & (whole.argmax(axis=1) == band)].tolist():
+                a, b = root(int(component[k])), root(int(component[k + s]))
+                if a != b and linked(sets[k], sets[k + s], percent):
+                    parent[a] = b
+                    found.append((int(ids[k]), int(ids[k + s])))
+    return found
+
+
+def _compare_blocks(blocks: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) that tie the components within each block."""
+    full = blocks.join(classes.select("id", "n_shingles", "sig"), "id").join(sets, "id").select("block", "band", "id", "component", "n_shingles", "sig", "set")
 
     def run(batches):
-        held, rows = [], 0
+        held: list[pa.RecordBatch] = []
 
-        def columns():
+        def close():
             t = pa.Table.from_batches(held).combine_chunks()
+            columns = [t.column(i).to_numpy() for i in range(5)]
             sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            return [t.column(i).to_numpy() for i in range(5)] + [sig]
+            full_sets = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            return _block_links(int(columns[1][0]), *columns[2:], sig, full_sets, percent, rows)
 
+        last, out = None, []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 4096:
-                continue
-            all_columns = columns()
-            block = all_columns[0]
-            cut = int(np.searchsorted(block, block[-1]))  # the last block may go on
-            if cut:
-                yield pairs_of(*(c[:cut] for c in all_columns))
-            held = [pa.Table.from_batches(held).combine_chunks().slice(cut).to_batches()[0]]
-            rows = held[0].num_rows
-        if rows:
-            yield pairs_of(*columns())
-
-    ordered = full.repartition("block").sortWithinPartitions("block")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+            block = batch.column(0).to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(block, prepend=~block[:1])), len(block))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if held and block[lo] != last:
+                    out += close()
+                    held.clear()
+                held.append(batch.slice(lo, hi - lo))
+                last = block[lo]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out = []
+        if held:
+            out = close()
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, n: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
@@ -218,26 +257,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null, empty or blank text has an empty set and is linked with nothing, equal ones included.
     A row without id keeps its count, has no component and is kept.  Repeated rows are all
-    returned, with the same answer.  If an id occurs with several texts, each text is looked at, and
-    the id ties them together.  Other columns of df play no part.
+    returned, with the same answer.  If an id occurs with several texts, one of them is compared with
+    others, and the id ties them together.  Other columns of df play no part.
     """
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     profiles = materialize(_profiles(source, n, bands, rows))
     usable = profiles.filter(F.col("id").isNotNull() & F.col("key1").isNotNull())
     smallest = usable.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
     classes = materialize(usable.join(smallest, ["key1", "key2"]).filter(F.col("id") == F.col("rep")).select("id", "n_shingles", "sig", "bands").dropDuplicates(["id"]))
-    banded = classes.select("id", F.explode("bands").alias("bucket"))
+    banded = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter(F.col("members") > 1)
     members = materialize(banded.join(hubs.select("bucket", "hub"), "bucket"))
-    docs = source.filter(F.col("id").isNotNull())
+    met = members.select("id").distinct()
+    docs = _only_hashed(source.filter(F.col("id").isNotNull()), met)
+    sets = materialize(_sets(docs.join(met, "id", "left_semi").select("id", "text"), n).dropDuplicates(["id"]))
+    near = materialize(classes.select("id", "n_shingles", "sig").join(met, "id", "left_semi"))
     stars = members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirm(_signatures_agree(stars, classes, percent), docs, n, percent)
+    links = materialize(_confirm(_signatures_agree(stars, near, percent), sets, percent))
     # An id with several texts ties their classes together.
     several = usable.join(smallest, ["key1", "key2"]).filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")).join(classes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     links = links.unionByName(several)
     partial = materialize(connected_components(links))
-    open_pairs = _compare_blocks(_open_blocks(members.select("bucket", "id"), partial), classes, percent)
-    final = connected_components(links.unionByName(_confirm(open_pairs, docs, n, percent)))
+    open_links = _compare_blocks(_open_blocks(members.select("bucket", "band", "id"), partial), near, sets, percent, rows)
+    final = connected_components(links.unionByName(open_links))
     named = profiles.select("id", "n_shingles", "key1", "key2").join(smallest, ["key1", "key2"], "left")
     labelled = named.join(final, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "id")
