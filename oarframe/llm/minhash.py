@@ -263,7 +263,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     profiles = materialize(_profiles(source, n, bands, rows))
     usable = profiles.filter(F.col("id").isNotNull() & F.col("key1").isNotNull())
-    smallest = usable.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
+    # Written, so that the joins with it shuffle afresh and a class with very many copies can be split.
+    smallest = materialize(usable.groupBy("key1", "key2").agg(F.min("id").alias("rep")))
     classes = materialize(usable.join(smallest, ["key1", "key2"]).filter(F.col("id") == F.col("rep")).select("id", "n_shingles", "sig", "bands").dropDuplicates(["id"]))
     banded = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter(F.col("members") > 1)
