@@ -27,8 +27,7 @@ BUCKET_DIGITS = 3  # 4096 buckets of a source
 
 def word_count(text: Column) -> Column:
     """Words between white space, as an approximation of tokens; a null text has none."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def source_totals(docs: DataFrame, source: Column, tokens: Column) -> DataFrame:
@@ -105,6 +104,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    tokens_col: str | None = None,
     entropy: float | None = None,
     max_repeats: float | None = None,
     budget_share: float | None = 1.0,
@@ -112,6 +112,7 @@ def mix_sources(
 ) -> DataFrame:
     """docs repeated or thinned to the weights, with `block` and `place` (of the row in its source's block).
 
+    A document's tokens are the words of its text, or what tokens_col says (null: 0).
     budget_share is the budget as a share of all tokens; None takes the smallest budget that uses
     every document at least once.  A null source is a source; sources without tokens, and an empty
     frame, give no rows with a finite budget, and rows without tokens go with the block they stand in.
@@ -120,7 +121,8 @@ def mix_sources(
     """
     names = [c for c in docs.columns if c.lower() not in ("block", "place")]
     tokens, digest, bucket, source = (fresh_name(docs.columns, n) for n in ("mix_tokens", "mix_digest", "mix_bucket", "mix_source"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], word_count(F.col(f"`{text_col}`").cast("string")).alias(tokens)).withColumn(
+    count = F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)) if tokens_col else word_count(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], count.alias(tokens)).withColumn(
         source, F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
     )
     totals = materialize(source_totals(rows, F.col(source), F.col(tokens)))
@@ -156,8 +158,8 @@ def _digest(seed: int, block: Column, key: Column) -> Column:
 def op9_temperature_mix(spark, sf_dir: str) -> DataFrame:
     """All documents' sources mixed to 97 % of even weights' entropy within as many tokens as there are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small = docs.select("doc_id", "source", "text")
-    return mix_sources(small, entropy=OP9_ENTROPY, max_repeats=4.0).select("doc_id", "source", "block", F.col("place").cast("long").alias("place"))
+    counted = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))  # the texts are read once
+    return mix_sources(counted, tokens_col="words", entropy=OP9_ENTROPY, max_repeats=4.0).select("doc_id", "source", "block", F.col("place").cast("long").alias("place"))
 
 
 OP9_ENTROPY = 0.97
