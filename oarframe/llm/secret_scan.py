@@ -129,8 +129,10 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key, F.md5(F.encode(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":"), F.col(text)), "UTF-8"))
     )
     base = keyed.withColumn("base_spans", F.array_sort(base_spans(F.col(text))))
-    weak = keyed.filter(may_run(F.col(text)) | may_assign(F.col(text))).filter(F.col(text).rlike(WEAK) | F.col(text).rlike(IDENT)).select(F.col(key).alias("key"), F.col(text).alias("t")).withColumn("w", weak_spans(F.col("t")))
-    both = weak.filter(F.exists("w", lambda s: s["kind"] != "endpoint")).select("key", F.concat("w", base_spans(F.col("t"))).alias("all"))
+    # A link needs an identifier, a secret and a weak span to report; the identifier and the secret may both be base spans.
+    identifier = F.contains(F.col(text), F.lit("AKIA")) | F.col(text).rlike(IDENT)
+    weak = keyed.filter((may_run(F.col(text)) | may_assign(F.col(text))) & identifier).select(F.col(key).alias("key"), F.col(text).alias("t")).withColumn("w", weak_spans(F.col("t")))
+    both = weak.filter(F.size("w") > 0).select("key", F.concat("w", base_spans(F.col("t"))).alias("all"))
     longest = F.array_max(F.transform("all", lambda s: s["end"] - s["start"]))
     # Both joins read the parts several times; written once, the texts are searched once for them.
     parts = materialize(both.select("key", longest.alias("longest"), F.explode("all").alias("p")).select("key", "longest", "p.*"))
