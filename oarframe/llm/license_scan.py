@@ -1,13 +1,16 @@
 """Licence scan: a paragraph classifier with an unknown class, confirmed by comparing with templates.
 
-Paragraphs are lines.  Each becomes a sparse bag of hashed word n-grams (1 to 3 words) of unit
+Paragraphs are lines, and notices that are wrapped over adjacent lines: inside a block without blank
+lines, the words in which `confirm` of some template's three-word sequences stand near each other,
+counted over the line ends.  Each becomes a sparse bag of hashed word n-grams (1 to 3 words) of unit
 length; a multinomial logistic regression gives the licence family or `none`.  It is trained on the
 templates below, varied by leaving out and adding words, and on paragraphs of the scanned corpus
 itself that share no three-word sequence with a template (at most `max_negatives` of them, chosen by
 a hash: a documented bound).  A temperature fitted on held-back training rows calibrates the
 probabilities.  A family is reported only if its probability reaches `threshold` and the paragraph
 contains `confirm` of some template's three-word sequences of that family; a confident prediction
-that no template confirms, though some three words of a template occur, is `unknown`.
+that no template confirms, though some three words of a template occur, is `unknown`.  A wrapped
+notice takes the place of what its lines would give alone.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, gram_hashes, pieces, text_buffers, word_hashes
+from .common import fresh_name, gram_hashes, pieces, span_hashes, text_buffers, word_hashes, word_spans
 
 DIMS = 1 << 13
 NONE = "none"
+NEAR = 12  # template sequences at most so many words apart may belong to one wrapped notice
 
 # Customary notices of each licence family.
 TEMPLATES = {
@@ -181,9 +185,100 @@ def train(df: DataFrame, text_col: str = "text", max_negatives: int = 2000) -> L
     return fit(sorted(r["line"] for r in picked.collect()))
 
 
+def _windows(at: np.ndarray, grams: np.ndarray, need: int, reach: int) -> list[tuple[int, int, int]]:
+    """(first, last, count) of disjoint runs of hits within `reach` words that hold at least `need` distinct grams.
+
+    `at` (ascending) and `grams` are the hits of one template.  Where runs compete, the one with most
+    distinct grams wins, then the shortest, then the first.
+    """
+    out, todo = [], [(0, len(at))]
+    at, grams = at.tolist(), grams.tolist()
+    while todo:
+        i, end = todo.pop()
+        while i < end:
+            if end - i < need:
+                break
+            best, left, stop = None, i, i + 1
+            while left < stop:  # the first run, and those that start inside it
+                seen, last, j = set(), left, left
+                while j < end and at[j] <= at[left] + reach:
+                    if grams[j] not in seen:
+                        seen.add(grams[j])
+                        last = j
+                    j += 1
+                if left == i:
+                    if len(seen) < need:
+                        break
+                    stop = j
+                if len(seen) >= need and (best is None or (len(seen), at[left] - at[last]) > best[0]):
+                    best = (len(seen), at[left] - at[last]), left, last
+                left += 1
+            if best is None:
+                i += 1
+                continue
+            out.append((best[1], best[2], best[0][0]))
+            todo.append((i, best[1]))
+            i = best[2] + 1
+    return out
+
+
+def _wrapped(model: LicenseModel, data: np.ndarray, lines: np.ndarray, owner: np.ndarray, sure: dict, known: np.ndarray, threshold: float, confirm: float) -> list[tuple]:
+    """(first line, last line, family, probability, share) of the notices that reach over line ends.
+
+    `sure` has the lines that are notices of their own; they count for longer notices of templates,
+    but are no part of an `unknown` one.
+    """
+    starts, ends = word_spans(data, lines)
+    words, first = span_hashes(data, starts, ends), np.searchsorted(starts, lines)
+    filled = np.diff(first) > 0
+    head = filled & ~(np.concatenate([[False], filled[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]]))
+    bounds = np.concatenate([first[:-1][head], [len(words)]])
+    grams, gram_first = gram_hashes(words, bounds, 3)
+    hits = np.flatnonzero(np.isin(grams, known))
+    if not len(hits):
+        return []
+    block = np.searchsorted(gram_first, hits, "right") - 1
+    word = hits - gram_first[block] + bounds[block]  # the first word of each hit
+    hit_grams, line_of = grams[hits], lambda w: np.searchsorted(first, w, "right") - 1
+    ranges, cut = [], np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        if line_of(word[lo]) == line_of(word[hi - 1] + 2):
+            continue  # all on one line
+        for family, template in model.templates:
+            own = lo + np.flatnonzero(np.isin(hit_grams[lo:hi], template))
+            for a, z, n in _windows(word[own], hit_grams[own], int(np.ceil(confirm * len(template) - 1e-9)), 2 * len(template) + NEAR):
+                ranges.append((word[own[a]], word[own[z]] + 3, family, n))
+    out, taken = [], np.zeros(len(words), bool)
+
+    def judge(found: list) -> tuple[np.ndarray, np.ndarray]:
+        parts = [data[starts[a] : ends[z - 1]] for a, z, *_ in found]
+        return model.predict(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64))
+
+    if ranges:
+        ranges.sort(key=lambda r: (-r[3], r[0]))
+        for (a, z, family, _), best, p in zip(ranges, *judge(ranges)):
+            if best == family and p >= threshold and not taken[a:z].any():
+                taken[a:z] = True
+                if line_of(a) < line_of(z - 1):
+                    share = model.confirmed(gram_hashes(words[a:z], np.array([0, z - a]), 3)[0], family)
+                    out.append((int(line_of(a)), int(line_of(z - 1)), model.classes[family], float(p), float(share)))
+    rest = np.array([k for k, w in enumerate(word) if not taken[w : w + 3].any() and not any(int(x) in sure for x in (line_of(w), line_of(w + 2)))], np.int64)
+    groups = np.split(rest, np.flatnonzero((np.diff(word[rest]) > NEAR) | (np.diff(block[rest]) != 0)) + 1) if len(rest) else []
+    vague = [(word[g[0]], word[g[-1]] + 3) for g in groups if line_of(word[g[0]]) < line_of(word[g[-1]] + 2)]
+    vague = [(a, z) for a, z in vague if not taken[a:z].any() and not any(x in sure for x in range(line_of(a), line_of(z - 1) + 1))]
+    if vague:
+        for (a, z), best, p in zip(vague, *judge(vague)):
+            if model.classes[best] != NONE and p >= threshold:
+                share = model.confirmed(gram_hashes(words[a:z], np.array([0, z - a]), 3)[0], best)
+                out.append((int(line_of(a)), int(line_of(z - 1)), model.classes[best] if share >= confirm else "unknown", float(p), float(share)))
+    return out
+
+
 def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", threshold: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """df with `licenses` (array of family, probability, share, paragraph number), by paragraph.
 
+    A paragraph's number is that of its first line, from 0, blank lines included.
+
     A null or empty text, and one without a licence, has an empty array.  Probability is calibrated,
     share says how much of a template stands in the paragraph; `unknown` is a paragraph that looks
     like a licence but holds too little of every template; one that shares no three words in a row
@@ -205,6 +300,7 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
         best, p = model.predict(data, lines)
         owner = np.searchsorted(offsets, lines[:-1], "right") - 1
         start = np.searchsorted(lines, offsets[:-1])
+        found = {}
         for i in np.flatnonzero((best != none) & (p >= threshold)):
             piece = data[lines[i] : lines[i + 1]]
             grams = gram_hashes(*word_hashes(piece, np.array([0, len(piece)])), 3)[0]
@@ -212,7 +308,16 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
                 continue  # no template speaks for it
             share = model.confirmed(grams, best[i])
             name = model.classes[best[i]] if share >= confirm else "unknown"
-            out[owner[i]].append({"family": name, "probability": float(p[i]), "share": float(share), "paragraph": int(i - start[owner[i]])})
+            found[int(i)] = (name, float(p[i]), float(share))
+        sure = {i for i, x in found.items() if x[0] != "unknown"}
+        notices = []
+        for a, z, *notice in _wrapped(model, data, lines, owner, sure, known, threshold, confirm):
+            for i in range(a, z + 1):
+                if i in found and found[i][0] in ("unknown", notice[0]):
+                    del found[i]
+            notices.append((a, *notice))
+        for i, name, probability, share in sorted([*notices, *((i, *x) for i, x in found.items())]):
+            out[owner[i]].append({"family": name, "probability": probability, "share": share, "paragraph": int(i - start[owner[i]])})
         return out
 
     def run(batches):

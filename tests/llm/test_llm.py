@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -319,6 +320,25 @@ def test_op7_odd_rows(spark, odd):
     assert [(f["family"], f["paragraph"]) for f in found] == [("mit", 2)]
 
 
+@pytest.mark.parametrize("columns", [24, 40, 72, 80])
+def test_op7_wrapped_notices(spark, columns):
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice("the rowers met at dawn near old harbour walls and told stories of races long ago".split()) for _ in range(40)) for _ in range(300)]
+    model = license_scan.fit(plain, copies=40, rounds=200)
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy and publish'
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"
+    texts = {"mit": mit, "bsd": license_scan.TEMPLATES["bsd"][1], "gpl": gpl, "lgpl": lgpl, "isc": license_scan.TEMPLATES["isc"][1], "apache-2.0": license_scan.TEMPLATES["apache-2.0"][1]}
+    rows = []
+    for family, text in texts.items():
+        block = textwrap.fill(text, columns)
+        rows += [(family, block, 0), (family, f"{plain[0]}\n\n{block}\n\n{plain[1]}", 2), (family, f"{plain[2]}\n{block}\n{plain[3]}", 1), (family, f"x\r\n{block}".replace("\n", "\r\n"), 1)]
+    rows += [("", textwrap.fill(" ".join(plain[:5]), columns), 0), ("", "Permission is hereby\n\ngranted, free of\n\ncharge, to any person", 0)]
+    got = license_scan.scan_licenses(spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string"), model).collect()
+    found = {r["doc_id"]: [(x["family"], x["paragraph"]) for x in r["licenses"] if x["family"] != "unknown"] for r in got}
+    assert found == {i: [(family, at)] if family else [] for i, (family, _, at) in enumerate(rows)}
+
+
 # 8: secrets
 
 
