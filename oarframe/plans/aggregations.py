@@ -197,6 +197,18 @@ def _(t):
     return rollups.any_alternative(t.entity.filter("id % 2 = 0").select(F.col("id").alias("query_id"), alternatives.alias("alternatives")), t.entity.select(F.col("id").alias("item_id"), words.alias("tokens")))
 
 
+@query(
+    "set_2_any_alternative_whole",
+    """WITH items AS (SELECT id AS item_id, string_split(lower(name), ' ') AS tokens FROM entity),
+    q AS (SELECT id AS query_id, string_split(lower(name), ' ')[1:1] AS a, string_split(lower(name), ' ')[2:2] AS b FROM entity)
+    SELECT query_id, item_id FROM q JOIN items ON list_has_all(tokens, a) OR list_has_all(tokens, b)""",
+)
+def _(t):
+    words = F.split(F.lower("name"), " ")
+    alternatives = F.array(F.slice(words, 1, 1), F.slice(words, 2, 1))
+    return rollups.any_alternative(t.entity.select(F.col("id").alias("query_id"), alternatives.alias("alternatives")), t.entity.select(F.col("id").alias("item_id"), words.alias("tokens")))
+
+
 @query(
     "set_3_merge_tables",
     """SELECT race_id, array_to_string(list_concat(coalesce(a, []), coalesce(b, [])), ',') AS clubs FROM

@@ -183,6 +183,11 @@ def _(t):
     return filters.stale_flags(t.flag_with_metadata, t.race.filter("flag_id % 2 = 0"), "traineras", "1998-04-01", only_new=True)
 
 
+@query("flt_15_stale_flags_whole", "SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id IS NOT NULL AND yr = 1998)")
+def _(t):
+    return filters.stale_flags(t.flag_with_metadata, t.race, "traineras", "1998-04-01", only_new=True)
+
+
 @query(
     "flt_16_races_missing_participant_metadata",
     """SELECT race_id, ref_id FROM race_ref WHERE datasource_name = 'act' AND race_id IN

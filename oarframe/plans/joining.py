@@ -46,6 +46,18 @@ def _(t):
     return left.join(right.withColumnRenamed("race_id", "other_id"), ["n", "k"]).filter("race_id <> other_id").select(F.col("race_id").alias("id"), "other_id")
 
 
+@query(
+    "join_5_array_keys_whole",
+    """WITH a AS (SELECT race_id, count(*) AS n, list(club_id ORDER BY club_id) AS k, list(laps_ms[-1] ORDER BY laps_ms[-1] NULLS FIRST) AS times FROM participant GROUP BY race_id)
+    SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.n = b.n AND a.k = b.k AND a.times = b.times AND a.race_id <> b.race_id""",
+)
+def _(t):
+    # Absent times stand first in both lists, since collect_list leaves nulls out.
+    time = F.coalesce(last_lap(F.col("laps_ms")), F.lit(-1).cast("long"))
+    a = t.participant.groupBy("race_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("club_id")).alias("k"), F.sort_array(F.collect_list(time)).alias("times"))
+    return a.join(a.withColumnRenamed("race_id", "other_id"), ["n", "k", "times"]).filter("race_id <> other_id").select(F.col("race_id").alias("id"), "other_id")
+
+
 @query("join_6_left_then_not_null", "SELECT r.id, trophy.name FROM race AS r LEFT JOIN trophy ON trophy.id = r.trophy_id WHERE trophy.name IS NOT NULL")
 def _(t):
     trophies = t.trophy.select(F.col("id").alias("trophy_id"), "name")
@@ -78,6 +90,16 @@ def _(t):
     return joins.races_in_year(t.flag, t.race.filter("id % 7 = 0"), 1996, raced=True).select("id")
 
 
+@query("join_9_not_exists_in_year_whole", "SELECT id FROM flag WHERE NOT EXISTS (SELECT 1 FROM race WHERE race.flag_id = flag.id AND yr = 1996)")
+def _(t):
+    return joins.races_in_year(t.flag, t.race, 1996, raced=False).select("id")
+
+
+@query("join_10_in_subquery_whole", "SELECT id FROM flag WHERE id IN (SELECT flag_id FROM race WHERE yr = 1996)")
+def _(t):
+    return joins.races_in_year(t.flag, t.race, 1996, raced=True).select("id")
+
+
 @query(
     "join_11_race_view",
     """SELECT r.id, tr.name AS trophy, fl.name AS flag, le.symbol AS league, pl.name AS place, tw.name AS town, tw.province FROM race AS r LEFT JOIN trophy AS tr ON tr.id = trophy_id LEFT JOIN flag AS fl ON fl.id = flag_id
@@ -122,6 +144,13 @@ def _(t):
     return joins.match_by_time(timed.filter("id % 3 = 0").select(F.col("id").alias("doc_id"), "race_id", minute.alias("time")), timed.withColumn("laps_ms", F.array(minute)))
 
 
+@query("join_14_match_by_time_whole", f"WITH {_TIMES.replace(' AND id % 3 = 0', '')} SELECT DISTINCT ON (doc_id) doc_id, id AS participant_id FROM d JOIN m USING (race_id, time) ORDER BY doc_id, category <> 'SCHOOL', id")
+def _(t):
+    minute = F.floor(last_lap(F.col("laps_ms")) / 60000)
+    timed = t.participant.filter(F.size("laps_ms") > 0)
+    return joins.match_by_time(timed.select(F.col("id").alias("doc_id"), "race_id", minute.alias("time")), timed.withColumn("laps_ms", F.array(minute)))
+
+
 @query(
     "join_15_pair_in_order",
     """WITH a AS (SELECT id, race_id, club_id % 5 AS c, branch, row_number() OVER (PARTITION BY race_id, club_id % 5, branch ORDER BY id) AS k FROM participant WHERE lane <= 3),

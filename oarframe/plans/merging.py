@@ -138,6 +138,11 @@ def _(t):
     return merge.mark_checked(t.flag, t.race.filter("yr = 1995 and id % 30 = 0 and flag_id is not null"), "1999-01-01").select("id", "last_checked")
 
 
+@query("mrg_9_mark_checked_whole", "SELECT id, CASE WHEN id IN (SELECT flag_id FROM race WHERE yr = 1995) THEN DATE '1999-01-01' ELSE last_checked END AS last_checked FROM flag")
+def _(t):
+    return merge.mark_checked(t.flag, t.race.filter("yr = 1995 and flag_id is not null"), "1999-01-01").select("id", "last_checked")
+
+
 @query(
     "mrg_10_mix_participants",
     """WITH d AS (SELECT id AS doc_id, race_id, laps_ms[-1] AS time FROM participant WHERE len(laps_ms) > 0 AND race_id IN (SELECT id FROM race WHERE gender = 'ALL')),
