@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT = {"race": ("date", "id"), "participant": ("race_id", "id"), "entity": ("name", "id")}
 
 
@@ -32,6 +34,20 @@ def numbered(page: DataFrame, order: list[Column]) -> DataFrame:
     return page.select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
 
 
+def numbered_whole(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `position` in the whole order: a range-partitioned sort and the row counts of the partitions before.
+
+    The sorted rows are written once, since a second sort may cut its ranges elsewhere.
+    """
+    row, part, before = "sorted_row", "sorted_part", "rows_before"
+    placed = df.orderBy(*order).withColumn(row, F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn(part, F.shiftright(row, 33)).withColumn(row, F.col(row).bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    # One row for each partition of the sort, so this window is small.
+    offsets = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    return placed.join(offsets, part).withColumn("position", F.col(before) + F.col(row) + 1).drop(row, part, before)
+
+
 def default_order(df: DataFrame, table: str) -> DataFrame:
     return df.orderBy(*[directed(F.col(c), False) for c in DEFAULT[table]])
 

@@ -233,6 +233,26 @@ def _(t):
     return sorting.numbered(ordered.limit(200), sorting.race_order("-name"))
 
 
+@query(
+    "srt_1_sort_races_whole",
+    """SELECT id, row_number() OVER (ORDER BY coalesce(trophy.name, flag.name) DESC NULLS FIRST, id) AS position FROM (SELECT id, trophy_id, flag_id FROM race) AS race
+    LEFT JOIN (SELECT id AS tid, name FROM trophy) AS trophy ON tid = trophy_id LEFT JOIN (SELECT id AS fid, name FROM flag) AS flag ON fid = flag_id""",
+)
+def _(t):
+    named = sorting.sort_races(t.race, "-name", t.trophy, t.flag)
+    return sorting.numbered_whole(named.select("id", "sort_name"), sorting.race_order("-name")).select("id", "position")
+
+
+@query("srt_2_default_order_whole", "SELECT id, date, row_number() OVER (ORDER BY date NULLS LAST, id) AS position FROM race")
+def _(t):
+    return sorting.numbered_whole(t.race.select("id", "date"), [sorting.directed(F.col(c), False) for c in sorting.DEFAULT["race"]])
+
+
+@query("srt_3_audit_order_whole", "SELECT id, race_id, row_number() OVER (ORDER BY race_id DESC NULLS FIRST, id) AS position FROM participant")
+def _(t):
+    return sorting.numbered_whole(t.participant.select("id", "race_id"), [sorting.directed(F.col("race_id"), True), F.col("id")])
+
+
 @query("srt_2_default_order", "SELECT id, date FROM (SELECT id, date FROM race ORDER BY date, id LIMIT 100)")
 def _(t):
     return sorting.default_order(t.race, "race").select("id", "date").limit(100)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oarframe.operators import sorting
 from oarframe.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -62,3 +63,15 @@ def test_equal_races_are_paired_whatever_their_ids(spark):
     shared = registry._QUERIES["join_5_array_keys_whole"].__closure__[0].cell_contents
     t = SimpleNamespace(participant=spark.createDataFrame(boats, "race_id long, club_id long, laps_ms array<long>"))
     assert sorted(tuple(r) for r in shared(t).collect()) == [(3, 7), (7, 3)]
+
+
+def test_positions_of_a_whole_sort(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 7 == 0 else i * 37 % 101) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, race_id long").repartition(13)
+    got = sorting.numbered_whole(df, [sorting.directed(F.col("race_id"), True), F.col("id")]).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == [r[0] for r in want]
+    assert sorted(r["position"] for r in got) == list(range(1, 2001))
+    assert sorting.numbered_whole(df.limit(0), [F.col("id")]).count() == 0
