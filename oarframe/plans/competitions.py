@@ -138,3 +138,13 @@ def _(t):
 def _(t):
     docs = t.race.withColumn("place_id", F.when(F.col("id") % 2 == 0, F.col("place_id")))
     return resolve.fill_place_and_organizer(docs, t.race.filter("id % 40 = 0")).select("id", "place_id", "organizer_id")
+
+
+@query(
+    "res_11_fill_place_and_organizer_whole",
+    """WITH u AS (SELECT trophy_id, flag_id, league_id, CASE WHEN count(DISTINCT place_id) = 1 THEN max(place_id) END AS p, CASE WHEN count(DISTINCT organizer_id) = 1 THEN max(organizer_id) END AS o FROM race GROUP BY ALL)
+    SELECT r.id, coalesce(CASE WHEN r.id % 2 = 0 THEN r.place_id END, u.p) AS place_id, coalesce(r.organizer_id, u.o) AS organizer_id FROM race AS r LEFT JOIN u ON u.trophy_id IS NOT DISTINCT FROM r.trophy_id AND u.flag_id IS NOT DISTINCT FROM r.flag_id AND u.league_id IS NOT DISTINCT FROM r.league_id""",
+)
+def _(t):
+    docs = t.race.withColumn("place_id", F.when(F.col("id") % 2 == 0, F.col("place_id")))
+    return resolve.fill_place_and_organizer(docs, t.race).select("id", "place_id", "organizer_id")
