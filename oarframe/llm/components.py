@@ -9,16 +9,19 @@ from .common import materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are tied to the least of the node and its neighbours."""
+    """Every node's larger neighbours are tied to the least of the node and its neighbours.
+
+    The least ones are written first: a join of two plain reads can split a hub's edges over tasks.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return both.join(least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")))
     joined = down.join(least, "u")
     out = joined.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(joined.select(F.col("v").alias("a"), F.col("m").alias("b")))
     return out.filter(F.col("a") != F.col("b")).distinct()
@@ -36,7 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b").filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
     before = None
     while True:
-        edges = materialize(small_star(large_star(edges)))
+        edges = materialize(small_star(materialize(large_star(edges))))
         now = _fingerprint(edges)
         if now == before:
             break
