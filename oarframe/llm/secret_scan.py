@@ -6,9 +6,11 @@ identifiers) and `hex` (long hexadecimal runs).  The weak kinds `ident` (user or
 complementary parts lie within one scope of each other: identifiers (access, ident) are
 interval-joined with secrets (assign, hex, weak), and endpoints with the secrets so linked.
 
-The interval join is an equality join on (document, cell of `scope` characters) with each
-identifier copied to three neighbouring cells.  Spans of a kind do not overlap and have a least
-length, so a cell holds a bounded number of them, and the pairs grow with the text, not its square.
+The interval join is an equality join on (document, cell of `scope` characters): a span that begins
+at most `scope` behind another's end has its start in the cell of that end or in the next one, so
+each part stands in a fixed number of cells, however long it is.  Spans of a kind do not overlap and
+have a least length, so a cell holds a bounded number of starts and ends, and the pairs grow with the
+text, not its square.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 IDENTIFIERS, SECRETS, WEAK_KINDS = ("access", "ident"), ("assign", "hex", "weak"), ("ident", "weak", "endpoint")
+RUN = 256  # matches that are collected in one list
 SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
@@ -52,7 +55,6 @@ def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None) ->
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["gap"])
@@ -63,8 +65,16 @@ def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None) ->
             found = F.when(keep(part["match"]), found).otherwise(state["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
+    def run(state: Column, first: Column) -> Column:
+        own = F.aggregate(F.slice(parts, first, RUN), F.struct(state["at"].alias("at"), none.alias("found")), step)
+        return F.struct(own["at"].alias("at"), F.concat(state["found"], F.array(own["found"])).alias("found"))
+
+    # Appending copies the list so far, so matches are collected in runs and the runs joined at the end.
+    none = F.expr(f"cast(array() as {SPAN})")
     parts = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(possible, F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("found"))
+    runs = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
+    return F.when(possible, F.aggregate(runs, start, run, lambda s: F.flatten(s["found"]))).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -91,28 +101,35 @@ def _within(a: str, b: str, scope: int) -> Column:
 
 
 def _side(parts: DataFrame, kinds: tuple, name: str, scope: int, spread: bool) -> DataFrame:
-    """Spans of these kinds by cell; a spread one stands in every cell that may hold its partners' starts."""
-    own = parts.filter(F.col("kind").isin(*kinds))
-    cell = F.floor(F.col("start") / scope)
-    if spread:  # partners end at most `scope` before, or start at most `scope` behind; long ones reach over several cells
-        cells = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - scope - F.col("longest")) / scope)), F.floor((F.col("end") + scope) / scope))
-        cell = F.explode(cells)
-    return own.select(F.col("key").alias(f"{name}_key"), cell.alias(f"{name}_cell"), *[F.col(c).alias(f"{name}_{c}") for c in ("start", "place", "kind", "end")])
+    """Spans of these kinds by the cells of their two ends; a spread one also stands in the next cell outwards.
+
+    ahead says that the partner begins behind this side's spread spans (else it ends before them).
+    """
+    cell = lambda c: F.floor(F.col(c) / scope)
+    place = lambda ahead, c: F.struct(F.lit(ahead).alias("ahead"), c.cast("long").alias("cell"))
+    if spread:
+        places = F.array(place(True, cell("end")), place(True, cell("end") + 1), place(False, cell("start")), place(False, cell("start") - 1))
+    else:
+        places = F.array(place(True, cell("start")), place(False, cell("end")))
+    own = parts.filter(F.col("kind").isin(*kinds)).withColumn("at", F.explode(places))
+    fields = [F.col("at.ahead").alias(f"{name}_ahead"), F.col("at.cell").alias(f"{name}_cell")]
+    return own.select(F.col("key").alias(f"{name}_key"), *fields, *[F.col(c).alias(f"{name}_{c}") for c in ("start", "place", "kind", "end")])
 
 
 def link_parts(parts: DataFrame, scope: int) -> DataFrame:
     """(key, start, place, kind, end) of the weak spans that stand near their complements."""
 
     def join(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-        return left.join(right, (F.col(f"{a}_key") == F.col(f"{b}_key")) & (F.col(f"{a}_cell") == F.col(f"{b}_cell")) & _within(a, b, scope))
+        same = [F.col(f"{a}_{c}") == F.col(f"{b}_{c}") for c in ("key", "ahead", "cell")]
+        return left.join(right, same[0] & same[1] & same[2] & _within(a, b, scope))
 
     def part(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(f"{name}_key").alias("key"), *[F.col(f"{name}_{c}").alias(c) for c in ("start", "place", "kind", "end")])
 
     pairs = join(_side(parts, IDENTIFIERS, "i", scope, True), "i", _side(parts, SECRETS, "s", scope, False), "s")
-    secrets = part(pairs, "s").distinct().withColumn("longest", F.lit(0))
+    secrets = part(pairs, "s").distinct()
     ends = join(_side(parts, ("endpoint",), "e", scope, True), "e", _side(secrets, SECRETS, "s", scope, False), "s")
-    linked = part(pairs, "i").unionByName(secrets.drop("longest")).unionByName(part(ends, "e"))
+    linked = part(pairs, "i").unionByName(secrets).unionByName(part(ends, "e"))
     return linked.filter(F.col("kind").isin(*WEAK_KINDS)).distinct()
 
 
@@ -133,9 +150,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier = F.contains(F.col(text), F.lit("AKIA")) | F.col(text).rlike(IDENT)
     weak = keyed.filter((may_run(F.col(text)) | may_assign(F.col(text))) & identifier).select(F.col(key).alias("key"), F.col(text).alias("t")).withColumn("w", weak_spans(F.col("t")))
     both = weak.filter(F.size("w") > 0).select("key", F.concat("w", base_spans(F.col("t"))).alias("all"))
-    longest = F.array_max(F.transform("all", lambda s: s["end"] - s["start"]))
     # Both joins read the parts several times; written once, the texts are searched once for them.
-    parts = materialize(both.select("key", longest.alias("longest"), F.explode("all").alias("p")).select("key", "longest", "p.*"))
+    parts = materialize(both.select("key", F.explode("all").alias("p")).select("key", "p.*"))
     linked = link_parts(parts, scope).groupBy("key").agg(F.collect_list(F.struct("start", "place", "kind", "end")).alias(other))
     joined = base.join(linked.withColumnRenamed("key", f"{key}_right"), F.col(key) == F.col(f"{key}_right"), "left")
     spans_all = F.array_sort(F.concat("base_spans", F.coalesce(F.col(other), F.expr(f"cast(array() as {SPAN})"))))
