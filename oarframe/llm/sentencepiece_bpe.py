@@ -12,11 +12,13 @@ the simultaneous merge gives the same result.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -313,14 +315,24 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
+#: Bytes of text that are encoded, and ids that are decoded, at a time; a longer text stands alone.
+TEXT_AT_ONCE = 1 << 20
+IDS_AT_ONCE = 1 << 18
+
+
 def _pairs(batches, path: str, add_eos: bool):
+    """(rows, texts, ids, offsets) of parts of about TEXT_AT_ONCE bytes."""
     model = load_model(path)
     for batch in batches:
-        texts = batch.column(0)
-        _, sizes = text_buffers(texts)
-        for lo, hi in pieces(sizes, 2 << 20):
-            ids, at = model.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], add_eos)
-            yield batch.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        _, sizes = text_buffers(batch.column(0))
+        for lo, hi in pieces(sizes, TEXT_AT_ONCE):
+            rows = batch.slice(lo, hi - lo)
+            texts = [t or "" for t in rows.column(0).to_pylist()]
+            yield rows, texts, *model.encode(texts, add_eos)
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", add_eos: bool = False) -> DataFrame:
@@ -334,8 +346,8 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_co
     text = fresh_name(kept, "text_in")
 
     def run(batches):
-        for rows, ids in _pairs(batches, model_path, add_eos):
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], ids], names=[*kept, ids_col])
+        for rows, _, ids, at in _pairs(batches, model_path, add_eos):
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], _lists(ids, at)], names=[*kept, ids_col])
 
     source = df.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in kept])
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType()))
@@ -353,18 +365,48 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col
     def run(batches):
         model = load_model(model_path)
         for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.nan_to_num(np.array(lists.value_lengths().to_pylist(), float)).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            texts = [model.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*kept, text_col])
+            sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in pieces(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), IDS_AT_ONCE):
+                rows = batch.slice(lo, hi - lo)
+                flat = rows.column(0).flatten().to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.cumsum(sizes[lo:hi], dtype=np.int64)])
+                texts = [model.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(texts, pa.string())], names=[*kept, text_col])
 
     source = df.select(F.col(f"`{ids_col}`").cast("array<int>").alias(ids), *[F.col(f"`{c}`") for c in kept])
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, T.StringType())
     return source.mapInArrow(run, schema)
 
 
+def encode_and_check(df: DataFrame, model_path: str, text_col: str = "text", add_eos: bool = False) -> DataFrame:
+    """df without its text, with `ids`, `decoded_sha256` and `round_trip`, in one pass.
+
+    Each part of the texts is encoded and its ids are decoded again at once, so that neither the
+    decoded text nor a second worker is needed; decoded_sha256 is the digest of the decoded text in
+    UTF-8, round_trip says whether it equals the text (with the piece mark read as a blank).  Null
+    and empty texts have no ids but the end id, decode to nothing and count as equal.  Rows stand
+    for themselves; other columns pass through, those with one of the three names are replaced.
+    """
+    new = ("ids", "decoded_sha256", "round_trip")
+    kept = [c for c in df.columns if c.lower() not in (*new, text_col.lower())]
+    text = fresh_name(kept, "text_in")
+
+    def run(batches):
+        model = load_model(model_path)
+        for rows, texts, ids, at in _pairs(batches, model_path, add_eos):
+            digests, same = [], []
+            for t, a, b in zip(texts, at[:-1], at[1:]):
+                decoded = model.decode(ids[a:b])
+                digests.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                same.append(decoded == t.replace(SPACE, " "))
+            arrays = [_lists(ids, at), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *arrays], names=[*kept, *new])
+
+    source = df.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in kept])
+    schema = T.StructType([df.schema[c] for c in kept]).add("ids", T.ArrayType(T.IntegerType())).add("decoded_sha256", T.StringType()).add("round_trip", T.BooleanType())
+    return source.mapInArrow(run, schema)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -373,8 +415,7 @@ def default_model() -> str:
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Token counts and digests of all documents' ids and of the texts decoded from them."""
-    path = default_model()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode_pieces(docs, path, add_eos=True).drop("text")
-    digest = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    return decode_pieces(digest, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    coded = encode_and_check(docs, default_model(), add_eos=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), "decoded_sha256")
