@@ -49,11 +49,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text (with ▁ read as a blank)."""
-    path = sentencepiece_bpe.default_model()
-    coded = sentencepiece_bpe.encode_pieces(docs.select(*COLUMNS), path, add_eos=True)
-    both = sentencepiece_bpe.decode_pieces(coded, path)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_bpe.SPACE, " ")
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = sentencepiece_bpe.encode_and_check(docs.select(*COLUMNS), sentencepiece_bpe.default_model(), add_eos=True)
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
