@@ -106,7 +106,7 @@ FROM {lineitem} WHERE l_tax > 0.065""",
   UNION ALL SELECT o_orderkey, 1, 'traineras', CAST(o_orderkey + 7 AS VARCHAR(9)) FROM {orders} WHERE o_orderkey % 4 = 0""",
     ),
     "flag_ref": (("orders",), "SELECT DISTINCT o_custkey % 40 AS flag_id, 'traineras' AS datasource_name, CAST(o_custkey % 40 + 300 AS VARCHAR(9)) AS ref_id, CASE WHEN o_custkey % 40 % 3 = 0 THEN 'FLAG ' || CAST(o_custkey % 40 AS VARCHAR(9)) END AS ref_name FROM {orders} WHERE o_custkey % 3 <> 0"),
-    #: Race documents as they land: two in four races, one of them already stored.
+    #: Race documents as they land: one for each race; those whose number is a multiple of four are already stored.
     "doc": (
         ("orders",),
         """SELECT o_orderkey AS pos, CASE o_orderkey % 3 WHEN 0 THEN 'act' WHEN 1 THEN 'arc' ELSE 'ete' END AS datasource,
@@ -117,9 +117,11 @@ FROM {lineitem} WHERE l_tax > 0.065""",
   CASE WHEN o_orderkey % 8 < 6 THEN 'ABSOLUT' WHEN o_orderkey % 8 = 6 THEN 'VETERAN' ELSE 'ALL' END AS category,
   CASE WHEN substring(o_orderpriority,1,1) = '5' THEN NULL ELSE 'LIGA ' || substring(o_orderpriority,1,1) END AS league,
   CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 11 END AS trophy_id, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 40 END AS flag_id,
+  CASE WHEN o_custkey % 3 = 0 THEN CAST(year(o_orderdate) AS INT) - 1980 - CAST(o_custkey % 4 AS INT) END AS trophy_edition,
+  CASE WHEN o_custkey % 3 <> 0 THEN CAST(year(o_orderdate) AS INT) - 1980 - CAST(o_custkey % 4 AS INT) END AS flag_edition,
   CAST(2 + o_orderkey % 2 AS INT) AS laps, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(3 + o_orderkey % 4 AS INT) END AS lanes,
   CASE WHEN o_orderkey % 16 = 0 THEN 'NEW SPONSOR' END AS sponsor
-FROM {orders} WHERE o_orderkey % 4 < 2""",
+FROM {orders}""",
     ),
 }
 

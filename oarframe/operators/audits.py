@@ -29,10 +29,11 @@ def without_laps(races: DataFrame, participants: DataFrame, penalties: DataFrame
 def varying(races: DataFrame, trophies: DataFrame, measure: str = "laps") -> DataFrame:
     """(id, measure): races, play-offs aside, whose competition was held with several values of the measure.
 
-    Play-offs count for the variation, so the groups are formed before they leave.
+    Time trials neither count nor appear.  Play-offs count for the variation, so the groups are formed
+    before they leave.
     """
     keys = ["gender", "type", *[k for k in ("place_id", "league_id", "trophy_id", "flag_id") if k != measure]]
-    counted = distinct_in_group(races, measure, keys, "kinds")
+    counted = distinct_in_group(races.filter(F.col("type") != "TIME_TRIAL"), measure, keys, "kinds")
     return not_playoff(counted, trophies).filter("kinds > 1").select("id", measure)
 
 
@@ -67,17 +68,18 @@ def tied(participants: DataFrame, resolution_ms: int = 1) -> DataFrame:
     return timed.filter("time > 0").join(shared, ["race_id", "clock"], "left_semi").select("id", "race_id")
 
 
-def identical_results(races: DataFrame, participants: DataFrame, least: int = 2, club: Column | None = None, time: Column | None = None) -> DataFrame:
+def identical_results(races: DataFrame, participants: DataFrame, club: Column | None = None, time: Column | None = None) -> DataFrame:
     """(id, other_id): races with the same clubs and times, where the other is not marked as the same.
 
-    A pair is left out only if the second race is marked as the same as the first.
+    A boat without laps has a null time, which equals other null times.  A pair is left out only if
+    the second race is marked as the same as the first.
     """
-    timed = participants.filter(F.size("laps_ms") > 0)
+    boats = participants
     if club is not None:
-        timed = timed.withColumn("club_id", club)
+        boats = boats.withColumn("club_id", club)
     if time is not None:
-        timed = timed.withColumn("laps_ms", F.array(time))
-    arrays = race_arrays(timed).filter(F.size("clubs") >= least)
+        boats = boats.withColumn("laps_ms", F.array(time))
+    arrays = race_arrays(boats)
     marked = arrays.join(races.select(F.col("id").alias("race_id"), "same_as_id"), "race_id")
     other = marked.select(F.col("race_id").alias("other_id"), F.col("same_as_id").alias("other_same"), "clubs", "times")
     pairs = marked.join(other, ["clubs", "times"]).filter((F.col("race_id") != F.col("other_id")) & (F.col("other_same").isNull() | (F.col("other_same") != F.col("race_id"))))
@@ -85,8 +87,13 @@ def identical_results(races: DataFrame, participants: DataFrame, least: int = 2,
 
 
 def league_speeds(races: DataFrame, participants: DataFrame, penalties: DataFrame, league_id: int, year: int) -> DataFrame:
-    """(id, race_id, speed): all speeds of a league's year, B boats and disqualified ones aside."""
-    held = races.filter((F.col("league_id") == league_id) & (F.year("date") == year)).select(F.col("id").alias("race_id"))
+    """(id, race_id, year, speed): all speeds of a league's year in held races, B boats and disqualified ones aside.
+
+    Boats without a positive last time have no speed.  Rows come by descending speed, then id.
+    """
+    of_year = (F.col("league_id") == league_id) & (F.year("date") == year) & ~F.col("cancelled")
+    held = races.filter(of_year).select(F.col("id").alias("race_id"), F.year("date").alias("year"))
     out = penalties.filter("disqualification").select(F.col("participant_id").alias("id"))
-    boats = participants.filter((F.size("laps_ms") > 0) & ~is_branch_boat())
-    return boats.join(held, "race_id").join(out, "id", "left_anti").select("id", "race_id", speed_of().alias("speed"))
+    boats = participants.filter((F.size("laps_ms") > 0) & (last_lap(F.col("laps_ms")) > 0) & ~is_branch_boat())
+    speeds = boats.join(held, "race_id").join(out, "id", "left_anti").select("id", "race_id", "year", speed_of().alias("speed"))
+    return speeds.orderBy(F.col("speed").desc_nulls_last(), "id")

@@ -124,39 +124,55 @@ def matching_race(races: DataFrame, queries: DataFrame) -> DataFrame:
     return with_status(races.join(q, same).select("query_id", F.col("id").alias("race_id")), "query_id", "race_id", queries)
 
 
-def analogous_race(races: DataFrame, trophies: DataFrame) -> DataFrame:
-    """For each race with a league, the one of the same year, competition and edition on the other day.
+def analogous_race(races: DataFrame, trophies: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """For each race, the one of the same year and competition on the other day (2 for day 1, else 1).
 
-    Play-offs are held without a league, so for them the other race has none.
+    A flag counts with its edition, a trophy with its own, a league alone, each only where the race
+    has it; a missing edition meets a missing one.  Play-offs are held without a league, so for them
+    the other race has none.  queries holds other races to look for (id, date, day and the keys).
+
+    Races are counted by every choice of the keys that can be asked for, so a race meets one row.
     """
+    keys = ["trophy_id", "trophy_edition", "flag_id", "flag_edition", "league_id"]
+    use = lambda c, chosen: F.when(chosen, F.col(c)).alias(c)
     playoffs = trophies.filter(is_play_off(F.col("name"))).select(F.col("id").alias("playoff_id"))
-    a = races.join(playoffs, F.col("trophy_id") == F.col("playoff_id"), "left")
-    keys = ("id", "day", "trophy_id", "trophy_edition", "flag_id", "flag_edition", "league_id")
-    a = a.select(F.year("date").alias("year"), F.col("playoff_id").isNotNull().alias("play_off"), *keys)
-    b = races.select(F.year("date").alias("year"), *[F.col(c).alias(f"o_{c}") for c in keys])
-    given = lambda c: F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"o_{c}"), F.lit(False))
-    league = F.when(F.col("league_id").isNull(), F.lit(True)).when(F.col("play_off"), F.col("o_league_id").isNull()).otherwise(F.coalesce(F.col("league_id") == F.col("o_league_id"), F.lit(False)))
-    # A race has a trophy or a flag; the key joins on whichever it is.
-    side = lambda t, f: F.concat_ws(":", F.coalesce(F.concat(F.lit("t"), t.cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("f"), f.cast("string")), F.lit("")))
-    a = a.withColumn("k", side(F.col("trophy_id"), F.col("flag_id")))
-    b = b.withColumn("k", side(F.col("o_trophy_id"), F.col("o_flag_id")))
-    pairs = a.join(b, ["year", "k"]).filter((F.col("day") != F.col("o_day")) & league & given("trophy_edition") & given("flag_edition"))
-    return with_status(pairs.select(F.col("id").alias("query_id"), F.col("o_id").alias("race_id")), "query_id", "race_id")
+    a = (races if queries is None else queries).join(playoffs, F.col("trophy_id") == F.col("playoff_id"), "left")
+    has_trophy, has_flag, has_league = (F.col(c).isNotNull() for c in COMPETITION)
+    kind = F.when(~has_league, "any").when(F.col("playoff_id").isNotNull(), "none").otherwise("same")
+    other_day = F.when(F.col("day") == 2, F.lit(1)).otherwise(F.lit(2))
+    wanted = a.select(
+        F.col("id").alias("query_id"), F.year("date").alias("year"), other_day.alias("day"), has_trophy.alias("by_trophy"), has_flag.alias("by_flag"), kind.alias("by_league"),
+        *[F.col(c) for c in keys[:4]], use("league_id", kind == "same"),
+    ).select("query_id", "year", "day", "by_trophy", "by_flag", "by_league", *[F.col(c).alias(f"a_{c}") for c in keys])
+    yes_or_no = lambda known: F.when(known, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    leagues = F.array(F.lit("any"), F.when(has_league, "same").otherwise("none"))
+    choices = races.withColumn("by_trophy", F.explode(yes_or_no(has_trophy))).withColumn("by_flag", F.explode(yes_or_no(has_flag))).withColumn("by_league", F.explode(leagues))
+    trophy, flag = F.col("by_trophy"), F.col("by_flag")
+    keyed = choices.select(
+        "id", F.year("date").alias("year"), "day", "by_trophy", "by_flag", "by_league", use("trophy_id", trophy), use("trophy_edition", trophy),
+        use("flag_id", flag), use("flag_edition", flag), use("league_id", F.col("by_league") == "same"),
+    )
+    counts = keyed.groupBy("year", "day", "by_trophy", "by_flag", "by_league", *keys).agg(F.count("*").alias("n"), F.min("id").alias("race_id"))
+    plain = ["year", "day", "by_trophy", "by_flag", "by_league"]
+    counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in plain], *keys, "n", "race_id")
+    same = all_of([F.col(c) == F.col(f"c_{c}") for c in plain] + [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in keys])
+    found = wanted.join(counts, same)
+    return found.select("query_id", F.when(F.col("n") == 1, F.col("race_id")).alias("race_id"), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"))
 
 
 def participant_by(participants: DataFrame, queries: DataFrame) -> DataFrame:
     """The boat of (query_id, race_id, club_id, gender, category, branch, raw_name, has_league).
 
     The branch is compared null-safely; where several boats fit and the race has no league, the
-    letter at the end of the raw name decides (B or C; a name without one keeps boats without).
+    letter at the end of the raw name must be the boat's branch (B or C; any other name asks for
+    boats without one).  A missing raw name decides nothing.
     """
     keys = ("race_id", "club_id", "gender", "category")
     q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in keys], F.col("branch").alias("q_branch"), "raw_name", "has_league")
     same = all_of([F.col(c) == F.col(f"q_{c}") for c in keys] + [F.col("branch").eqNullSafe(F.col("q_branch"))])
     pairs = participants.join(q, same).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    ends = lambda letter: F.exists("club_names", lambda n: n.endswith(f" {letter}"))
     letter = F.regexp_extract("raw_name", " ([BC])$", 1)
-    fits = F.when(letter == "B", ends("B")).when(letter == "C", ends("C")).otherwise(~ends("B") & ~ends("C"))
+    fits = F.col("raw_name").isNull() | F.col("branch").eqNullSafe(F.when(letter != "", letter))
     kept = pairs.filter((F.col("n") == 1) | F.col("has_league") | fits)
     return with_status(kept.select("query_id", F.col("id").alias("participant_id")), "query_id", "participant_id", queries)
 

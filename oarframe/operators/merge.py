@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import add_element
-from .filters import ALL, COMPETITION, analogous_race, closest_match, matching_race
-from .joins import link_days
-from .quality import repeated
+from .filters import ALL, COMPETITION, analogous_race, matching_race, participant_by
+from .resolve import retrieve_race
 
 POLICIES = ("always", "never", "review")
 
@@ -24,26 +23,31 @@ def decided(policy: str) -> Column:
     return F.lit({"always": True, "never": False, "review": None}[policy]).cast("boolean")
 
 
-def plan_races(docs: DataFrame, races: DataFrame, merge: str = "always") -> DataFrame:
-    """(query_id, race_id, associated_id, status) for documents with resolved competition and edition.
+def plan_races(docs: DataFrame, races: DataFrame, trophies: DataFrame, merge: str = "always", force_gender: bool = False, force_category: bool = False) -> DataFrame:
+    """(query_id, race_id, associated_id, status) for documents with resolved competition.
 
-    docs: query_id, date, day, gender, category, trophy_id, flag_id, league_id, edition.  A document
-    without an edition is IGNORED.  The stored race is the closest match, else the one that matches
-    in all; several are left for review.  A match that the policy does not merge becomes the
-    associated race of a NEW one.
+    docs: query_id, date, day, gender, category, trophy_id, trophy_edition, flag_id, flag_edition,
+    league_id, hint_trophy_id and hint_flag_id.  The stored race is the one that the hint or the names
+    find, else the one that matches in all; several are left for review.  A document without a
+    trophy or flag with its edition is IGNORED.  associated_id is the race of the same competition on
+    the other day, or else a match that the policy does not merge, of a then NEW race.
     """
-    usable = docs.filter(F.col("edition").isNotNull())
-    close = closest_match(races, usable)
+    complete = (F.col("trophy_id").isNotNull() & (F.coalesce("trophy_edition", F.lit(0)) != 0)) | (F.col("flag_id").isNotNull() & (F.coalesce("flag_edition", F.lit(0)) != 0))
+    usable = docs.filter(complete)
+    close = retrieve_race(usable, races, force_gender, force_category)
     exact = matching_race(races, usable.join(close.filter("status = 'none'").select("query_id"), "query_id", "left_semi"))
     found = close.filter("status <> 'none'").unionByName(exact)
-    joined = docs.select("query_id", "edition").join(found, "query_id", "left")
+    other = analogous_race(races, trophies, usable.withColumnRenamed("query_id", "id")).select("query_id", F.col("race_id").alias("other_id"), F.col("status").alias("other_status"))
+    joined = docs.select("query_id", complete.alias("complete")).join(found, "query_id", "left").join(other, "query_id", "left")
     merges = decided(merge)
+    several = (F.col("status") == "ambiguous") | (F.coalesce("other_status", F.lit("none")) == "ambiguous")
     status = (
-        F.when(F.col("edition").isNull(), "IGNORED").when(F.col("status") == "ambiguous", "REVIEW").when(F.col("race_id").isNull(), "NEW")
+        F.when(~F.coalesce("complete", F.lit(False)), "IGNORED").when(several, "REVIEW").when(F.col("race_id").isNull(), "NEW")
         .when(merges.isNull(), "REVIEW").when(merges, "MERGED").otherwise("NEW")
     )
     merged = joined.withColumn("decision", status)
-    return merged.select("query_id", F.when(F.col("decision") == "MERGED", F.col("race_id")).alias("race_id"), F.when(F.col("decision") == "NEW", F.col("race_id")).alias("associated_id"), F.col("decision").alias("status"))
+    associated = F.when(F.col("decision") == "NEW", F.coalesce("other_id", "race_id")).when(F.col("decision") == "MERGED", F.col("other_id"))
+    return merged.select("query_id", F.when(F.col("decision") == "MERGED", F.col("race_id")).alias("race_id"), associated.alias("associated_id"), F.col("decision").alias("status"))
 
 
 def _replaced(new: str, old: str) -> Column:
@@ -102,58 +106,99 @@ def _same(keys: list[str], prefix: str) -> Column:
     return out
 
 
-def associate(races: DataFrame) -> DataFrame:
-    """(id, associated_id) of both days of an event."""
-    return link_days(races)
+def day_links(saved: DataFrame) -> DataFrame:
+    """(id, associated_id) of both days of each saved race (the result of save_races) that has another day."""
+    pairs = saved.filter((F.col("action") != "REJECT") & F.col("associated_id").isNotNull()).select("id", "associated_id")
+    return pairs.unionByName(pairs.select(F.col("associated_id").alias("id"), F.col("id").alias("associated_id")))
 
 
-def plan_participants(docs: DataFrame, participants: DataFrame, update: str = "always") -> DataFrame:
-    """(doc_id, participant_id, status, laps_ms, lane, club_names) for documents' boats with resolved club.
+def plan_participants(docs: DataFrame, participants: DataFrame, update: str = "always", add_source: str = "always") -> DataFrame:
+    """(doc_id, participant_id, status, laps_ms, lane, club_names, branch, refs) for documents' boats with resolved club.
 
-    docs: doc_id, race_id, club_id, gender, category, branch, laps_ms, lane, club_name.  The stored
-    boat has the same race, club, gender, category and branch.  Laps are replaced by longer ones, the
-    lane by a different one, the name is added.  Without a change the status is EXISTING; guest is
-    not taken over from documents.
+    docs: doc_id, race_id, club_id, gender, category, branch, raw_name, has_league (of the race),
+    time_trial, can_be_branch, laps_ms, lane, club_name, datasource, ref_id; participants also have
+    metadata.  The stored boat is the only one that participant_by finds; several are left for REVIEW.
+    A new boat has its branch only if it can be one, and lane 1 in time trials.
+
+    Laps change for longer ones, the lane for another one, the metadata for an element it lacks.  No
+    change, or new metadata alone, is EXISTING; new metadata is then taken over, with the name.  Other
+    changes are MERGED if `update` says so, the name again with new metadata only; if refused, a
+    stored boat without any element of the source takes it over if `add_source` says so (MERGED), and
+    otherwise the document's boat stays NEW.  `guest` is not taken over.
     """
-    keys = ["race_id", "club_id", "gender", "category", "branch"]
-    one = Window.partitionBy(*keys).orderBy("id")
-    stored = participants.withColumn("place", F.row_number().over(one)).filter("place = 1").select(F.col("id").alias("participant_id"), *[F.col(k).alias(f"s_{k}") for k in keys], F.col("laps_ms").alias("s_laps"), F.col("lane").alias("s_lane"), F.col("club_names").alias("s_names"))
-    joined = docs.join(stored, _same(keys, "s_"), "left")
+    key = ["race_id", "club_id", "gender", "category", "branch"]
+    queries = docs.select(F.col("doc_id").alias("query_id"), *key, "raw_name", "has_league")
+    found = participant_by(participants, queries).select(F.col("query_id").alias("doc_id"), "participant_id", F.col("status").alias("lookup"))
+    old = participants.select(F.col("id").alias("participant_id"), F.col("laps_ms").alias("s_laps"), F.col("lane").alias("s_lane"), F.col("club_names").alias("s_names"), F.col("branch").alias("s_branch"), F.col("metadata").alias("s_refs"))
+    joined = docs.withColumn("lane", F.when(F.col("time_trial"), F.lit(1)).otherwise(F.col("lane"))).join(found, "doc_id").join(old, "participant_id", "left")
+    none = F.col("participant_id").isNull()
+    element = F.struct(F.col("datasource").alias("datasource_name"), F.col("ref_id").alias("ref_id"))
     longer = F.size("laps_ms") > F.size("s_laps")
     other_lane = F.col("lane").isNotNull() & ~F.col("lane").eqNullSafe(F.col("s_lane"))
-    other_name = ~F.array_contains("s_names", F.col("club_name"))
-    changed = longer | other_lane | other_name
-    policy = decided(update)
-    status = F.when(F.col("participant_id").isNull(), "NEW").when(~changed, "EXISTING").when(policy.isNull(), "REVIEW").when(policy, "MERGED").otherwise("EXISTING")
-    use = F.col("status").isin("NEW", "MERGED")
-    return joined.withColumn("status", status).select(
-        "doc_id", "participant_id", "status",
-        F.when(F.col("participant_id").isNull() | (use & longer), F.col("laps_ms")).otherwise(F.col("s_laps")).alias("laps_ms"),
-        F.when(F.col("participant_id").isNull() | (use & other_lane), F.col("lane")).otherwise(F.col("s_lane")).alias("lane"),
-        F.when(F.col("participant_id").isNull(), F.array("club_name")).when(use, F.sort_array(F.array_union("s_names", F.array("club_name")))).otherwise(F.col("s_names")).alias("club_names"),
+    new_source = ~F.exists("s_refs", lambda m: (m["datasource_name"] == F.col("datasource")) & m["ref_id"].eqNullSafe(F.col("ref_id")))
+    unknown_source = ~F.exists("s_refs", lambda m: m["datasource_name"] == F.col("datasource"))
+    policy, adding = decided(update), decided(add_source)
+    refused = F.when(~unknown_source, "NEW").when(adding.isNull(), "REVIEW").when(adding, "MERGED").otherwise("NEW")
+    status = (
+        F.when(F.col("lookup") == "ambiguous", "REVIEW").when(none, "NEW").when(~(longer | other_lane), "EXISTING")
+        .when(policy.isNull(), "REVIEW").when(policy, "MERGED").otherwise(refused)
+    )
+    taken = joined.withColumn("status", status)
+    fresh = F.col("status") == "NEW"
+    merged = (F.col("status") == "MERGED") & F.coalesce(policy, F.lit(False))
+    sourced = F.col("status").isin("EXISTING", "MERGED") & new_source
+    empty = F.expr("cast(array() as array<string>)")
+    own_names = F.when(F.col("club_name").isNotNull(), F.array("club_name")).otherwise(empty)
+    both_names = F.sort_array(F.array_union("s_names", own_names))
+    return taken.select(
+        "doc_id", F.when(~fresh, F.col("participant_id")).alias("participant_id"), "status",
+        F.when(fresh | (merged & longer), F.col("laps_ms")).otherwise(F.col("s_laps")).alias("laps_ms"),
+        F.when(fresh | (merged & other_lane), F.col("lane")).otherwise(F.col("s_lane")).alias("lane"),
+        F.when(fresh & none, own_names).when(fresh | sourced, both_names).otherwise(F.col("s_names")).alias("club_names"),
+        F.when(fresh, F.when(F.col("can_be_branch"), F.col("branch"))).otherwise(F.col("s_branch")).alias("branch"),
+        F.when(fresh, F.array(element)).when(sourced, add_element(F.col("s_refs"), element)).otherwise(F.col("s_refs")).alias("refs"),
     )
 
 
 def merge_participant(pairs: DataFrame, allowed: bool = True) -> DataFrame:
-    """Stored boats with the fields of new_laps_ms, new_lane and new_metadata; a refused merge adds the source alone."""
-    longer = F.lit(allowed) & (F.size("new_laps_ms") > F.size("laps_ms"))
-    lane = F.when(F.lit(allowed), F.coalesce("new_lane", "lane")).otherwise(F.col("lane"))
-    return pairs.select("id", F.when(longer, F.col("new_laps_ms")).otherwise(F.col("laps_ms")).alias("laps_ms"), lane.alias("lane"), add_element(F.col("metadata"), F.col("new_metadata")).alias("metadata"))
+    """Stored boats with the changes of their documents: longer laps, a lane, an element of metadata.
+
+    pairs: id, laps_ms, lane, club_names, metadata, and the document's as new_laps_ms, new_lane,
+    new_club_names and new_metadata.  The names are united where the element is new.  A refused merge
+    takes over the element and the names only where no element of that source is stored.
+    """
+    use = F.lit(allowed)
+    longer = use & (F.size("new_laps_ms") > F.size("laps_ms"))
+    lane = F.when(use, F.coalesce("new_lane", "lane")).otherwise(F.col("lane"))
+    known = F.exists("metadata", lambda m: m["datasource_name"] == F.col("new_metadata")["datasource_name"])
+    present = F.exists("metadata", lambda m: (m["datasource_name"] == F.col("new_metadata")["datasource_name"]) & m["ref_id"].eqNullSafe(F.col("new_metadata")["ref_id"]))
+    sourced = F.col("new_metadata").isNotNull() & F.when(use, ~present).otherwise(~known)
+    return pairs.select(
+        "id", F.when(longer, F.col("new_laps_ms")).otherwise(F.col("laps_ms")).alias("laps_ms"), lane.alias("lane"),
+        F.when(sourced, F.sort_array(F.array_union("club_names", "new_club_names"))).otherwise(F.col("club_names")).alias("club_names"),
+        F.when(sourced, F.concat("metadata", F.array("new_metadata"))).otherwise(F.col("metadata")).alias("metadata"),
+    )
 
 
 def upsert_penalty(new: DataFrame, penalties: DataFrame) -> DataFrame:
     """(participant_id, reason, disqualification, notes, status) after the documents' penalties.
 
-    new: participant_id, reason, disqualification, note.  A boat's only penalty, or of several its
-    only one with that reason, takes the note, and the reason if it had none; else one is inserted.
-    Of several documents' penalties for one boat each is looked at on its own.
+    new: participant_id, reason, disqualification, note.  A boat's only penalty takes a note that it
+    lacks, and the reason if it had none, unless it has another reason; of several, the only one with
+    that reason takes the note.  Else one is inserted.  Of several documents' penalties for one boat
+    each is looked at on its own.
     """
     counted = penalties.withColumn("n", F.count("*").over(Window.partitionBy("participant_id"))).withColumn("n_reason", F.count("*").over(Window.partitionBy("participant_id", "reason")))
-    old = counted.select("participant_id", F.col("reason").alias("old_reason"), F.col("disqualification").alias("old_out"), F.col("notes").alias("old_notes"), "n", "n_reason")
-    fits = (F.col("n") == 1) | ((F.col("n_reason") == 1) & (F.col("old_reason") == F.col("reason")))
+    old = counted.select("participant_id", F.nullif(F.col("reason"), F.lit("")).alias("old_reason"), F.col("disqualification").alias("old_out"), F.col("notes").alias("old_notes"), "n", "n_reason")
+    same = F.col("old_reason") == F.col("reason")
+    fits = F.coalesce(F.when(F.col("n") == 1, F.col("old_reason").isNull() | same).otherwise((F.col("n_reason") == 1) & same), F.lit(False))
     target = new.join(old, "participant_id").filter(fits).select("participant_id", "reason", "note", "old_reason", "old_out", "old_notes")
-    updated = target.select("participant_id", F.coalesce("old_reason", "reason").alias("reason"), F.col("old_out").alias("disqualification"), F.when(F.col("note").isNull(), F.col("old_notes")).otherwise(F.array_union("old_notes", F.array("note"))).alias("notes"), F.lit("UPDATED").alias("status"))
-    fresh = new.join(target.select("participant_id").distinct(), "participant_id", "left_anti")
+    known = F.col("note").isNull() | F.array_contains("old_notes", F.col("note"))
+    notes = F.when(known, F.col("old_notes")).otherwise(F.concat("old_notes", F.array("note")))
+    updated = target.select("participant_id", F.coalesce("old_reason", "reason").alias("reason"), F.col("old_out").alias("disqualification"), notes.alias("notes"), F.lit("UPDATED").alias("status"))
+    # A document's penalty is known by boat and reason: one that met a stored penalty is not inserted.
+    met = target.select(F.col("participant_id").alias("met_id"), F.col("reason").alias("met_reason")).distinct()
+    fresh = new.join(met, (F.col("participant_id") == F.col("met_id")) & F.col("reason").eqNullSafe(F.col("met_reason")), "left_anti")
     inserted = fresh.select("participant_id", "reason", "disqualification", F.array_compact(F.array("note")).alias("notes"), F.lit("CREATED").alias("status"))
     return updated.unionByName(inserted)
 
@@ -175,21 +220,44 @@ def mark_checked(flags: DataFrame, checked: DataFrame, date: str) -> DataFrame:
 # Backfills
 
 
-def mix_participants(participants: DataFrame, matched: DataFrame) -> DataFrame:
-    """Boats, those matched (participant_id) as MIX and ABSOLUT."""
-    hit = matched.select(F.col("participant_id").alias("mixed_id")).distinct()
+def mix_participants(participants: DataFrame, matched: DataFrame, run_date: str | None = None) -> DataFrame:
+    """Boats, those matched (participant_id) as MIX and ABSOLUT.
+
+    If matched has new_data and the boats have metadata, the elements of these boats take new_data as
+    `data` and run_date as `date`; of several documents for a boat the least new_data is taken.
+    """
+    replaces = "new_data" in matched.columns
+    hit = matched.groupBy(F.col("participant_id").alias("mixed_id")).agg(F.min("new_data" if replaces else "participant_id").alias("mixed_data"))
     joined = participants.join(hit, F.col("id") == F.col("mixed_id"), "left")
     mixed = F.col("mixed_id").isNotNull()
-    return joined.withColumn("gender", F.when(mixed, "MIX").otherwise(F.col("gender"))).withColumn("category", F.when(mixed, "ABSOLUT").otherwise(F.col("category"))).drop("mixed_id")
+    out = joined.withColumn("gender", F.when(mixed, "MIX").otherwise(F.col("gender"))).withColumn("category", F.when(mixed, "ABSOLUT").otherwise(F.col("category")))
+    if replaces:
+        renewed = F.transform("metadata", lambda m: m.withField("data", F.col("mixed_data")).withField("date", F.lit(run_date)))
+        out = out.withColumn("metadata", F.when(mixed, renewed).otherwise(F.col("metadata")))
+    return out.drop("mixed_id", "mixed_data")
 
 
 def backfill_participants(participants: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Boats with branch and metadata of their document (participant_id, new_branch, new_metadata); others as they are.  Of several for one boat one is taken."""
-    found = pairs.select(F.col("participant_id").alias("paired_id"), "new_branch", "new_metadata").dropDuplicates(["paired_id"])
+    """Boats with branch and metadata of their document (participant_id, new_branch, new_metadata); others as they are.
+
+    Of several documents for one boat the least is taken.
+    """
+    found = pairs.groupBy(F.col("participant_id").alias("paired_id")).agg(F.min(F.struct("new_branch", "new_metadata")).alias("pair")).select("paired_id", "pair.*")
     joined = participants.join(found, F.col("id") == F.col("paired_id"), "left")
     return joined.withColumn("branch", F.coalesce("branch", "new_branch")).withColumn("metadata", add_element(F.col("metadata"), F.col("new_metadata"))).drop("paired_id", "new_branch", "new_metadata")
 
 
+def backfill_penalties(pairs: DataFrame, penalties: DataFrame) -> DataFrame:
+    """upsert_penalty for the documents (participant_id, penalty_reason, penalty_out, race_notes) that report a penalty.
+
+    The race's notes become the penalty's note; empty ones are none.  A document without a reason and
+    without a disqualification reports nothing.
+    """
+    reported = pairs.filter(F.col("penalty_reason").isNotNull() | F.coalesce("penalty_out", F.lit(False)))
+    note = F.nullif(F.trim("race_notes"), F.lit(""))
+    return upsert_penalty(reported.select("participant_id", F.col("penalty_reason").alias("reason"), F.coalesce("penalty_out", F.lit(False)).alias("disqualification"), note.alias("note")), penalties)
+
+
 def flag_ref_names(flags: DataFrame, names: DataFrame, datasource: str) -> DataFrame:
     """Flags whose reference without a name takes the one of the first race that has exactly one.
 
@@ -208,5 +276,3 @@ def repeated_club_branches(participants: DataFrame) -> DataFrame:
     branch = F.when(letter("D"), "D").when(letter("C"), "C").when(letter("B"), "B")
     return participants.withColumn("n", F.count("*").over(groups)).filter("n > 1").select("id", branch.alias("branch"))
 
-
-__all__ = ["analogous_race", "associate", "backfill_participants", "decided", "flag_ref_names", "mark_checked", "merge_participant", "merge_race", "mix_participants", "plan_participants", "plan_races", "repeated", "repeated_club_branches", "save_participants", "save_races", "upsert_penalty"]

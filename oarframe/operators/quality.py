@@ -74,19 +74,35 @@ def metadata_shape(df: DataFrame, key: str, json: str, table: str) -> DataFrame:
     return report(rows, "metadata_shape", table, F.col("k"), F.col("problems"))
 
 
-def domains(races: DataFrame, participants: DataFrame) -> DataFrame:
-    """Values outside their enumerated domain; null is inside."""
+def domains(races: DataFrame, participants: DataFrame, penalties: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Values outside their enumerated domain; null is inside.  Penalties are named by their boat."""
     rules = ((races, "race", "type", schemas.RACE_TYPES), (races, "race", "modality", schemas.MODALITIES), (races, "race", "gender", schemas.RACE_GENDERS), (races, "race", "category", schemas.RACE_CATEGORIES), (participants, "participant", "gender", schemas.PARTICIPANT_GENDERS), (participants, "participant", "category", schemas.PARTICIPANT_CATEGORIES))
     found = [report(df.filter(~F.col(c).isin(*values)), f"domain_{c}", table, F.col("id"), F.col(c)) for df, table, c, values in rules]
+    if penalties is not None:
+        found.append(report(penalties.filter(~F.col("reason").isin(*schemas.PENALTY_REASONS)), "domain_reason", "penalty", F.col("participant_id"), F.col("reason")))
+    if entities is not None:
+        found.append(report(entities.filter(~F.col("type").isin(*schemas.ENTITY_TYPES)), "domain_type", "entity", F.col("id"), F.col("type")))
     return reduce(DataFrame.unionByName, found)
 
 
-def references(participants: DataFrame, races: DataFrame, clubs: DataFrame) -> DataFrame:
-    """Boats without their race or club, and parts of partnerships that are partnerships themselves."""
+def lost(df: DataFrame, table: str, column: str, targets: DataFrame, target: str) -> DataFrame:
+    """Rows whose column is set, but names no row of targets (id)."""
+    known = targets.select(F.col("id").alias("known_id"))
+    missing = df.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("known_id"), "left_anti")
+    return report(missing, f"{target}_exists", table, F.col("id"), F.col(column))
+
+
+def references(participants: DataFrame, races: DataFrame, clubs: DataFrame, links: tuple = ()) -> DataFrame:
+    """Boats without their race or club, or whose club is an entity of another type, and parts of partnerships that are partnerships themselves.
+
+    links adds further references to test, as arguments of `lost`.
+    """
     lost_race = participants.join(races.select(F.col("id").alias("race_id")), "race_id", "left_anti")
     lost_club = participants.join(clubs.select(F.col("id").alias("club_id")), "club_id", "left_anti")
+    other_type = participants.join(clubs.filter(F.col("type") != "CLUB").select(F.col("id").alias("club_id"), "type"), "club_id")
     parts = clubs.filter(F.col("fused_into").isNotNull() & F.col("is_partnership"))
-    found = [report(lost_race, "race_exists", "participant", F.col("id"), F.col("race_id")), report(lost_club, "club_exists", "participant", F.col("id"), F.col("club_id")), report(parts, "part_is_no_partnership", "entity", F.col("id"))]
+    found = [report(lost_race, "race_exists", "participant", F.col("id"), F.col("race_id")), report(lost_club, "club_exists", "participant", F.col("id"), F.col("club_id")), report(parts, "part_is_no_partnership", "entity", F.col("id")), report(other_type, "club_is_a_club", "participant", F.col("id"), F.col("type"))]
+    found += [lost(*link) for link in links]
     return reduce(DataFrame.unionByName, found)
 
 

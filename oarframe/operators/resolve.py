@@ -6,37 +6,49 @@ result has a status (unique, ambiguous or none) instead of an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expand_tokens, fold, is_memorial, is_play_off, name_tokens, normalize_synonyms, relative_distance, remove_parenthesis, similarity, strip_branch
+from ..functions.text import expand_tokens, fold, is_memorial, is_play_off, name_tokens, normalize_synonyms, relative_distance, remove_conjunctions, remove_parenthesis, remove_symbols, similarity, strip_branch
+from ..schemas import ENTITY_TYPES
 from ..session import materialize
-from .filters import active_first
+from .filters import active_first, closest_match, closest_match_by_name
 from .joins import containing_tokens, substring_pairs
 from .rollups import any_alternative, best_candidate, single_distinct
 
 LEAST_SIMILARITY, MOST_DISTANCE, LEAST_COMPETITION_SIMILARITY = 0.4, 0.4, 0.85
 
 
-def entity_names(entities: DataFrame) -> DataFrame:
-    """(entity_id, text): every folded name an entity goes by."""
-    names = F.array_union(F.array(F.col("name"), F.col("normalized_name")), F.coalesce("known_names", F.expr("cast(array() as array<string>)")))
+def entity_names(entities: DataFrame, with_name: bool = True) -> DataFrame:
+    """(entity_id, text): every folded name an entity goes by; its plain name only if with_name."""
+    names = F.array_union(F.array("normalized_name"), F.coalesce("known_names", F.expr("cast(array() as array<string>)")))
+    names = F.array_union(F.array("name"), names) if with_name else names
     return entities.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(names)).alias("n")).filter("n is not null").select("entity_id", fold(F.col("n")).alias("text")).distinct()
 
 
-def resolve_entity(queries: DataFrame, entities: DataFrame, faithful: bool = False) -> DataFrame:
-    """(q, entity_id, status) of the distinct names q.
+def search_words(text: Column) -> Column:
+    """The distinct words of a name without symbols and conjunctions."""
+    return F.array_distinct(F.filter(F.split(remove_conjunctions(remove_symbols(text)), " "), lambda w: w != ""))
+
+
+def resolve_entity(queries: DataFrame, entities: DataFrame, faithful: bool = False, entity_type: str | None = None) -> DataFrame:
+    """(q, entity_id, status) of the distinct names q, among entities of entity_type where it is given.
 
     A folded name that exactly one entity has is taken.  Otherwise entities are candidates if some
-    word of the name occurs in one of their names; the most similar name wins if its similarity is
-    over 0.4 and it is equal or nearer than 0.4 of the mean length; it is ambiguous if several
-    entities have it.
+    word of the name, symbols and conjunctions aside, occurs in their normalized or a known name; the
+    most similar of these names wins if its similarity is over 0.4 and it is equal or nearer than 0.4
+    of the mean length; it is ambiguous if several entities have it.  A type that is not one of the
+    entity types raises ValueError.
     """
-    names = entity_names(entities)
+    if entity_type is not None:
+        if entity_type not in ENTITY_TYPES:
+            raise ValueError(f"entity_type must be one of {ENTITY_TYPES}")
+        entities = entities.filter(F.col("type") == entity_type)
+    exact_names, names = entity_names(entities), entity_names(entities, with_name=False)
     wanted = queries.select("q").distinct().withColumn("text", fold(strip_branch(F.trim(F.upper("q")), faithful)))
-    exact = materialize(wanted.join(names, "text").groupBy("q").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).filter("n = 1").select("q", "entity_id"))
+    exact = materialize(wanted.join(exact_names, "text").groupBy("q").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).filter("n = 1").select("q", "entity_id"))
     left = wanted.join(exact, "q", "left_anti")
-    parts = left.select(F.col("text").alias("query_id"), F.explode(F.array_distinct(F.split("text", " "))).alias("part")).filter("part <> ''").distinct()
+    parts = left.select(F.col("text").alias("query_id"), F.explode(search_words(F.col("text"))).alias("part")).distinct()
     found = materialize(substring_pairs(materialize(parts), names).select("query_id", "entity_id").distinct())
     scored = found.join(names, "entity_id").withColumn("score", similarity(F.col("query_id"), F.col("text"))).filter(F.col("score") > LEAST_SIMILARITY)
     best = best_candidate(scored, "query_id", "score", "text", "entity_id").filter((F.col("score") == 1) | (relative_distance(F.col("query_id"), F.col("text")) < MOST_DISTANCE))
@@ -48,9 +60,9 @@ def resolve_entity(queries: DataFrame, entities: DataFrame, faithful: bool = Fal
 
 
 def resolve_club(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """resolve_entity among active entities; names without any there, among all."""
-    first = resolve_entity(queries, entities.filter("is_active")).filter("status <> 'none'")
-    return active_first(first, resolve_entity(queries.join(first.select("q"), "q", "left_anti"), entities), "q")
+    """resolve_entity among active clubs; names without any there, among all clubs."""
+    first = resolve_entity(queries, entities.filter("is_active"), entity_type="CLUB").filter("status <> 'none'")
+    return active_first(first, resolve_entity(queries.join(first.select("q"), "q", "left_anti"), entities, entity_type="CLUB"), "q")
 
 
 def retrieve_entity(queries: DataFrame, entities: DataFrame, normalized) -> tuple[DataFrame, DataFrame]:
@@ -163,6 +175,24 @@ def with_hints(resolved: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce("item_id", F.when(F.col("since") < F.col("pos"), F.col("hint"))).alias("item_id"))
 
 
+def retrieve_race(docs: DataFrame, races: DataFrame, force_gender: bool = False, force_category: bool = False) -> DataFrame:
+    """(query_id, race_id, status) of the stored race that each document is about.
+
+    docs: query_id, date, day, gender, category, trophy_id, flag_id and league_id as its names were
+    resolved, hint_trophy_id and hint_flag_id as an earlier document of its name was.  A hint is tried
+    first; where it finds no race, or several, the document's own competition is, first with all
+    tests, then without those that are not forced.  A document without a competition finds none, and
+    several races are ambiguous, to be reviewed.
+    """
+    hinted = docs.filter(F.col("hint_trophy_id").isNotNull() | F.col("hint_flag_id").isNotNull())
+    by_hint = closest_match(races, hinted.withColumn("trophy_id", F.col("hint_trophy_id")).withColumn("flag_id", F.col("hint_flag_id"))).filter("status = 'unique'")
+    rest = docs.join(by_hint.select("query_id"), "query_id", "left_anti")
+    named = rest.filter(F.col("trophy_id").isNotNull() | F.col("flag_id").isNotNull())
+    by_name = closest_match_by_name(races, named, force_gender, force_category)
+    found = by_hint.unionByName(by_name)
+    return docs.select("query_id").join(found, "query_id", "left").select("query_id", "race_id", F.coalesce("status", F.lit("none")).alias("status"))
+
+
 def fill_place_and_organizer(docs: DataFrame, races: DataFrame) -> DataFrame:
     """docs with place_id and organizer_id, where missing from the only ones of races of the same competition."""
     keys = ["trophy_id", "flag_id", "league_id"]

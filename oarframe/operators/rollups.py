@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.laps import last_lap
+from ..functions.metadata import add_element
 
 
 def distinct_lanes(participants: DataFrame) -> DataFrame:
@@ -14,9 +15,9 @@ def distinct_lanes(participants: DataFrame) -> DataFrame:
 
 
 def largest_fields(entries: DataFrame, races: DataFrame) -> DataFrame:
-    """(league_id, gender, year, largest): the most boats of a race, by league, race gender and year."""
+    """(league_id, gender, year, largest): the most boats of a race that was held, by league, race gender and year."""
     counts = entries.groupBy("race_id").agg(F.count("*").alias("boats"))
-    dims = races.select(F.col("id").alias("race_id"), "league_id", "gender", F.year("date").alias("year"))
+    dims = races.filter(~F.col("cancelled")).select(F.col("id").alias("race_id"), "league_id", "gender", F.year("date").alias("year"))
     return counts.join(dims, "race_id").groupBy("league_id", "gender", "year").agg(F.max("boats").alias("largest"))
 
 
@@ -74,6 +75,21 @@ def flag_of_run(races: DataFrame, run: str) -> DataFrame:
     return races.groupBy(run).agg(single_distinct("flag_id").alias("flag_id")).filter("flag_id is not null")
 
 
+def attach_run_source(flags: DataFrame, races: DataFrame, run: str, ref_id: Column, datasource: str) -> DataFrame:
+    """flags, those that are the only one of a run with that run's reference in their metadata.
+
+    ref_id is a column of the run; of several runs of one flag the least reference is attached.  A
+    flag that has the reference already stays as it is.
+    """
+    only = flag_of_run(races, run).select(F.col("flag_id").alias("run_flag"), ref_id.alias("run_ref")).groupBy("run_flag").agg(F.min("run_ref").alias("run_ref"))
+    kind = flags.schema["metadata"].dataType.elementType
+    known = {"datasource_name": F.lit(datasource), "ref_id": F.col("run_ref")}
+    new = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    joined = flags.join(only, F.col("id") == F.col("run_flag"), "left")
+    added = F.when(F.col("run_ref").isNotNull(), add_element(F.col("metadata"), new)).otherwise(F.col("metadata"))
+    return joined.withColumn("metadata", added).drop("run_flag", "run_ref")
+
+
 # Windows
 
 

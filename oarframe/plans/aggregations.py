@@ -62,7 +62,7 @@ def _(t):
     return rollups.distinct_lanes(t.participant)
 
 
-@query("agg_5_largest_fields", "SELECT league_id, gender, yr AS year, max(n) AS largest FROM (SELECT race_id, count(*) AS n FROM participant WHERE NOT guest GROUP BY race_id) JOIN race ON id = race_id GROUP BY ALL")
+@query("agg_5_largest_fields", "SELECT league_id, gender, yr AS year, max(n) AS largest FROM (SELECT race_id, count(*) AS n FROM participant WHERE NOT guest GROUP BY race_id) JOIN race ON id = race_id WHERE NOT cancelled GROUP BY ALL")
 def _(t):
     return rollups.largest_fields(t.participant.filter("not guest"), t.race)
 
@@ -127,6 +127,17 @@ def _(t):
     return rollups.flag_of_run(t.race, "date")
 
 
+@query(
+    "agg_15_attach_source",
+    """WITH run AS (SELECT max(flag_id) AS flag_id, date::VARCHAR AS ref_id FROM race GROUP BY date HAVING count(DISTINCT flag_id) = 1), one AS (SELECT flag_id, min(ref_id) AS ref_id FROM run GROUP BY flag_id)
+    SELECT f.id, (SELECT count(*) FROM flag_ref AS m WHERE m.flag_id = f.id) + CASE WHEN one.ref_id IS NULL THEN 0 ELSE 1 END AS refs, one.ref_id AS added FROM flag AS f LEFT JOIN one ON one.flag_id = f.id""",
+)
+def _(t):
+    marked = rollups.attach_run_source(t.flag_with_metadata, t.race, "date", F.col("date").cast("string"), "run")
+    added = F.element_at(F.filter("metadata", lambda m: m["datasource_name"] == "run"), 1)["ref_id"]
+    return marked.select("id", F.size("metadata").cast("long").alias("refs"), F.when(F.exists("metadata", lambda m: m["datasource_name"] == "run"), added).alias("added"))
+
+
 @query("win_1_group_rank", "SELECT race_id, club_id, n, row_number() OVER (PARTITION BY race_id ORDER BY n DESC, club_id) AS place FROM (SELECT race_id, club_id, count(*) AS n FROM participant GROUP BY race_id, club_id)")
 def _(t):
     counts = t.participant.groupBy("race_id", "club_id").agg(F.count("*").alias("n"))
@@ -188,18 +199,6 @@ def _(t):
 @query(
     "set_2_any_alternative",
     """WITH items AS (SELECT id AS item_id, string_split(lower(name), ' ') AS tokens FROM entity),
-    q AS (SELECT id AS query_id, string_split(lower(name), ' ')[1:1] AS a, string_split(lower(name), ' ')[2:2] AS b FROM entity WHERE id % 2 = 0)
-    SELECT query_id, item_id FROM q JOIN items ON list_has_all(tokens, a) OR list_has_all(tokens, b)""",
-)
-def _(t):
-    words = F.split(F.lower("name"), " ")
-    alternatives = F.array(F.slice(words, 1, 1), F.slice(words, 2, 1))
-    return rollups.any_alternative(t.entity.filter("id % 2 = 0").select(F.col("id").alias("query_id"), alternatives.alias("alternatives")), t.entity.select(F.col("id").alias("item_id"), words.alias("tokens")))
-
-
-@query(
-    "set_2_any_alternative_whole",
-    """WITH items AS (SELECT id AS item_id, string_split(lower(name), ' ') AS tokens FROM entity),
     q AS (SELECT id AS query_id, string_split(lower(name), ' ')[1:1] AS a, string_split(lower(name), ' ')[2:2] AS b FROM entity)
     SELECT query_id, item_id FROM q JOIN items ON list_has_all(tokens, a) OR list_has_all(tokens, b)""",
 )

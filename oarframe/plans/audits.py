@@ -35,7 +35,7 @@ def _varying(measure: str) -> None:
 
     @query(
         f"aud_3_{measure.removesuffix('_id')}",
-        f"SELECT a.id, a.{measure} FROM race AS a WHERE (SELECT count(DISTINCT b.{measure}) FROM race AS b WHERE b.gender = a.gender AND b.type = a.type AND {same}) > 1 AND a.id NOT IN {PLAY.format('id')}",
+        f"SELECT a.id, a.{measure} FROM race AS a WHERE a.type <> 'TIME_TRIAL' AND (SELECT count(DISTINCT b.{measure}) FROM race AS b WHERE b.gender = a.gender AND b.type = a.type AND b.type <> 'TIME_TRIAL' AND {same}) > 1 AND a.id NOT IN {PLAY.format('id')}",
     )
     def _(t):
         return audits.varying(t.race, t.trophy, measure)
@@ -57,7 +57,7 @@ def _(t):
 @query(
     "aud_5_field_size",
     f"""WITH n AS (SELECT race_id, count(*) AS n FROM participant WHERE NOT guest GROUP BY race_id),
-    big AS (SELECT league_id, gender, yr, max(n) AS largest FROM n JOIN race ON id = race_id GROUP BY ALL)
+    big AS (SELECT league_id, gender, yr, max(n) AS largest FROM n JOIN race ON id = race_id WHERE NOT cancelled GROUP BY ALL)
     SELECT a.id, coalesce(n.n, 0) AS boats, largest FROM race AS a JOIN big USING (league_id, gender, yr) LEFT JOIN n ON n.race_id = a.id
     WHERE NOT cancelled AND league_id NOT IN (14, 15) AND a.date NOT IN {PLAY.format('date')} AND coalesce(n.n, 0) <> largest""",
 )
@@ -65,28 +65,50 @@ def _(t):
     return audits.field_size_differs(t.race, t.participant, t.trophy)
 
 
+#: Every boat, and for those of one race in fifty another that was an hour slower.
+_PACED = """boats AS (SELECT id, race_id, laps_ms FROM participant UNION ALL SELECT -id, race_id, [laps_ms[-1] + 3600000] FROM participant WHERE race_id % 50 = 0 AND len(laps_ms) > 0)"""
+
+
+def _paced(t):
+    slower = F.array(last_lap(F.col("laps_ms")) + 3600000)
+    late = t.participant.filter((F.col("race_id") % 50 == 0) & (F.size("laps_ms") > 0)).select((-F.col("id")).alias("id"), "race_id", slower.alias("laps_ms"))
+    return t.participant.select("id", "race_id", "laps_ms").unionByName(late)
+
+
 def _tied(name: str, resolution: int) -> None:
     @query(
         name,
-        f"""SELECT p.id, p.race_id FROM participant AS p WHERE p.laps_ms[-1] > 0 AND EXISTS (SELECT 1 FROM participant AS q WHERE q.race_id = p.race_id AND q.id <> p.id
+        f"""WITH {_PACED} SELECT p.id, p.race_id FROM boats AS p WHERE p.laps_ms[-1] > 0 AND EXISTS (SELECT 1 FROM boats AS q WHERE q.race_id = p.race_id AND q.id <> p.id
         AND q.laps_ms[-1] % 3600000 // {resolution} = p.laps_ms[-1] % 3600000 // {resolution})""",
     )
     def _(t):
-        return audits.tied(t.participant, resolution)
+        return audits.tied(_paced(t), resolution)
 
 
 _tied("aud_6_tied", 1)
 _tied("aud_6_tied_second", 1000)
 
+#: Every race, and for one in thirty a second one with the same boats; half of these are marked as the same.
+_TWINS = """r AS (SELECT id, same_as_id FROM race UNION ALL SELECT -id, CASE WHEN id % 60 = 0 THEN id END FROM race WHERE id % 30 = 0),
+    p AS (SELECT race_id, club_id, laps_ms FROM participant UNION ALL SELECT -race_id, club_id, laps_ms FROM participant WHERE race_id % 30 = 0)"""
+
+
+def _twins(t):
+    races = t.race.select("id", "same_as_id")
+    twin = races.filter("id % 30 = 0").select((-F.col("id")).alias("id"), F.when(F.col("id") % 60 == 0, F.col("id")).alias("same_as_id"))
+    boats = t.participant.select("race_id", "club_id", "laps_ms")
+    again = boats.filter("race_id % 30 = 0").withColumn("race_id", -F.col("race_id"))
+    return races.unionByName(twin), boats.unionByName(again)
+
 
 def _identical(name: str, club: str, time: str, spark_club, spark_time) -> None:
     @query(
         name,
-        f"""WITH a AS (SELECT race_id, same_as_id, list(({club}, {time}) ORDER BY {club}, {time}) AS k FROM participant JOIN race ON race.id = race_id WHERE len(laps_ms) > 0 GROUP BY race_id, same_as_id HAVING count(*) >= 2)
+        f"""WITH {_TWINS}, a AS (SELECT race_id, same_as_id, list(({club}, {time}) ORDER BY {club}, {time} NULLS FIRST) AS k FROM p JOIN r ON r.id = race_id GROUP BY race_id, same_as_id)
         SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.k = b.k AND a.race_id <> b.race_id AND (b.same_as_id IS NULL OR b.same_as_id <> a.race_id)""",
     )
     def _(t):
-        return audits.identical_results(t.race, t.participant, club=spark_club(), time=spark_time())
+        return audits.identical_results(*_twins(t), club=spark_club(), time=spark_time())
 
 
 _identical("aud_7_identical", "club_id", "laps_ms[-1]", lambda: None, lambda: None)
@@ -95,8 +117,8 @@ _identical("aud_7_identical_coarse", "club_id % 3", "laps_ms[-1] // 60000", lamb
 
 @query(
     "aud_8_league_speeds",
-    """SELECT p.id, race_id, round(distance / (laps_ms[-1] / 1000.0::DOUBLE) * 3.6::DOUBLE, 6) AS speed FROM participant AS p JOIN race AS r ON r.id = race_id
-    WHERE league_id = 2 AND yr = 1998 AND len(laps_ms) > 0 AND len(list_filter(club_names, lambda n: n LIKE '% B')) = 0
+    """SELECT p.id, race_id, yr AS year, round(distance / (laps_ms[-1] / 1000.0::DOUBLE) * 3.6::DOUBLE, 6) AS speed FROM participant AS p JOIN race AS r ON r.id = race_id
+    WHERE league_id = 2 AND yr = 1998 AND NOT cancelled AND len(laps_ms) > 0 AND laps_ms[-1] > 0 AND len(list_filter(club_names, lambda n: n LIKE '% B')) = 0
       AND p.id NOT IN (SELECT participant_id FROM penalty WHERE disqualification)""",
 )
 def _(t):

@@ -9,16 +9,16 @@ from ..operators import resolve
 from .registry import query
 
 
-def _entities(t, active_only=False):
-    rows = t.entity.filter("is_active") if active_only else t.entity
-    return rows.select("id", "name", "is_active", F.upper("name").alias("normalized_name"), F.expr("cast(array() as array<string>)").alias("known_names"))
+def _entities(t):
+    return t.entity.select("id", "name", "is_active", F.lit("CLUB").alias("type"), F.upper("name").alias("normalized_name"), F.expr("cast(array() as array<string>)").alias("known_names"))
 
 
 def _resolved(test: str, queries: str = "query_name") -> str:
     return f"""n AS (SELECT id, upper(name) AS text FROM entity WHERE {test}),
   w AS (SELECT q, regexp_replace(upper(trim(q)), ' [BC]$', '') AS text FROM {queries}),
   e AS (SELECT q, min(id) AS id FROM w JOIN n USING (text) GROUP BY q HAVING count(*) = 1),
-  c AS (SELECT DISTINCT q, w.text AS a, n.text AS b, n.id FROM (SELECT q, text, unnest(string_split(text, ' ')) AS part FROM w WHERE q NOT IN (SELECT q FROM e)) AS w JOIN n ON part <> '' AND contains(n.text, part)),
+  c AS (SELECT DISTINCT q, w.text AS a, n.text AS b, n.id FROM (SELECT q, text, unnest(string_split(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), ' ')) AS part FROM w WHERE q NOT IN (SELECT q FROM e)) AS w
+    JOIN n ON part NOT IN ('', 'DE', 'DEL', 'LA', 'LAS', 'EL', 'LOS', 'E', 'Y', 'DO', 'DA') AND contains(n.text, part)),
   s AS (SELECT *, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS score, levenshtein(a, b) / ((length(a) + length(b)) / 2.0::DOUBLE) AS far FROM c),
   b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, b, id) AS k FROM s WHERE score > 0.4) WHERE k = 1 AND (score = 1 OR far < 0.4)),
   found AS (SELECT q, id AS entity_id, 'unique' AS status FROM e UNION ALL SELECT q, CASE WHEN (SELECT count(*) FROM n WHERE n.text = b.b) = 1 THEN id END, CASE WHEN (SELECT count(*) FROM n WHERE n.text = b.b) = 1 THEN 'unique' ELSE 'ambiguous' END FROM b)"""
@@ -50,16 +50,14 @@ def _items(t, kind):
 
 @query(
     "res_4_resolve_competition",
-    """SELECT doc_id, CASE WHEN n % 11 <> 3 THEN n % 11 END AS trophy_id, n % 40 AS flag_id FROM (SELECT DISTINCT pos AS doc_id, flag_id AS n FROM doc WHERE flag_id IS NOT NULL)""",
+    # A regatta's name fits the trophy and the flag of that number; it stands before the flag's own name.
+    """SELECT pos AS doc_id, CASE WHEN n % 11 <> 3 THEN n % 11 END AS trophy_id, n % 11 AS flag_id FROM (SELECT pos, coalesce(flag_id, trophy_id) AS n FROM doc)""",
 )
 def _(t):
-    docs = t.doc.filter("flag_id is not null")
-    n = F.col("flag_id").cast("string")
-    names = docs.select(F.col("pos").alias("doc_id"), F.posexplode(F.array(F.lit("MEMORIAL X"), F.concat(F.lit("Regata "), (F.col("flag_id") % 11).cast("string")), F.concat(F.lit("bandeira de la "), n))).alias("pos", "q"))
-    # A regatta's name fits a trophy and a flag of that number; each kind is asked for by its own name.
-    trophies, flags = _items(t, "trophy").filter("name not like 'Play%'"), _items(t, "flag").filter("item_id >= 0")
-    found = resolve.resolve_competition(names.filter("q not like 'bandeira%'"), trophies, flags.limit(0)).select("doc_id", "trophy_id")
-    return found.join(resolve.resolve_competition(names.filter("q not like 'Regata%'"), trophies.limit(0), flags).select("doc_id", "flag_id"), "doc_id")
+    number = F.coalesce("flag_id", "trophy_id")
+    written = F.array(F.lit("MEMORIAL X"), F.concat(F.lit("Regata "), (number % 11).cast("string")), F.concat(F.lit("bandeira de la "), number.cast("string")))
+    names = t.doc.select(F.col("pos").alias("doc_id"), F.posexplode(written).alias("pos", "q"))
+    return resolve.resolve_competition(names, _items(t, "trophy"), _items(t, "flag"))
 
 
 @query("res_5_resolve_by_tokens", "SELECT 'TROFEO ' || id || x AS q, id AS item_id FROM trophy, (VALUES (''), (' trainera')) AS v(x) WHERE name NOT LIKE 'Play%' UNION ALL SELECT 'Regata ' || id AS q, id FROM trophy WHERE name NOT LIKE 'Play%'")
@@ -69,7 +67,7 @@ def _(t):
     return resolve.resolve_by_tokens(names, _items(t, "trophy"))
 
 
-_Q = "q AS (SELECT DISTINCT flag_id AS item_id, gender, category, yr AS year FROM race WHERE flag_id IS NOT NULL AND category <> 'ALL' AND yr <= 1999)"
+_Q = "q AS (SELECT DISTINCT flag_id AS item_id, gender, category, yr AS year FROM race WHERE flag_id IS NOT NULL AND category <> 'ALL')"
 _UNANIMOUS = """(SELECT CASE WHEN count(*) = 1 OR (count(DISTINCT flag_edition) = 1 AND count(flag_edition) = count(*)) THEN nullif(max(flag_edition), 0) END FROM race AS r
   WHERE r.day = 1 AND r.gender = q.gender AND r.category = q.category AND r.yr = q.year + {} AND (r.flag_id = q.item_id{}))"""
 
@@ -80,7 +78,7 @@ def _editions(null_item: str) -> str:
 
 
 def _edition_queries(t):
-    return t.race.filter("flag_id is not null and category <> 'ALL' and yr <= 1999").select(F.col("flag_id").alias("item_id"), "gender", "category", F.col("yr").alias("year")).distinct()
+    return t.race.filter("flag_id is not null and category <> 'ALL'").select(F.col("flag_id").alias("item_id"), "gender", "category", F.col("yr").alias("year")).distinct()
 
 
 @query("res_6_infer_edition", _editions(""))
@@ -132,16 +130,6 @@ def _(t):
 
 @query(
     "res_11_fill_place_and_organizer",
-    """WITH u AS (SELECT trophy_id, flag_id, league_id, CASE WHEN count(DISTINCT place_id) = 1 THEN max(place_id) END AS p, CASE WHEN count(DISTINCT organizer_id) = 1 THEN max(organizer_id) END AS o FROM race WHERE id % 40 = 0 GROUP BY ALL)
-    SELECT r.id, coalesce(CASE WHEN r.id % 2 = 0 THEN r.place_id END, u.p) AS place_id, coalesce(r.organizer_id, u.o) AS organizer_id FROM race AS r LEFT JOIN u ON u.trophy_id IS NOT DISTINCT FROM r.trophy_id AND u.flag_id IS NOT DISTINCT FROM r.flag_id AND u.league_id IS NOT DISTINCT FROM r.league_id""",
-)
-def _(t):
-    docs = t.race.withColumn("place_id", F.when(F.col("id") % 2 == 0, F.col("place_id")))
-    return resolve.fill_place_and_organizer(docs, t.race.filter("id % 40 = 0")).select("id", "place_id", "organizer_id")
-
-
-@query(
-    "res_11_fill_place_and_organizer_whole",
     """WITH u AS (SELECT trophy_id, flag_id, league_id, CASE WHEN count(DISTINCT place_id) = 1 THEN max(place_id) END AS p, CASE WHEN count(DISTINCT organizer_id) = 1 THEN max(organizer_id) END AS o FROM race GROUP BY ALL)
     SELECT r.id, coalesce(CASE WHEN r.id % 2 = 0 THEN r.place_id END, u.p) AS place_id, coalesce(r.organizer_id, u.o) AS organizer_id FROM race AS r LEFT JOIN u ON u.trophy_id IS NOT DISTINCT FROM r.trophy_id AND u.flag_id IS NOT DISTINCT FROM r.flag_id AND u.league_id IS NOT DISTINCT FROM r.league_id""",
 )

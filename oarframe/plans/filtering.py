@@ -124,17 +124,31 @@ def _(t):
     return filters.matching_race(t.race, _q(t))
 
 
+#: The races, some of them with a trophy and a flag, and some without an edition.
+_PAIRED = """x AS (SELECT id, date, yr, day, league_id, CASE WHEN id % 9 = 0 THEN coalesce(trophy_id, id % 11) ELSE trophy_id END AS trophy_id, CASE WHEN id % 9 = 0 THEN coalesce(flag_id, id % 40) ELSE flag_id END AS flag_id,
+    CASE WHEN id % 23 <> 0 THEN coalesce(trophy_edition, CASE WHEN id % 9 = 0 THEN flag_edition END) END AS trophy_edition, CASE WHEN id % 29 <> 0 THEN coalesce(flag_edition, CASE WHEN id % 9 = 0 THEN trophy_edition END) END AS flag_edition FROM race)"""
+
+
+def _paired(t):
+    ninth = lambda value: F.when(F.col("id") % 9 == 0, value)
+    return t.race.select(
+        "id", "date", "day", "league_id", F.coalesce("trophy_id", ninth(F.col("id") % 11)).alias("trophy_id"), F.coalesce("flag_id", ninth(F.col("id") % 40)).alias("flag_id"),
+        F.when(F.col("id") % 23 != 0, F.coalesce("trophy_edition", ninth(F.col("flag_edition")))).alias("trophy_edition"),
+        F.when(F.col("id") % 29 != 0, F.coalesce("flag_edition", ninth(F.col("trophy_edition")))).alias("flag_edition"),
+    )
+
+
 @query(
     "flt_12_analogous_race",
-    """SELECT a.id AS query_id, CASE WHEN count(*) = 1 THEN min(b.id) END AS race_id, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'ambiguous' END AS status
-    FROM race AS a LEFT JOIN trophy AS p ON p.id = a.trophy_id JOIN race AS b ON a.yr = b.yr AND a.day <> b.day
-      AND a.trophy_id IS NOT DISTINCT FROM b.trophy_id AND a.flag_id IS NOT DISTINCT FROM b.flag_id
-      AND a.trophy_edition IS NOT DISTINCT FROM b.trophy_edition AND a.flag_edition IS NOT DISTINCT FROM b.flag_edition
+    f"""WITH {_PAIRED} SELECT a.id AS query_id, CASE WHEN count(*) = 1 THEN min(b.id) END AS race_id, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'ambiguous' END AS status
+    FROM x AS a LEFT JOIN trophy AS p ON p.id = a.trophy_id JOIN x AS b ON a.yr = b.yr AND b.day = CASE WHEN a.day = 2 THEN 1 ELSE 2 END
+      AND (a.trophy_id IS NULL OR (a.trophy_id = b.trophy_id AND a.trophy_edition IS NOT DISTINCT FROM b.trophy_edition))
+      AND (a.flag_id IS NULL OR (a.flag_id = b.flag_id AND a.flag_edition IS NOT DISTINCT FROM b.flag_edition))
       AND CASE WHEN a.league_id IS NULL THEN true WHEN coalesce(p.name ILIKE '%PLAY%OFF%', false) THEN b.league_id IS NULL ELSE coalesce(a.league_id = b.league_id, false) END
     GROUP BY a.id""",
 )
 def _(t):
-    return filters.analogous_race(t.race, t.trophy)
+    return filters.analogous_race(_paired(t), t.trophy)
 
 
 _SPEED_FILTER = """SELECT p.id AS participant_id FROM participant AS p JOIN race AS r ON r.id = p.race_id
@@ -162,10 +176,10 @@ def _(t):
 @query(
     "flt_14_participant_by",
     """WITH w AS (SELECT p.id AS query_id, p.race_id, p.club_id, p.gender, p.category, CASE WHEN p.id % 3 = 0 THEN NULL ELSE p.branch END AS branch,
-      CASE WHEN p.id % 2 = 0 THEN 'X B' ELSE 'X' END AS raw_name, r.league_id IS NOT NULL AS has_league FROM participant AS p JOIN race AS r ON r.id = p.race_id),
-    m AS (SELECT w.query_id, w.raw_name, w.has_league, p.id, p.club_names, count(*) OVER (PARTITION BY w.query_id) AS n FROM w JOIN participant AS p
+      CASE WHEN p.id % 2 = 0 THEN 'X B' WHEN p.id % 7 <> 0 THEN 'X' END AS raw_name, r.league_id IS NOT NULL AS has_league FROM participant AS p JOIN race AS r ON r.id = p.race_id),
+    m AS (SELECT w.query_id, w.raw_name, w.has_league, p.id, p.branch, count(*) OVER (PARTITION BY w.query_id) AS n FROM w JOIN participant AS p
       ON p.race_id = w.race_id AND p.club_id = w.club_id AND p.gender = w.gender AND p.category = w.category AND p.branch IS NOT DISTINCT FROM w.branch),
-    k AS (SELECT query_id, id FROM m WHERE n = 1 OR has_league OR (raw_name = 'X B') = (len(list_filter(club_names, lambda x: x LIKE '% B')) > 0))
+    k AS (SELECT query_id, id FROM m WHERE n = 1 OR has_league OR raw_name IS NULL OR branch IS NOT DISTINCT FROM CASE WHEN raw_name = 'X B' THEN 'B' END)
     SELECT w.query_id, CASE WHEN count(k.id) = 1 THEN min(k.id) END AS participant_id,
       CASE count(k.id) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM w LEFT JOIN k USING (query_id) GROUP BY w.query_id""",
 )
@@ -173,17 +187,12 @@ def _(t):
     p = t.participant.join(t.race.select(F.col("id").alias("race_id"), "league_id"), "race_id")
     queries = p.select(
         F.col("id").alias("query_id"), "race_id", "club_id", "gender", "category", F.when(F.col("id") % 3 != 0, F.col("branch")).alias("branch"),
-        F.when(F.col("id") % 2 == 0, "X B").otherwise("X").alias("raw_name"), F.col("league_id").isNotNull().alias("has_league"),
+        F.when(F.col("id") % 2 == 0, "X B").when(F.col("id") % 7 != 0, "X").alias("raw_name"), F.col("league_id").isNotNull().alias("has_league"),
     )
     return filters.participant_by(t.participant, queries)
 
 
-@query("flt_15_stale_flags", "SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id IS NOT NULL AND yr = 1998 AND flag_id % 2 = 0)")
-def _(t):
-    return filters.stale_flags(t.flag_with_metadata, t.race.filter("flag_id % 2 = 0"), "traineras", "1998-04-01", only_new=True)
-
-
-@query("flt_15_stale_flags_whole", "SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id IS NOT NULL AND yr = 1998)")
+@query("flt_15_stale_flags", "SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id IS NOT NULL AND yr = 1998)")
 def _(t):
     return filters.stale_flags(t.flag_with_metadata, t.race, "traineras", "1998-04-01", only_new=True)
 
@@ -225,16 +234,6 @@ def _(t):
 
 @query(
     "srt_1_sort_races",
-    """SELECT id, row_number() OVER (ORDER BY coalesce(trophy.name, flag.name) DESC NULLS FIRST, id) AS position FROM (SELECT id, trophy_id, flag_id FROM race WHERE yr = 1995) AS race
-    LEFT JOIN (SELECT id AS tid, name FROM trophy) AS trophy ON tid = trophy_id LEFT JOIN (SELECT id AS fid, name FROM flag) AS flag ON fid = flag_id ORDER BY position LIMIT 200""",
-)
-def _(t):
-    ordered = sorting.sort_races(t.race.filter("yr = 1995"), "-name", t.trophy, t.flag)
-    return sorting.numbered(ordered.limit(200), sorting.race_order("-name"))
-
-
-@query(
-    "srt_1_sort_races_whole",
     """SELECT id, row_number() OVER (ORDER BY coalesce(trophy.name, flag.name) DESC NULLS FIRST, id) AS position FROM (SELECT id, trophy_id, flag_id FROM race) AS race
     LEFT JOIN (SELECT id AS tid, name FROM trophy) AS trophy ON tid = trophy_id LEFT JOIN (SELECT id AS fid, name FROM flag) AS flag ON fid = flag_id""",
 )
@@ -243,26 +242,16 @@ def _(t):
     return sorting.numbered_whole(named.select("id", "sort_name"), sorting.race_order("-name")).select("id", "position")
 
 
-@query("srt_2_default_order_whole", "SELECT id, date, row_number() OVER (ORDER BY date NULLS LAST, id) AS position FROM race")
+@query("srt_2_default_order", "SELECT id, date, row_number() OVER (ORDER BY date NULLS LAST, id) AS position FROM race")
 def _(t):
     return sorting.numbered_whole(t.race.select("id", "date"), [sorting.directed(F.col(c), False) for c in sorting.DEFAULT["race"]])
 
 
-@query("srt_3_audit_order_whole", "SELECT id, race_id, row_number() OVER (ORDER BY race_id DESC NULLS FIRST, id) AS position FROM participant")
+@query("srt_3_audit_order", "SELECT id, race_id, row_number() OVER (ORDER BY race_id DESC NULLS FIRST, id) AS position FROM participant")
 def _(t):
     return sorting.numbered_whole(t.participant.select("id", "race_id"), [sorting.directed(F.col("race_id"), True), F.col("id")])
 
 
-@query("srt_2_default_order", "SELECT id, date FROM (SELECT id, date FROM race ORDER BY date, id LIMIT 100)")
-def _(t):
-    return sorting.default_order(t.race, "race").select("id", "date").limit(100)
-
-
-@query("srt_3_audit_order", "SELECT id, race_id FROM (SELECT id, race_id FROM participant ORDER BY race_id DESC NULLS FIRST, id LIMIT 100)")
-def _(t):
-    return sorting.audit_order(t.participant, "race_id").select("id", "race_id").limit(100)
-
-
 @query(
     "srt_4_top_speed",
     "SELECT race_id, id AS participant_id FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY distance / (laps_ms[-1] / 1000.0::DOUBLE) * 3.6::DOUBLE DESC NULLS LAST, id) AS k FROM participant) WHERE k = 1",

@@ -37,17 +37,6 @@ def _(t):
 
 @query(
     "join_5_array_keys",
-    """WITH a AS (SELECT race_id, count(*) AS n, list(club_id % 4 ORDER BY club_id % 4) AS k FROM participant GROUP BY race_id)
-    SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.n = b.n AND a.k = b.k AND a.race_id <> b.race_id AND a.race_id % 20 = 0 AND b.race_id % 10 = 0""",
-)
-def _(t):
-    a = t.participant.groupBy("race_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("club_id") % 4)).alias("k"))
-    left, right = a.filter("race_id % 20 = 0"), a.filter("race_id % 10 = 0")
-    return left.join(right.withColumnRenamed("race_id", "other_id"), ["n", "k"]).filter("race_id <> other_id").select(F.col("race_id").alias("id"), "other_id")
-
-
-@query(
-    "join_5_array_keys_whole",
     """WITH a AS (SELECT race_id, count(*) AS n, list(club_id ORDER BY club_id) AS k, list(laps_ms[-1] ORDER BY laps_ms[-1] NULLS FIRST) AS times FROM participant GROUP BY race_id)
     SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.n = b.n AND a.k = b.k AND a.times = b.times AND a.race_id <> b.race_id""",
 )
@@ -80,22 +69,12 @@ def _(t):
     return t.race.join(n, same).select("id", "n")
 
 
-@query("join_9_not_exists_in_year", "SELECT id FROM flag WHERE NOT EXISTS (SELECT 1 FROM race WHERE race.flag_id = flag.id AND yr = 1996 AND race.id % 7 = 0)")
-def _(t):
-    return joins.races_in_year(t.flag, t.race.filter("id % 7 = 0"), 1996, raced=False).select("id")
-
-
-@query("join_10_in_subquery", "SELECT id FROM flag WHERE id IN (SELECT flag_id FROM race WHERE yr = 1996 AND race.id % 7 = 0)")
+@query("join_9_not_exists_in_year", "SELECT id FROM flag WHERE NOT EXISTS (SELECT 1 FROM race WHERE race.flag_id = flag.id AND yr = 2001 AND cancelled)")
 def _(t):
-    return joins.races_in_year(t.flag, t.race.filter("id % 7 = 0"), 1996, raced=True).select("id")
+    return joins.races_in_year(t.flag, t.race.filter("cancelled"), 2001, raced=False).select("id")
 
 
-@query("join_9_not_exists_in_year_whole", "SELECT id FROM flag WHERE NOT EXISTS (SELECT 1 FROM race WHERE race.flag_id = flag.id AND yr = 1996)")
-def _(t):
-    return joins.races_in_year(t.flag, t.race, 1996, raced=False).select("id")
-
-
-@query("join_10_in_subquery_whole", "SELECT id FROM flag WHERE id IN (SELECT flag_id FROM race WHERE yr = 1996)")
+@query("join_10_in_subquery", "SELECT id FROM flag WHERE id IN (SELECT flag_id FROM race WHERE yr = 1996)")
 def _(t):
     return joins.races_in_year(t.flag, t.race, 1996, raced=True).select("id")
 
@@ -137,14 +116,7 @@ def _(t):
 _TIMES = "d AS (SELECT id AS doc_id, race_id, laps_ms[-1] // 60000 AS time FROM participant WHERE len(laps_ms) > 0 AND id % 3 = 0), m AS (SELECT id, race_id, laps_ms[-1] // 60000 AS time, category FROM participant WHERE len(laps_ms) > 0)"
 
 
-@query("join_14_match_by_time", f"WITH {_TIMES} SELECT DISTINCT ON (doc_id) doc_id, id AS participant_id FROM d JOIN m USING (race_id, time) ORDER BY doc_id, category <> 'SCHOOL', id")
-def _(t):
-    minute = F.floor(last_lap(F.col("laps_ms")) / 60000)
-    timed = t.participant.filter(F.size("laps_ms") > 0)
-    return joins.match_by_time(timed.filter("id % 3 = 0").select(F.col("id").alias("doc_id"), "race_id", minute.alias("time")), timed.withColumn("laps_ms", F.array(minute)))
-
-
-@query("join_14_match_by_time_whole", f"WITH {_TIMES.replace(' AND id % 3 = 0', '')} SELECT DISTINCT ON (doc_id) doc_id, id AS participant_id FROM d JOIN m USING (race_id, time) ORDER BY doc_id, category <> 'SCHOOL', id")
+@query("join_14_match_by_time", f"WITH {_TIMES.replace(' AND id % 3 = 0', '')} SELECT DISTINCT ON (doc_id) doc_id, id AS participant_id FROM d JOIN m USING (race_id, time) ORDER BY doc_id, category <> 'SCHOOL', id")
 def _(t):
     minute = F.floor(last_lap(F.col("laps_ms")) / 60000)
     timed = t.participant.filter(F.size("laps_ms") > 0)

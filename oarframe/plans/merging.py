@@ -9,22 +9,41 @@ from ..operators import joins, merge
 from .filtering import _CLOSEST, _Q, _q
 from .registry import query
 
-_PLAN = f"""{_Q}, one AS ({_CLOSEST.format(q='q')}),
-  two AS (SELECT q.query_id, count(r.id) AS n, min(r.id) AS race_id FROM q JOIN one ON one.query_id = q.query_id AND one.status = 'none' LEFT JOIN race AS r ON r.date = q.date AND r.day = q.day AND r.gender = q.gender AND r.category = q.category
-    AND r.trophy_id IS NOT DISTINCT FROM q.trophy_id AND r.flag_id IS NOT DISTINCT FROM q.flag_id AND r.league_id IS NOT DISTINCT FROM q.league_id GROUP BY q.query_id),
-  m AS (SELECT one.query_id, CASE WHEN one.status = 'none' AND n = 1 THEN two.race_id ELSE one.race_id END AS race_id, one.status = 'ambiguous' OR coalesce(n, 0) > 1 AS several FROM one LEFT JOIN two USING (query_id)),
-  s AS (SELECT query_id, race_id, CASE WHEN query_id % 10 = 0 THEN 'IGNORED' WHEN several THEN 'REVIEW' WHEN race_id IS NULL THEN 'NEW' ELSE {{found}} END AS status FROM m)
-  SELECT query_id, CASE WHEN status = 'MERGED' THEN race_id END AS race_id, CASE WHEN status = 'NEW' THEN race_id END AS associated_id, status FROM s"""
+_EXACT = """r.date = u.date AND r.day = u.day AND r.gender = u.gender AND r.category = u.category
+    AND r.trophy_id IS NOT DISTINCT FROM u.trophy_id AND r.flag_id IS NOT DISTINCT FROM u.flag_id AND r.league_id IS NOT DISTINCT FROM u.league_id"""
+_OTHER_DAY = """b.yr = year(u.date) AND b.day = CASE WHEN u.day = 2 THEN 1 ELSE 2 END
+    AND (u.trophy_id IS NULL OR (u.trophy_id = b.trophy_id AND u.trophy_edition IS NOT DISTINCT FROM b.trophy_edition)) AND (u.flag_id IS NULL OR (u.flag_id = b.flag_id AND u.flag_edition IS NOT DISTINCT FROM b.flag_edition))
+    AND CASE WHEN u.league_id IS NULL THEN true WHEN coalesce(p.name ILIKE '%PLAY%OFF%', false) THEN b.league_id IS NULL ELSE coalesce(u.league_id = b.league_id, false) END"""
+#: Four races in five are stored, so some documents are new.
+_STORED = _CLOSEST.replace("race AS r", "stored AS r")
+_PLAN = f"""{_Q.replace('FROM doc', ", CASE WHEN pos % 10 <> 0 THEN trophy_edition END AS trophy_edition, CASE WHEN pos % 10 <> 0 THEN flag_edition END AS flag_edition, CASE WHEN pos % 6 = 0 THEN trophy_id END AS hint_trophy_id, CASE pos % 6 WHEN 0 THEN flag_id WHEN 1 THEN (flag_id + 1) % 40 END AS hint_flag_id FROM doc")}, stored AS (SELECT * FROM race WHERE id % 5 <> 1),
+  u AS (SELECT * FROM q WHERE (trophy_id IS NOT NULL AND coalesce(trophy_edition, 0) <> 0) OR (flag_id IS NOT NULL AND coalesce(flag_edition, 0) <> 0)),
+  h AS (SELECT * REPLACE (hint_trophy_id AS trophy_id, hint_flag_id AS flag_id) FROM u WHERE hint_trophy_id IS NOT NULL OR hint_flag_id IS NOT NULL),
+  hu AS (SELECT * FROM ({_STORED.format(q='h')}) WHERE status = 'unique'), rest AS (SELECT * FROM u WHERE query_id NOT IN (SELECT query_id FROM hu)),
+  one AS ({_STORED.format(q='rest')}),
+  again AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS gender, CAST(NULL AS VARCHAR) AS category) FROM rest WHERE query_id IN (SELECT query_id FROM one WHERE status = 'none')), two AS ({_STORED.format(q='again')}),
+  f AS (SELECT * FROM hu UNION ALL SELECT * FROM one WHERE status <> 'none' UNION ALL SELECT * FROM two),
+  e AS (SELECT u.query_id, count(r.id) AS n, min(r.id) AS race_id FROM u JOIN f ON f.query_id = u.query_id AND f.status = 'none' LEFT JOIN stored AS r ON {_EXACT} GROUP BY u.query_id),
+  a AS (SELECT u.query_id, count(*) AS n, min(b.id) AS other_id FROM u LEFT JOIN trophy AS p ON p.id = u.trophy_id JOIN stored AS b ON {_OTHER_DAY} GROUP BY u.query_id),
+  m AS (SELECT q.query_id, u.query_id IS NULL AS ignored, CASE WHEN f.status = 'none' AND e.n = 1 THEN e.race_id ELSE f.race_id END AS race_id,
+    f.status = 'ambiguous' OR coalesce(e.n, 0) > 1 OR coalesce(a.n, 0) > 1 AS several, CASE WHEN a.n = 1 THEN a.other_id END AS other_id
+    FROM q LEFT JOIN u USING (query_id) LEFT JOIN f USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN a USING (query_id)),
+  s AS (SELECT *, CASE WHEN ignored THEN 'IGNORED' WHEN several THEN 'REVIEW' WHEN race_id IS NULL THEN 'NEW' ELSE {{found}} END AS status FROM m)
+  SELECT query_id, CASE WHEN status = 'MERGED' THEN race_id END AS race_id, CASE status WHEN 'NEW' THEN coalesce(other_id, race_id) WHEN 'MERGED' THEN other_id END AS associated_id, status FROM s"""
 
 
 def _plan_docs(t):
-    return _q(t).withColumn("edition", F.when(F.col("query_id") % 10 != 0, 1))
+    numbered = t.doc.withColumn("query_id", F.col("pos"))
+    known = lambda c: F.when(F.col("pos") % 10 != 0, F.col(c)).alias(c)
+    hint_flag = F.when(F.col("pos") % 6 == 0, F.col("flag_id")).when(F.col("pos") % 6 == 1, (F.col("flag_id") + 1) % 40).alias("hint_flag_id")
+    extra = numbered.select("query_id", known("trophy_edition"), known("flag_edition"), F.when(F.col("pos") % 6 == 0, F.col("trophy_id")).alias("hint_trophy_id"), hint_flag)
+    return _q(t).join(extra, "query_id")
 
 
 def _plan(name: str, policy: str, found: str) -> None:
     @query(name, f"WITH {_PLAN.format(found=found)}")
     def _(t):
-        return merge.plan_races(_plan_docs(t), t.race, policy)
+        return merge.plan_races(_plan_docs(t), t.race.filter("id % 5 <> 1"), t.trophy, policy)
 
 
 _plan("mrg_1_plan_races", "always", "'MERGED'")
@@ -54,51 +73,84 @@ _KEYS = ("trophy_id", "flag_id", "league_id", "trophy_edition", "flag_edition",
 _SAME = " AND ".join(f"r.{k} IS NOT DISTINCT FROM n.{k}" for k in _KEYS)
 
 
-@query(
-    "mrg_3_save_races",
-    f"""WITH n AS (SELECT * FROM race WHERE id % 5 = 2), old AS (SELECT * FROM race WHERE id % 5 <> 2),
+_SAVED = f"""n AS (SELECT * FROM race WHERE id % 5 = 2), old AS (SELECT * FROM race WHERE id % 5 <> 2),
     c AS (SELECT n.id, n.day, n.yr, EXISTS (SELECT 1 FROM old AS r WHERE r.day = n.day AND {_SAME}) AS taken, EXISTS (SELECT 1 FROM old AS r WHERE r.day = 2 AND {_SAME}) AS second,
       (SELECT min(r.id) FROM old AS r WHERE r.day = 1 AND r.yr = n.yr AND {_SAME}) AS first_id FROM n),
     d AS (SELECT *, taken AND day = 1 AND NOT second AND first_id IS NOT NULL AS retry FROM c)
     SELECT id, CASE WHEN retry THEN 2 ELSE day END AS day, CASE WHEN retry THEN 'SAVE_AS_DAY_2' WHEN taken OR (day = 2 AND first_id IS NULL) THEN 'REJECT' WHEN yr < 1996 THEN 'SAVE' ELSE 'REVIEW' END AS action,
-      CASE WHEN retry OR day = 2 THEN first_id END AS associated_id FROM d""",
-)
-def _(t):
-    return merge.save_races(t.race.filter("id % 5 = 2"), t.race.filter("id % 5 <> 2"), auto_before=1996)
+      CASE WHEN retry OR day = 2 THEN first_id END AS associated_id FROM d"""
 
 
-_BOATS = """d AS (SELECT id AS doc_id, race_id, club_id, gender, category, CASE WHEN id % 3 <> 0 THEN branch END AS branch, CASE WHEN id % 2 = 0 THEN laps_ms ELSE list_concat(laps_ms, [1::BIGINT]) END AS laps_ms, CASE WHEN id % 5 <> 0 THEN lane END AS lane, 'CLUB ' || club_id AS club_name FROM participant),
-  s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id, club_id, gender, category, branch ORDER BY id) AS k FROM participant WHERE id % 4 <> 0) WHERE k = 1),
-  j AS (SELECT d.*, s.id AS participant_id, s.laps_ms AS s_laps, s.lane AS s_lane, s.club_names AS s_names, len(d.laps_ms) > len(s.laps_ms) AS longer, d.lane IS NOT NULL AND d.lane IS DISTINCT FROM s.lane AS other, NOT list_contains(s.club_names, club_name) AS named
-    FROM d LEFT JOIN s ON s.race_id = d.race_id AND s.club_id = d.club_id AND s.gender = d.gender AND s.category = d.category AND s.branch IS NOT DISTINCT FROM d.branch)"""
+def _saved(t):
+    return merge.save_races(t.race.filter("id % 5 = 2"), t.race.filter("id % 5 <> 2"), auto_before=1996)
 
 
-@query(
-    "mrg_4_plan_participants",
-    f"""WITH {_BOATS} SELECT doc_id, participant_id, CASE WHEN participant_id IS NULL THEN 'NEW' WHEN longer OR other OR named THEN 'MERGED' ELSE 'EXISTING' END AS status,
-      len(CASE WHEN participant_id IS NULL OR longer THEN laps_ms ELSE s_laps END) AS laps, CASE WHEN participant_id IS NULL OR other THEN lane ELSE s_lane END AS lane,
-      CASE WHEN participant_id IS NULL THEN club_name ELSE array_to_string(list_sort(list_distinct(list_append(s_names, club_name))), ',') END AS names FROM j""",
-)
+@query("mrg_3_save_races", f"WITH {_SAVED}")
 def _(t):
-    p = t.participant
-    docs = p.select(
-        F.col("id").alias("doc_id"), "race_id", "club_id", "gender", "category", F.when(F.col("id") % 3 != 0, F.col("branch")).alias("branch"),
-        F.when(F.col("id") % 2 == 0, F.col("laps_ms")).otherwise(F.concat("laps_ms", F.array(F.lit(1).cast("long")))).alias("laps_ms"), F.when(F.col("id") % 5 != 0, F.col("lane")).alias("lane"),
-        F.concat(F.lit("CLUB "), F.col("club_id").cast("string")).alias("club_name"),
-    )
-    planned = merge.plan_participants(docs, p.filter("id % 4 <> 0"))
-    return planned.select("doc_id", "participant_id", "status", F.size("laps_ms").cast("long").alias("laps"), "lane", F.array_join("club_names", ",").alias("names"))
+    return _saved(t)
 
 
-@query(
-    "mrg_5_merge_participant",
-    "SELECT id, len(laps_ms) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS laps, CASE WHEN id % 3 = 0 THEN 9 ELSE lane END AS lane, CASE WHEN id % 7 = 0 THEN 1 ELSE 2 END AS refs FROM participant",
-)
+_LINKED = f"SELECT id, associated_id FROM (WITH {_SAVED}) WHERE action <> 'REJECT' AND associated_id IS NOT NULL"
+
+
+@query("mrg_3_day_links", f"{_LINKED} UNION ALL SELECT associated_id, id FROM ({_LINKED})")
 def _(t):
-    ref = lambda name: F.struct(name.alias("datasource_name"), F.lit(None).cast("string").alias("ref_id"))
-    longer = F.when(F.col("id") % 2 == 0, F.concat("laps_ms", F.array(F.lit(1).cast("long")))).otherwise(F.slice("laps_ms", 1, 1))
-    pairs = t.participant.select("id", "laps_ms", "lane", longer.alias("new_laps_ms"), F.when(F.col("id") % 3 == 0, 9).alias("new_lane"), F.array(ref(F.lit("act"))).alias("metadata"), ref(F.when(F.col("id") % 7 == 0, "act").otherwise("arc")).alias("new_metadata"))
-    return merge.merge_participant(pairs).select("id", F.size("laps_ms").cast("long").alias("laps"), "lane", F.size("metadata").alias("refs"))
+    return merge.day_links(_saved(t))
+
+
+_BOATS = """d AS (SELECT p.id AS doc_id, race_id, club_id, p.gender, p.category, CASE WHEN p.id % 3 <> 0 THEN branch END AS branch, CASE WHEN p.id % 2 = 0 THEN 'X B' WHEN p.id % 7 <> 0 THEN 'X' END AS raw_name, r.league_id IS NOT NULL AS has_league,
+    CASE WHEN p.id % 2 = 0 THEN laps_ms ELSE list_concat(laps_ms, [1::BIGINT]) END AS laps_ms, CASE WHEN r.type = 'TIME_TRIAL' THEN 1 WHEN p.id % 5 <> 0 THEN lane END AS lane, p.id % 8 < 5 AS can_be, 'CLUB ' || club_id AS club_name, CASE WHEN p.id % 5 = 0 THEN '7' END AS ref_id
+    FROM participant AS p JOIN race AS r ON r.id = race_id),
+  s AS (SELECT *, id % 3 = 0 AS has_ref FROM participant WHERE id % 4 <> 0),
+  m AS (SELECT d.doc_id, raw_name, has_league, s.id, s.branch, count(*) OVER (PARTITION BY doc_id) AS n FROM d JOIN s ON s.race_id = d.race_id AND s.club_id = d.club_id AND s.gender = d.gender AND s.category = d.category AND s.branch IS NOT DISTINCT FROM d.branch),
+  l AS (SELECT doc_id, count(*) AS n, min(id) AS id FROM m WHERE n = 1 OR has_league OR raw_name IS NULL OR branch IS NOT DISTINCT FROM CASE WHEN raw_name = 'X B' THEN 'B' END GROUP BY doc_id),
+  j AS (SELECT d.*, coalesce(l.n, 0) AS n, s.id AS participant_id, s.laps_ms AS s_laps, s.lane AS s_lane, s.club_names AS s_names, s.branch AS s_branch, s.has_ref, len(d.laps_ms) > len(s.laps_ms) AS longer,
+    d.lane IS NOT NULL AND d.lane IS DISTINCT FROM s.lane AS other, NOT (s.has_ref AND d.ref_id IS NULL) AS new_source FROM d LEFT JOIN l USING (doc_id) LEFT JOIN s ON l.n = 1 AND s.id = l.id),
+  t AS (SELECT *, CASE WHEN n > 1 THEN 'REVIEW' WHEN n = 0 THEN 'NEW' WHEN NOT (longer OR other) THEN 'EXISTING' ELSE {changed} END AS status FROM j)
+  SELECT doc_id, CASE WHEN status <> 'NEW' THEN participant_id END AS participant_id, status, len(CASE WHEN status = 'NEW' OR (status = 'MERGED' AND {policy} AND longer) THEN laps_ms ELSE s_laps END) AS laps,
+    CASE WHEN status = 'NEW' OR (status = 'MERGED' AND {policy} AND other) THEN lane ELSE s_lane END AS lane,
+    CASE WHEN n = 0 THEN club_name ELSE array_to_string(CASE WHEN status = 'NEW' OR (status IN ('EXISTING', 'MERGED') AND new_source) THEN list_sort(list_distinct(list_append(s_names, club_name))) ELSE s_names END, ',') END AS names,
+    CASE WHEN status = 'NEW' THEN CASE WHEN can_be THEN branch END ELSE s_branch END AS branch,
+    CASE WHEN status = 'NEW' THEN 1 ELSE CASE WHEN has_ref THEN 1 WHEN NOT has_ref THEN 0 END + CASE WHEN status IN ('EXISTING', 'MERGED') AND new_source THEN 1 ELSE 0 END END AS refs FROM t"""
+_NO_REF = "cast(array() as array<struct<datasource_name:string,ref_id:string>>)"
+
+
+def _planned_boats(name: str, update: str, changed: str) -> None:
+    @query(name, f"WITH {_BOATS.format(changed=changed, policy='true' if update == 'always' else 'false')}")
+    def _(t):
+        own, even = F.col("id"), F.col("id") % 2 == 0
+        races = t.race.select(F.col("id").alias("race_id"), F.col("league_id").isNotNull().alias("has_league"), (F.col("type") == "TIME_TRIAL").alias("time_trial"))
+        docs = t.participant.join(races, "race_id").select(
+            own.alias("doc_id"), "race_id", "club_id", "gender", "category", F.when(own % 3 != 0, F.col("branch")).alias("branch"), F.when(even, "X B").when(own % 7 != 0, "X").alias("raw_name"), "has_league", "time_trial",
+            F.when(even, F.col("laps_ms")).otherwise(F.concat("laps_ms", F.array(F.lit(1).cast("long")))).alias("laps_ms"), F.when(own % 5 != 0, F.col("lane")).alias("lane"), (own % 8 < 5).alias("can_be_branch"),
+            F.concat(F.lit("CLUB "), F.col("club_id").cast("string")).alias("club_name"), F.lit("act").alias("datasource"), F.when(own % 5 == 0, "7").alias("ref_id"),
+        )
+        one = F.array(F.struct(F.lit("act").alias("datasource_name"), F.lit(None).cast("string").alias("ref_id")))
+        stored = t.participant.filter("id % 4 <> 0").withColumn("metadata", F.when(own % 3 == 0, one).otherwise(F.expr(_NO_REF)))
+        planned = merge.plan_participants(docs, stored, update)
+        return planned.select("doc_id", "participant_id", "status", F.size("laps_ms").cast("long").alias("laps"), "lane", F.array_join("club_names", ",").alias("names"), "branch", F.size("refs").alias("refs"))
+
+
+_planned_boats("mrg_4_plan_participants", "always", "'MERGED'")
+_planned_boats("mrg_4_plan_participants_never", "never", "CASE WHEN has_ref THEN 'NEW' ELSE 'MERGED' END")
+
+
+def _merged_boats(name: str, allowed: bool, sql: str) -> None:
+    @query(name, sql)
+    def _(t):
+        ref = lambda name: F.struct(name.alias("datasource_name"), F.lit(None).cast("string").alias("ref_id"))
+        longer = F.when(F.col("id") % 2 == 0, F.concat("laps_ms", F.array(F.lit(1).cast("long")))).otherwise(F.slice("laps_ms", 1, 1))
+        pairs = t.participant.select(
+            "id", "laps_ms", "lane", longer.alias("new_laps_ms"), F.when(F.col("id") % 3 == 0, 9).alias("new_lane"), "club_names", F.array(F.lit("NEW")).alias("new_club_names"),
+            F.array(ref(F.lit("act"))).alias("metadata"), ref(F.when(F.col("id") % 7 == 0, "act").otherwise("arc")).alias("new_metadata"),
+        )
+        merged = merge.merge_participant(pairs, allowed)
+        return merged.select("id", F.size("laps_ms").cast("long").alias("laps"), "lane", F.size("club_names").cast("long").alias("names"), F.size("metadata").alias("refs"))
+
+
+_SOURCED = "len(club_names) + CASE WHEN id % 7 = 0 THEN 0 ELSE 1 END AS names, CASE WHEN id % 7 = 0 THEN 1 ELSE 2 END AS refs FROM participant"
+_merged_boats("mrg_5_merge_participant", True, f"SELECT id, len(laps_ms) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS laps, CASE WHEN id % 3 = 0 THEN 9 ELSE lane END AS lane, {_SOURCED}")
+_merged_boats("mrg_5_merge_refused", False, f"SELECT id, len(laps_ms) AS laps, lane, {_SOURCED}")
 
 
 @query("mrg_6_add_metadata", "SELECT r.race_id AS id, count(*) + CASE WHEN r.race_id % 3 = 0 THEN 0 ELSE 1 END AS refs FROM race_ref AS r GROUP BY r.race_id")
@@ -110,35 +162,44 @@ def _(t):
 _NEW = "n AS (SELECT participant_id, CASE WHEN participant_id % 2 = 0 THEN 'COLLISION' ELSE 'NO_LINE_START' END AS reason, true AS disqualification, CASE WHEN participant_id % 3 <> 0 THEN 'seen' END AS note FROM penalty WHERE participant_id % 4 < 2 UNION ALL SELECT id, 'OFF_THE_FIELD', false, 'late' FROM participant WHERE id % 50 = 0 AND id NOT IN (SELECT participant_id FROM penalty))"
 
 
-@query(
-    "mrg_7_upsert_penalty",
-    f"""WITH {_NEW}, p AS (SELECT participant_id, reason, disqualification, notes FROM penalty UNION ALL SELECT participant_id, 'COLLISION', false, ['second'] FROM penalty WHERE participant_id % 8 = 0),
+_UPSERT = f"""{_NEW}, p AS (SELECT participant_id, reason, disqualification, notes FROM penalty UNION ALL SELECT participant_id, 'COLLISION', false, ['second'] FROM penalty WHERE participant_id % 8 = 0),
     c AS (SELECT *, count(*) OVER (PARTITION BY participant_id) AS n, count(*) OVER (PARTITION BY participant_id, reason) AS k FROM p),
-    u AS (SELECT n.participant_id, coalesce(c.reason, n.reason) AS reason, c.disqualification, array_to_string(CASE WHEN n.note IS NULL THEN c.notes ELSE list_append(c.notes, n.note) END, ',') AS notes, 'UPDATED' AS status FROM n JOIN c ON c.participant_id = n.participant_id AND (c.n = 1 OR (c.k = 1 AND c.reason = n.reason)))
-    SELECT * FROM u UNION ALL SELECT participant_id, reason, disqualification, coalesce(note, ''), 'CREATED' FROM n WHERE participant_id NOT IN (SELECT participant_id FROM u)""",
-)
-def _(t):
+    u AS (SELECT n.participant_id, coalesce(c.reason, n.reason) AS reason, c.disqualification, array_to_string(CASE WHEN n.note IS NULL OR list_contains(c.notes, n.note) THEN c.notes ELSE list_append(c.notes, n.note) END, ',') AS notes, 'UPDATED' AS status
+      FROM n JOIN c ON c.participant_id = n.participant_id AND CASE WHEN c.n = 1 THEN c.reason IS NULL OR c.reason = n.reason ELSE c.k = 1 AND coalesce(c.reason = n.reason, false) END)
+    SELECT * FROM u UNION ALL SELECT participant_id, reason, disqualification, coalesce(note, ''), 'CREATED' FROM n WHERE participant_id NOT IN (SELECT participant_id FROM u)"""
+
+
+def _penalties(t):
+    """Stored penalties, some boats with a second one; and those of documents."""
     second = t.penalty.filter("participant_id % 8 = 0").select("participant_id", F.lit(False).alias("disqualification"), F.lit("COLLISION").alias("reason"), F.array(F.lit("second")).alias("notes"))
-    stored = t.penalty.unionByName(second)
     reason = F.when(F.col("participant_id") % 2 == 0, "COLLISION").otherwise("NO_LINE_START")
     new = t.penalty.filter("participant_id % 4 < 2").select("participant_id", reason.alias("reason"), F.lit(True).alias("disqualification"), F.when(F.col("participant_id") % 3 != 0, "seen").alias("note"))
     late = t.participant.filter("id % 50 = 0").select(F.col("id").alias("participant_id"), F.lit("OFF_THE_FIELD").alias("reason"), F.lit(False).alias("disqualification"), F.lit("late").alias("note"))
-    new = new.unionByName(late.join(t.penalty.select("participant_id"), "participant_id", "left_anti"))
+    return t.penalty.unionByName(second), new.unionByName(late.join(t.penalty.select("participant_id"), "participant_id", "left_anti"))
+
+
+@query("mrg_7_upsert_penalty", f"WITH {_UPSERT}")
+def _(t):
+    stored, new = _penalties(t)
     return merge.upsert_penalty(new, stored).withColumn("notes", F.array_join("notes", ","))
 
 
-@query("mrg_8_save_participants", "SELECT id AS doc_id, CASE WHEN id % 3 = 0 THEN 'KEEP' WHEN race_id % 2 = 0 THEN 'SAVE' ELSE 'REVIEW' END AS action FROM participant")
+@query("mrg_11_backfill_penalties", f"WITH {_UPSERT}")
 def _(t):
-    plan = t.participant.select(F.col("id").alias("doc_id"), "race_id", F.when(F.col("id") % 3 == 0, "EXISTING").otherwise("NEW").alias("status"))
-    return merge.save_participants(plan, t.race.filter("id % 2 = 0").select(F.col("id").alias("race_id")))
+    stored, new = _penalties(t)
+    # Documents of races report the same penalties, and as many report none.
+    reported = new.select("participant_id", F.col("reason").alias("penalty_reason"), F.col("disqualification").alias("penalty_out"), F.concat(F.coalesce("note", F.lit("")), F.lit(" ")).alias("race_notes"))
+    silent = reported.withColumn("penalty_reason", F.lit(None).cast("string")).withColumn("penalty_out", F.lit(False))
+    return merge.backfill_penalties(reported.unionByName(silent), stored).withColumn("notes", F.array_join("notes", ","))
 
 
-@query("mrg_9_mark_checked", "SELECT id, CASE WHEN id IN (SELECT flag_id FROM race WHERE yr = 1995 AND id % 30 = 0) THEN DATE '1999-01-01' ELSE last_checked END AS last_checked FROM flag")
+@query("mrg_8_save_participants", "SELECT id AS doc_id, CASE WHEN id % 3 = 0 THEN 'KEEP' WHEN race_id % 2 = 0 THEN 'SAVE' ELSE 'REVIEW' END AS action FROM participant")
 def _(t):
-    return merge.mark_checked(t.flag, t.race.filter("yr = 1995 and id % 30 = 0 and flag_id is not null"), "1999-01-01").select("id", "last_checked")
+    plan = t.participant.select(F.col("id").alias("doc_id"), "race_id", F.when(F.col("id") % 3 == 0, "EXISTING").otherwise("NEW").alias("status"))
+    return merge.save_participants(plan, t.race.filter("id % 2 = 0").select(F.col("id").alias("race_id")))
 
 
-@query("mrg_9_mark_checked_whole", "SELECT id, CASE WHEN id IN (SELECT flag_id FROM race WHERE yr = 1995) THEN DATE '1999-01-01' ELSE last_checked END AS last_checked FROM flag")
+@query("mrg_9_mark_checked", "SELECT id, CASE WHEN id IN (SELECT flag_id FROM race WHERE yr = 1995) THEN DATE '1999-01-01' ELSE last_checked END AS last_checked FROM flag")
 def _(t):
     return merge.mark_checked(t.flag, t.race.filter("yr = 1995 and flag_id is not null"), "1999-01-01").select("id", "last_checked")
 
@@ -147,13 +208,17 @@ def _(t):
     "mrg_10_mix_participants",
     """WITH d AS (SELECT id AS doc_id, race_id, laps_ms[-1] AS time FROM participant WHERE len(laps_ms) > 0 AND race_id IN (SELECT id FROM race WHERE gender = 'ALL')),
     m AS (SELECT DISTINCT ON (doc_id) doc_id, p.id FROM d JOIN participant AS p ON p.race_id = d.race_id AND p.laps_ms[-1] = d.time ORDER BY doc_id, p.category <> 'SCHOOL', p.id)
-    SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'MIX' ELSE gender END AS gender, CASE WHEN id IN (SELECT id FROM m) THEN 'ABSOLUT' ELSE category END AS category FROM participant""",
+    SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'MIX' ELSE gender END AS gender, CASE WHEN id IN (SELECT id FROM m) THEN 'ABSOLUT' ELSE category END AS category,
+      (SELECT min('doc ' || doc_id) FROM m WHERE m.id = participant.id) AS data FROM participant""",
 )
 def _(t):
     timed = t.participant.filter(F.size("laps_ms") > 0)
     of_all = timed.join(t.race.filter("gender = 'ALL'").select(F.col("id").alias("race_id")), "race_id", "left_semi")
     docs = of_all.select(F.col("id").alias("doc_id"), "race_id", F.element_at("laps_ms", -1).alias("time"))
-    return merge.mix_participants(t.participant, joins.match_by_time(docs, timed)).select("id", "gender", "category")
+    matched = joins.match_by_time(docs, timed).withColumn("new_data", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    none = F.lit(None).cast("string")
+    boats = t.participant.withColumn("metadata", F.array(F.struct(F.lit("act").alias("datasource_name"), none.alias("date"), none.alias("data"))))
+    return merge.mix_participants(boats, matched, "2001-01-01").select("id", "gender", "category", F.col("metadata")[0]["data"].alias("data"))
 
 
 @query(

@@ -59,22 +59,35 @@ def _(t):
 @query(
     "dq_7_domains",
     """SELECT 'domain_gender' AS rule, 'participant' AS entry, id::VARCHAR AS row_key, 'ALL' AS detail FROM participant WHERE id % 97 = 0
-    UNION ALL SELECT 'domain_type', 'race', id::VARCHAR, 'SPRINT' FROM race WHERE id % 101 = 0""",
+    UNION ALL SELECT 'domain_type', 'race', id::VARCHAR, 'SPRINT' FROM race WHERE id % 101 = 0
+    UNION ALL SELECT 'domain_reason', 'penalty', participant_id::VARCHAR, 'LATE' FROM penalty WHERE participant_id % 7 = 0
+    UNION ALL SELECT 'domain_type', 'entity', id::VARCHAR, 'TEAM' FROM club WHERE id % 5 = 0""",
 )
 def _(t):
     races = t.race.withColumn("type", F.when(F.col("id") % 101 == 0, "SPRINT").otherwise(F.col("type")))
-    return quality.domains(races, t.participant.withColumn("gender", F.when(F.col("id") % 97 == 0, "ALL").otherwise(F.col("gender"))))
+    boats = t.participant.withColumn("gender", F.when(F.col("id") % 97 == 0, "ALL").otherwise(F.col("gender")))
+    penalties = t.penalty.withColumn("reason", F.when(F.col("participant_id") % 7 == 0, "LATE").otherwise(F.col("reason")))
+    return quality.domains(races, boats, penalties, t.club.withColumn("type", F.when(F.col("id") % 5 == 0, "TEAM").otherwise("CLUB")))
 
 
 @query(
     "dq_8_references",
     """SELECT 'race_exists' AS rule, 'participant' AS entry, id::VARCHAR AS row_key, race_id::VARCHAR AS detail FROM participant WHERE race_id % 31 = 0
     UNION ALL SELECT 'club_exists', 'participant', id::VARCHAR, club_id::VARCHAR FROM participant WHERE club_id % 37 = 0
-    UNION ALL SELECT 'part_is_no_partnership', 'entity', id::VARCHAR, NULL FROM club WHERE fused_into IS NOT NULL AND id % 20 = 3""",
+    UNION ALL SELECT 'part_is_no_partnership', 'entity', id::VARCHAR, NULL FROM club WHERE fused_into IS NOT NULL AND id % 20 = 3
+    UNION ALL SELECT 'club_is_a_club', 'participant', id::VARCHAR, 'PRIVATE' FROM participant WHERE club_id % 41 = 0 AND club_id % 37 <> 0
+    UNION ALL SELECT 'trophy_exists', 'race', id::VARCHAR, trophy_id::VARCHAR FROM race WHERE trophy_id = 4 UNION ALL SELECT 'flag_exists', 'race', id::VARCHAR, flag_id::VARCHAR FROM race WHERE flag_id = 5
+    UNION ALL SELECT 'league_exists', 'race', id::VARCHAR, league_id::VARCHAR FROM race WHERE league_id = 2 UNION ALL SELECT 'place_exists', 'race', id::VARCHAR, place_id::VARCHAR FROM race WHERE place_id = 3
+    UNION ALL SELECT 'organizer_exists', 'race', id::VARCHAR, organizer_id::VARCHAR FROM race WHERE organizer_id = 7 UNION ALL SELECT 'town_exists', 'place', id::VARCHAR, town_id::VARCHAR FROM place WHERE town_id = 1""",
 )
 def _(t):
-    clubs = t.club.withColumn("is_partnership", F.col("id") % 20 == 3)
-    return quality.references(t.participant, t.race.filter("id % 31 <> 0"), clubs.filter("id % 37 <> 0"))
+    clubs = t.club.withColumn("is_partnership", F.col("id") % 20 == 3).withColumn("type", F.when(F.col("id") % 41 == 0, "PRIVATE").otherwise("CLUB"))
+    links = (
+        (t.race, "race", "trophy_id", t.trophy.filter("id <> 4"), "trophy"), (t.race, "race", "flag_id", t.flag.filter("id <> 5"), "flag"),
+        (t.race, "race", "league_id", t.league.filter("id <> 2"), "league"), (t.race, "race", "place_id", t.place.filter("id <> 3"), "place"),
+        (t.race, "race", "organizer_id", clubs.filter("id <> 7"), "organizer"), (t.place, "place", "town_id", t.town.filter("id <> 1"), "town"),
+    )
+    return quality.references(t.participant, t.race.filter("id % 31 <> 0"), clubs.filter("id % 37 <> 0"), links)
 
 
 @query("dq_9_unique_names", f"{_repeated('unique_name', 'entity', 'part', ['p_name'])} UNION ALL {_repeated('unique_name', 'place', '(SELECT o_custkey % 5 AS town, o_orderpriority AS name FROM orders)', ['name', 'town'])}")

@@ -39,3 +39,7 @@ RACE_CATEGORIES = ("ABSOLUT", "VETERAN", "SCHOOL", "ALL")
 ENTITY_TYPES = ("CLUB", "LEAGUE", "FEDERATION", "PRIVATE")
 PARTICIPANT_GENDERS = ("MALE", "FEMALE", "MIX")
 RACE_GENDERS = ("MALE", "FEMALE", "ALL")
+PENALTY_REASONS = (
+    "BOAT_WEIGHT_LIMIT", "COLLISION", "COXWAIN_WEIGHT_LIMIT", "LACK_OF_COMPETITIVENESS", "NO_LINE_START", "NULL_START",
+    "OFF_THE_FIELD", "SINKING", "STARBOARD_TACK", "WRONG_LINEUP", "WRONG_ROUTE",
+)
