@@ -305,6 +305,40 @@ def test_op5_recall(spark, sf):
     assert len(want & got) >= 0.99 * len(want) and len(got) == len(want)
 
 
+def brute_nearest(ids, vectors, queries, k=10):
+    out = {}
+    for q in queries:
+        d = np.sqrt(((vectors.astype(np.float64) - vectors[q].astype(np.float64)) ** 2).sum(axis=1))
+        order = np.lexsort((ids, d))
+        out[int(ids[q])] = [int(ids[i]) for i in order if ids[i] != ids[q]][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_op5_recall_beyond_the_sample(spark, kind):
+    """30,000 vectors, the sample a sixtieth of them: recall at 10 against brute force."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(30000, 64))
+    if kind == "clustered":
+        vectors = rng.normal(size=(40, 64))[rng.integers(0, 40, 30000)] * 3 + vectors
+        vectors[:9000] = vectors[0] + 1e-3 * rng.normal(size=(9000, 64))  # a hot cell
+    vectors = vectors.astype(np.float32)
+    df = spark.createDataFrame(list(zip(range(30000), vectors.tolist())), "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 300 == 0, sample=512).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = brute_nearest(np.arange(30000), vectors, range(0, 30000, 300))
+    assert np.mean([len(set(got[q]) & set(w)) / 10 for q, w in want.items()]) > 0.95
+
+
+def test_op5_keeps_doubles_ties_and_no_queries(spark):
+    rows = [(100, [0.1, 0.2]), (3, [0.1, 0.40000000001]), (7, [0.1, 0.40000000001]), (5, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, F.col("id") % 100 == 0).orderBy("rank").collect()]
+    assert [g[2] for g in got] == [5, 3, 7] and got[1][3] == got[2][3] == ann.exact_distances(np.array([[0.1, 0.40000000001]]), np.array([[0.1, 0.2]]))[0]
+    assert ann.nearest(df, F.col("id") > 1000).count() == 0
+
+
 def test_op5_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0]), (7, [1.0, 0.1]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
