@@ -1,16 +1,18 @@
-"""Stupid-backoff scores from count tables partitioned by hash.
+"""Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-1. Documents are taken in chunks of a few megabytes; a chunk row holds its words as numbers into its
+1. Documents are taken in chunks of some megabytes; a chunk row holds its words as numbers into its
    own vocabulary of word hashes, frequent words first (written once to the shared folder).
-2. Each chunk asks for its distinct n-grams of every order, with its own counts, one request row for
-   each range of the hash space (bucket).
-3. A bucket adds up the chunks' counts, which makes its part of the count tables, and joins the
-   totals to the requests, one reply row for each chunk.
-4. Replies meet their chunk again; its tokens look up their n-grams' totals, and the logarithms are
-   summed by document.
-
-A frequent n-gram is asked for once by each chunk, however often it occurs, so no key is hot.  The
-number of buckets grows with the tokens, which bounds what one task holds.
+2. Each chunk counts its distinct n-grams of every order: the pre-aggregation.  They leave as arrays
+   of hashes and counts, one for each range of the hash space (bucket), so that one shuffle by bucket
+   moves little more than the hashes themselves.
+3. There the arrays are exploded to rows (hash, chunk, place, count).  A sum over all rows of a hash is
+   its entry in the count table, and joins the total to each row without another shuffle.
+4. Totals that differ from the chunk's own count go back to the chunk, whose tokens look up their
+   n-grams; the logarithms are summed by document.
+
+A frequent n-gram has one row for each chunk, however often it occurs, and totals over such a row
+group spill to disk, so no key is hot.  The number of buckets grows with the tokens, which bounds
+what one task holds; arrays then get shorter, down to single rows, and never outnumber the n-grams.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, pieces, text_buffers, word_hashes
 
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 BUCKET_TOKENS = 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,81 +99,75 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 class ChunkGrams:
-    """A chunk's distinct n-grams of each order, sorted by hash, and which of them ends at each token."""
+    """A chunk's distinct n-grams of all orders, sorted by hash, and which of them ends at each token.
+
+    at[n - 1] has the place of the n-gram that ends at each token, or -1.
+    """
 
     def __init__(self, first: bytes, words: bytes, vocab: bytes, order: int):
         self.first = unpack_sorted(first).astype(np.int64)
         words = unpack_ranks(words).astype(np.int64)
         base = unpack_numbers(vocab)
-        place = np.arange(len(words)) - np.repeat(self.first[:-1], np.diff(self.first))
-        self.place = place
-        self.hashes, self.at, self.counts = [], [], []
-        self._add(base, words, np.bincount(words, minlength=len(base)))
+        self.place = np.arange(len(words), dtype=np.int32) - np.repeat(self.first[:-1], np.diff(self.first)).astype(np.int32)
+        hashes, counts, at = [base], [np.bincount(words, minlength=len(base))], [words]
         for n in range(2, order + 1):
-            ends = np.flatnonzero(place >= n - 1)
-            code = self.at[-1][ends - 1] * len(base) + words[ends]
-            distinct, which, counts = np.unique(code, return_inverse=True, return_counts=True)
+            ends = np.flatnonzero(self.place >= n - 1)
+            code = at[-1][ends - 1].astype(np.int64) * len(base) + words[ends]
+            distinct, which, seen = np.unique(code, return_inverse=True, return_counts=True)
             left, right = np.divmod(distinct, max(1, len(base)))
-            hashes = mix(mix(self.hashes[-1][left] * _STEP + np.uint64(n)) + base[right])
-            at = np.full(len(words), -1, np.int64)
-            at[ends] = which
-            self._add(hashes, at, counts)
-
-    def _add(self, hashes: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
-        by_hash = np.argsort(hashes)
-        rank = np.append(np.empty(len(by_hash), np.int64), -1)
-        rank[by_hash] = np.arange(len(by_hash))
-        self.hashes.append(hashes[by_hash])
-        self.at.append(rank[at])
-        self.counts.append(counts[by_hash])
+            hashes.append(mix(mix(hashes[-1][left] * _STEP + np.uint64(n)) + base[right]))
+            counts.append(seen)
+            at.append(np.full(len(words), -1, np.int32))
+            at[-1][ends] = which
+        sizes = [len(h) for h in hashes]
+        hashes = np.concatenate(hashes)
+        by_hash = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(by_hash) + 1, np.int32)
+        rank[by_hash], rank[-1] = np.arange(len(by_hash)), -1
+        self.hashes, self.counts = hashes[by_hash], np.concatenate(counts)[by_hash]
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.at = [rank[np.where(x >= 0, x + begin, len(by_hash))] for x, begin in zip(at, begins)]
+
+
+def _gram_arrays(chunks: DataFrame, order: int, bits: int) -> DataFrame:
+    """(bucket, chunk, start, hashes, counts): stretches of the chunks' n-grams by hash, start is the place of the first."""
 
-
-def _requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, first, words, vocab = (batch.column(k)[i].as_py() for k in range(4))
                 grams = ChunkGrams(first, words, vocab, order)
-                out = []
-                for n in range(order):
-                    hashes, counts = grams.hashes[n], grams.counts[n]
-                    bucket = (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-                    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                    for a, b in zip(edges[:-1], edges[1:]):
-                        out.append((int(bucket[a]), n + 1, chunk, pack_sorted(hashes[a:b]), pack_numbers(counts[a:b])))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["bucket", "n", "chunk", "hashes", "counts"])
-
-    return chunks.select("chunk", "first", "words", "vocab").mapInArrow(run, "bucket long, n int, chunk long, hashes binary, counts binary")
-
+                bucket = (grams.hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                start = np.flatnonzero(np.diff(bucket, prepend=-1))
+                edges = pa.array(np.append(start, len(bucket)), pa.int32())
+                hashes = pa.ListArray.from_arrays(edges, pa.array(grams.hashes.view(np.int64)))
+                counts = pa.ListArray.from_arrays(edges, pa.array(grams.counts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(np.full(len(start), chunk)), pa.array(start.astype(np.int32)), hashes, counts], names=["bucket", "chunk", "start", "hashes", "counts"])
 
-def _replies(requests: DataFrame) -> DataFrame:
-    """(n, chunk, bucket, totals): the corpus counts of each request's n-grams, in its order."""
+    return chunks.select("chunk", "first", "words", "vocab").mapInArrow(run, "bucket long, chunk long, start int, hashes array<long>, counts array<int>")
 
-    def join(table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([unpack_numbers(x) for x in table.column("counts").to_pylist()])
-        _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = np.bincount(which, weights=counts).astype(np.int64)[which]
-        edges = np.cumsum([len(p) for p in parts])[:-1]
-        packed = pa.array([pack_numbers(x) for x in np.split(totals, edges)], pa.binary())
-        return pa.table({"n": table.column("n"), "chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": packed})
 
-    return requests.groupBy("bucket", "n").applyInArrow(join, "n int, chunk long, bucket long, totals binary")
+def _totals(arrays: DataFrame) -> DataFrame:
+    """(chunk, bucket, places, totals): the corpus counts of the n-grams that occur outside their chunk too."""
+    grams = arrays.repartition("bucket").select("bucket", "chunk", "start", "counts", F.posexplode("hashes").alias("i", "hash"))
+    rows = grams.select("bucket", "chunk", (F.col("start") + F.col("i")).alias("place"), "hash", F.get("counts", F.col("i")).alias("n"))
+    # The rows of a hash lie in one bucket, so the sums need no further shuffle.
+    totalled = rows.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "bucket")))
+    told = totalled.filter(F.col("total") != F.col("n"))
+    return told.groupBy("bucket", "chunk").agg(F.collect_list("place").alias("places"), F.collect_list("total").alias("totals")).select("chunk", "places", "totals")
 
 
-def backoff_logs(grams: ChunkGrams, totals: list[np.ndarray], n_tokens: int, factor: float, min_count: int) -> np.ndarray:
-    """The logarithm of every token's stupid-backoff score."""
-    order = len(totals)
+def backoff_logs(grams: ChunkGrams, totals: np.ndarray, n_tokens: int, factor: float, min_count: int) -> np.ndarray:
+    """The logarithm of every token's stupid-backoff score; totals are those of grams.hashes."""
     if not len(grams.place):
         return np.zeros(0)
-    value = np.log(totals[0][grams.at[0]] / n_tokens)
-    for n in range(2, order + 1):  # a longer n-gram that is known overrides what its shorter ones gave
+    value = np.log(totals[grams.at[0]] / n_tokens)
+    for n in range(2, len(grams.at) + 1):  # a longer n-gram that is known overrides what its shorter ones gave
         value = np.where(grams.place >= n - 1, value + np.log(factor), value)
         at = grams.at[n - 1]
         ends = np.flatnonzero(at >= 0)
-        ends = ends[totals[n - 1][at[ends]] >= min_count]
-        value[ends] = np.log(totals[n - 1][at[ends]] / totals[n - 2][grams.at[n - 2][ends - 1]])
+        ends = ends[totals[at[ends]] >= min_count]
+        value[ends] = np.log(totals[at[ends]] / totals[grams.at[n - 2][ends - 1]])
     return value
 
 
@@ -188,18 +184,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunks = materialize(_chunks(docs))
     n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(3, (max(1, n_tokens // BUCKET_TOKENS) - 1).bit_length())
-    replies = _replies(_requests(chunks, order, bits))
+    replies = _totals(_gram_arrays(chunks, order, bits))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i in range(left.num_rows):
             ids, first, words, vocab = (left.column(c)[i].as_py() for c in ("ids", "first", "words", "vocab"))
             grams = ChunkGrams(first, words, vocab, order)
-            ordered = right.select(["n", "bucket", "totals"]).sort_by([("n", "ascending"), ("bucket", "ascending")]).to_pylist()
-            totals = []
-            for n in range(1, order + 1):
-                parts = [unpack_numbers(r["totals"]) for r in ordered if r["n"] == n]
-                totals.append(np.concatenate([p.astype(np.float64) for p in parts]) if parts else np.zeros(0))
+            totals = grams.counts.astype(np.float64)
+            if right.num_rows:
+                places, found = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "totals"))
+                totals[places] = found
             logs = backoff_logs(grams, totals, n_tokens, factor, min_count)
             owner = np.repeat(np.arange(len(ids)), np.diff(grams.first))
             sums = np.bincount(owner, weights=logs, minlength=len(ids)).astype(np.float64)

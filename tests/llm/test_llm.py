@@ -601,6 +601,25 @@ def test_op10_backs_off(spark):
     assert got == pytest.approx(value)
 
 
+@needs_data
+def test_op10_equals_brute_force_over_many_chunks(spark, docs):
+    """Order 3 over documents in nine partitions, so that most n-grams stand in several chunks."""
+    rows = [(r[0], r[1].lower().split()) for r in docs.select("doc_id", "text").collect() if r[1] and r[1].isascii()]
+    grams = collections.Counter(tuple(w[i : i + n]) for _, w in rows for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in rows)
+
+    def score(w, i, n):
+        g = tuple(w[i - n + 1 : i + 1])
+        if n == 1:
+            return grams[g] / total
+        return grams[g] / grams[g[:-1]] if grams[g] >= 2 else 0.4 * score(w, i, n - 1)
+
+    want = {d: sum(np.log(score(w, i, min(i + 1, 3))) for i in range(len(w))) for d, w in rows}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(9)
+    got = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(df, order=3).collect()}
+    assert got == {d: pytest.approx(v, abs=1e-6) for d, v in want.items()}
+
+
 def test_packed_numbers():
     for x in ([], [0], [1, 255, 256], [2**40, 3], list(range(1000))):
         x = np.array(x, np.uint64)
