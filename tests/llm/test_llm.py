@@ -378,6 +378,58 @@ def test_op6_fast_and_slow_paths_agree(monkeypatch):
     assert (webp.decode(blob)[2] == fast).all() and (media.samples_of(fast) == samples).all()
 
 
+def features_of(blob):
+    """The transforms, cache and copies that decoding an image meets."""
+    seen = set()
+    read, tokens = webp.read_image, webp._prefixed
+
+    def read_image(bits, width, height, main=False):
+        if main:
+            seen.update(["cache"] if bits.peek(1) else [])
+        return read(bits, width, height, main)
+
+    def prefixed(symbol, bits):
+        seen.add("copies")
+        return tokens(symbol, bits)
+
+    patch = pytest.MonkeyPatch()
+    for name in ("undo_predictor", "cross_colour", "subtract_green", "undo_palette"):
+        patch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name, **k: (seen.add(n), f(*a, **k))[1])
+    patch.setattr(webp, "read_image", read_image)
+    patch.setattr(webp, "_prefixed", prefixed)
+    try:
+        pixels = webp.decode(blob)[2]
+    finally:
+        patch.undo()
+    return seen, media.samples_of(pixels).tobytes()
+
+
+def test_op6_texts_choose_their_coding():
+    rng = random.Random(2)
+    letter = lambda: chr(rng.randrange(97, 123))
+    row = "".join(letter() for _ in range(64))
+    drift = "".join(f"{row[:30]}{i:04d}{row[30:60]}" for i in range(200))
+    doubled = lambda: (lambda a, b: a + b + a + letter())(letter(), letter())
+    block = "".join(doubled() for _ in range(350))
+    equal = "".join(3 * letter() + letter() for _ in range(350))
+    texts = {"prose": " ".join(row[rng.randrange(50) :][:6] for _ in range(400)), "words": "Und " * 500, "line": (row + "\n") * 60, "drift": drift, "doubled": block * 6, "equal": equal * 6, "short": "ab" * 10}
+    seen = {}
+    for name, t in texts.items():
+        seen[name], back = features_of(media.pack(t.encode()))
+        assert back[: len(t)] == t.encode() and not back[len(t) :].strip(b"\0")
+    assert not seen["prose"] and not seen["short"]
+    assert "copies" in seen["words"] and seen["words"] & {"undo_palette", "undo_predictor"} and {"undo_palette", "copies", "cache"} <= seen["line"]
+    assert "copies" in seen["drift"] and "cross_colour" in seen["doubled"] and seen["equal"] & {"subtract_green", "cross_colour"}
+
+
+def test_op6_reads_a_public_file():
+    """Fixed value: the one-pixel image that browsers are commonly tested with for the lossless format."""
+    import base64
+
+    width, height, pixels = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert (width, height, len(pixels)) == (1, 1, 1) and pixels[0] >> 24 == 0
+
+
 def test_op6_broken_bytes_raise():
     blob = media.pack(b"hello")
     for bad in (b"", blob[:20], blob[:-6], blob.replace(b"VP8L", b"VP8 ")):
