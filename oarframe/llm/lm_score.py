@@ -1,7 +1,7 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
 1. Documents are taken in chunks of some megabytes; a chunk row holds its words as numbers into its
-   own vocabulary of word hashes, frequent words first (written once to the shared folder).
+   own vocabulary of word hashes, frequent words first (one shuffle by chunk, read twice).
 2. Each chunk counts its distinct n-grams of every order: the pre-aggregation.  They leave as arrays
    of hashes and counts, one for each range of the hash space (bucket), so that one shuffle by bucket
    moves little more than the hashes themselves.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, pieces, text_buffers, word_hashes
 
-CHUNK = 12 << 20
-BUCKET_TOKENS = 1 << 21
+CHUNK = 8 << 20
+BUCKET_TOKENS = 1 << 18
+SMALL = 1 << 15  # places and totals below it travel in two bytes
+WORD = r"[^\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,26 +137,36 @@ def _gram_arrays(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, first, words, vocab = (batch.column(k)[i].as_py() for k in range(4))
+                chunk, first, words, vocab = (batch.column(k)[i].as_py() for k in (0, 3, 4, 5))
                 grams = ChunkGrams(first, words, vocab, order)
                 bucket = (grams.hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-                start = np.flatnonzero(np.diff(bucket, prepend=-1))
+                stretch = np.flatnonzero(np.diff(bucket, prepend=-1))
+                inside = np.arange(len(bucket)) - np.repeat(stretch, np.diff(np.append(stretch, len(bucket))))
+                start = np.flatnonzero(inside % SMALL == 0)  # no stretch is longer than SMALL
                 edges = pa.array(np.append(start, len(bucket)), pa.int32())
                 hashes = pa.ListArray.from_arrays(edges, pa.array(grams.hashes.view(np.int64)))
                 counts = pa.ListArray.from_arrays(edges, pa.array(grams.counts.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(np.full(len(start), chunk)), pa.array(start.astype(np.int32)), hashes, counts], names=["bucket", "chunk", "start", "hashes", "counts"])
 
-    return chunks.select("chunk", "first", "words", "vocab").mapInArrow(run, "bucket long, chunk long, start int, hashes array<long>, counts array<int>")
+    # All columns go in, so that the shuffle of the chunks is the one that scoring reads.
+    return chunks.mapInArrow(run, "bucket long, chunk long, start int, hashes array<long>, counts array<int>")
 
 
 def _totals(arrays: DataFrame) -> DataFrame:
-    """(chunk, bucket, places, totals): the corpus counts of the n-grams that occur outside their chunk too."""
+    """(chunk, start, places, totals, far_places, far_totals): the corpus counts of the n-grams that occur outside their chunk too.
+
+    Places count from start; totals of SMALL and more stand in lists of their own.
+    """
     grams = arrays.repartition("bucket").select("bucket", "chunk", "start", "counts", F.posexplode("hashes").alias("i", "hash"))
-    rows = grams.select("bucket", "chunk", (F.col("start") + F.col("i")).alias("place"), "hash", F.get("counts", F.col("i")).alias("n"))
+    rows = grams.select("bucket", "chunk", "start", F.col("i").cast("short").alias("i"), "hash", F.get("counts", F.col("i")).alias("n"))
     # The rows of a hash lie in one bucket, so the sums need no further shuffle.
     totalled = rows.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "bucket")))
-    told = totalled.filter(F.col("total") != F.col("n"))
-    return told.groupBy("bucket", "chunk").agg(F.collect_list("place").alias("places"), F.collect_list("total").alias("totals")).select("chunk", "places", "totals")
+    told, small = totalled.filter(F.col("total") != F.col("n")), F.col("total") < SMALL
+    listed = lambda test, value, name: F.collect_list(F.when(test, value)).alias(name)
+    return told.groupBy("bucket", "chunk", "start").agg(
+        listed(small, F.col("i"), "places"), listed(small, F.when(small, F.col("total")).cast("short"), "totals"),
+        listed(~small, F.col("i"), "far_places"), listed(~small, F.col("total"), "far_totals"),
+    ).drop("bucket")
 
 
 def backoff_logs(grams: ChunkGrams, totals: np.ndarray, n_tokens: int, factor: float, min_count: int) -> np.ndarray:
@@ -171,7 +183,7 @@ def backoff_logs(grams: ChunkGrams, totals: np.ndarray, n_tokens: int, factor: f
     return value
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, factor: float = 0.4, min_count: int = 2) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, factor: float = 0.4, min_count: int = 2, from_files: bool = False) -> DataFrame:
     """(id_col, n_tokens, log_score, mean_log) of every row, under the n-gram counts of all rows.
 
     Words are runs of other characters than white space, A-Z lower-cased.  An n-gram of two or more
@@ -179,11 +191,15 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n-gram without its first word; single words score their share of all words.  The first words of a
     text have only the context there is.  A text without words (null, empty) has 0 tokens, a log_score
     of 0 and a null mean.  Repeated rows count and are scored each time; ids may be null.
+
+    from_files says that df only reads files, so that a task that runs again sees the same rows in the
+    same order; other frames are written to the shared folder first.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chunks = materialize(_chunks(docs))
-    n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    docs = docs if from_files else materialize(docs)
+    n_tokens = docs.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     bits = max(3, (max(1, n_tokens // BUCKET_TOKENS) - 1).bit_length())
+    chunks = _chunks(docs).repartition("chunk")
     replies = _totals(_gram_arrays(chunks, order, bits))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -192,9 +208,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids, first, words, vocab = (left.column(c)[i].as_py() for c in ("ids", "first", "words", "vocab"))
             grams = ChunkGrams(first, words, vocab, order)
             totals = grams.counts.astype(np.float64)
-            if right.num_rows:
-                places, found = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "totals"))
-                totals[places] = found
+            starts = right.column("start").to_numpy()
+            for places, found in (("places", "totals"), ("far_places", "far_totals")):
+                lists, values = right.column(places).combine_chunks(), right.column(found).combine_chunks()
+                at = np.repeat(starts, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+                totals[at] = values.flatten().to_numpy()
             logs = backoff_logs(grams, totals, n_tokens, factor, min_count)
             owner = np.repeat(np.arange(len(ids)), np.diff(grams.first))
             sums = np.bincount(owner, weights=logs, minlength=len(ids)).astype(np.float64)
@@ -207,7 +225,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op10_backoff_scores(spark, sf_dir: str) -> DataFrame:
     """Bigram stupid-backoff scores of all documents under the counts of all documents."""
-    scored = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    scored = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), from_files=True)
     return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
 
 
