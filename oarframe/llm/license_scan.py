@@ -2,19 +2,27 @@
 
 Paragraphs are lines, and notices that are wrapped over adjacent lines: inside a block without blank
 lines, the words in which `confirm` of some template's three-word sequences stand near each other,
-counted over the line ends.  Each becomes a sparse bag of hashed word n-grams (1 to 3 words) of unit
-length; a multinomial logistic regression gives the licence family or `none`.  It is trained on the
-templates below, varied by leaving out and adding words, and on paragraphs of the scanned corpus
-itself that share no three-word sequence with a template (at most `max_negatives` of them, chosen by
-a hash: a documented bound).  A temperature fitted on held-back training rows calibrates the
-probabilities.  A family is reported only if its probability reaches `threshold` and the paragraph
-contains `confirm` of some template's three-word sequences of that family; a confident prediction
-that no template confirms, though some three words of a template occur, is `unknown`.  A wrapped
-notice takes the place of what its lines would give alone.
+counted over the line ends.  Words that consist of comment marks or rules alone do not count.  Each
+paragraph becomes a sparse bag of hashed word n-grams (1 to 3 words) of unit length; a multinomial
+logistic regression gives the licence family, `unknown` (legal notices of no listed family) or
+`none`.  It is trained on the templates below, varied by leaving out and adding words, and on
+paragraphs of the scanned corpus itself that share no three-word sequence with a template (at most
+`max_negatives` of them, those of least hash: a documented bound).
+
+The probabilities are calibrated by a temperature that fits the predictions of a second model on
+notices it has never seen: one whole template of every class that has several, a fifth of the variants
+of the others, and a fifth of the paragraphs without a licence are held back from it.  `threshold` is
+low for that reason: a known notice reaches about twice that among the many classes.
+
+A family is reported only if its probability reaches `threshold` and the paragraph contains `confirm`
+of some template's three-word sequences of that family; a confident family that no template confirms,
+though some three words of a template occur, is `unknown` too.  A wrapped notice takes the place of
+what its lines would give alone.  An SPDX tag names its family by itself.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, gram_hashes, pieces, span_hashes, text_buffers, word_hashes, word_spans
+from .common import fresh_name, gram_hashes, pieces, span_hashes, text_buffers, word_spans
 
 DIMS = 1 << 13
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
 NEAR = 12  # template sequences at most so many words apart may belong to one wrapped notice
 
 # Customary notices of each licence family.
@@ -68,12 +76,63 @@ TEMPLATES = {
         "Licensed under CC BY 4.0.",
     ],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "cc0": [
+        "Licensed under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    ],
+    "zlib": [
+        "Licensed under the zlib license.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    ],
 }
 
+# Legal notices that name no listed licence.
+UNKNOWN_NOTICES = [
+    "All rights reserved.",
+    "This software is proprietary and confidential.",
+    "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    "Use of this software is subject to the terms of the accompanying license agreement.",
+    "No part of this publication may be reproduced or distributed without the prior written permission of the publisher.",
+    "This material may not be copied, modified or redistributed except as permitted by the license terms of the owner.",
+    "Licensed under the terms of our end user license agreement.",
+]
+
+# Identifiers of licence tags.
+SPDX = {
+    "Apache-2.0": "apache-2.0", "MIT": "mit", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "GPL-2.0": "gpl", "GPL-2.0-only": "gpl", "GPL-2.0-or-later": "gpl",
+    "GPL-3.0": "gpl", "GPL-3.0-only": "gpl", "GPL-3.0-or-later": "gpl", "LGPL-2.1": "lgpl", "LGPL-2.1-only": "lgpl", "LGPL-2.1-or-later": "lgpl", "LGPL-3.0-only": "lgpl",
+    "LGPL-3.0-or-later": "lgpl", "MPL-2.0": "mpl-2.0", "ISC": "isc", "CC-BY-4.0": "cc-by", "Unlicense": "unlicense", "AGPL-3.0-only": "agpl", "AGPL-3.0-or-later": "agpl",
+    "EPL-2.0": "epl-2.0", "BSL-1.0": "bsl-1.0", "CC0-1.0": "cc0", "Zlib": "zlib",
+}
+TAG = re.compile(rb"SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+-]+)")
+
+
+_MARK = np.zeros(256, bool)
+_MARK[list(b"#*/;-%!=|<>+~_")] = True
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of words that are more than marks, and the first of each text."""
+    starts, ends = word_spans(data, offsets)
+    if len(starts):
+        marks = np.concatenate([[0], np.cumsum(_MARK[data])])
+        real = marks[ends] - marks[starts] < ends - starts
+        starts, ends = starts[real], ends[real]
+    return starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Paragraph, dimension and weight of every n-gram; a paragraph's weights have unit length."""
-    words, first = word_hashes(data, offsets)
+    words, first = _words(data, offsets)[2:]
     rows, dims = [], []
     for n in (1, 2, 3):
         grams, bounds = (words, first) if n == 1 else gram_hashes(words, first, n)
@@ -124,65 +183,74 @@ class LicenseModel:
 
 
 def _template_grams(text: str) -> np.ndarray:
-    return np.unique(gram_hashes(*word_hashes(*_buffers([text])), 3)[0])
+    return np.unique(gram_hashes(*_words(*_buffers([text]))[2:], 3)[0])
+
+
+def _regression(texts: list[str], labels: np.ndarray, n_classes: int, rounds: int) -> np.ndarray:
+    """Weights, DIMS rows and one of biases; classes weigh the same."""
+    weights = np.zeros((DIMS + 1, n_classes))
+    rows, dims, value = _features(*_buffers(texts))
+    target = np.eye(n_classes)[labels]
+    share = 1.0 / np.bincount(labels, minlength=n_classes)[labels]
+    share *= len(share) / share.sum()
+    for _ in range(rounds):
+        logits = np.tile(weights[-1], (len(target), 1))
+        for c in range(n_classes):
+            logits[:, c] += np.bincount(rows, weights=value * weights[dims, c], minlength=len(target))
+        error = (_softmax(logits) - target) * share[:, None] / len(target)
+        for c in range(n_classes):
+            weights[:-1, c] -= 20.0 * (np.bincount(dims, weights=value * error[rows, c], minlength=DIMS) + 1e-6 * weights[:-1, c])
+        weights[-1] -= 20.0 * error.sum(axis=0)
+    return weights
 
 
-def fit(negatives: list[str], copies: int = 60, rounds: int = 300, seed: int = 5) -> LicenseModel:
+def fit(negatives: list[str], copies: int = 40, rounds: int = 150, seed: int = 5) -> LicenseModel:
     """Logistic regression on varied templates and the given paragraphs without a licence."""
     rng = np.random.default_rng(seed)
-    classes = [*TEMPLATES, NONE]
+    classes = [*TEMPLATES, UNKNOWN, NONE]
     negatives = negatives or [""]
-    spare = " ".join(negatives[:200]).split() or ["text"]
-    texts, labels = list(negatives), [len(classes) - 1] * len(negatives)
-    for c, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
+    spare = [w for i in rng.permutation(len(negatives))[:200] for w in negatives[i].split()] or ["text"]
+    texts, labels, held = list(negatives), [len(classes) - 1] * len(negatives), [i % 5 == 0 and len(negatives) > 1 for i in range(len(negatives))]
+    for c, notices in enumerate([*TEMPLATES.values(), UNKNOWN_NOTICES]):
+        for t, template in enumerate(notices):
             for i in range(copies):
                 words = [w for w in template.split() if i == 0 or rng.random() > 0.08]
                 before, after = rng.integers(0, 9, 2) if i % 2 else (0, 0)
                 texts.append(" ".join([*rng.choice(spare, before), *words, *rng.choice(spare, after)]))
                 labels.append(c)
-    x, y = texts, np.array(labels)
-    held = np.arange(len(x)) % 5 == 0
-    weights = np.zeros((DIMS + 1, len(classes)))
-    data, offsets = _buffers([t for t, h in zip(x, held) if not h])
-    rows, dims, value = _features(data, offsets)
-    target = np.eye(len(classes))[y[~held]]
-    share = 1.0 / np.bincount(y[~held], minlength=len(classes))[y[~held]]
-    share *= len(share) / share.sum()
-    for _ in range(rounds):
-        logits = np.tile(weights[-1], (len(target), 1))
-        for c in range(len(classes)):
-            logits[:, c] += np.bincount(rows, weights=value * weights[dims, c], minlength=len(target))
-        error = (_softmax(logits) - target) * share[:, None] / len(target)
-        for c in range(len(classes)):
-            weights[:-1, c] -= 20.0 * (np.bincount(dims, weights=value * error[rows, c], minlength=DIMS) + 1e-6 * weights[:-1, c])
-        weights[-1] -= 20.0 * error.sum(axis=0)
-    logits, truth = _logits(weights, *_buffers([t for t, h in zip(x, held) if h])), y[held]
-    grid = np.geomspace(0.05, 5, 40)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
+                held.append(i % 5 == 4 or (t == len(notices) - 1 and t > 0))  # a whole template of the class, and some of each
+    labels, held = np.array(labels), np.array(held)
+    part = _regression([t for t, h in zip(texts, held) if not h], labels[~held], len(classes), rounds)
+    logits, truth = _logits(part, *_buffers([t for t, h in zip(texts, held) if h])), labels[held]
+    share = 1.0 / np.bincount(truth, minlength=len(classes))[truth]
+    grid = np.geomspace(0.05, 20, 60)
+    loss = [-(share * np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12))).sum() for t in grid]
+    weights = _regression(texts, labels, len(classes), rounds)
     templates = [(c, _template_grams(t)) for c, family in enumerate(TEMPLATES) for t in TEMPLATES[family]]
     return LicenseModel(classes, weights.astype(np.float32), float(grid[int(np.argmin(loss))]), templates)
 
 
 def train(df: DataFrame, text_col: str = "text", max_negatives: int = 2000) -> LicenseModel:
-    """Fits with paragraphs of df that look like no template; at most about max_negatives reach the driver."""
-    known = np.unique(np.concatenate([_template_grams(t) for ts in TEMPLATES.values() for t in ts]))
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("t"))
-    share = min(1.0, max_negatives / max(1, rows.count()))
+    """Fits with paragraphs of df that look like no template; at most max_negatives reach the driver."""
+    notices = [t for ts in TEMPLATES.values() for t in ts] + UNKNOWN_NOTICES
+    known = np.unique(np.concatenate([_template_grams(t) for t in notices]))
+    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter(F.col("t").isNotNull())
+    share = min(1.0, 2 * max_negatives / max(1, rows.count()))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("licence"), "t"), 11) / float(1 << 53)
 
     def pick(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
+            chosen, order = [], []
+            for text, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = [x for x in text.split("\n") if x.strip()]
-                line = lines[len(text) % len(lines)][:2000] if lines else ""
+                line = lines[len(text) % len(lines)] if lines else ""
                 if line and not np.isin(_template_grams(line), known).any():
-                    out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+                    chosen.append(line)
+                    order.append(u)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.string()), pa.array(order, pa.float64())], names=["line", "u"])
 
-    picked = rows.filter(F.col("t").isNotNull() & (chance < share)).distinct().mapInArrow(pick, "line string").limit(2 * max_negatives)
-    return fit(sorted(r["line"] for r in picked.collect()))
+    picked = rows.select("t", chance.alias("u")).filter(F.col("u") < share).distinct().mapInArrow(pick, "line string, u double")
+    return fit(sorted(r["line"] for r in picked.orderBy("u", "line").limit(max_negatives).collect()))
 
 
 def _windows(at: np.ndarray, grams: np.ndarray, need: int, reach: int) -> list[tuple[int, int, int]]:
@@ -228,8 +296,7 @@ def _wrapped(model: LicenseModel, data: np.ndarray, lines: np.ndarray, owner: np
     `sure` has the lines that are notices of their own; they count for longer notices of templates,
     but are no part of an `unknown` one.
     """
-    starts, ends = word_spans(data, lines)
-    words, first = span_hashes(data, starts, ends), np.searchsorted(starts, lines)
+    starts, ends, words, first = _words(data, lines)
     filled = np.diff(first) > 0
     head = filled & ~(np.concatenate([[False], filled[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]]))
     bounds = np.concatenate([first[:-1][head], [len(words)]])
@@ -274,7 +341,7 @@ def _wrapped(model: LicenseModel, data: np.ndarray, lines: np.ndarray, owner: np
     return out
 
 
-def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", threshold: float = 0.5, confirm: float = 0.6) -> DataFrame:
+def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", threshold: float = 0.25, confirm: float = 0.6) -> DataFrame:
     """df with `licenses` (array of family, probability, share, paragraph number), by paragraph.
 
     A paragraph's number is that of its first line, from 0, blank lines included.
@@ -288,7 +355,7 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
     kept = [c for c in df.columns if c.lower() != "licenses"]
     text = fresh_name(kept, "text_in")
     kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("share", pa.float64()), ("paragraph", pa.int32())]))
-    none = len(model.classes) - 1
+    none, vague = len(model.classes) - 1, len(model.classes) - 2
     known = np.unique(np.concatenate([t for _, t in model.templates]))
 
     def found_in(data: np.ndarray, offsets: np.ndarray) -> list[list]:
@@ -303,12 +370,17 @@ def scan_licenses(df: DataFrame, model: LicenseModel, text_col: str = "text", th
         found = {}
         for i in np.flatnonzero((best != none) & (p >= threshold)):
             piece = data[lines[i] : lines[i + 1]]
-            grams = gram_hashes(*word_hashes(piece, np.array([0, len(piece)])), 3)[0]
-            if not np.isin(grams, known).any():
+            grams = gram_hashes(*_words(piece, np.array([0, len(piece)]))[2:], 3)[0]
+            if best[i] != vague and not np.isin(grams, known).any():
                 continue  # no template speaks for it
             share = model.confirmed(grams, best[i])
-            name = model.classes[best[i]] if share >= confirm else "unknown"
+            name = model.classes[best[i]] if share >= confirm else UNKNOWN
             found[int(i)] = (name, float(p[i]), float(share))
+        for tag in TAG.finditer(data.tobytes()):
+            family = SPDX.get(tag[1].decode())
+            i = int(np.searchsorted(lines, tag.start(), "right")) - 1
+            if family or i not in found:
+                found[i] = (family or UNKNOWN, 1.0, 1.0 if family else 0.0)
         sure = {i for i, x in found.items() if x[0] != "unknown"}
         notices = []
         for a, z, *notice in _wrapped(model, data, lines, owner, sure, known, threshold, confirm):

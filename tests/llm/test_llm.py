@@ -492,6 +492,38 @@ def test_op7_wrapped_notices(spark, columns):
     assert found == {i: [(family, at)] if family else [] for i, (family, _, at) in enumerate(rows)}
 
 
+def test_op7_commented_notices_tags_and_unknown(spark):
+    rng = random.Random(4)
+    words = "the rowers met at dawn near old harbour walls and told stories of races long ago while boats came home".split()
+    plain = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
+    model = license_scan.fit(plain)
+    assert 0.05 < model.temperature < 20
+    rows, want = [], []
+    for mark in ("# ", " * ", "// ", "-- "):
+        for family in ("mit", "bsd", "gpl", "agpl", "zlib"):
+            notice = max(license_scan.TEMPLATES[family], key=len)
+            rows.append(f"{plain[len(rows)]}\n\n" + "\n".join(mark + x for x in textwrap.wrap(notice, 60)) + f"\n\n{plain[-1 - len(rows)]}")
+            want.append({family})
+    for tag, family in (("MIT", "mit"), ("Apache-2.0", "apache-2.0"), ("LicenseRef-Own", "unknown")):
+        rows.append(f"/* SPDX-License-Identifier: {tag} */\nint main() {{}}")
+        want.append({family})
+    rows += [*license_scan.UNKNOWN_NOTICES[1:3], *plain[:50], "Permission to land is granted by the harbour master", ""]
+    want += [{"unknown"}] * 2 + [set()] * 52
+    got = {r["doc_id"]: {x["family"] for x in r["licenses"]} for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).collect()}
+    hits = sum(got[i] == w for i, w in enumerate(want))
+    assert hits >= len(want) - 2 and all(not got[i] for i, w in enumerate(want) if not w)
+    assert all("unknown" not in got[i] or want[i] == {"unknown"} for i in got)
+
+
+def test_op7_features_equal_slow_counts():
+    """Every n-gram of a paragraph weighs one over the root of their number; marks are no words."""
+    rows, dims, value = license_scan._features(*license_scan._buffers(["# A b // c", "", "-- ***", "x"]))
+    assert np.bincount(rows, minlength=4).tolist() == [6, 0, 0, 1]
+    assert np.allclose(np.bincount(rows, weights=value**2, minlength=4), [1, 0, 0, 1])
+    again = license_scan._features(*license_scan._buffers(["a B c"]))
+    assert sorted(dims[rows == 0]) == sorted(again[1])
+
+
 # 8: secrets
 
 
