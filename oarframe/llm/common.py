@@ -26,10 +26,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset on one machine (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(spark, "_llm_dir", None):
         spark._llm_dir = tempfile.mkdtemp(prefix="spark-llm-")
     return spark._llm_dir
