@@ -28,10 +28,12 @@ def local_session(cpus: int | str = "*", checkpoint_dir: str | None = None, memo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured and everything runs on one machine (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(spark, "_oarframe_dir", None):
         spark._oarframe_dir = tempfile.mkdtemp(prefix="spark-oarframe-")
     return spark._oarframe_dir
