@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, pieces, text_buffers, word_hashes
 
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 BUCKET_TOKENS = 1 << 18
 SMALL = 1 << 15  # places and totals below it travel in two bytes
 WORD = r"[^\x20\x09-\x0D]+"
