@@ -1,13 +1,90 @@
-"""Queries of the scans (SRC); reading, writing and the stream are tested on files."""
+"""Queries of documents, tables and scans (SRC) and of the stream (STR-1).
+
+Those that read and write files put the whole table into the shared folder first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from ..sources import documents, scans
+from ..streaming.ingest import ingest_stream
 from .registry import query
 
 
+_CLOCK = "format_string('%02d:%02d:%02d.%03d', x div 3600000, x div 60000 % 60, x div 1000 % 60, x % 1000)"
+
+
+def _race_documents(t):
+    """The race documents in the form in which they are exchanged, each with the boats of its race."""
+    boat = F.struct(F.get("club_names", F.lit(0)).alias("club_name"), F.col("lane").cast("int").alias("lane"), F.expr(f"transform(laps_ms, x -> {_CLOCK})").alias("laps"))
+    boats = t.participant.groupBy("race_id").agg(F.collect_list(boat).alias("participants"))
+    edition = F.when(F.col("pos") % 10 != 0, F.coalesce("trophy_edition", "flag_edition")).cast("string")
+    return t.doc.join(boats, F.col("pos") == F.col("race_id"), "left").select(
+        "name", F.date_format("date", "dd/MM/yyyy").alias("date"), F.col("day").cast("int").alias("day"), "league",
+        F.array(F.array("name", edition), F.array(F.col("sponsor"), F.lit(None).cast("string"))).alias("normalized_names"),
+        F.array("ref_id").alias("race_ids"), F.concat(F.lit("race/"), F.col("pos").cast("string")).alias("url"), "datasource", "participants",
+    )
+
+
+def _written(t):
+    path = new_path(t.spark)
+    documents.write_race_documents(_race_documents(t), path)
+    return path
+
+
+@query(
+    "src_1_read_race_documents",
+    """SELECT 'race/' || pos AS url, datasource, name, CASE WHEN pos % 10 <> 0 THEN coalesce(trophy_edition, flag_edition) END AS edition, sponsor AS second_name, ref_id, coalesce(b.boats, 0) AS boats, b.laps AS laps
+    FROM doc AS d LEFT JOIN (SELECT race_id, count(*) AS boats, CAST(sum(len(laps_ms)) AS BIGINT) AS laps FROM participant GROUP BY race_id) AS b ON b.race_id = d.pos""",
+)
+def _(t):
+    docs = documents.read_race_documents(t.spark, _written(t), lines=True)
+    laps = F.aggregate("participants", F.lit(0), lambda n, p: n + F.size(p["laps"])).cast("long")
+    return docs.select("url", "datasource", F.col("names")[0]["name"].alias("name"), F.col("names")[0]["edition"].alias("edition"), F.col("names")[1]["name"].alias("second_name"), F.col("race_ids")[0].alias("ref_id"), F.coalesce(F.size("participants"), F.lit(0)).cast("long").alias("boats"), laps.alias("laps"))
+
+
+@query("src_2_write_race_documents", "SELECT datasource, strftime(date, '%d/%m/%Y') AS date, count(*) AS docs, count(league) AS leagues, CAST(sum(day) AS BIGINT) AS days FROM doc GROUP BY ALL")
+def _(t):
+    # Read by Spark's own reader, with the source from the folders' names.
+    back = t.spark.read.schema("datasource string, date string, league string, day int").json(_written(t))
+    return back.groupBy("datasource", "date").agg(F.count("*").alias("docs"), F.count("league").alias("leagues"), F.sum("day").alias("days"))
+
+
+@query("src_3_quarantine", "SELECT 'race/' || pos AS url, CASE WHEN day = 1 AND league <> 'LIGA 1' THEN 'kept' ELSE 'aside' END AS state FROM doc")
+def _(t):
+    path = new_path(t.spark)
+    kept = documents.quarantine(_race_documents(t), (F.col("day") == 1) & (F.col("league") != "LIGA 1"), path)
+    aside = t.spark.read.schema("url string").json(path)
+    return kept.select("url", F.lit("kept").alias("state")).unionByName(aside.select("url", F.lit("aside").alias("state")))
+
+
+@query(
+    "src_4_read_table",
+    """SELECT id, race_id, club_names[1] AS club_name, branch, CAST(lane AS INT) AS lane, len(laps_ms) AS n_laps, coalesce(CAST(list_sum(laps_ms) AS BIGINT), 0) AS total_ms, guest, CAST(NULL AS BOOLEAN) AS has_series FROM participant""",
+)
+def _(t):
+    path = new_path(t.spark)
+    texts = F.to_json(F.expr(f"transform(laps_ms, x -> {_CLOCK})"))
+    t.participant.withColumn("laps", texts).withColumn("club_names", F.to_json("club_names")).drop("laps_ms").write.parquet(path)
+    total = F.aggregate("laps_ms", F.lit(0).cast("long"), lambda n, x: n + x)
+    return documents.read_table(t.spark, "participant", path).select("id", "race_id", F.get("club_names", F.lit(0)).alias("club_name"), "branch", F.col("lane").cast("int").alias("lane"), F.size("laps_ms").cast("long").alias("n_laps"), total.alias("total_ms"), "guest", (F.col("series") > 0).alias("has_series"))
+
+
+@query("str_1_ingest_stream", "SELECT datasource, ref_id FROM doc AS d WHERE NOT EXISTS (SELECT 1 FROM race_ref AS f WHERE f.datasource_name = d.datasource AND f.ref_id = d.ref_id)")
+def _(t):
+    # Some documents land twice; a batch that is run again overwrites its own folder.
+    landing, stored = new_path(t.spark), new_path(t.spark)
+    docs = _race_documents(t)
+    documents.write_race_documents(docs.unionByName(docs.filter("day = 2 or url like '%5'")), landing, ())
+    known = t.race_ref.select("datasource_name", "ref_id")
+    merge = lambda batch, batch_id: batch.select("datasource", "ref_id").write.mode("overwrite").parquet(f"{stored}/batch={batch_id}")
+    merge(t.doc.limit(0), -1)
+    ingest_stream(t.spark, landing, new_path(t.spark), lambda: known, merge, lines=True).awaitTermination()
+    return t.spark.read.schema("datasource string, ref_id string").parquet(stored).select("datasource", "ref_id")
+
+
 @query("src_5_scan_by_year", "SELECT pos, ref_id FROM doc WHERE year(date) IN (1993, 1995)")
 def _(t):
     return scans.scan_by_year(t.doc, [1993, 1995]).select("pos", "ref_id")

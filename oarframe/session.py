@@ -39,9 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._oarframe_dir
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark).rstrip('/')}/oarframe-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, so lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/oarframe-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from ..schemas import RACE_DOCUMENT, schema_of
 
 
-def read_race_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document in each file; `names` holds the heterogeneous name pairs as (name, edition)."""
-    docs = spark.read.schema(RACE_DOCUMENT).json(path, multiLine=True)
+def read_race_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON document in each file, or in each line; `names` holds the heterogeneous name pairs as (name, edition).
+
+    Files of lines can be split among tasks; a file of one document cannot.
+    """
+    docs = spark.read.schema(RACE_DOCUMENT).json(path, multiLine=not lines)
     pair = lambda p: F.struct(F.try_element_at(p, F.lit(1)).alias("name"), F.try_element_at(p, F.lit(2)).try_cast("int").alias("edition"))
     return docs.withColumn("names", F.transform("normalized_names", pair))
 

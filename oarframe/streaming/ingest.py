@@ -12,14 +12,14 @@ from ..schemas import RACE_DOCUMENT
 from ..sources.scans import drop_known
 
 
-def document_stream(spark: SparkSession, landing: str, watermark: str = "7 days") -> DataFrame:
-    """Documents as they land, each (datasource, race id) once within the watermark on landing time."""
-    raw = spark.readStream.schema(RACE_DOCUMENT).option("multiLine", True).json(landing)
+def document_stream(spark: SparkSession, landing: str, watermark: str = "7 days", lines: bool = False) -> DataFrame:
+    """Documents as they land, one in each file or line, each (datasource, race id) once within the watermark on landing time."""
+    raw = spark.readStream.schema(RACE_DOCUMENT).option("multiLine", not lines).json(landing)
     keyed = raw.withColumn("ref_id", F.try_element_at("race_ids", F.lit(1))).withColumn("landed_at", F.col("_metadata.file_modification_time"))
     return keyed.withWatermark("landed_at", watermark).dropDuplicatesWithinWatermark(["datasource", "ref_id"])
 
 
-def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, known: Callable[[], DataFrame], merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, known: Callable[[], DataFrame], merge: Callable[[DataFrame, int], None], lines: bool = False) -> StreamingQuery:
     """Starts the stream: each batch's unknown documents go to merge(batch, batch_id).
 
     known() gives the references (datasource_name, ref_id) that races have when a batch starts, so a
@@ -29,4 +29,4 @@ def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, known: Cal
     def batch(docs: DataFrame, batch_id: int) -> None:
         merge(drop_known(docs, known()), batch_id)
 
-    return document_stream(spark, landing).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return document_stream(spark, landing, lines=lines).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
