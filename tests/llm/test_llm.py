@@ -750,6 +750,59 @@ def test_pipeline_stages(spark, docs, library):
     assert len(coded[1]) == len(coded[0]) and all(r["ids"] == library.encode(text[r["doc_id"]], add_eos=True) and r["round_trip"] for r in coded[1])
 
 
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    """Rows with the columns of documents: nulls in each, empty and long texts, repeated rows, ids with two texts, clashing names."""
+    words = {"en": "the small river runs along an old stone wall near our village", "eu": "herriko plazan gaur arratsaldean musika eta dantza egongo dira"}
+    rows = []
+    for i in range(120):
+        lang = ("en", "eu")[i % 2]
+        rows.append((i, " ".join(f"{w}{i}" if j % 4 == 0 else w for j, w in enumerate(words[lang].split() * 3)), lang, ("web", "book", None)[i % 3], 9))
+    long_text = " ".join(f"{w} {j}" for j in range(6000) for w in words["en"].split())
+    rows += [rows[4], rows[4], (6, rows[8][1] + " more", "en", "web", 9), (200, rows[10][1], None, None, None), (None, rows[12][1], "en", "web", 9), (None, rows[14][1] + " password=abcdefgh12", "en", "web", 9)]
+    rows += [(201, None, "en", "web", 0), (202, "", "eu", "book", 0), (203, " \t\n", None, "web", 3), (204, long_text, "en", "web", None), (205, "12 34", "en", "numbers", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("x") for c in ("kept", "rejected", "score", "block", "place", "ids", "row", "component_id", "all_spans", "count")})
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd_documents, library):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = odd_documents.select(*corpus_pipeline.COLUMNS).collect()
+    texts = lambda df: [r["text"] for r in df.collect()]
+
+    known = stages["language ID"](spark, odd_documents, SF)
+    assert known.columns == corpus_pipeline.COLUMNS
+    assert not {None, "", " \t\n", "12 34"} & set(texts(known))
+
+    single = stages["MinHash near-dedup"](spark, odd_documents, SF)
+    assert single.columns == corpus_pipeline.COLUMNS
+    got = single.collect()
+    want = {d for d, (_, c) in brute_components([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in (None, 6)], 80).items() if c == d}
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] not in (6, 8)) == sorted(want - {8})
+    six = [r["text"] for r in got if r["doc_id"] == 6]
+    assert six == [min(r["text"] for r in rows if r["doc_id"] == 6)] and 8 not in {r["doc_id"] for r in got}
+    assert sum(r["doc_id"] is None for r in got) == 2
+
+    masked = stages["secret scans"](spark, odd_documents, SF).collect()
+    assert len(masked) == len(rows) and sum(r["text"] is None for r in masked) == 1
+    assert not any(brute_spans(r["text"]) for r in masked if r["text"])
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in masked)
+
+    mixed = stages["mixing sources to target weights"](spark, odd_documents, SF)
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    assert {tuple(r) for r in mixed.collect()} == {tuple(r) for r in rows}
+    blank = odd_documents.filter("doc_id = 203").unionByName(odd_documents.filter("doc_id = 205"))
+    assert texts(stages["mixing sources to target weights"](spark, blank, SF)) == ["12 34"]
+
+    coded = stages["SentencePiece encoding and decoding"](spark, odd_documents, SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids"]) for r in coded) == sorted((r["doc_id"] is None, r["doc_id"] or 0, library.encode(r["text"] or "", add_eos=True)) for r in rows)
+
+
+def test_pipeline_stages_take_empty_tables(spark, odd_documents):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_documents.limit(0), SF).count() == 0, name
+
+
 def test_all_eleven_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
