@@ -27,7 +27,8 @@ LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the runs of HEX that are long enough
 LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}"
 IDENT = r"""([Uu][Ss][Ee][Rr]([Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
 WEAK = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
-ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+"""
+# A scheme has at most 32 characters, or every start in a long run without one would be followed to the run's end.
+ENDPOINT = r"""[a-z][a-z0-9+.-]{0,31}://[^\x20\x09-\x0D"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 IDENTIFIERS, SECRETS, WEAK_KINDS = ("access", "ident"), ("assign", "hex", "weak"), ("ident", "weak", "endpoint")
@@ -58,23 +59,24 @@ def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None) ->
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["gap"])
-        end = begin + F.length(part["match"])
+        end = begin + F.coalesce(F.length(part["match"]), F.lit(0))
         span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), end.alias("end")))
-        found = F.concat(state["found"], span)
-        if keep is not None:
-            found = F.when(keep(part["match"]), found).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        wanted = part["match"].isNotNull() if keep is None else part["match"].isNotNull() & keep(part["match"])
+        return F.struct(end.alias("at"), F.when(wanted, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    def run(state: Column, first: Column) -> Column:
-        own = F.aggregate(F.slice(parts, first, RUN), F.struct(state["at"].alias("at"), none.alias("found")), step)
-        return F.struct(own["at"].alias("at"), F.concat(state["found"], F.array(own["found"])).alias("found"))
+    def walk(parts: Column) -> Column:
+        # Appending copies the list so far, so matches are collected in runs and the runs joined at the end.
+        def run(state: Column, first: Column) -> Column:
+            own = F.aggregate(F.slice(parts, first, RUN), F.struct(state["at"].alias("at"), none.alias("found")), step)
+            return F.struct(own["at"].alias("at"), F.concat(state["found"], F.array(own["found"])).alias("found"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(RUN)), start, run, lambda s: F.flatten(s["found"]))
 
-    # Appending copies the list so far, so matches are collected in runs and the runs joined at the end.
     none = F.expr(f"cast(array() as {SPAN})")
-    parts = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("found"))
-    runs = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
-    return F.when(possible, F.aggregate(runs, start, run, lambda s: F.flatten(s["found"]))).otherwise(none)
+    # The last stretch has no match. As a lambda's variable the parts are made once, not once a run.
+    parts = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.when(possible, F.transform(F.array(parts), walk)[0]).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
