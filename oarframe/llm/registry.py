@@ -12,8 +12,21 @@ from .mixing import OP9_SQL, op9_temperature_mix
 from .secret_scan import op8_secret_scan
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
+from .simhash import op11_simhash_dedup
 
-_QUERIES = [op1_minhash_dedup, op2_ring_shards, op3_sentencepiece, op4_language_id, op5_one_bit_neighbours, op6_webp_columns, op7_license_scan, op8_secret_scan, op9_temperature_mix, op10_backoff_scores]
+_QUERIES = [
+    op1_minhash_dedup,
+    op2_ring_shards,
+    op3_sentencepiece,
+    op4_language_id,
+    op5_one_bit_neighbours,
+    op6_webp_columns,
+    op7_license_scan,
+    op8_secret_scan,
+    op9_temperature_mix,
+    op10_backoff_scores,
+    op11_simhash_dedup,
+]
 _SQL: dict[str, str] = {"op5_one_bit_neighbours": OP5_SQL, "op9_temperature_mix": OP9_SQL, "op10_backoff_scores": OP10_SQL}
 
 
