@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import OP5_SQL, op5_one_bit_neighbours
 from .langid import op4_language_id
+from .lexical import OP12_SQL, op12_block_ranked_search
 from .license_scan import op7_license_scan
 from .lm_score import OP10_SQL, op10_backoff_scores
 from .media import op6_webp_columns
@@ -13,6 +14,7 @@ from .secret_scan import op8_secret_scan
 from .sentencepiece_bpe import op3_sentencepiece
 from .sharding import op2_ring_shards
 from .simhash import op11_simhash_dedup
+from .spelling import op13_spelling_variants
 
 _QUERIES = [
     op1_minhash_dedup,
@@ -26,8 +28,10 @@ _QUERIES = [
     op9_temperature_mix,
     op10_backoff_scores,
     op11_simhash_dedup,
+    op12_block_ranked_search,
+    op13_spelling_variants,
 ]
-_SQL: dict[str, str] = {"op5_one_bit_neighbours": OP5_SQL, "op9_temperature_mix": OP9_SQL, "op10_backoff_scores": OP10_SQL}
+_SQL: dict[str, str] = {"op5_one_bit_neighbours": OP5_SQL, "op9_temperature_mix": OP9_SQL, "op10_backoff_scores": OP10_SQL, "op12_block_ranked_search": OP12_SQL}
 
 
 def queries():
