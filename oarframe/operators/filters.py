@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata_contains
 from ..functions.text import contains_folded, is_play_off, remove_conjunctions, remove_symbols
+from ..session import materialize
 
 ALL = "ALL"
 
@@ -105,7 +106,7 @@ def closest_match_by_name(races: DataFrame, queries: DataFrame, force_gender: bo
 
     queries hold the competition that their names were resolved to.
     """
-    first = closest_match(races, queries)
+    first = materialize(closest_match(races, queries))
     if force_gender and force_category:
         return first
     left = queries.join(first.filter("status = 'none'").select("query_id"), "query_id", "left_semi")
@@ -116,6 +117,54 @@ def closest_match_by_name(races: DataFrame, queries: DataFrame, force_gender: bo
     return first.filter("status <> 'none'").unionByName(closest_match(races, left))
 
 
+def closest_tiers(races: DataFrame, queries: DataFrame, force_gender: bool = False, force_category: bool = False) -> DataFrame:
+    """For each query, how many races each try finds and the least of them: (query_id, n_<try>, <try>_race).
+
+    The tries are: hint (closest_match with hint_trophy_id and hint_flag_id), full (closest_match with
+    the own trophy and flag), relaxed (the same without the tests that are not forced) and exact
+    (matching_race).  A query meets the races of its date and day that have its trophy, or its flag if
+    it has none, once for all tries; a competition without trophy and flag is not tried.
+    """
+    plain = ("date", "day", "gender", "category", "league_id")
+    asked = lambda hint, trophy, flag: F.when(F.col(trophy).isNotNull() | F.col(flag).isNotNull(), F.struct(F.lit(hint).alias("hinted"), F.col(trophy).cast("long").alias("q_trophy_id"), F.col(flag).cast("long").alias("q_flag_id")))
+    kinds = F.array_compact(F.array(asked(False, "trophy_id", "flag_id"), asked(True, "hint_trophy_id", "hint_flag_id")))
+    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in plain], F.explode(kinds).alias("kind")).select("query_id", *[f"q_{c}" for c in plain], "kind.*")
+    q = q.withColumn("q_by_trophy", F.col("q_trophy_id").isNotNull()).withColumn("q_item", F.coalesce("q_trophy_id", "q_flag_id"))
+    key = lambda by_trophy, item: F.when(F.col(item).isNotNull(), F.struct(F.lit(by_trophy).alias("by_trophy"), F.col(item).cast("long").alias("item")))
+    held = races.select("id", *plain, "trophy_id", "flag_id", F.explode(F.array_compact(F.array(key(True, "trophy_id"), key(False, "flag_id")))).alias("key"))
+    held = held.select("id", *plain, "trophy_id", "flag_id", "key.*")
+    pairs = q.join(held, all_of([F.col(c) == F.col(f"q_{c}") for c in ("date", "day", "by_trophy", "item")]))
+    equal = lambda c: F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False))
+    fits = lambda c: equal(c) | (F.col(c) == ALL)
+    given = all_of([F.col(f"q_{c}").isNull() | equal(c) for c in COMPETITION])
+    full = given & (F.col("q_gender").isNull() | (fits("gender") & fits("category")))
+    forced = F.lit(True)
+    if force_gender:
+        forced = F.col("q_gender").isNull() | (fits("gender") & (fits("category") if force_category else F.col("category") == ALL))
+    own = ~F.col("hinted")
+    tries = {
+        "hint": F.col("hinted") & full,
+        "full": own & full,
+        "relaxed": own & given & forced & F.lit(not (force_gender and force_category)),
+        "exact": own & equal("gender") & equal("category") & all_of([F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in COMPETITION]),
+    }
+    counts = [x for name, hit in tries.items() for x in (F.count_if(hit).alias(f"n_{name}"), F.min(F.when(hit, F.col("id"))).alias(f"{name}_race"))]
+    return pairs.groupBy("query_id").agg(*counts)
+
+
+def first_unique(tiers: DataFrame, exact: bool = False) -> DataFrame:
+    """(query_id, race_id, status) of closest_tiers: the hint's race if it is the only one, else that of the first own try that finds any.
+
+    The exact try comes last, and only if asked for.
+    """
+    race, status = F.when(F.col("n_hint") == 1, F.col("hint_race")), F.when(F.col("n_hint") == 1, "unique")
+    for name in ("full", "relaxed", "exact")[: 3 if exact else 2]:
+        one, several = F.col(f"n_{name}") == 1, F.col(f"n_{name}") > 1
+        race = race.when(one, F.col(f"{name}_race")).when(several, None)
+        status = status.when(one, "unique").when(several, "ambiguous")
+    return tiers.select("query_id", race.alias("race_id"), status.otherwise("none").alias("status"))
+
+
 def matching_race(races: DataFrame, queries: DataFrame) -> DataFrame:
     """The race with the same competition, date, day, gender and category."""
     equal = ("date", "day", "gender", "category")
@@ -124,21 +173,28 @@ def matching_race(races: DataFrame, queries: DataFrame) -> DataFrame:
     return with_status(races.join(q, same).select("query_id", F.col("id").alias("race_id")), "query_id", "race_id", queries)
 
 
-def analogous_race(races: DataFrame, trophies: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+def analogous_race(races: DataFrame, trophies: DataFrame, queries: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
     """For each race, the one of the same year and competition on the other day (2 for day 1, else 1).
 
     A flag counts with its edition, a trophy with its own, a league alone, each only where the race
     has it; a missing edition meets a missing one.  Play-offs are held without a league, so for them
-    the other race has none.  queries holds other races to look for (id, date, day and the keys).
+    the other race has none; a play-off is known by its trophy's or flag's name (if flags are given)
+    or its sponsor, which make up a race's display name.  queries holds other races to look for (id,
+    date, day and the keys, and the sponsor where it is known).
 
     Races are counted by every choice of the keys that can be asked for, so a race meets one row.
     """
     keys = ["trophy_id", "trophy_edition", "flag_id", "flag_edition", "league_id"]
     use = lambda c, chosen: F.when(chosen, F.col(c)).alias(c)
-    playoffs = trophies.filter(is_play_off(F.col("name"))).select(F.col("id").alias("playoff_id"))
-    a = (races if queries is None else queries).join(playoffs, F.col("trophy_id") == F.col("playoff_id"), "left")
+    a = races if queries is None else queries
+    playoff = is_play_off(F.col("sponsor")) if "sponsor" in a.columns else F.lit(False)
+    playoff = F.coalesce(playoff, F.lit(False))
+    for dim, kind in ((trophies, "trophy"), (flags, "flag")):
+        if dim is not None:
+            named = dim.filter(is_play_off(F.col("name"))).select(F.col("id").alias(f"{kind}_playoff"))
+            a, playoff = a.join(named, F.col(f"{kind}_id") == F.col(f"{kind}_playoff"), "left"), playoff | F.col(f"{kind}_playoff").isNotNull()
     has_trophy, has_flag, has_league = (F.col(c).isNotNull() for c in COMPETITION)
-    kind = F.when(~has_league, "any").when(F.col("playoff_id").isNotNull(), "none").otherwise("same")
+    kind = F.when(~has_league, "any").when(playoff, "none").otherwise("same")
     other_day = F.when(F.col("day") == 2, F.lit(1)).otherwise(F.lit(2))
     wanted = a.select(
         F.col("id").alias("query_id"), F.year("date").alias("year"), other_day.alias("day"), has_trophy.alias("by_trophy"), has_flag.alias("by_flag"), kind.alias("by_league"),

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import add_element
-from .filters import ALL, COMPETITION, analogous_race, matching_race, participant_by
-from .resolve import retrieve_race
+from ..session import materialize
+from .filters import ALL, COMPETITION, all_of, analogous_race, closest_tiers, first_unique, participant_by
 
 POLICIES = ("always", "never", "review")
 
@@ -23,7 +23,9 @@ def decided(policy: str) -> Column:
     return F.lit({"always": True, "never": False, "review": None}[policy]).cast("boolean")
 
 
-def plan_races(docs: DataFrame, races: DataFrame, trophies: DataFrame, merge: str = "always", force_gender: bool = False, force_category: bool = False) -> DataFrame:
+def plan_races(
+    docs: DataFrame, races: DataFrame, trophies: DataFrame, merge: str = "always", force_gender: bool = False, force_category: bool = False, flags: DataFrame | None = None
+) -> DataFrame:
     """(query_id, race_id, associated_id, status) for documents with resolved competition.
 
     docs: query_id, date, day, gender, category, trophy_id, trophy_edition, flag_id, flag_edition,
@@ -34,10 +36,8 @@ def plan_races(docs: DataFrame, races: DataFrame, trophies: DataFrame, merge: st
     """
     complete = (F.col("trophy_id").isNotNull() & (F.coalesce("trophy_edition", F.lit(0)) != 0)) | (F.col("flag_id").isNotNull() & (F.coalesce("flag_edition", F.lit(0)) != 0))
     usable = docs.filter(complete)
-    close = retrieve_race(usable, races, force_gender, force_category)
-    exact = matching_race(races, usable.join(close.filter("status = 'none'").select("query_id"), "query_id", "left_semi"))
-    found = close.filter("status <> 'none'").unionByName(exact)
-    other = analogous_race(races, trophies, usable.withColumnRenamed("query_id", "id")).select("query_id", F.col("race_id").alias("other_id"), F.col("status").alias("other_status"))
+    found = first_unique(closest_tiers(races, usable, force_gender, force_category), exact=True)
+    other = analogous_race(races, trophies, usable.withColumnRenamed("query_id", "id"), flags).select("query_id", F.col("race_id").alias("other_id"), F.col("status").alias("other_status"))
     joined = docs.select("query_id", complete.alias("complete")).join(found, "query_id", "left").join(other, "query_id", "left")
     merges = decided(merge)
     several = (F.col("status") == "ambiguous") | (F.coalesce("other_status", F.lit("none")) == "ambiguous")
@@ -72,38 +72,84 @@ def merge_race(pairs: DataFrame) -> DataFrame:
     )
 
 
-def save_races(new: DataFrame, races: DataFrame, auto_before: int = 2003) -> DataFrame:
+#: The two keys that stored races may have once each; a key with a null part is no key.
+UNIQUE_KEYS = {kind: (f"{kind}_id", "league_id", f"{kind}_edition", "modality") for kind in ("trophy", "flag")}
+_COMPETITION_KEYS = [*COMPETITION, "trophy_edition", "flag_edition", "modality"]
+
+
+def _unique_keys() -> Column:
+    """A race's complete unique keys, as structs of one type."""
+    key = lambda kind, cols: F.struct(F.lit(kind).alias("kind"), *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(cols)])
+    known = lambda cols: all_of([F.col(c).isNotNull() for c in cols])
+    return F.array_compact(F.array(*[F.when(known(cols), key(kind, cols)) for kind, cols in UNIQUE_KEYS.items()]))
+
+
+def save_races(new: DataFrame, races: DataFrame, auto_before: int = 2003, order: str = "id", max_rounds: int = 40) -> DataFrame:
     """(id, day, action, associated_id) of new races: saved, saved as day 2, rejected, or left for review.
 
-    A race whose key (competition, edition, modality, day) is taken on day 1 is tried as day 2; a day 2
-    needs a race to be associated with.  Races before auto_before are saved without review.
+    The races are taken in the order of the column `order` (ties: id), and each sees what the ones
+    before it stored.  A race may not have a unique key (trophy or flag, league, edition, modality,
+    day) of a stored one.  A day 2 needs a day-1 race of the same year and competition (null parts
+    are equal here), the earliest of which becomes associated_id.  A race of day 1 whose key is taken
+    is tried as day 2 in the same way; what fails is rejected.  Races before auto_before are saved
+    without review; one left for review holds its keys like a saved one.
+
+    Each round decides, in parallel, the races that no undecided earlier one can influence, and writes
+    their claims to the shared folder.  Races of one key need at most four rounds, however many they
+    are.  Longer chains, in which trophies and flags take turns, need a round for each link; what is
+    undecided after max_rounds is left for REVIEW with its day unchanged.
     """
-    keys = [*COMPETITION, "trophy_edition", "flag_edition", "modality"]
-
-    def taken(df: DataFrame, day: Column, name: str) -> DataFrame:
-        held = races.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("day").alias("t_day"), F.lit(True).alias(name)).distinct()
-        same = F.col("t_day") == day
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"t_{k}"))
-        return df.join(held, same, "left").select(df["*"], F.coalesce(name, F.lit(False)).alias(name))
-
-    checked = taken(taken(new, F.col("day"), "key_taken"), F.lit(2), "second_taken")
-    first = races.filter("day = 1").groupBy(*keys, F.year("date").alias("year")).agg(F.min("id").alias("first_id"))
-    joined = checked.join(first.select(*[F.col(k).alias(f"f_{k}") for k in keys], "year", "first_id"), _same(keys, "f_") & (F.year("date") == F.col("year")), "left")
-    retry = F.col("key_taken") & (F.col("day") == 1) & ~F.col("second_taken") & F.col("first_id").isNotNull()
-    action = (
-        F.when(retry, "SAVE_AS_DAY_2").when(F.col("key_taken"), "REJECT").when((F.col("day") == 2) & F.col("first_id").isNull(), "REJECT")
-        .when(F.year("date") < auto_before, "SAVE").otherwise("REVIEW")
+    competition = F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(_COMPETITION_KEYS)])
+    shape = lambda df, at: df.select("id", at.alias("at"), F.col("day").cast("int").alias("day"), F.year("date").alias("year"), competition.alias("competition"), _unique_keys().alias("keys"))
+    before_all = F.struct(F.lit(0).alias("late"), F.lit(None).cast(new.schema[order].dataType).alias("value"), F.col("id"))
+    claims = shape(races, before_all)
+    pending = materialize(shape(new, F.struct(F.lit(1).alias("late"), F.col(order).alias("value"), F.col("id"))))
+    decided_races, rounds = None, 0
+    while rounds < max_rounds and not pending.isEmpty():
+        judged = materialize(_judge(pending, claims))
+        done = judged.filter("action is not null")
+        decided_races = done if decided_races is None else decided_races.unionByName(done)
+        pending = materialize(judged.filter("action is null").select(*pending.columns))
+        held = done.filter("action <> 'REJECT'").withColumn("day", F.when(F.col("action") == "SAVE_AS_DAY_2", F.lit(2)).otherwise(F.col("day")))
+        claims = claims.unionByName(held.select(*claims.columns))
+        rounds += 1
+    if decided_races is None:
+        decided_races = _judge(pending, claims)
+    day = F.when(F.col("action") == "SAVE_AS_DAY_2", F.lit(2)).otherwise(F.col("day"))
+    action = F.when((F.col("action") == "SAVE") & (F.col("year") >= auto_before), "REVIEW").otherwise(F.col("action"))
+    associated = F.when((F.col("action") != "REJECT") & (day == 2), F.col("first.id"))
+    out = decided_races.select("id", day.alias("day"), action.alias("action"), associated.alias("associated_id"))
+    if rounds < max_rounds:
+        return out
+    return out.unionByName(pending.select("id", "day", F.lit("REVIEW").alias("action"), F.lit(None).cast("long").alias("associated_id")))
+
+
+def _judge(pending: DataFrame, claims: DataFrame) -> DataFrame:
+    """pending with first (the race to be associated with) and action, null where an earlier race is to be decided before.
+
+    By key: the earliest claims of its days, and the earliest undecided race, of day 1 and of any day.
+    By competition and year: the earliest day-1 race that is stored, and that is undecided.
+    """
+    first_day = F.col("day") == 1
+    taken = claims.select("at", "day", F.explode("keys").alias("key")).groupBy("key").agg(F.min(F.when(first_day, F.col("at"))).alias("taken_1"), F.min(F.when(F.col("day") == 2, F.col("at"))).alias("taken_2"))
+    asked = pending.select("id", "at", "day", F.explode("keys").alias("key"))
+    waiting = materialize(asked.groupBy("key").agg(F.min(F.when(first_day, F.col("at"))).alias("waiting_1"), F.min("at").alias("waiting")).join(taken, "key", "left"))
+    earlier = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
+    by_key = asked.join(waiting, "key").groupBy("id").agg(*[F.max(earlier(c)).alias(c) for c in ("taken_1", "taken_2", "waiting_1", "waiting")])
+    firsts = lambda df, name: df.filter(first_day).groupBy("competition", "year").agg(F.min("at").alias(name))
+    wanted = pending.select("competition", "year").distinct()
+    by_year = materialize(wanted.join(firsts(claims, "first"), ["competition", "year"], "left").join(firsts(pending, "coming"), ["competition", "year"], "left"))
+    joined = pending.join(by_key, "id", "left").join(by_year, ["competition", "year"], "left")
+    no = F.lit(False)
+    for c in ("taken_1", "taken_2", "waiting_1", "waiting"):
+        joined = joined.withColumn(c, F.coalesce(c, no))
+    has_first, first_may_come = earlier("first"), earlier("coming")
+    as_second = (
+        F.when(F.col("taken_2") | (~has_first & ~first_may_come), "REJECT").when(F.col("waiting") | ~has_first, None)
+        .otherwise(F.when(first_day, "SAVE_AS_DAY_2").otherwise("SAVE"))
     )
-    day = F.when(retry, F.lit(2)).otherwise(F.col("day"))
-    return joined.select("id", day.alias("day"), action.alias("action"), F.when(day == 2, F.col("first_id")).alias("associated_id"))
-
-
-def _same(keys: list[str], prefix: str) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-    return out
+    action = F.when(first_day & ~F.col("taken_1"), F.when(~F.col("waiting_1"), "SAVE")).otherwise(as_second)
+    return joined.select(*pending.columns, "first", action.alias("action"))
 
 
 def day_links(saved: DataFrame) -> DataFrame:
@@ -180,27 +226,36 @@ def merge_participant(pairs: DataFrame, allowed: bool = True) -> DataFrame:
     )
 
 
-def upsert_penalty(new: DataFrame, penalties: DataFrame) -> DataFrame:
-    """(participant_id, reason, disqualification, notes, status) after the documents' penalties.
+def upsert_penalty(new: DataFrame, penalties: DataFrame, order: str | None = None) -> DataFrame:
+    """(participant_id, reason, disqualification, notes, status) of the penalties that the documents' ones change or create.
 
     new: participant_id, reason, disqualification, note.  A boat's only penalty takes a note that it
     lacks, and the reason if it had none, unless it has another reason; of several, the only one with
-    that reason takes the note.  Else one is inserted.  Of several documents' penalties for one boat
-    each is looked at on its own.
+    that reason takes the note.  Else one is inserted.  The new penalties of a boat are taken one by
+    one, in the order of the column `order` (without it, of reason, disqualification and note), and
+    each meets what the ones before it made.  Penalties without a boat are left out.
+
+    The boat's penalties, stored and new, come together in one row: a document names a boat once.
     """
-    counted = penalties.withColumn("n", F.count("*").over(Window.partitionBy("participant_id"))).withColumn("n_reason", F.count("*").over(Window.partitionBy("participant_id", "reason")))
-    old = counted.select("participant_id", F.nullif(F.col("reason"), F.lit("")).alias("old_reason"), F.col("disqualification").alias("old_out"), F.col("notes").alias("old_notes"), "n", "n_reason")
-    same = F.col("old_reason") == F.col("reason")
-    fits = F.coalesce(F.when(F.col("n") == 1, F.col("old_reason").isNull() | same).otherwise((F.col("n_reason") == 1) & same), F.lit(False))
-    target = new.join(old, "participant_id").filter(fits).select("participant_id", "reason", "note", "old_reason", "old_out", "old_notes")
-    known = F.col("note").isNull() | F.array_contains("old_notes", F.col("note"))
-    notes = F.when(known, F.col("old_notes")).otherwise(F.concat("old_notes", F.array("note")))
-    updated = target.select("participant_id", F.coalesce("old_reason", "reason").alias("reason"), F.col("old_out").alias("disqualification"), notes.alias("notes"), F.lit("UPDATED").alias("status"))
-    # A document's penalty is known by boat and reason: one that met a stored penalty is not inserted.
-    met = target.select(F.col("participant_id").alias("met_id"), F.col("reason").alias("met_reason")).distinct()
-    fresh = new.join(met, (F.col("participant_id") == F.col("met_id")) & F.col("reason").eqNullSafe(F.col("met_reason")), "left_anti")
-    inserted = fresh.select("participant_id", "reason", "disqualification", F.array_compact(F.array("note")).alias("notes"), F.lit("CREATED").alias("status"))
-    return updated.unionByName(inserted)
+    place = F.col(order) if order else F.lit(0)
+    reported = new.filter("participant_id is not null").select("participant_id", F.struct(place.alias("at"), "reason", F.col("disqualification").alias("out"), F.nullif(F.col("note"), F.lit("")).alias("note")).alias("p"))
+    steps = reported.groupBy("participant_id").agg(F.array_sort(F.collect_list("p")).alias("steps"))
+    kind = "array<struct<reason:string,disqualification:boolean,notes:array<string>,status:string>>"
+    held = F.struct(F.nullif(F.col("reason"), F.lit("")).alias("reason"), "disqualification", "notes", F.lit(None).cast("string").alias("status"))
+    old = penalties.join(steps.select("participant_id"), "participant_id", "left_semi").groupBy("participant_id").agg(F.collect_list(held).alias("held"))
+
+    def step(held: Column, p: Column) -> Column:
+        meant = lambda x: (F.size(held) == 1) | F.coalesce(x["reason"] == p["reason"], F.lit(False))
+        fits = F.exists(held, lambda x: meant(x) & (x["reason"].isNull() | F.coalesce(x["reason"] == p["reason"], F.lit(False))))
+        noted = lambda x: F.when(p["note"].isNull() | F.array_contains(x["notes"], p["note"]), x["notes"]).otherwise(F.concat(x["notes"], F.array(p["note"])))
+        shaped = lambda *parts: F.struct(*[part.alias(name) for part, name in zip(parts, ("reason", "disqualification", "notes", "status"))])
+        changed = F.transform(held, lambda x: F.when(meant(x), shaped(F.coalesce(x["reason"], p["reason"]), x["disqualification"], noted(x), F.coalesce(x["status"], F.lit("UPDATED")))).otherwise(x))
+        made = shaped(p["reason"], p["out"], F.array_compact(F.array(p["note"])), F.lit("CREATED"))
+        return F.when((F.size(F.filter(held, meant)) == 1) & fits, changed).otherwise(F.concat(held, F.array(made))).cast(kind)
+
+    start = F.coalesce(F.col("held"), F.expr("array()")).cast(kind)
+    after = steps.join(old, "participant_id", "left").select("participant_id", F.inline(F.aggregate("steps", start, step)))
+    return after.filter("status is not null")
 
 
 def save_participants(plan: DataFrame, created_races: DataFrame, save: str = "review") -> DataFrame:

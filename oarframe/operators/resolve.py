@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import expand_tokens, fold, is_memorial, is_play_off, name_tokens, normalize_synonyms, relative_distance, remove_conjunctions, remove_parenthesis, remove_symbols, similarity, strip_branch
 from ..schemas import ENTITY_TYPES
 from ..session import materialize
-from .filters import active_first, closest_match, closest_match_by_name
+from .filters import active_first, closest_tiers, first_unique
 from .joins import containing_tokens, substring_pairs
 from .rollups import any_alternative, best_candidate, single_distinct
 
@@ -184,12 +184,7 @@ def retrieve_race(docs: DataFrame, races: DataFrame, force_gender: bool = False,
     tests, then without those that are not forced.  A document without a competition finds none, and
     several races are ambiguous, to be reviewed.
     """
-    hinted = docs.filter(F.col("hint_trophy_id").isNotNull() | F.col("hint_flag_id").isNotNull())
-    by_hint = closest_match(races, hinted.withColumn("trophy_id", F.col("hint_trophy_id")).withColumn("flag_id", F.col("hint_flag_id"))).filter("status = 'unique'")
-    rest = docs.join(by_hint.select("query_id"), "query_id", "left_anti")
-    named = rest.filter(F.col("trophy_id").isNotNull() | F.col("flag_id").isNotNull())
-    by_name = closest_match_by_name(races, named, force_gender, force_category)
-    found = by_hint.unionByName(by_name)
+    found = first_unique(closest_tiers(races, docs, force_gender, force_category))
     return docs.select("query_id").join(found, "query_id", "left").select("query_id", "race_id", F.coalesce("status", F.lit("none")).alias("status"))
 
 

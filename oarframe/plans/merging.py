@@ -69,16 +69,27 @@ def _(t):
     return merged.select("id", "gender", "category", "laps", "lanes", "sponsor", "place_id", F.array_join("race_names", ",").alias("race_names"), F.size("metadata").cast("long").alias("refs"))
 
 
-_KEYS = ("trophy_id", "flag_id", "league_id", "trophy_edition", "flag_edition", "modality")
-_SAME = " AND ".join(f"r.{k} IS NOT DISTINCT FROM n.{k}" for k in _KEYS)
-
-
-_SAVED = f"""n AS (SELECT * FROM race WHERE id % 5 = 2), old AS (SELECT * FROM race WHERE id % 5 <> 2),
-    c AS (SELECT n.id, n.day, n.yr, EXISTS (SELECT 1 FROM old AS r WHERE r.day = n.day AND {_SAME}) AS taken, EXISTS (SELECT 1 FROM old AS r WHERE r.day = 2 AND {_SAME}) AS second,
-      (SELECT min(r.id) FROM old AS r WHERE r.day = 1 AND r.yr = n.yr AND {_SAME}) AS first_id FROM n),
-    d AS (SELECT *, taken AND day = 1 AND NOT second AND first_id IS NOT NULL AS retry FROM c)
-    SELECT id, CASE WHEN retry THEN 2 ELSE day END AS day, CASE WHEN retry THEN 'SAVE_AS_DAY_2' WHEN taken OR (day = 2 AND first_id IS NULL) THEN 'REJECT' WHEN yr < 1996 THEN 'SAVE' ELSE 'REVIEW' END AS action,
-      CASE WHEN retry OR day = 2 THEN first_id END AS associated_id FROM d"""
+#: One race in five is new.  They come by id, and a later one meets what an earlier one has stored.
+_SAVED = """k AS (
+      SELECT *, id % 5 = 2 AS fresh, league_id IS NOT NULL AS keyed,
+        concat_ws('/', coalesce(trophy_id, -1), coalesce(flag_id, -1), coalesce(league_id, -1), coalesce(trophy_edition, -1), coalesce(flag_edition, -1), modality) AS comp
+      FROM race),
+    g AS (SELECT comp, bool_or(day = 1) AS s1, bool_or(day = 2) AS s2 FROM k WHERE NOT fresh GROUP BY comp),
+    a AS (SELECT comp, min(id) AS leader FROM k WHERE fresh AND day = 1 GROUP BY comp),
+    f AS (
+      SELECT comp, yr, min(CASE WHEN NOT fresh THEN id END) AS stored_first, min(CASE WHEN fresh THEN id END) AS fresh_first
+      FROM k WHERE day = 1 GROUP BY comp, yr),
+    c AS (
+      SELECT k.id, k.day, k.yr, k.keyed, k.comp, coalesce(g.s2, false) AS s2,
+        k.day = 1 AND (NOT k.keyed OR (NOT coalesce(g.s1, false) AND k.id = a.leader)) AS leads,
+        coalesce(f.stored_first, CASE WHEN f.fresh_first < k.id AND (NOT k.keyed OR (NOT coalesce(g.s1, false) AND f.fresh_first = a.leader)) THEN f.fresh_first END) AS first_id
+      FROM k LEFT JOIN g USING (comp) LEFT JOIN a USING (comp) LEFT JOIN f ON f.comp = k.comp AND f.yr = k.yr WHERE k.fresh),
+    d AS (
+      SELECT *, NOT leads AND first_id IS NOT NULL AND (NOT keyed OR (NOT s2 AND id = min(CASE WHEN NOT leads AND first_id IS NOT NULL THEN id END) OVER (PARTITION BY comp))) AS second
+      FROM c)
+    SELECT id, CASE WHEN second THEN 2 ELSE day END AS day,
+      CASE WHEN second AND day = 1 THEN 'SAVE_AS_DAY_2' WHEN NOT leads AND NOT second THEN 'REJECT' WHEN yr < 1996 THEN 'SAVE' ELSE 'REVIEW' END AS action,
+      CASE WHEN second THEN first_id END AS associated_id FROM d"""
 
 
 def _saved(t):
@@ -159,7 +170,7 @@ def _(t):
     return t.race_with_metadata.select("id", F.size(metadata.add_element(F.col("metadata"), new)).cast("long").alias("refs"))
 
 
-_NEW = "n AS (SELECT participant_id, CASE WHEN participant_id % 2 = 0 THEN 'COLLISION' ELSE 'NO_LINE_START' END AS reason, true AS disqualification, CASE WHEN participant_id % 3 <> 0 THEN 'seen' END AS note FROM penalty WHERE participant_id % 4 < 2 UNION ALL SELECT id, 'OFF_THE_FIELD', false, 'late' FROM participant WHERE id % 50 = 0 AND id NOT IN (SELECT participant_id FROM penalty))"
+_NEW = "n AS (SELECT participant_id, CASE WHEN participant_id % 2 = 0 THEN 'COLLISION' ELSE 'NO_LINE_START' END AS reason, true AS disqualification, CASE WHEN participant_id % 3 <> 0 THEN 'seen' END AS note FROM penalty WHERE participant_id % 4 < 2 UNION ALL SELECT id, 'OFF_THE_FIELD', false, CASE WHEN id % 100 = 0 THEN 'late,again' ELSE 'late' END FROM participant WHERE id % 50 = 0 AND id NOT IN (SELECT participant_id FROM penalty))"
 
 
 _UPSERT = f"""{_NEW}, p AS (SELECT participant_id, reason, disqualification, notes FROM penalty UNION ALL SELECT participant_id, 'COLLISION', false, ['second'] FROM penalty WHERE participant_id % 8 = 0),
@@ -175,13 +186,18 @@ def _penalties(t):
     reason = F.when(F.col("participant_id") % 2 == 0, "COLLISION").otherwise("NO_LINE_START")
     new = t.penalty.filter("participant_id % 4 < 2").select("participant_id", reason.alias("reason"), F.lit(True).alias("disqualification"), F.when(F.col("participant_id") % 3 != 0, "seen").alias("note"))
     late = t.participant.filter("id % 50 = 0").select(F.col("id").alias("participant_id"), F.lit("OFF_THE_FIELD").alias("reason"), F.lit(False).alias("disqualification"), F.lit("late").alias("note"))
-    return t.penalty.unionByName(second), new.unionByName(late.join(t.penalty.select("participant_id"), "participant_id", "left_anti"))
+    late = late.join(t.penalty.select("participant_id"), "participant_id", "left_anti")
+    # Other documents report some of these again: a penalty that the first one made takes the second one's note.
+    again = late.filter("participant_id % 100 = 0").withColumn("disqualification", F.lit(True)).withColumn("note", F.lit("again"))
+    reports = new.withColumn("pos", F.lit(1)).unionByName(late.withColumn("pos", F.lit(1)))
+    reports = reports.unionByName(again.withColumn("pos", F.lit(2))).unionByName(new.filter("participant_id % 4 = 1").withColumn("pos", F.lit(2)))
+    return t.penalty.unionByName(second), reports
 
 
 @query("mrg_7_upsert_penalty", f"WITH {_UPSERT}")
 def _(t):
     stored, new = _penalties(t)
-    return merge.upsert_penalty(new, stored).withColumn("notes", F.array_join("notes", ","))
+    return merge.upsert_penalty(new, stored, order="pos").withColumn("notes", F.array_join("notes", ","))
 
 
 @query("mrg_11_backfill_penalties", f"WITH {_UPSERT}")
