@@ -27,8 +27,10 @@ LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the runs of HEX that are long enough
 LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}"
 IDENT = r"""([Uu][Ss][Ee][Rr]([Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
 WEAK = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
-# A scheme has at most 32 characters, or every start in a long run without one would be followed to the run's end.
-ENDPOINT = r"""[a-z][a-z0-9+.-]{0,31}://[^\x20\x09-\x0D"'<>]+"""
+# A scheme begins at the first letter of a run of its characters.  The run is matched from its start, or every
+# letter in a long run without an endpoint would be followed to the run's end; what stands before the letter is SCHEME_LEAD.
+ENDPOINT = r"""(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D"'<>]+"""
+SCHEME_LEAD = "^[0-9+.-]*"
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 IDENTIFIERS, SECRETS, WEAK_KINDS = ("access", "ident"), ("assign", "hex", "weak"), ("ident", "weak", "endpoint")
@@ -46,9 +48,11 @@ def may_run(text: Column) -> Column:
     return text.rlike(LONG_RUN)
 
 
-def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None) -> Column:
+def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None, lead: str | None = None) -> Column:
     """Spans of the leftmost non-overlapping matches that keep(match) accepts, in code points.
 
+    What `lead` matches at a match's start is not part of its span.
+
     `possible` is a cheaper condition that every text with a match meets; others are not searched.
 
     The stretches between matches come from splitting at the pattern; their lengths and those of
@@ -60,7 +64,8 @@ def spans(text: Column, pattern: str, kind: str, possible: Column, keep=None) ->
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["gap"])
         end = begin + F.coalesce(F.length(part["match"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), end.alias("end")))
+        first = begin if lead is None else begin + F.length(F.regexp_extract(part["match"], lead, 0))
+        span = F.array(F.struct(first.alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), end.alias("end")))
         wanted = part["match"].isNotNull() if keep is None else part["match"].isNotNull() & keep(part["match"])
         return F.struct(end.alias("at"), F.when(wanted, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
@@ -92,7 +97,7 @@ def weak_spans(text: Column) -> Column:
     return F.concat(
         spans(text, IDENT, "ident", may_assign(text), lambda m: F.length(F.regexp_extract(m, IDENT, 3)) >= 3),
         spans(text, WEAK, "weak", may_run(text), mixed),
-        spans(text, ENDPOINT, "endpoint", F.contains(text, F.lit("://"))),
+        spans(text, ENDPOINT, "endpoint", F.contains(text, F.lit("://")), lead=SCHEME_LEAD),
     )
 
 
@@ -152,8 +157,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier = F.contains(F.col(text), F.lit("AKIA")) | F.col(text).rlike(IDENT)
     weak = keyed.filter((may_run(F.col(text)) | may_assign(F.col(text))) & identifier).select(F.col(key).alias("key"), F.col(text).alias("t")).withColumn("w", weak_spans(F.col("t")))
     both = weak.filter(F.size("w") > 0).select("key", F.concat("w", base_spans(F.col("t"))).alias("all"))
-    # Both joins read the parts several times; written once, the texts are searched once for them.
-    parts = materialize(both.select("key", F.explode("all").alias("p")).select("key", "p.*"))
+    # Both joins read the parts several times; written once, the texts are searched once for them.  Rows with equal
+    # keys have equal parts, and one copy of each is enough: all of them would meet all.
+    parts = materialize(both.select("key", F.explode("all").alias("p")).select("key", "p.*").distinct())
     linked = link_parts(parts, scope).groupBy("key").agg(F.collect_list(F.struct("start", "place", "kind", "end")).alias(other))
     joined = base.join(linked.withColumnRenamed("key", f"{key}_right"), F.col(key) == F.col(f"{key}_right"), "left")
     spans_all = F.array_sort(F.concat("base_spans", F.coalesce(F.col(other), F.expr(f"cast(array() as {SPAN})"))))

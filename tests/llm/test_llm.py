@@ -570,7 +570,7 @@ def test_op8_endpoints_near_base_spans(spark):
 def brute_links(t, scope=128):
     """All spans, with every pair of parts compared."""
     found = [(int(a), k, int(z)) for k, a, z in (x.split(":") for x in brute_spans(t).split(",") if x)]
-    for k, p in (("ident", secret_scan.IDENT), ("weak", secret_scan.WEAK), ("endpoint", secret_scan.ENDPOINT)):
+    for k, p in (("ident", secret_scan.IDENT), ("weak", secret_scan.WEAK), ("endpoint", r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""")):
         for m in re.finditer(p, t):
             long_enough = len(m[3]) >= 3 if k == "ident" else all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) if k == "weak" else True
             if long_enough:
@@ -612,6 +612,23 @@ def test_op8_long_runs_cost_their_length(spark):
     assert time.monotonic() - began < 60
 
 
+def test_op8_schemes_are_whole(spark):
+    texts = ["user=bob secret=abcdefgh12 " + "x" * 50 + "://h.i/j?k", "user=bob secret=abcdefgh12 9.+-http://h.i", "user=bob secret=abcdefgh12 9://h.i", "user=bob secret=abcdefgh12 aXb1://h.i/c://d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secret_scan.scan_secrets(df).select("doc_id", secret_scan.span_text("all_spans").alias("s")).collect()}
+    assert got == {i: brute_links(t) for i, t in enumerate(texts)}
+    assert got[0].endswith("endpoint:27:87") and got[1].endswith("endpoint:31:41") and "endpoint" not in got[2] and got[3].endswith("endpoint:29:43")
+    assert secret_scan.redact(df).filter("doc_id = 0").first()["text"] == "[SECRET] [SECRET] [SECRET]"
+
+
+def test_op8_repeated_rows_do_not_meet(spark):
+    """Copies with one key (no id, one text) have their parts compared once, not each with each."""
+    text = "user=bob secret=abcdefgh12 https://h.i/j"
+    rows = spark.range(60000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = secret_scan.scan_secrets(rows).groupBy(secret_scan.span_text("all_spans").alias("s")).count().collect()
+    assert [(r["s"], r["count"]) for r in got] == [("ident:0:8,assign:9:26,endpoint:27:40", 60000)]
+
+
 def test_op8_odd_rows(spark, odd):
     assert secret_scan.scan_secrets(odd).count() == len(ODD)
     clean = secret_scan.redact(spark.createDataFrame([(1, "é token = 'abcdefgh' x"), (2, None), (3, "plain")], "doc_id long, text string"))
