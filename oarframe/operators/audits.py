@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.laps import last_lap
+from ..session import materialize
+from ..sources.scans import in_years
 from .filters import not_playoff
 from .rollups import distinct_in_group, distinct_lanes, largest_fields, race_arrays
 from .speeds import is_branch_boat, speed_of
@@ -68,32 +70,57 @@ def tied(participants: DataFrame, resolution_ms: int = 1) -> DataFrame:
     return timed.filter("time > 0").join(shared, ["race_id", "clock"], "left_semi").select("id", "race_id")
 
 
-def identical_results(races: DataFrame, participants: DataFrame, club: Column | None = None, time: Column | None = None) -> DataFrame:
-    """(id, other_id): races with the same clubs and times, where the other is not marked as the same.
-
-    A boat without laps has a null time, which equals other null times.  A pair is left out only if
-    the second race is marked as the same as the first.
-    """
+def _result_arrays(participants: DataFrame, club: Column | None, time: Column | None) -> DataFrame:
     boats = participants
     if club is not None:
         boats = boats.withColumn("club_id", club)
     if time is not None:
         boats = boats.withColumn("laps_ms", F.array(time))
-    arrays = race_arrays(boats)
-    marked = arrays.join(races.select(F.col("id").alias("race_id"), "same_as_id"), "race_id")
+    return race_arrays(boats)
+
+
+def identical_results(races: DataFrame, participants: DataFrame, club: Column | None = None, time: Column | None = None) -> DataFrame:
+    """(id, other_id): races with the same clubs and times, where the other is not marked as the same.
+
+    A boat without laps has a null time, which equals other null times.  A pair is left out only if
+    the second race is marked as the same as the first.  A group of n equal races has n * (n - 1)
+    pairs; identical_groups gives the groups.
+    """
+    marked = _result_arrays(participants, club, time).join(races.select(F.col("id").alias("race_id"), "same_as_id"), "race_id")
     other = marked.select(F.col("race_id").alias("other_id"), F.col("same_as_id").alias("other_same"), "clubs", "times")
     pairs = marked.join(other, ["clubs", "times"]).filter((F.col("race_id") != F.col("other_id")) & (F.col("other_same").isNull() | (F.col("other_same") != F.col("race_id"))))
     return pairs.select(F.col("race_id").alias("id"), "other_id")
 
 
+def identical_groups(races: DataFrame, participants: DataFrame, club: Column | None = None, time: Column | None = None) -> DataFrame:
+    """(id, group_id, races, pairs): each race whose clubs and times another race has too, with the least race of its group.
+
+    races is the size of the group, pairs how many pairs identical_results gives for it.  One row a
+    race, however large the groups are: these meet by a digest of the arrays and the arrays, in an
+    aggregate that begins before the shuffle, and the races are joined back to their group.
+    """
+    arrays = _result_arrays(participants, club, time).join(races.select(F.col("id").alias("race_id"), "same_as_id"), "race_id")
+    keyed = materialize(arrays.select("race_id", "same_as_id", F.xxhash64("clubs", "times").alias("digest"), "clubs", "times"))
+    keys = ["digest", "clubs", "times"]
+    groups = materialize(keyed.groupBy(*keys).agg(F.min("race_id").alias("group_id"), F.count("*").alias("races")).filter("races > 1"))
+    of_group = materialize(keyed.join(groups, keys).select("race_id", "same_as_id", "group_id", "races"))
+    # A mark leaves out one pair if it names another race of its own group.
+    inside = of_group.select(F.col("race_id").alias("named"), F.col("group_id").alias("named_group"))
+    marked = of_group.filter(F.col("same_as_id") != F.col("race_id")).join(inside, (F.col("same_as_id") == F.col("named")) & (F.col("group_id") == F.col("named_group")), "left_semi")
+    marks = materialize(marked.groupBy("group_id").agg(F.count("*").alias("marks")))
+    pairs = F.col("races") * (F.col("races") - 1) - F.coalesce("marks", F.lit(0))
+    return of_group.join(marks, "group_id", "left").select(F.col("race_id").alias("id"), "group_id", "races", pairs.alias("pairs"))
+
+
 def league_speeds(races: DataFrame, participants: DataFrame, penalties: DataFrame, league_id: int, year: int) -> DataFrame:
     """(id, race_id, year, speed): all speeds of a league's year in held races, B boats and disqualified ones aside.
 
-    Boats without a positive last time have no speed.  Rows come by descending speed, then id.
+    Boats without a positive last time are left out.  Rows come by descending speed, boats of unknown
+    speed first, then id.
     """
-    of_year = (F.col("league_id") == league_id) & (F.year("date") == year) & ~F.col("cancelled")
+    of_year = (F.col("league_id") == league_id) & in_years(F.col("date"), [year]) & ~F.col("cancelled")
     held = races.filter(of_year).select(F.col("id").alias("race_id"), F.year("date").alias("year"))
     out = penalties.filter("disqualification").select(F.col("participant_id").alias("id"))
     boats = participants.filter((F.size("laps_ms") > 0) & (last_lap(F.col("laps_ms")) > 0) & ~is_branch_boat())
     speeds = boats.join(held, "race_id").join(out, "id", "left_anti").select("id", "race_id", "year", speed_of().alias("speed"))
-    return speeds.orderBy(F.col("speed").desc_nulls_last(), "id")
+    return speeds.orderBy(F.col("speed").desc_nulls_first(), "id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.metadata import metadata_contains
 from ..functions.text import contains_folded, is_play_off, remove_conjunctions, remove_symbols
 from ..session import materialize
+from ..sources.scans import in_years
 
 ALL = "ALL"
 
@@ -27,7 +28,7 @@ def filter_races(races: DataFrame, participants: DataFrame | None = None, faithf
     columns = {"day": "day", "trophy": "trophy_id", "flag": "flag_id", "league": "league_id"}
     tests = [F.col(c) == by[k] for k, c in columns.items() if by.get(k) is not None]
     if by.get("year") is not None:
-        tests.append(F.year("date") == by["year"])
+        tests.append(in_years(F.col("date"), [by["year"]]))
     if by.get("metadata") is not None:
         tests.append(metadata_contains(F.col("metadata"), *by["metadata"]))
     found = races.filter(all_of(tests))

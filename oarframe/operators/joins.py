@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.laps import last_lap
+from ..session import materialize
+from ..sources.scans import in_years
 
 GRAM = 3
 
 
 def races_in_year(flags: DataFrame, races: DataFrame, year: int, raced: bool) -> DataFrame:
     """Flags that raced in a year, or that did not."""
-    held = races.filter(F.year("date") == year).select(F.col("flag_id").alias("held_flag"))
+    held = races.filter(in_years(F.col("date"), [year])).select(F.col("flag_id").alias("held_flag"))
     return flags.join(held, F.col("id") == F.col("held_flag"), "left_semi" if raced else "left_anti")
 
 
@@ -71,6 +73,44 @@ def pair_in_order(left: DataFrame, right: DataFrame, keys: list[str], left_id: s
     return a.join(b, same).select(left_id, right_id)
 
 
+def greedy_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, right) of the pairs that a loop would choose: each left row in its order takes the first right row that is free.
+
+    pairs: (left, left_order, right, right_order), one row for each two that fit; equal orders go by
+    the rows' own values, and repeated pairs count once.
+
+    Each round fixes all pairs whose two rows are each other's first choice among what is left: no
+    earlier row can take either.  The others go on without the rows that are taken.  Rows of separate
+    groups are fixed side by side, so the rounds are as many as the longest row of choices that wait
+    for each other, which is at most the number of boats of a club in a race, not of all rows.
+    """
+    by_left, by_right = F.struct("right_order", right), F.struct("left_order", left)
+    open_pairs = materialize(pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, "left_order", right, "right_order").distinct())
+    fixed = open_pairs.select(left, right).limit(0)
+    while not open_pairs.isEmpty():
+        first_right = open_pairs.groupBy(left).agg(F.min_by(right, by_left).alias(right))
+        first_left = open_pairs.groupBy(right).agg(F.min_by(left, by_right).alias(left))
+        chosen = materialize(first_right.join(first_left, [left, right]).select(left, right))
+        fixed = fixed.unionByName(chosen)
+        open_pairs = materialize(open_pairs.join(chosen.select(left), left, "left_anti").join(chosen.select(right), right, "left_anti"))
+    return fixed
+
+
+def match_participants(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, doc_id): the document's boat that each stored boat gets, each used once.
+
+    rows: id, race_id, club_id, gender, category, branch; documents: doc_id, pos and the same keys,
+    with `letter` (B, C, D or null) of the boat's name.  Race, club, gender and category are equal; a
+    stored boat with a branch needs its letter, one without takes any.  Stored boats choose by id, the
+    document's boats are offered by pos.
+    """
+    keys = ["race_id", "club_id", "gender", "category"]
+    offered = documents.select(*keys, "letter", "doc_id", F.col("pos").alias("right_order"))
+    fits = F.col("branch").isNull() | F.coalesce(F.col("branch") == F.col("letter"), F.lit(False))
+    met = rows.select("id", F.col("id").alias("left_order"), "branch", *keys).join(offered, keys).filter(fits)
+    return greedy_pairs(met, "id", "doc_id")
+
+
 def partnership_edges(clubs: DataFrame) -> DataFrame:
     """(target_id, part_id, is_active): clubs that were fused, as parts of what they became."""
     return clubs.filter(F.col("fused_into").isNotNull()).select(F.col("fused_into").alias("target_id"), F.col("id").alias("part_id"), "is_active")
@@ -107,12 +147,27 @@ def substring_pairs(parts: DataFrame, names: DataFrame) -> DataFrame:
     return parts.join(long.unionByName(brief), "part").join(names, "text").select("query_id", "part", "entity_id", "text").distinct()
 
 
+def holding_all(wanted: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item_id) of wanted (keys, tokens) and items (item_id, tokens) that have all the wanted tokens.
+
+    A wanted set meets the items over its rarest token alone, counted in the items, and the rest is
+    tested on the arrays.  So a token that nearly all items have joins no rows, unless it is all that
+    is wanted; then all of them are the result.  Sets without tokens, or with one that no item has,
+    match nothing.
+    """
+    sets = wanted.select(*keys, F.array_distinct("tokens").alias("all_wanted")).filter(F.size("all_wanted") > 0)
+    held = items.select("item_id", F.array_distinct("tokens").alias("own_tokens"))
+    listed = held.select("item_id", "own_tokens", F.explode("own_tokens").alias("token"))
+    uses = materialize(listed.groupBy("token").agg(F.count("*").alias("uses")))
+    each = sets.select("all_wanted").distinct().select("all_wanted", F.explode("all_wanted").alias("token")).join(uses, "token")
+    rarest = each.groupBy("all_wanted").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.count("*").alias("known")).filter(F.col("known") == F.size("all_wanted"))
+    found = rarest.join(listed, "token").filter(F.size(F.array_except("all_wanted", "own_tokens")) == 0).select("all_wanted", "item_id")
+    return sets.join(materialize(found), "all_wanted").select(*keys, "item_id")
+
+
 def containing_tokens(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, item_id): items that have all tokens of the query; queries without tokens match nothing."""
-    wanted = queries.select("query_id", F.array_distinct("tokens").alias("tokens")).filter(F.size("tokens") > 0)
-    wanted = wanted.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    have = items.select("item_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return wanted.join(have, "token").groupBy("query_id", "item_id", "n").agg(F.count("*").alias("shared")).filter("shared = n").select("query_id", "item_id")
+    return holding_all(queries.select("query_id", "tokens"), items, ["query_id"])
 
 
 ROMAN = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.laps import last_lap
 from ..functions.metadata import add_element
+from ..session import materialize
+from ..sources.scans import in_years
+from .joins import holding_all
 
 
 def distinct_lanes(participants: DataFrame) -> DataFrame:
@@ -94,8 +97,16 @@ def attach_run_source(flags: DataFrame, races: DataFrame, run: str, ref_id: Colu
 
 
 def distinct_in_group(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """df with the distinct non-null values of a column in each group; null keys form a group."""
-    return df.withColumn(name, F.size(F.collect_set(column).over(Window.partitionBy(*keys))))
+    """df with the distinct non-null values of a column in each group; null keys form a group.
+
+    The groups are counted by an aggregate, which begins before the shuffle, and joined back: a window
+    would hold all rows of a group in one task.
+    """
+    counted = df.groupBy(*[F.col(k).alias(f"group_{k}") for k in keys]).agg(F.count_distinct(column).cast("int").alias(name))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"group_{k}"))
+    return df.join(materialize(counted), same).select(*df.columns, name)
 
 
 def best_candidate(df: DataFrame, query: str, score: str, *ties: str) -> DataFrame:
@@ -105,9 +116,45 @@ def best_candidate(df: DataFrame, query: str, score: str, *ties: str) -> DataFra
 
 
 def before_first_known(df: DataFrame, group: str, position: str, known: str) -> DataFrame:
-    """Rows of each group, newest first, before the first known one."""
-    window = Window.partitionBy(group).orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("known_so_far", F.max(F.col(known).cast("int")).over(window)).filter("known_so_far = 0").drop("known_so_far")
+    """Rows of each group, newest first, before the first known one; rows at the position of a known one are not before it."""
+    newest = df.filter(F.col(known)).groupBy(F.col(group).alias("known_group")).agg(F.max(position).alias("known_at"))
+    joined = df.join(newest, F.col(group).eqNullSafe(F.col("known_group")), "left")
+    return joined.filter(F.col("known_at").isNull() | (F.col(position) > F.col("known_at"))).select(*df.columns)
+
+
+def with_islands(docs: DataFrame, source: str, position: str, same: list[str], after: str | None = None) -> DataFrame:
+    """docs with `island`: a number that grows, within a source, where a row differs from the one before it.
+
+    Rows differ in any column of `same`, or if the one before has the flag `after`.  Equal positions
+    are ordered by the columns of `same`; a null differs from everything.
+
+    The rows are cut into ranges of (source, position), so one source may lie in many tasks.  Each
+    range numbers its own islands; the last row and the island count of every range, one row for each
+    range and source, tell the next range whether it goes on and where its numbers begin.
+    """
+    order = [source, position, *same]
+    ended = F.coalesce(F.col(after), F.lit(False)) if after else F.lit(False)
+    placed = docs.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).withColumn("ends_island", ended)
+    placed = materialize(placed)  # the ranges are sampled, so they must not be cut twice
+    local = Window.partitionBy("part", source).orderBy(*order)
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.coalesce(F.lag(c).over(local) == F.col(c), F.lit(False))
+    starts = ~(equal & ~F.coalesce(F.lag("ends_island").over(local), F.lit(False)))
+    numbered = placed.withColumn("starts", starts.cast("long")).withColumn("own_island", F.sum("starts").over(local.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    at = F.struct(position, *same)
+    edge = F.struct(*same, "ends_island")
+    parts = materialize(numbered.groupBy("part", source).agg(F.max("own_island").alias("islands"), F.min_by(edge, at).alias("head"), F.max_by(edge, at).alias("tail")))
+    # One row for each range that a source touches: few, whatever the rows.
+    ranges = Window.partitionBy(source).orderBy("part")
+    goes_on = ~F.coalesce(F.lag("tail").over(ranges)["ends_island"], F.lit(True))
+    for c in same:
+        goes_on = goes_on & F.coalesce(F.lag("tail").over(ranges)[c] == F.col("head")[c], F.lit(False))
+    joint = parts.withColumn("joined", goes_on.cast("long"))
+    shift = F.sum(F.col("islands") - F.col("joined")).over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("islands")
+    shifted = joint.select(F.col("part").alias("of_part"), F.col(source).alias("of_source"), shift.alias("shift"))
+    joined = numbered.join(shifted, (F.col("part") == F.col("of_part")) & F.col(source).eqNullSafe(F.col("of_source")))
+    return joined.withColumn("island", F.col("own_island") + F.col("shift")).select(*docs.columns, "island")
 
 
 def fold_consecutive(docs: DataFrame, source: str, position: str, as_of: str | None = None) -> DataFrame:
@@ -116,10 +163,8 @@ def fold_consecutive(docs: DataFrame, source: str, position: str, as_of: str | N
     (source, name, first, ref_ids, boats, gender): ids in order, boats added up, gender ALL if it
     varies.  A document dated after as_of ends the run before it and is left out.
     """
-    order = Window.partitionBy(source).orderBy(position)
     future = F.col("date") > F.to_date(F.lit(as_of)) if as_of else F.lit(False)
-    marked = docs.withColumn("future", future).withColumn("starts", F.coalesce((F.lag("name").over(order) != F.col("name")) | F.lag("future").over(order), F.lit(True)))
-    islands = marked.withColumn("island", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("future"))
+    islands = with_islands(docs.withColumn("future", F.coalesce(future, F.lit(False))), source, position, ["name"], "future").filter(~F.col("future"))
     refs = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col("ref_id"))))
     folded = islands.groupBy(source, "island").agg(
         F.min_by("name", position).alias("name"), F.min(position).alias("first"), refs.alias("refs"), F.sum("boats").alias("boats"),
@@ -138,25 +183,25 @@ def neighbouring_years(editions: DataFrame) -> DataFrame:
 
 
 def scan_years(docs: DataFrame, years: list[int]) -> DataFrame:
-    """The scans of several years one after another; a year named twice comes twice."""
-    scans = [docs.filter(F.year("date") == y) for y in years]
-    out = scans[0] if scans else docs.limit(0)
-    for scan in scans[1:]:
-        out = out.unionByName(scan)
-    return out
+    """The scans of several years, read in one scan of their dates; a year named twice comes twice."""
+    found = docs.filter(in_years(F.col("date"), years))
+    times = {y: years.count(y) for y in set(years)}
+    if all(n == 1 for n in times.values()):
+        return found
+    copies = F.lit(1)
+    for y, n in times.items():
+        if n > 1:
+            copies = F.when(in_years(F.col("date"), [y]), F.lit(n)).otherwise(copies)
+    return found.withColumn("scanned_time", F.explode(F.sequence(F.lit(1), copies))).drop("scanned_time")
 
 
 def any_alternative(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (query_id, item_id) where the item's tokens contain one of the query's alternatives.
 
-    queries: (query_id, alternatives, an array of token arrays); items: (item_id, tokens).  A pair
-    meets over an equal token, and counts the tokens of the alternative that it shares.
+    queries: (query_id, alternatives, an array of token arrays); items: (item_id, tokens).
     """
-    each = queries.select("query_id", F.posexplode("alternatives").alias("alternative", "wanted")).filter(F.size("wanted") > 0)
-    tokens = each.select("query_id", "alternative", F.size("wanted").alias("n"), F.explode("wanted").alias("token"))
-    have = items.select("item_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = tokens.join(have, "token").groupBy("query_id", "alternative", "n", "item_id").agg(F.count("*").alias("shared")).filter("shared = n")
-    return hits.select("query_id", "item_id").distinct()
+    each = queries.select("query_id", F.explode("alternatives").alias("tokens"))
+    return holding_all(each, items, ["query_id"]).distinct()
 
 
 def merge_tables(first: DataFrame, second: DataFrame, key: str, items: str) -> DataFrame:

@@ -29,11 +29,6 @@ def sort_races(races: DataFrame, by: str, trophies: DataFrame, flags: DataFrame)
     return named.withColumn("sort_name", F.coalesce("trophy_name", "flag_name")).orderBy(*race_order(by)).select(*races.columns, "sort_name")
 
 
-def numbered(page: DataFrame, order: list[Column]) -> DataFrame:
-    """(id, position) of a page of bounded size."""
-    return page.select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
-
-
 def numbered_whole(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with `position` in the whole order: a range-partitioned sort and the row counts of the partitions before.
 

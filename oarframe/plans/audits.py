@@ -112,7 +112,22 @@ def _identical(name: str, club: str, time: str, spark_club, spark_time) -> None:
 
 
 _identical("aud_7_identical", "club_id", "laps_ms[-1]", lambda: None, lambda: None)
-_identical("aud_7_identical_coarse", "club_id % 3", "laps_ms[-1] // 60000", lambda: F.col("club_id") % 3, lambda: F.floor(last_lap(F.col("laps_ms")) / 60000))
+
+
+def _grouped(name: str, club: str, time: str, spark_club, spark_time) -> None:
+    @query(
+        name,
+        f"""WITH {_TWINS}, a AS (SELECT race_id, same_as_id, list(({club}, {time}) ORDER BY {club}, {time} NULLS FIRST) AS k FROM p JOIN r ON r.id = race_id GROUP BY race_id, same_as_id),
+        g AS (SELECT *, count(*) OVER (PARTITION BY k) AS races, min(race_id) OVER (PARTITION BY k) AS group_id FROM a),
+        m AS (SELECT g.group_id, count(*) AS marks FROM g JOIN g AS o ON o.race_id = g.same_as_id AND o.group_id = g.group_id AND o.race_id <> g.race_id GROUP BY g.group_id)
+        SELECT race_id AS id, group_id, races, races * (races - 1) - coalesce(marks, 0) AS pairs FROM g LEFT JOIN m USING (group_id) WHERE races > 1""",
+    )
+    def _(t):
+        return audits.identical_groups(*_twins(t), club=spark_club(), time=spark_time())
+
+
+_grouped("aud_7_identical_groups", "club_id", "laps_ms[-1]", lambda: None, lambda: None)
+_grouped("aud_7_identical_coarse", "club_id % 3", "laps_ms[-1] // 60000", lambda: F.col("club_id") % 3, lambda: F.floor(last_lap(F.col("laps_ms")) / 60000))
 
 
 @query(

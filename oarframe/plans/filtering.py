@@ -192,9 +192,15 @@ def _(t):
     return filters.participant_by(t.participant, queries)
 
 
-@query("flt_15_stale_flags", "SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id IS NOT NULL AND yr = 1998)")
+#: Of the flags, one in three has not raced in 1998.
+@query(
+    "flt_15_stale_flags",
+    """SELECT f.id, m.ref_id FROM flag AS f JOIN flag_ref AS m ON m.flag_id = f.id
+    WHERE (last_checked <= DATE '1998-03-01' OR last_checked IS NULL) AND f.id NOT IN (SELECT flag_id FROM race WHERE flag_id % 3 <> 0 AND yr = 1998)""",
+)
 def _(t):
-    return filters.stale_flags(t.flag_with_metadata, t.race, "traineras", "1998-04-01", only_new=True)
+    raced = t.race.filter("yr <> 1998 or flag_id % 3 <> 0")
+    return filters.stale_flags(t.flag_with_metadata, raced, "traineras", "1998-04-01", only_new=True)
 
 
 @query(

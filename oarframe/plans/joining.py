@@ -134,6 +134,24 @@ def _(t):
     return joins.pair_in_order(p.filter("lane <= 3"), p.filter("lane > 3").withColumnRenamed("id", "other_id"), ["race_id", "c", "branch"], "id", "other_id")
 
 
+@query(
+    "join_15_match_participants",
+    """WITH RECURSIVE p AS (SELECT id, race_id, club_id % 5 AS c, lane, branch FROM participant),
+    rows AS (SELECT race_id, c, list((id, branch) ORDER BY id) AS wanting FROM p WHERE lane <= 3 GROUP BY race_id, c),
+    docs AS (SELECT race_id, c, list((id, branch) ORDER BY id DESC) AS offered FROM p WHERE lane > 3 GROUP BY race_id, c),
+    step AS (
+      SELECT race_id, c, wanting, offered, 0 AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS doc_id FROM rows JOIN docs USING (race_id, c)
+      UNION ALL
+      SELECT race_id, c, wanting, list_filter(offered, lambda d: taken IS NULL OR d[1] <> taken), i + 1, wanting[i + 1][1], taken
+      FROM (SELECT *, list_filter(offered, lambda d: wanting[i + 1][2] IS NULL OR coalesce(d[2] = wanting[i + 1][2], false))[1][1] AS taken FROM step WHERE i < len(wanting)))
+    SELECT id, doc_id FROM step WHERE doc_id IS NOT NULL""",
+)
+def _(t):
+    p = t.participant.select("id", "race_id", (F.col("club_id") % 5).alias("club_id"), F.lit("MALE").alias("gender"), F.lit("ABSOLUT").alias("category"), "branch", "lane")
+    docs = p.filter("lane > 3").withColumnRenamed("branch", "letter").withColumn("doc_id", F.col("id")).withColumn("pos", -F.col("id"))
+    return joins.match_participants(p.filter("lane <= 3"), docs)
+
+
 @query("join_16_partnerships", "SELECT c.id, c.is_partnership OR EXISTS (SELECT 1 FROM club AS f WHERE f.fused_into = c.id) AS is_partnership, (SELECT count(*) FROM club AS f WHERE f.fused_into = c.id) AS parts FROM club AS c")
 def _(t):
     parts = joins.partnership_edges(t.club).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))

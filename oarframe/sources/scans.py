@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_YEAR, LAST_YEAR = 1951, 2099
 
 
+def in_years(date: Column, years: list[int]) -> Column:
+    """Whether a date lies in one of the years: ranges of dates, which a scan can skip row groups by."""
+    days, spans = F.lit(False), []
+    for y in sorted(set(years)):
+        if spans and spans[-1][1] == y:
+            spans[-1][1] = y + 1
+        else:
+            spans.append([y, y + 1])
+    for first, end in spans:
+        days = days | ((date >= F.lit(datetime.date(first, 1, 1))) & (date < F.lit(datetime.date(end, 1, 1))))
+    return days
+
+
 def scan_by_year(docs: DataFrame, years: list[int] | str, current_year: int | None = None, first_year: int = FIRST_YEAR) -> DataFrame:
     """Documents of the years; 'all' runs from first_year to current_year.  Years outside 1951 to 2099 raise."""
     if years == "all":
         years = list(range(first_year, (current_year or LAST_YEAR) + 1))
     if any(not FIRST_YEAR <= y <= LAST_YEAR for y in years):
         raise ValueError(f"years lie between {FIRST_YEAR} and {LAST_YEAR}")
-    return docs.filter(F.year("date").isin(*years))
+    return docs.filter(in_years(F.col("date"), years))
 
 
 def scan_last_weekend(docs: DataFrame, as_of: str) -> DataFrame:
@@ -32,14 +47,14 @@ def scan_by_ids(docs: DataFrame, ids: DataFrame, table: int | None = None) -> Da
 
 
 def scan_by_club(docs: DataFrame, club_ref: str, year: int) -> DataFrame:
-    return docs.filter((F.year("date") == year) & F.array_contains("club_refs", club_ref))
+    return docs.filter(in_years(F.col("date"), [year]) & F.array_contains("club_refs", club_ref))
 
 
 def scan_by_entity(docs: DataFrame, entity_refs: DataFrame, entity_id: int, year: int, datasource: str) -> DataFrame:
     """Documents of the club whose reference in this source comes first for the entity; none without one."""
     own = entity_refs.filter((F.col("entity_id") == entity_id) & (F.col("datasource_name") == datasource))
     first = own.groupBy("entity_id").agg(F.min_by("ref_id", "pos").alias("club_ref"))
-    of_year = docs.filter(F.year("date") == year)
+    of_year = docs.filter(in_years(F.col("date"), [year]))
     return of_year.join(F.broadcast(first), F.expr("array_contains(club_refs, club_ref)"), "left_semi")  # first is one row at most
 
 
@@ -68,8 +83,3 @@ def drop_known(docs: DataFrame, refs: DataFrame, ignored: DataFrame | None = Non
     if include_existing:
         return left
     return left.join(refs.select(F.col("datasource_name").alias("datasource"), "ref_id"), keys, "left_anti")
-
-
-def newest_first(docs: DataFrame, group: str) -> DataFrame:
-    """docs with their place within the group, newest first."""
-    return docs.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col("date").desc(), "pos")))
