@@ -85,14 +85,16 @@ def resolve_by_tokens(queries: DataFrame, items: DataFrame) -> DataFrame:
     keyed = wanted.select(F.col("q").alias("query_id"), "tokens")
     one = lambda pairs: pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).filter("n = 1").select("query_id", "item_id")
     first = materialize(one(containing_tokens(keyed, items)))
-    left = keyed.join(first, "query_id", "left_anti").withColumn("alternatives", expand_tokens(F.col("tokens")))
+    left = materialize(keyed.join(first, "query_id", "left_anti").withColumn("alternatives", expand_tokens(F.col("tokens"))))
     wide = materialize(any_alternative(left, items))
     second = one(wide)
     several = wide.join(second.select("query_id"), "query_id", "left_anti").join(items.select("item_id", F.col("tokens").alias("own")), "item_id").join(left, "query_id")
     council = one(several.filter(F.array_contains("own", "ayuntamiento")))
     within = one(several.filter(F.exists("alternatives", lambda a: F.size(F.array_except("own", a)) == 0)).join(council.select("query_id"), "query_id", "left_anti"))
     done = materialize(first.unionByName(second).unionByName(council).unionByName(within))
-    rest = keyed.join(done, "query_id", "left_anti")
+    rest = materialize(keyed.join(done, "query_id", "left_anti"))
+    if rest.isEmpty():
+        return done.withColumnRenamed("query_id", "q")
     folded = rest.select("query_id", F.array_distinct(F.split(fold(F.col("query_id")), " ")).alias("words"))
     parts = folded.select("query_id", F.explode("words").alias("part")).filter("part <> ''")
     hits = materialize(substring_pairs(materialize(parts.distinct()), items.select(F.col("item_id").alias("entity_id"), fold(F.col("name")).alias("text"))))
@@ -102,21 +104,46 @@ def resolve_by_tokens(queries: DataFrame, items: DataFrame) -> DataFrame:
     return done.unionByName(last).withColumnRenamed("query_id", "q")
 
 
+def name_hits(names: DataFrame, trophies: DataFrame, flags: DataFrame) -> DataFrame:
+    """names (doc_id, pos, q and others) with trophy_hit and flag_hit: what each name resolves to.
+
+    Memorial names count only where a document has no other.
+    """
+    counts = names.groupBy("doc_id").agg(F.count("*").alias("names"))
+    found = names.join(counts, "doc_id").filter((F.col("names") == 1) | ~is_memorial(F.col("q"))).drop("names")
+    distinct = materialize(found.select("q").distinct())
+    for items, kind in ((trophies, "trophy"), (flags, "flag")):
+        found = found.join(materialize(resolve_by_tokens(distinct, items)).withColumnRenamed("item_id", f"{kind}_hit"), "q", "left")
+    return found
+
+
 def resolve_competition(names: DataFrame, trophies: DataFrame, flags: DataFrame) -> DataFrame:
     """(doc_id, trophy_id, flag_id) of documents' names (doc_id, pos, q): the first name that hits wins for each kind.
 
     Memorial names count only where a document has no other.
     """
-    plain = names.withColumn("memorial", is_memorial(F.col("q")))
-    counts = plain.groupBy("doc_id").agg(F.count("*").alias("n"))
-    usable = plain.join(counts, "doc_id").filter((F.col("n") == 1) | ~F.col("memorial"))
-    found = usable
-    for items, kind in ((trophies, "trophy"), (flags, "flag")):
-        found = found.join(resolve_by_tokens(usable, items).withColumnRenamed("item_id", f"{kind}_hit"), "q", "left")
+    found = name_hits(names, trophies, flags)
     first = lambda kind: F.min_by(f"{kind}_hit", F.when(F.col(f"{kind}_hit").isNotNull(), F.col("pos"))).alias(f"{kind}_id")
     return names.select("doc_id").distinct().join(found.groupBy("doc_id").agg(first("trophy"), first("flag")), "doc_id", "left")
 
 
+def named_competition(names: DataFrame, trophies: DataFrame, flags: DataFrame) -> DataFrame:
+    """(doc_id, names_trophy, trophy_names_edition, names_flag, flag_names_edition, any_edition) of names (doc_id, pos, q, edition).
+
+    For each kind the first name that hits, and the first edition given by that name or a later one;
+    any_edition is the first given by any name.  An edition of 0 is none.  Memorial names count only
+    where a document has no other.
+    """
+    row = F.struct("pos", F.nullif(F.col("edition"), F.lit(0)).alias("edition"), "trophy_hit", "flag_hit")
+    listed = name_hits(names, trophies, flags).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("n"))
+    edition_from = lambda start: F.get(F.filter("n", lambda x: (x["pos"] >= start) & x["edition"].isNotNull()), F.lit(0))["edition"]
+    out = [edition_from(F.lit(0)).alias("any_edition")]
+    for kind in ("trophy", "flag"):
+        hit = F.get(F.filter("n", lambda x: x[f"{kind}_hit"].isNotNull()), F.lit(0))  # noqa: B023
+        out += [hit[f"{kind}_hit"].alias(f"names_{kind}"), edition_from(hit["pos"]).alias(f"{kind}_names_edition")]
+    return listed.select("doc_id", *out)
+
+
 def infer_edition(queries: DataFrame, races: DataFrame, item: str, include_null_item: bool = True) -> DataFrame:
     """(item_id, gender, category, year, edition) of queries (item_id, gender, category, year).
 

@@ -32,7 +32,7 @@ def flagship(spark, sf_dir):
 
 
 def _load() -> None:
-    from . import aggregations, audits, competitions, expressions, filtering, ingest, joining, merging, quality  # noqa: F401
+    from . import aggregations, audits, competitions, digesting, expressions, filtering, ingest, joining, merging, quality  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
