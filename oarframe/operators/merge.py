@@ -206,6 +206,39 @@ def plan_participants(docs: DataFrame, participants: DataFrame, update: str = "a
     )
 
 
+def plan_participants_in_order(docs: DataFrame, participants: DataFrame, update: str = "always", add_source: str = "always", max_rounds: int = 16) -> DataFrame:
+    """plan_participants for documents that are taken in the order of doc_id (a number from 0), each meeting what the ones before it left.
+
+    A boat that a document of the batch makes is known to later ones by the id -1 - doc_id.  Documents
+    about one club, gender and category of a race wait for each other, all others are planned side by
+    side; so the rounds are as many as documents name one club in a race.  The state after each round
+    is written to the shared folder.  Documents beyond max_rounds of their club are left for REVIEW.
+    """
+    key = ["race_id", "club_id", "gender", "category"]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))
+    queue = materialize(docs.withColumn("turn", turn))
+    rounds = min(queue.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0], max_rounds)
+    changed = ["laps_ms", "lane", "club_names", "branch", "metadata"]
+    state = participants.select("id", *key, *changed)
+    planned = None
+    for r in range(1, rounds + 1):
+        asked = queue.filter(F.col("turn") == r).drop("turn")
+        # Boats of the round's clubs alone can be meant.
+        near = state.join(asked.select(*key).distinct(), key, "left_semi") if r > 1 else state
+        result = materialize(plan_participants(asked, near, update, add_source))
+        planned = result if planned is None else planned.unionByName(result)
+        if r == rounds:
+            break
+        after = result.filter("status <> 'REVIEW'").withColumn("id", F.coalesce("participant_id", -1 - F.col("doc_id"))).withColumnRenamed("refs", "metadata")
+        written = after.join(asked.select("doc_id", *key), "doc_id").select("id", *key, *changed)
+        state = materialize(state.join(written.select("id"), "id", "left_anti").select("id", *key, *changed).unionByName(written))
+    none = lambda c: F.lit(None).cast(planned.schema[c].dataType).alias(c)
+    if planned is None:
+        return plan_participants(docs, participants, update, add_source)
+    late = queue.filter(F.col("turn") > max_rounds)
+    return planned.unionByName(late.select("doc_id", none("participant_id"), F.lit("REVIEW").alias("status"), *[none(c) for c in planned.columns[3:]]))
+
+
 def merge_participant(pairs: DataFrame, allowed: bool = True) -> DataFrame:
     """Stored boats with the changes of their documents: longer laps, a lane, an element of metadata.
 

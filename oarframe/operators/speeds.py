@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.laps import last_lap, speed_kmh
+from ..session import materialize
 from .filters import ALL, all_of
+from .sorting import numbered_whole
 
 
 def speed_of() -> Column:
@@ -51,27 +53,40 @@ def sigma_band(df: DataFrame, column: str, k: float = 2.0, digits: int = 9) -> D
     return df.join(F.broadcast(stats), inside).drop("band_mean", "band_sd")  # stats is one row
 
 
+def _speed_rows(boats: DataFrame, keys: list[str], normalize: bool, keep_null_speeds: bool) -> DataFrame:
+    """keys and speed of the boats that count; written before the band's statistics are taken, so that the boats are joined once."""
+    rows = boats.select(*keys, speed_of().alias("speed"))
+    if normalize:
+        return sigma_band(materialize(rows), "speed")
+    return rows if keep_null_speeds else rows.filter(F.col("speed").isNotNull())
+
+
 def year_speeds(boats: DataFrame, normalize: bool = False, keep_null_speeds: bool = True) -> DataFrame:
     """(year, speeds): the speeds of each year by date, fastest first within a date.
 
-    Nulls stay, unless a band is asked for, which drops them.
+    Nulls stay, unless a band is asked for, which drops them.  A year's speeds are one array, as they
+    are drawn; year_speeds_by_place has them in rows.
     """
-    rows = boats.select("year", "date", speed_of().alias("speed"))
-    if normalize:
-        rows = sigma_band(rows, "speed")
-    elif not keep_null_speeds:
-        rows = rows.filter(F.col("speed").isNotNull())
     # A null speed sorts before all others of its date, as in a descending order with nulls first.
     item = F.struct("date", F.coalesce(-F.col("speed"), F.lit(float("-inf"))).alias("rank"), "speed")
+    rows = _speed_rows(boats, ["year", "date"], normalize, keep_null_speeds)
     return rows.groupBy("year").agg(F.sort_array(F.collect_list(item)).alias("items")).select("year", F.transform("items", lambda x: x["speed"]).alias("speeds"))
 
 
+def year_speeds_by_place(boats: DataFrame, normalize: bool = False, keep_null_speeds: bool = True) -> DataFrame:
+    """(year, position, speed): year_speeds in rows, positions from 0, for years of any size.
+
+    All rows are sorted in ranges and numbered through; a year's first number is taken off.
+    """
+    rows = _speed_rows(boats, ["year", "date"], normalize, keep_null_speeds)
+    placed = materialize(numbered_whole(rows, [F.col("year"), F.col("date"), F.col("speed").desc_nulls_first()]))
+    firsts = placed.groupBy(F.col("year").alias("of_year")).agg(F.min("position").alias("first"))
+    joined = placed.join(firsts, F.col("year").eqNullSafe(F.col("of_year")))
+    return joined.select("year", (F.col("position") - F.col("first")).cast("int").alias("position"), "speed")
+
+
 def nth_speed(boats: DataFrame, index: int, normalize: bool = False, keep_null_speeds: bool = True) -> DataFrame:
     """(race_id, speed): the index-th best speed of each race, from 1; races with fewer boats are left out."""
-    rows = boats.select("race_id", "id", speed_of().alias("speed"))
-    if normalize:
-        rows = sigma_band(rows, "speed")
-    elif not keep_null_speeds:
-        rows = rows.filter(F.col("speed").isNotNull())
+    rows = _speed_rows(boats, ["race_id", "id"], normalize, keep_null_speeds)
     place = F.row_number().over(Window.partitionBy("race_id").orderBy(F.col("speed").desc_nulls_first(), "id"))
     return rows.withColumn("place", place).filter(F.col("place") == index).select("race_id", "speed")

@@ -39,6 +39,16 @@ def _(t):
     return _flat(speeds.year_speeds(_boats(t), normalize=True))
 
 
+def _by_place(name: str, rows: str, **options) -> None:
+    @query(name, f"WITH {BOATS}, {BAND} {_FLAT.format(rows)}")
+    def _(t):
+        return speeds.year_speeds_by_place(_boats(t), **options).withColumn("speed", F.round("speed", 6))
+
+
+_by_place("agg_1_year_speeds_by_place", "boats")
+_by_place("agg_1_year_speeds_by_place_normalized", "band", normalize=True)
+
+
 _NTH = "SELECT race_id, round(speed, 6) AS speed FROM (SELECT race_id, speed, row_number() OVER (PARTITION BY race_id ORDER BY speed DESC NULLS FIRST) AS k FROM {}) WHERE k = 2"
 
 

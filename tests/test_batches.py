@@ -122,3 +122,67 @@ def test_tries_share_one_join(spark):
     plan = merge.plan_races(docs.withColumns({"trophy_edition": F.lit(3), "flag_edition": F.lit(None).cast("int")}), races.withColumns({"trophy_edition": F.lit(3), "flag_edition": F.lit(None).cast("int")}), spark.sql("select 1L as id, 'TROFEO' as name"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") <= 15
+
+
+BOAT = "id long, race_id long, club_id long, gender string, category string, branch string, club_names array<string>, laps_ms array<long>, lane int, metadata array<struct<datasource_name:string,ref_id:string>>"
+
+
+def planned_one_by_one(docs, stored, update):
+    """The contract of plan_participants as a loop over dictionaries, for races without a league."""
+    boats = {b["id"]: dict(b) for b in stored}
+    out = {}
+    for d in sorted(docs, key=lambda d: d["doc_id"]):
+        same = [b for b in boats.values() if all(b[k] == d[k] for k in ("race_id", "club_id", "branch"))]
+        letter = d["raw_name"][-1] if d["raw_name"] and d["raw_name"][-2:] in (" B", " C") else None
+        if len(same) > 1 and d["raw_name"] is not None:
+            same = [b for b in same if b["branch"] == letter]
+        if len(same) > 1:
+            out[d["doc_id"]] = ("REVIEW", None)
+            continue
+        ref = (d["datasource"], d["ref_id"])
+        old = same[0] if same else None
+        if old is not None:
+            longer, lane = len(d["laps_ms"]) > len(old["laps_ms"]), d["lane"] is not None and d["lane"] != old["lane"]
+            status = "MERGED" if (longer or lane) and update else "EXISTING" if not (longer or lane) else None
+            if status is None:
+                status = "MERGED" if all(m[0] != ref[0] for m in old["metadata"]) else "NEW"
+            if status != "NEW":
+                if update and longer:
+                    old["laps_ms"] = d["laps_ms"]
+                if update and lane:
+                    old["lane"] = d["lane"]
+                if ref not in old["metadata"]:
+                    old["metadata"] = [*old["metadata"], ref]
+                    old["club_names"] = sorted({*old["club_names"], d["club_name"]})
+                out[d["doc_id"]] = (status, old["id"], old["laps_ms"], old["lane"], old["club_names"], old["branch"], old["metadata"])
+                continue
+        new = {
+            "id": -1 - d["doc_id"], "race_id": d["race_id"], "club_id": d["club_id"], "laps_ms": d["laps_ms"], "lane": d["lane"], "branch": d["branch"] if d["can_be_branch"] else None,
+            "club_names": sorted({d["club_name"], *(old["club_names"] if old else ())}), "metadata": [ref],
+        }
+        boats[new["id"]] = new
+        out[d["doc_id"]] = ("NEW", None, new["laps_ms"], new["lane"], new["club_names"], new["branch"], new["metadata"])
+    return out
+
+
+@pytest.mark.parametrize("update", [True, False])
+def test_boats_of_a_batch_meet_each_other(spark, update):
+    rng = random.Random(update)
+    shape = lambda: {"race_id": rng.randrange(3), "club_id": rng.randrange(3), "branch": rng.choice([None, None, "B"]), "laps_ms": [100] * rng.randint(0, 3), "lane": rng.choice([None, 1, 2])}
+    stored = [{"id": i, **shape(), "club_names": ["OLD"], "metadata": rng.choice([[], [("act", None)]])} for i in range(8)]
+    docs = [
+        {"doc_id": i, **shape(), "raw_name": rng.choice([None, "X", "X B"]), "can_be_branch": rng.random() < 0.5, "club_name": rng.choice(["N1", "N2"]), "datasource": rng.choice(["act", "arc"]), "ref_id": rng.choice([None, "7"])}
+        for i in range(40)
+    ]
+    fixed = {"gender": "MALE", "category": "ABSOLUT"}
+    boats = spark.createDataFrame([fixed | b for b in stored], BOAT)
+    kind = "doc_id long, race_id long, club_id long, gender string, category string, branch string, raw_name string, has_league boolean, time_trial boolean, can_be_branch boolean, laps_ms array<long>, lane int, club_name string, datasource string, ref_id string"
+    frame = spark.createDataFrame([fixed | {"has_league": False, "time_trial": False} | d for d in docs], kind).repartition(3)
+    got = {}
+    for r in merge.plan_participants_in_order(frame, boats, "always" if update else "never").collect():
+        row = (r["status"], r["participant_id"], r["laps_ms"], r["lane"], r["club_names"] and sorted(r["club_names"]), r["branch"], r["refs"] and [tuple(m) for m in r["refs"]])
+        got[r["doc_id"]] = row if r["status"] != "REVIEW" else row[:2]
+    want = planned_one_by_one(docs, stored, update)
+    assert got == {i: (w[0], w[1], *w[2:]) for i, w in want.items()} and {w[0] for w in want.values()} >= {"NEW", "EXISTING"}
+    assert {r["status"] for r in merge.plan_participants_in_order(frame, boats, max_rounds=1).collect()} >= {"REVIEW"}
+    assert merge.plan_participants_in_order(frame.limit(0), boats).count() == 0
