@@ -50,8 +50,14 @@ def resolve_entity(queries: DataFrame, entities: DataFrame, faithful: bool = Fal
     left = wanted.join(exact, "q", "left_anti")
     parts = left.select(F.col("text").alias("query_id"), F.explode(search_words(F.col("text"))).alias("part")).distinct()
     found = materialize(substring_pairs(materialize(parts), names).select("query_id", "entity_id").distinct())
-    scored = found.join(names, "entity_id").withColumn("score", similarity(F.col("query_id"), F.col("text"))).filter(F.col("score") > LEAST_SIMILARITY)
-    best = best_candidate(scored, "query_id", "score", "text", "entity_id").filter((F.col("score") == 1) | (relative_distance(F.col("query_id"), F.col("text")) < MOST_DISTANCE))
+    # Nearer than 0.4 of the mean length is more alike than 0.6, so what is less alike can neither win nor keep another from
+    # winning; lengths that differ by more than 0.4 of the longer one rule that out before the names are compared.
+    a, b = F.length("query_id"), F.length("text")
+    alike = 1 - MOST_DISTANCE - 1e-9
+    compared = found.join(names, "entity_id").filter(F.least(a, b) >= F.greatest(a, b) * alike)
+    scored = compared.withColumn("score", similarity(F.col("query_id"), F.col("text"))).filter(F.col("score") >= max(alike, LEAST_SIMILARITY))
+    top = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "text", "entity_id")).alias("top"))
+    best = top.select("query_id", "top.text", "top.entity_id", (-F.col("top.less")).alias("score")).filter((F.col("score") == 1) | (relative_distance(F.col("query_id"), F.col("text")) < MOST_DISTANCE))
     holders = names.groupBy("text").agg(F.count("*").alias("holders"))
     near = left.join(best.select("query_id", F.col("text").alias("winner"), F.col("entity_id").alias("near_id")), F.col("text") == F.col("query_id")).select("q", "winner", "near_id").join(holders.withColumnRenamed("text", "winner"), "winner")
     near = near.select("q", F.when(F.col("holders") == 1, F.col("near_id")).alias("entity_id"), F.when(F.col("holders") == 1, "unique").otherwise("ambiguous").alias("status"))

@@ -106,7 +106,7 @@ def distinct_in_group(df: DataFrame, column: str, keys: list[str], name: str) ->
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"group_{k}"))
-    return df.join(materialize(counted), same).select(*df.columns, name)
+    return df.join(counted, same).select(*df.columns, name)
 
 
 def best_candidate(df: DataFrame, query: str, score: str, *ties: str) -> DataFrame:
