@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata_contains
 from ..operators import filters, sorting, speeds
+from ..sources.keyed import keyed
+from ..sources.scans import drop_known
 from .registry import query
 
 FOLD = "upper(strip_accents({}))"
@@ -65,6 +67,24 @@ def _(t):
     return filters.ref_exists(t.race_ref, _wanted(t)).select("query_id")
 
 
+@query(
+    "flt_6_keyed_references",
+    f"""WITH {_WANTED},
+    found AS (SELECT w.query_id, count(DISTINCT r.id) AS n, min(r.id) AS race_id FROM wanted AS w LEFT JOIN race_ref AS f ON f.datasource_name = w.datasource_name AND f.ref_id = w.ref_id
+      LEFT JOIN race AS r ON r.id = f.race_id AND (w.day IS NULL OR w.day = r.day) GROUP BY w.query_id)
+    SELECT 'race' AS lookup, query_id, CASE WHEN n = 1 THEN race_id END AS race_id FROM found
+    UNION ALL SELECT 'known', query_id, NULL FROM wanted AS w WHERE EXISTS (SELECT 1 FROM race_ref AS f WHERE f.datasource_name = w.datasource_name AND f.ref_id = w.ref_id)
+    UNION ALL SELECT 'new', pos, NULL FROM doc AS d WHERE NOT EXISTS (SELECT 1 FROM race_ref AS f WHERE f.datasource_name = d.datasource AND f.ref_id = d.ref_id)""",
+)
+def _(t):
+    # Three lookups in one bucketed table, which none of them shuffles.
+    refs, none = keyed(t.race_ref, ["datasource_name", "ref_id"], buckets=16), F.lit(None).cast("long").alias("race_id")
+    found = filters.race_by_ref(refs, t.race, _wanted(t)).select(F.lit("race").alias("lookup"), "query_id", "race_id")
+    known = filters.ref_exists(refs, _wanted(t)).select(F.lit("known").alias("lookup"), "query_id", none)
+    new = drop_known(t.doc, refs).select(F.lit("new").alias("lookup"), F.col("pos").alias("query_id"), none)
+    return found.unionByName(known).unionByName(new)
+
+
 @query("flt_7_active", "SELECT id, name FROM club WHERE is_active")
 def _(t):
     return filters.active(t.club).select("id", "name")

@@ -111,3 +111,20 @@ def test_unknown_speeds_come_first(spark):
     boats = spark.createDataFrame([(1, 1, 5000, [900000]), (2, 1, None, [900000]), (3, 1, 6000, [900000])], "id long, race_id long, distance int, laps_ms array<long>").withColumn("club_names", F.array())
     none = spark.createDataFrame([], "participant_id long, disqualification boolean")
     assert [r["id"] for r in audits.league_speeds(races, boats.withColumn("club_names", F.expr("array('X')")), none, 2, 1998).collect()] == [2, 3, 1]
+
+
+def test_keyed_references_are_not_shuffled(spark):
+    from oarframe.operators import filters
+    from oarframe.sources.keyed import keyed
+
+    refs = keyed(spark.createDataFrame([(i, "act", str(i)) for i in range(500)], "race_id long, datasource_name string, ref_id string"), ["datasource_name", "ref_id"], buckets=4)
+    docs = spark.createDataFrame([("act", str(i)) for i in range(490, 510)] + [("arc", "1")], "datasource string, ref_id string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made, rows in ((scans.drop_known(docs, refs), 11), (filters.ref_exists(refs, docs.withColumnRenamed("datasource", "datasource_name")), 10)):
+            text = executed(made)
+            # The one exchange is that of the documents.
+            assert text.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in text and made.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
