@@ -744,7 +744,7 @@ def test_packed_numbers():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_llm_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
     pick = sorted(want.columns)
