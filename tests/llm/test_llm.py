@@ -423,6 +423,59 @@ def test_op6_texts_choose_their_coding():
     assert "copies" in seen["drift"] and "cross_colour" in seen["doubled"] and seen["equal"] & {"subtract_green", "cross_colour"}
 
 
+def test_op6_passages_that_return_are_copied():
+    rng = random.Random(5)
+    paragraph = "".join(chr(rng.randrange(97, 123)) for _ in range(1112))
+    other = "".join(chr(rng.randrange(97, 123)) for _ in range(2000))
+    for text in (paragraph * 3, paragraph * 2, other[:800] + paragraph[:160] + other[800:1600] + paragraph[:160] + other[1600:]):
+        seen, back = features_of(media.pack(text.encode()))
+        assert {"copies", "cache"} <= seen and back[: len(text)] == text.encode()
+    # Shorter passages, and those that return at no whole number of pixels, are literals.
+    for text in (other + paragraph[:100] + other[:99], paragraph[:1110] * 2):
+        seen, back = features_of(media.pack(text.encode()))
+        assert not seen and back[: len(text)] == text.encode()
+
+
+@pytest.mark.parametrize("stretch", (1, 7, 64))
+def test_op6_reads_streams_in_stretches(monkeypatch, stretch):
+    rng = np.random.default_rng(stretch)
+    some = rng.choice(rng.integers(0, 2**32, 30, dtype=np.uint32), 600)
+    images = [np.tile(some[:50], 12), some, np.full(600, 7, np.uint32), rng.integers(0, 2**32, 600, dtype=np.uint32)]
+    blobs = [(px, webp.encode(20, 30, px, (), cache, copies)) for px in images for cache in (0, 1, 11) for copies in (False, True)]
+    texts = [b"some prose of letters " * 9, bytes(64), bytes(rng.integers(0, 256, 3000).astype(np.uint8))]
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    for px, blob in blobs:
+        assert (webp.decode(blob)[2] == px).all()
+        for cut in (2, 9, 40):  # a lone byte may be padding
+            with pytest.raises((webp.WebPError, IndexError)):
+                webp.decode(blob[:-cut])
+    for text in texts:
+        assert media.samples_of(webp.decode(media.pack(text))[2]).tobytes()[: len(text)] == text
+
+
+def test_op6_copies_begin_within_reach(monkeypatch):
+    px = np.tile(np.arange(40, dtype=np.uint32), 9)
+    monkeypatch.setattr(webp, "FARTHEST", 39)
+    assert not webp._tokens(px, 0, True)[2].any()
+    monkeypatch.setattr(webp, "FARTHEST", 40)
+    assert set(webp._tokens(px, 0, True)[2].tolist()) == {0, 40}
+    monkeypatch.undo()
+    symbols, extra, n = webp._unprefixed(np.array([1, 4, 5, webp.LONGEST, webp.FARTHEST + 120]))
+    assert symbols.max() < webp.DISTANCE_CODES and symbols[3] < webp.LENGTH_CODES
+    for value, s, e, width in zip((1, 4, 5, webp.LONGEST, webp.FARTHEST + 120), symbols.tolist(), extra.tolist(), n.tolist()):
+        out = webp.BitWriter()
+        out.put(e, width)
+        assert webp._prefixed(s, webp.BitReader(out.to_bytes() + bytes(8))) == value
+
+
+def slow_feature(p):
+    """What `describe` says of a payload, sample by sample."""
+    mean, edges = sum(p) / len(p), [i * len(p) // 64 for i in range(65)]
+    var = (len(p) * sum(x * x for x in p) - sum(p) ** 2) / len(p) ** 2
+    bits = "".join("1" if sum(p[a:b]) * len(p) > sum(p) * (b - a) else "0" for a, b in zip(edges, edges[1:]))
+    return f"16x{len(p) // 64};mean={mean:.4f};var={var:.4f};ahash={int(bits, 2):016x}"
+
+
 def test_op6_reads_a_public_file():
     """Fixed value: the one-pixel image that browsers are commonly tested with for the lossless format."""
     import base64
@@ -445,6 +498,8 @@ def test_op6_query(spark, docs):
         b = text[r["doc_id"]]
         p = b + bytes(-len(b) % 64 if b else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        image = media.pack(b)
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), slow_feature(p))
 
 
 def test_op6_odd_rows(spark, odd):
