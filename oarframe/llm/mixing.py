@@ -118,6 +118,10 @@ def mix_sources(
     frame, give no rows with a finite budget, and rows without tokens go with the block they stand in.
     Repeated rows are rows; those equal in id and text tie, in which case either may come first.
     Existing columns named block or place are replaced.
+
+    Without max_repeats a source repeats as often as its weight asks for: half of a budget of 10**12
+    tokens asks a source of 1,000 tokens for 5 * 10**8 blocks, and each of its rows makes an array of
+    that length.  Give max_repeats where sources may be that small.
     """
     names = [c for c in docs.columns if c.lower() not in ("block", "place")]
     tokens, digest, bucket, source = (fresh_name(docs.columns, n) for n in ("mix_tokens", "mix_digest", "mix_bucket", "mix_source"))
