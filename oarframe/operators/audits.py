@@ -112,6 +112,37 @@ def identical_groups(races: DataFrame, participants: DataFrame, club: Column | N
     return of_group.join(marks, "group_id", "left").select(F.col("race_id").alias("id"), "group_id", "races", pairs.alias("pairs"))
 
 
+def linked_groups(races: DataFrame, participants: DataFrame, club: Column | None = None, time: Column | None = None) -> DataFrame:
+    """(id, group_id, races, links, pairs, same_id): each race whose clubs and times another race has too, with its links.
+
+    links is in how many pairs of identical_results the race comes first, pairs the sum over its group,
+    same_id the race of its group that it is marked as the same as (else null).  group_id and same_id say
+    which pairs there are (pairs_of_groups).  races counts ids: an id that occurs twice is no twin of
+    itself.  One row for each row of races, however large the groups are.
+    """
+    arrays = _result_arrays(participants, club, time).join(races.select(F.col("id").alias("race_id"), "same_as_id"), "race_id")
+    keyed = materialize(arrays.select("race_id", "same_as_id", F.xxhash64("clubs", "times").alias("digest"), "clubs", "times"))
+    keys = ["digest", "clubs", "times"]
+    groups = keyed.groupBy(*keys).agg(F.min("race_id").alias("group_id"), F.count_distinct("race_id").alias("races"), F.count("*").alias("n")).filter("races > 1")
+    of_group = materialize(keyed.join(groups, keys).select("race_id", "same_as_id", "group_id", "races", "n"))
+    own = materialize(of_group.groupBy("group_id", "race_id").agg(F.count("*").alias("own")))
+    naming = of_group.filter(F.col("same_as_id") != F.col("race_id"))
+    marks = naming.groupBy("group_id", F.col("same_as_id").alias("race_id")).agg(F.count("*").alias("marks"))
+    named = own.select("group_id", F.col("race_id").alias("same_id"))
+    inside = (F.col("o.group_id") == F.col("named.group_id")) & (F.col("same_as_id") == F.col("same_id")) & (F.col("same_as_id") != F.col("race_id"))
+    with_same = of_group.alias("o").join(named.alias("named"), inside, "left").select("o.*", "same_id")
+    linked = with_same.join(own, ["group_id", "race_id"]).join(marks, ["group_id", "race_id"], "left")
+    linked = materialize(linked.select(F.col("race_id").alias("id"), "group_id", "races", (F.col("n") - F.col("own") - F.coalesce("marks", F.lit(0))).alias("links"), "same_id"))
+    return linked.join(linked.groupBy("group_id").agg(F.sum("links").alias("pairs")), "group_id").select("id", "group_id", "races", "links", "pairs", "same_id")
+
+
+def pairs_of_groups(linked: DataFrame) -> DataFrame:
+    """(id, other_id): the pairs of identical_results, from the rows of linked_groups; n * (n - 1) for a group of n."""
+    other = linked.select("group_id", F.col("id").alias("other_id"), F.col("same_id").alias("other_same"))
+    pairs = linked.select("group_id", "id").join(other, "group_id")
+    return pairs.filter((F.col("id") != F.col("other_id")) & (F.col("other_same").isNull() | (F.col("other_same") != F.col("id")))).select("id", "other_id")
+
+
 def league_speeds(races: DataFrame, participants: DataFrame, penalties: DataFrame, league_id: int, year: int) -> DataFrame:
     """(id, race_id, year, speed): all speeds of a league's year in held races, B boats and disqualified ones aside.
 

@@ -127,7 +127,22 @@ def _grouped(name: str, club: str, time: str, spark_club, spark_time) -> None:
 
 
 _grouped("aud_7_identical_groups", "club_id", "laps_ms[-1]", lambda: None, lambda: None)
-_grouped("aud_7_identical_coarse", "club_id % 3", "laps_ms[-1] // 60000", lambda: F.col("club_id") % 3, lambda: F.floor(last_lap(F.col("laps_ms")) / 60000))
+
+
+# Pairs at this grain grow with the square of the races, so each race comes with its group, its number of links and its mark.
+@query(
+    "aud_7_identical_coarse",
+    f"""WITH {_TWINS}, a AS (SELECT race_id, same_as_id, list((club_id % 3, laps_ms[-1] // 60000) ORDER BY club_id % 3, laps_ms[-1] // 60000 NULLS FIRST) AS k FROM p JOIN r ON r.id = race_id GROUP BY race_id, same_as_id),
+    g AS (SELECT k, min(race_id) AS group_id, count(DISTINCT race_id) AS races, count(*) AS n FROM a GROUP BY k HAVING min(race_id) <> max(race_id)),
+    m AS (SELECT race_id, same_as_id, group_id, races, n - count(*) OVER (PARTITION BY group_id, race_id) AS others FROM a JOIN g USING (k)),
+    o AS (SELECT group_id, race_id FROM m GROUP BY ALL),
+    x AS (SELECT group_id, same_as_id AS race_id, count(*) AS marks FROM m WHERE same_as_id <> race_id GROUP BY ALL),
+    y AS (SELECT m.race_id AS id, m.group_id, races, others - coalesce(marks, 0) AS links, o.race_id AS same_id FROM m LEFT JOIN x ON x.group_id = m.group_id AND x.race_id = m.race_id
+      LEFT JOIN o ON o.group_id = m.group_id AND o.race_id = m.same_as_id AND o.race_id <> m.race_id)
+    SELECT id, group_id, races, links, CAST(sum(links) OVER (PARTITION BY group_id) AS BIGINT) AS pairs, same_id FROM y""",
+)
+def _(t):
+    return audits.linked_groups(*_twins(t), club=F.col("club_id") % 3, time=F.floor(last_lap(F.col("laps_ms")) / 60000))
 
 
 @query(

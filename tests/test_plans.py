@@ -1,13 +1,18 @@
 """Operators that were rebuilt for large groups, against plain loops, and the plans that this is about."""
 
 import datetime as dt
+import os
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from oarframe.adapters import duckdb_ctes
 from oarframe.operators import audits, joins, rollups
+from oarframe.plans import audits as plans
+from oarframe.plans import registry
 from oarframe.sources import scans
 
 
@@ -106,6 +111,32 @@ def test_equal_races_as_groups(spark):
     assert pairs == {(2, 1), (1, 4), (4, 1), (2, 4), (4, 2), (5, 6), (6, 5)}
 
 
+def test_groups_keep_every_pair(spark):
+    boats = [(race, club, [time]) for race, club, time in ((1, 1, 9), (2, 1, 9), (3, 1, 8), (4, 1, 9), (5, 2, None), (6, 2, None), (7, 3, 1), (8, 4, 1), (0, 4, 1), (9, 5, 5))]
+    # The ids 0 and 9 occur twice, and 9 has no race but itself.
+    races = [(1, None), (2, 1), (3, None), (4, 3), (5, 5), (6, 99), (7, None), (8, 0), (0, 8), (0, None), (9, None), (9, 9)]
+    t = SimpleNamespace(race=spark.createDataFrame(races, "id long, same_as_id long"), boat=spark.createDataFrame(boats, "race_id long, club_id long, laps_ms array<long>"))
+    groups = audits.linked_groups(t.race, t.boat)
+    got = {(r["id"], r["group_id"], r["races"], r["links"], r["pairs"], r["same_id"]) for r in groups.collect()}
+    of_one = {(1, 1, 3, 1, 5, None), (2, 1, 3, 2, 5, 1), (4, 1, 3, 2, 5, None)}
+    assert got == of_one | {(5, 5, 2, 1, 2, None), (6, 5, 2, 1, 2, None), (8, 0, 2, 1, 1, 0), (0, 0, 2, 0, 1, 8), (0, 0, 2, 0, 1, None)}
+    want = sorted(tuple(r) for r in audits.identical_results(t.race, t.boat).collect())
+    assert sorted(tuple(r) for r in audits.pairs_of_groups(groups).collect()) == want and groups.count() == 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_coarse_groups_hold_the_pairs_of_the_former_sql(spark):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("orders", "lineitem", "supplier", "region", "part"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    key = "(club_id % 3, laps_ms[-1] // 60000) ORDER BY club_id % 3, laps_ms[-1] // 60000 NULLS FIRST"
+    former = f"""WITH {duckdb_ctes()}, {plans._TWINS}, a AS (SELECT race_id, same_as_id, list({key}) AS k FROM p JOIN r ON r.id = race_id GROUP BY race_id, same_as_id)
+        SELECT a.race_id AS id, b.race_id AS other_id FROM a JOIN a AS b ON a.k = b.k AND a.race_id <> b.race_id AND (b.same_as_id IS NULL OR b.same_as_id <> a.race_id)"""
+    pairs, coarse = con.sql(former).fetchall(), registry.queries()["aud_7_identical_coarse"](spark, sf)
+    assert pairs and sorted(tuple(r) for r in audits.pairs_of_groups(coarse).collect()) == sorted(pairs)
+    assert sum(r["links"] for r in coarse.collect()) == len(pairs)
+
+
 def test_unknown_speeds_come_first(spark):
     races = spark.createDataFrame([(1, dt.date(1998, 5, 1), 2, False)], "id long, date date, league_id int, cancelled boolean")
     boats = spark.createDataFrame([(1, 1, 5000, [900000]), (2, 1, None, [900000]), (3, 1, 6000, [900000])], "id long, race_id long, distance int, laps_ms array<long>").withColumn("club_names", F.array())
