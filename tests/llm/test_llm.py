@@ -436,6 +436,40 @@ def test_op6_passages_that_return_are_copied():
         assert not seen and back[: len(text)] == text.encode()
 
 
+def test_op6_whole_method_for_every_text(spark, odd):
+    rng = random.Random(8)
+    words = ["".join(chr(rng.randrange(97, 123)) for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    prose = [" ".join(rng.choice(words) for _ in range(n)) for n in (30, 200, 900)]
+    for text in (*prose, "", "a", "ñandú " * 9, "\0" * 400):
+        blob = media.pack(text.encode(), always=True)
+        seen, back = features_of(blob)
+        assert "cache" in seen and back.rstrip(b"\0") == text.encode().rstrip(b"\0")
+    assert {"cache", "copies"} <= features_of(media.pack(prose[2].encode(), always=True))[0] and not features_of(media.pack(prose[1].encode()))[0]
+    # A smaller file than that of literals alone.
+    assert all(len(media.pack(t.encode(), always=True)) < len(media.pack(t.encode())) for t in prose)
+    got = media.read_webp(media.to_webp(odd, always=True)).collect()
+    assert sorted(bytes(r["samples"]).rstrip(b"\0") for r in got) == sorted((t or "").encode() for _, t in ODD)
+
+
+def test_op6_like_channels_share_a_code():
+    rng = np.random.default_rng(3)
+    for px in (rng.integers(0, 2**32, 500, dtype=np.uint32), rng.choice(rng.integers(0, 2**32, 40, dtype=np.uint32), 500), np.zeros(500, np.uint32), np.full(500, 9, np.uint32)):
+        for cache in (0, 1, 6):
+            for copies in (False, True):
+                blob = webp.encode(20, 25, px, (), cache, copies, alike=True)
+                assert (webp.decode(blob)[2] == px).all()
+    # Huffman's lengths, against the sum of the merged weights.
+    for counts in (rng.integers(0, 50, 60).tolist(), [1] * 9, [5], [0, 0], [2, 0, 3]):
+        left, want = sorted(c for c in counts if c), 0
+        if len(left) == 1:
+            want = left[0]
+        while len(left) > 1:
+            want += left[0] + left[1]
+            left = sorted([left[0] + left[1], *left[2:]])
+        lengths = webp.code_lengths(counts)
+        assert sum(c * n for c, n in zip(counts, lengths)) == want and all((n > 0) == (c > 0) for c, n in zip(counts, lengths))
+
+
 @pytest.mark.parametrize("stretch", (1, 7, 64))
 def test_op6_reads_streams_in_stretches(monkeypatch, stretch):
     rng = np.random.default_rng(stretch)
