@@ -92,16 +92,17 @@ def lost(df: DataFrame, table: str, column: str, targets: DataFrame, target: str
     return report(missing, f"{target}_exists", table, F.col("id"), F.col(column))
 
 
-def references(participants: DataFrame, races: DataFrame, clubs: DataFrame, links: tuple = ()) -> DataFrame:
+def references(participants: DataFrame, races: DataFrame, clubs: DataFrame, links: tuple = (), parts: DataFrame | None = None) -> DataFrame:
     """Boats without their race or club, or whose club is an entity of another type, and parts of partnerships that are partnerships themselves.
 
-    links adds further references to test, as arguments of `lost`.
+    links adds further references to test, as arguments of `lost`.  parts are the entities looked
+    through for partnerships; without them, the clubs.
     """
     lost_race = participants.join(races.select(F.col("id").alias("race_id")), "race_id", "left_anti")
     lost_club = participants.join(clubs.select(F.col("id").alias("club_id")), "club_id", "left_anti")
     other_type = participants.join(clubs.filter(F.col("type") != "CLUB").select(F.col("id").alias("club_id"), "type"), "club_id")
-    parts = clubs.filter(F.col("fused_into").isNotNull() & F.col("is_partnership"))
-    found = [report(lost_race, "race_exists", "participant", F.col("id"), F.col("race_id")), report(lost_club, "club_exists", "participant", F.col("id"), F.col("club_id")), report(parts, "part_is_no_partnership", "entity", F.col("id")), report(other_type, "club_is_a_club", "participant", F.col("id"), F.col("type"))]
+    nested = (clubs if parts is None else parts).filter(F.col("fused_into").isNotNull() & F.col("is_partnership"))
+    found = [report(lost_race, "race_exists", "participant", F.col("id"), F.col("race_id")), report(lost_club, "club_exists", "participant", F.col("id"), F.col("club_id")), report(nested, "part_is_no_partnership", "entity", F.col("id")), report(other_type, "club_is_a_club", "participant", F.col("id"), F.col("type"))]
     found += [lost(*link) for link in links]
     return reduce(DataFrame.unionByName, found)
 
