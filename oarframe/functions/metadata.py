@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def element(ref_id: Column, datasource: Column, url: Column | None = None, ref_name: Column | None = None) -> Column:
     """One reference to a source; the url goes into the values."""
@@ -27,7 +29,7 @@ def collect_metadata(rows: DataFrame, refs: DataFrame, key: str, ref_key: str) -
     """rows with `metadata`, the array of their references in order; an empty one if there is none."""
     fields = [c for c in ("pos", "datasource_name", "ref_id", "ref_name") if c in refs.columns]
     grouped = refs.groupBy(F.col(ref_key).alias("metadata_key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("metadata"))
-    joined = rows.join(grouped, F.col(key) == F.col("metadata_key"), "left").drop("metadata_key")
+    joined = rows.join(dealt(grouped), F.col(key) == F.col("metadata_key"), "left").drop("metadata_key")
     return joined.withColumn("metadata", F.coalesce("metadata", F.expr(f"cast(array() as {grouped.schema['metadata'].dataType.simpleString()})")))
 
 

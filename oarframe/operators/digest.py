@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import laps as laps_functions
 from ..functions.text import branch_letter, can_be_branch
-from ..session import materialize
+from ..session import dealt, materialize
 from .filters import analogous_race, closest_tiers, first_unique, matching_race
 from .merge import decided, merge_race, plan_participants
 from .resolve import fill_place_and_organizer, infer_edition, named_competition, resolve_entity, resolve_league, resolve_place, retrieve_entity
@@ -39,7 +39,8 @@ def _matched(docs: DataFrame, races: DataFrame, force_gender: bool, force_catego
     queries = docs.select(F.col("doc_id").alias("query_id"), "date", "day", "gender", "category", F.col("names_trophy").alias("trophy_id"), F.col("names_flag").alias("flag_id"), F.col("names_league").alias("league_id"), "hint_trophy_id", "hint_flag_id")
     found = first_unique(closest_tiers(races, queries, force_gender, force_category)).select(F.col("query_id").alias("doc_id"), F.col("race_id").alias("db_race"), F.col("status").alias("lookup"))
     stored = races.select(F.col("id").alias("db_race"), *[F.col(c).alias(f"db_{c}") for c in ("trophy_id", "trophy_edition", "flag_id", "flag_edition", "league_id")])
-    return docs.join(found, "doc_id", "left").join(stored, "db_race", "left").withColumn("lookup", F.coalesce("lookup", F.lit("none")))
+    joined = docs.join(found, "doc_id", "left").join(dealt(stored), "db_race", "left").withColumn("lookup", F.coalesce("lookup", F.lit("none")))
+    return materialize(joined)  # several steps read it
 
 
 def _with_competition(docs: DataFrame, races: DataFrame) -> DataFrame:
@@ -112,25 +113,25 @@ def digest_races(
     names = docs.select("doc_id", F.posexplode("names").alias("pos", "n")).select("doc_id", "pos", F.col("n.name").alias("q"), F.col("n.edition").alias("edition")).filter("q is not null")
     named = materialize(named_competition(names, trophies, flags))
     by_name = resolve_league(docs.select("doc_id", "name", "league", F.lit(None).cast("int").alias("db_league_id")), leagues).select("doc_id", F.col("league_id").alias("names_league"))
-    base = materialize(docs.drop("participants").join(named, "doc_id", "left").join(by_name, "doc_id", "left"))
+    base = materialize(docs.drop("participants").join(dealt(named), "doc_id", "left").join(by_name, "doc_id", "left"))
     no_hint = lambda df: df.withColumns({"hint_trophy_id": F.lit(None).cast("long"), "hint_flag_id": F.lit(None).cast("long")})
     alone = materialize(_with_competition(_matched(no_hint(base), races, force_gender, force_category), races))
     first = F.min_by(F.struct("trophy_id", "flag_id"), "doc_id")
     hints = materialize(alone.filter(_complete() & (F.col("lookup") != "ambiguous")).groupBy("name").agg(F.min("doc_id").alias("since"), first.alias("hint")))
-    told = base.join(hints, "name").filter(F.col("doc_id") > F.col("since"))
-    told = materialize(told.withColumn("hint_trophy_id", F.col("hint.trophy_id")).withColumn("hint_flag_id", F.col("hint.flag_id")).select(*base.columns, "hint_trophy_id", "hint_flag_id"))
+    told = (F.col("doc_id") > F.col("since")) & F.col("hint").isNotNull()
+    hinted = materialize(base.join(hints, "name", "left").withColumns({f"hint_{k}_id": F.when(told, F.col(f"hint.{k}_id")) for k in KINDS}).select(*base.columns, *[f"hint_{k}_id" for k in KINDS]))
     both = alone
-    if not told.isEmpty():
-        hinted = materialize(_with_competition(_matched(told, races, force_gender, force_category), races))
-        both = alone.join(hinted.select("doc_id"), "doc_id", "left_anti").unionByName(hinted)
+    if not hinted.filter("hint_trophy_id is not null or hint_flag_id is not null").isEmpty():
+        # Documents that no hint is for are matched again, to the same end.
+        both = materialize(_with_competition(_matched(hinted, races, force_gender, force_category), races))
     settled = materialize(_placed(both, races, places, entities))
 
     usable = settled.filter(_complete())
     as_query = usable.withColumn("query_id", F.col("doc_id"))
-    exact = matching_race(races, as_query.filter("db_race is null and lookup = 'none'")).select(F.col("query_id").alias("doc_id"), F.col("race_id").alias("equal_race"), F.col("status").alias("equal_lookup"))
+    exact = matching_race(races, dealt(as_query.filter("db_race is null and lookup = 'none'"))).select(F.col("query_id").alias("doc_id"), F.col("race_id").alias("equal_race"), F.col("status").alias("equal_lookup"))
     other = analogous_race(races, trophies.select(F.col("item_id").alias("id"), "name"), usable.withColumn("id", F.col("doc_id")), flags.select(F.col("item_id").alias("id"), "name"))
     other = other.select(F.col("query_id").alias("doc_id"), F.col("race_id").alias("other_race"), F.col("status").alias("other_lookup"))
-    joined = settled.join(exact, "doc_id", "left").join(other, "doc_id", "left").withColumn("found", F.coalesce("db_race", "equal_race"))
+    joined = settled.join(dealt(exact), "doc_id", "left").join(dealt(other), "doc_id", "left").withColumn("found", F.coalesce("db_race", "equal_race"))
     several = F.lit(False)
     for lookup in ("lookup", "equal_lookup", "other_lookup"):
         several = several | F.coalesce(F.col(lookup) == "ambiguous", F.lit(False))
@@ -152,11 +153,11 @@ def _rows(decision: DataFrame, races: DataFrame) -> DataFrame:
     changed = ("gender", "category", "race_names", "laps", "lanes", "sponsor", "place_id")
     new = decision.filter("status = 'MERGED'").select("doc_id", F.col("race_id").alias("id"), *[F.col(c).alias(f"new_{c}") for c in changed], F.get("metadata", F.lit(0)).alias("new_metadata"))
     stored = races.select("id", "metadata", *changed)
-    merged = merge_race(new.join(stored, "id").withColumnRenamed("id", "stored_id").withColumn("id", F.col("doc_id")))
+    merged = merge_race(new.join(dealt(stored), "id").withColumnRenamed("id", "stored_id").withColumn("id", F.col("doc_id")))
     kept = [c for c in RACE_ROW if c not in changed and c != "metadata"]
     of_stored = races.select(F.col("id").alias("race_id"), *[F.col(c) for c in kept])
     head = ["doc_id", "status", "race_id", "associated_id"]
-    updates = decision.filter("status = 'MERGED'").select(*head).join(of_stored, "race_id").join(merged.withColumnRenamed("id", "doc_id"), "doc_id")
+    updates = decision.filter("status = 'MERGED'").select(*head).join(dealt(of_stored), "race_id").join(dealt(merged.withColumnRenamed("id", "doc_id")), "doc_id")
     kind = {f.name: f.dataType for f in races.schema}
     typed = lambda value, c: (value if isinstance(kind[c], T.ArrayType) else value.cast(kind[c])).alias(c)
     fresh = decision.filter("status <> 'MERGED'").select(*head, *[typed(F.when(F.col("status") != "IGNORED", F.col(c)), c) for c in RACE_ROW])
@@ -177,7 +178,7 @@ def digest_participants(
     retired if disqualified (FN-23).  Of a stored boat laps, lane, names and references may change.
     """
     race = decisions.filter("status <> 'IGNORED'").select("doc_id", F.col("status").alias("race_status"), "race_id", F.col("league_id").isNotNull().alias("has_league"), (F.col("type") == "TIME_TRIAL").alias("time_trial"))
-    boats = docs.select("doc_id", "datasource", F.transform("participants", lambda p: p["participant"]).alias("all_names"), F.posexplode("participants").alias("boat", "p")).join(race, "doc_id")
+    boats = docs.select("doc_id", "datasource", F.transform("participants", lambda p: p["participant"]).alias("all_names"), F.posexplode("participants").alias("boat", "p")).join(dealt(race), "doc_id")
     names = boats.select(F.col("p.participant").alias("q")).filter("q is not null").distinct()
     clubs = materialize(retrieve_entity(materialize(names), entities, normalized)[0].select(F.col("q").alias("participant"), F.col("entity_id").alias("club_id")))
     plain = boats.select(
@@ -190,7 +191,7 @@ def digest_participants(
     known = materialize(plain.join(clubs, "participant", "left"))
     planned = plan_participants(known.filter("race_status = 'MERGED' and club_id is not null").withColumnRenamed("key", "doc_id"), participants, update, add_source)
     planned = planned.select(F.col("doc_id").alias("key"), *[F.col(c).alias(f"planned_{c}") for c in ("participant_id", "status", "laps_ms", "lane", "club_names", "branch", "refs")])
-    joined = known.join(planned, "key", "left")
+    joined = known.join(dealt(planned), "key", "left")
     unknown = F.col("club_id").isNull() | (F.col("race_status") == "REVIEW")
     status = F.when(unknown, "REVIEW").otherwise(F.coalesce("planned_status", F.lit("NEW")))
     fresh = F.col("planned_status").isNull()
@@ -198,7 +199,7 @@ def digest_participants(
     own_refs = F.array(F.struct(F.col("datasource").alias("datasource_name"), "ref_id"))
     held = participants.select(F.col("id").alias("planned_participant_id"), *[F.col(c).alias(f"held_{c}") for c in ("distance", "series", "handicap_ms", "absent", "retired") if c in participants.columns])
     kept = lambda c: F.when(F.col("planned_participant_id").isNull(), F.col(c)).otherwise(F.col(f"held_{c}")).alias(c) if f"held_{c}" in held.columns else F.when(F.col("planned_participant_id").isNull(), F.col(c)).alias(c)
-    return joined.join(held, "planned_participant_id", "left").select(
+    return joined.join(dealt(held), "planned_participant_id", "left").select(
         "key.doc_id", "key.boat", "race_id", "club_id", F.col("planned_participant_id").alias("participant_id"), status.alias("status"),
         F.when(fresh, own_names).otherwise(F.col("planned_club_names")).alias("club_names"), F.when(fresh, F.when(F.col("can_be_branch"), F.col("branch"))).otherwise(F.col("planned_branch")).alias("branch"),
         F.when(fresh, F.col("laps_ms")).otherwise(F.col("planned_laps_ms")).alias("laps_ms"), F.when(fresh, F.when(F.col("time_trial"), F.lit(1)).otherwise(F.col("lane"))).otherwise(F.col("planned_lane")).alias("lane"),

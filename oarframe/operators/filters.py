@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata_contains
 from ..functions.text import contains_folded, is_play_off, remove_conjunctions, remove_symbols
-from ..session import materialize
+from ..session import dealt, materialize
 from ..sources.scans import in_years
 
 ALL = "ALL"
@@ -124,7 +124,8 @@ def closest_tiers(races: DataFrame, queries: DataFrame, force_gender: bool = Fal
     The tries are: hint (closest_match with hint_trophy_id and hint_flag_id), full (closest_match with
     the own trophy and flag), relaxed (the same without the tests that are not forced) and exact
     (matching_race).  A query meets the races of its date and day that have its trophy, or its flag if
-    it has none, once for all tries; a competition without trophy and flag is not tried.
+    it has none, once for all tries, races with equal columns as one row; a competition without trophy
+    and flag is not tried.
     """
     plain = ("date", "day", "gender", "category", "league_id")
     asked = lambda hint, trophy, flag: F.when(F.col(trophy).isNotNull() | F.col(flag).isNotNull(), F.struct(F.lit(hint).alias("hinted"), F.col(trophy).cast("long").alias("q_trophy_id"), F.col(flag).cast("long").alias("q_flag_id")))
@@ -132,9 +133,10 @@ def closest_tiers(races: DataFrame, queries: DataFrame, force_gender: bool = Fal
     q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in plain], F.explode(kinds).alias("kind")).select("query_id", *[f"q_{c}" for c in plain], "kind.*")
     q = q.withColumn("q_by_trophy", F.col("q_trophy_id").isNotNull()).withColumn("q_item", F.coalesce("q_trophy_id", "q_flag_id"))
     key = lambda by_trophy, item: F.when(F.col(item).isNotNull(), F.struct(F.lit(by_trophy).alias("by_trophy"), F.col(item).cast("long").alias("item")))
-    held = races.select("id", *plain, "trophy_id", "flag_id", F.explode(F.array_compact(F.array(key(True, "trophy_id"), key(False, "flag_id")))).alias("key"))
-    held = held.select("id", *plain, "trophy_id", "flag_id", "key.*")
-    pairs = q.join(held, all_of([F.col(c) == F.col(f"q_{c}") for c in ("date", "day", "by_trophy", "item")]))
+    counted = races.groupBy(*plain, "trophy_id", "flag_id").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    held = counted.select("id", "n", *plain, "trophy_id", "flag_id", F.explode(F.array_compact(F.array(key(True, "trophy_id"), key(False, "flag_id")))).alias("key"))
+    held = held.select("id", "n", *plain, "trophy_id", "flag_id", "key.*")
+    pairs = dealt(q).join(held, all_of([F.col(c) == F.col(f"q_{c}") for c in ("date", "day", "by_trophy", "item")]))
     equal = lambda c: F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False))
     fits = lambda c: equal(c) | (F.col(c) == ALL)
     given = all_of([F.col(f"q_{c}").isNull() | equal(c) for c in COMPETITION])
@@ -149,7 +151,7 @@ def closest_tiers(races: DataFrame, queries: DataFrame, force_gender: bool = Fal
         "relaxed": own & given & forced & F.lit(not (force_gender and force_category)),
         "exact": own & equal("gender") & equal("category") & all_of([F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in COMPETITION]),
     }
-    counts = [x for name, hit in tries.items() for x in (F.count_if(hit).alias(f"n_{name}"), F.min(F.when(hit, F.col("id"))).alias(f"{name}_race"))]
+    counts = [x for name, hit in tries.items() for x in (F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"n_{name}"), F.min(F.when(hit, F.col("id"))).alias(f"{name}_race"))]
     return pairs.groupBy("query_id").agg(*counts)
 
 
@@ -213,7 +215,7 @@ def analogous_race(races: DataFrame, trophies: DataFrame, queries: DataFrame | N
     plain = ["year", "day", "by_trophy", "by_flag", "by_league"]
     counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in plain], *keys, "n", "race_id")
     same = all_of([F.col(c) == F.col(f"c_{c}") for c in plain] + [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in keys])
-    found = wanted.join(counts, same)
+    found = dealt(wanted).join(counts, same)
     return found.select("query_id", F.when(F.col("n") == 1, F.col("race_id")).alias("race_id"), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"))
 
 
@@ -227,7 +229,7 @@ def participant_by(participants: DataFrame, queries: DataFrame) -> DataFrame:
     keys = ("race_id", "club_id", "gender", "category")
     q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in keys], F.col("branch").alias("q_branch"), "raw_name", "has_league")
     same = all_of([F.col(c) == F.col(f"q_{c}") for c in keys] + [F.col("branch").eqNullSafe(F.col("q_branch"))])
-    pairs = participants.join(q, same).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    pairs = participants.join(dealt(q), same).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     letter = F.regexp_extract("raw_name", " ([BC])$", 1)
     fits = F.col("raw_name").isNull() | F.col("branch").eqNullSafe(F.when(letter != "", letter))
     kept = pairs.filter((F.col("n") == 1) | F.col("has_league") | fits)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import expand_tokens, fold, is_memorial, is_play_off, name_tokens, normalize_synonyms, relative_distance, remove_conjunctions, remove_parenthesis, remove_symbols, similarity, strip_branch
 from ..schemas import ENTITY_TYPES
-from ..session import materialize
+from ..session import dealt, materialize
 from .filters import active_first, closest_tiers, first_unique
 from .joins import containing_tokens, substring_pairs
 from .rollups import any_alternative, best_candidate, single_distinct
@@ -116,7 +116,7 @@ def name_hits(names: DataFrame, trophies: DataFrame, flags: DataFrame) -> DataFr
     Memorial names count only where a document has no other.
     """
     counts = names.groupBy("doc_id").agg(F.count("*").alias("names"))
-    found = names.join(counts, "doc_id").filter((F.col("names") == 1) | ~is_memorial(F.col("q"))).drop("names")
+    found = dealt(names).join(counts, "doc_id").filter((F.col("names") == 1) | ~is_memorial(F.col("q"))).drop("names")
     distinct = materialize(found.select("q").distinct())
     for items, kind in ((trophies, "trophy"), (flags, "flag")):
         found = found.join(materialize(resolve_by_tokens(distinct, items)).withColumnRenamed("item_id", f"{kind}_hit"), "q", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens
 from ..operators import digest
-from ..session import new_path
+from ..session import dealt, new_path
 from ..sources.upsert import UpsertTable
 from .registry import query
 
@@ -83,7 +83,7 @@ def _documents(t):
         "retired", "absent", "guest", F.lit(None).cast("struct<reason:string,disqualification:boolean>").alias("penalty"),
     )
     boats = t.participant.groupBy("race_id").agg(F.sort_array(F.collect_list(F.struct("id", boat.alias("p")))).alias("b")).select("race_id", F.transform("b", lambda x: x["p"]).alias("participants"))
-    return digest.prepared(docs.join(boats, F.col("pos") == F.col("race_id"), "left").drop("race_id"), "pos")
+    return digest.prepared(docs.join(dealt(boats), F.col("pos") == F.col("race_id"), "left").drop("race_id"), "pos")
 
 
 def _stored(t):

@@ -50,3 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled, never broadcast.
+
+    For frames that grow with the documents and were read from files: the optimizer takes the size of
+    the compressed files for theirs, and would send millions of rows through the driver.
+    """
+    return df.hint("merge")

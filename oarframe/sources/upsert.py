@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt, materialize
+
 BUCKET = "bucket"
 
 
@@ -61,12 +63,12 @@ class UpsertTable:
             return False
         stored = self._stored()
         if not self._done(aside):
-            new = self._bucketed(rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema])
+            new = materialize(self._bucketed(rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema]))
             touched = new.select(BUCKET).distinct()
             same = F.lit(True)
             for k in [BUCKET, *self.keys]:
                 same = same & F.col(f"stored.{k}").eqNullSafe(F.col(f"new.{k}"))
-            kept = stored.join(touched, BUCKET, "left_semi").alias("stored").join(new.alias("new"), same, "left_anti")
+            kept = stored.join(touched, BUCKET, "left_semi").alias("stored").join(dealt(new).alias("new"), same, "left_anti")
             self._write(kept.unionByName(new), aside, "static")
         self._replace(self.spark.read.schema(stored.schema).parquet(aside))
         self.spark.range(0).write.mode("overwrite").parquet(marker)
