@@ -58,10 +58,20 @@ def with_status(matches: DataFrame, query_key: str, match_key: str, queries: Dat
 
 
 def race_by_ref(refs: DataFrame, races: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (query_id, datasource_name, ref_id, day or null): the race that has it, with its status."""
-    known = refs.join(races.select(F.col("id").alias("race_id"), F.col("day").alias("race_day")), "race_id")
-    found = wanted.join(known, ["datasource_name", "ref_id"]).filter(F.col("day").isNull() | (F.col("day") == F.col("race_day")))
-    return with_status(found.select("query_id", "race_id").distinct(), "query_id", "race_id", wanted)
+    """For each wanted (query_id, datasource_name, ref_id, day or null): the race that has it, with its status.
+
+    The races of a reference are not paired with those who want it: its least and largest race, of
+    each day, tell whether it has none, one or several.
+    """
+    key = ["datasource_name", "ref_id"]
+    known = refs.join(dealt(races.select(F.col("id").alias("race_id"), F.col("day").alias("race_day"))), "race_id")
+    by_day = known.groupBy(*key, "race_day").agg(F.min("race_id").alias("least"), F.max("race_id").alias("most"))
+    held = by_day.groupBy(*key).agg(F.collect_list(F.struct("race_day", "least", "most")).alias("held"))
+    asked = F.filter("held", lambda h: F.col("day").isNull() | (h["race_day"] == F.col("day")))
+    found = wanted.join(dealt(held), key, "left").select("query_id", F.transform(asked, lambda h: h["least"]).alias("least"), F.transform(asked, lambda h: h["most"]).alias("most"))
+    counted = found.groupBy("query_id").agg(F.min(F.array_min("least")).alias("least"), F.max(F.array_max("most")).alias("most"))
+    one = F.col("least") == F.col("most")
+    return counted.select("query_id", F.when(one, F.col("least")).alias("race_id"), F.when(one, "unique").when(F.col("least").isNull(), "none").otherwise("ambiguous").alias("status"))
 
 
 def ref_exists(refs: DataFrame, wanted: DataFrame) -> DataFrame:
