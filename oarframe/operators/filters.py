@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata_contains
 from ..functions.text import contains_folded, is_play_off, remove_conjunctions, remove_symbols
-from ..session import dealt, materialize
+from ..session import dealt
 from ..sources.scans import in_years
 
 ALL = "ALL"
@@ -98,18 +99,53 @@ def races_by_competition(races: DataFrame, queries: DataFrame) -> DataFrame:
     return races.join(wanted, same).select("query_id", F.col("id").alias("race_id"))
 
 
+def competition_cells(races: DataFrame) -> DataFrame:
+    """(date, day, trophy_id, flag_id, league_id, held): races counted by every choice of the competition that can be asked for.
+
+    A null part of the competition is not asked for.  held has n and the least race_id of each gender and category.
+    """
+    plain = ["date", "day", *COMPETITION]
+    count = lambda df, n: df.groupBy(*plain, "gender", "category").agg(n.alias("n"), F.min("id").alias("id"))
+    cells = count(races.filter("date is not null and day is not null"), F.count("*"))
+    for c in COMPETITION:
+        asked = F.when(F.col(c).isNull(), F.array(F.col(c))).otherwise(F.array(F.col(c), F.lit(None)))
+        cells = cells.withColumn(c, F.explode(asked))
+    return count(cells, F.sum("n")).groupBy(*plain).agg(F.collect_list(F.struct("gender", "category", "n", F.col("id").alias("race_id"))).alias("held"))
+
+
+def _closest(races: DataFrame, queries: DataFrame, again: Callable[[Column], Column] | None = None) -> DataFrame:
+    """closest_match; queries without a match have a second try by `again`, a test of an entry of `held`."""
+    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in ("date", "day", "gender", "category", *COMPETITION)])
+    same = all_of([F.col(c) == F.col(f"q_{c}") for c in ("date", "day")] + [F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in COMPETITION])
+    met = q.join(dealt(competition_cells(races)), same, "left")
+    out = []
+    for name, fits in (("first", _fits_query), ("again", again)):
+        hits = F.filter("held", fits) if fits else F.lit(None).cast(met.schema["held"].dataType)
+        n = F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + h["n"])
+        out += [F.sum(n).alias(f"n_{name}"), F.min(F.array_min(F.transform(hits, lambda h: h["race_id"]))).alias(f"{name}_race")]
+    none = F.coalesce("n_first", F.lit(0)) == 0
+    counted = met.groupBy("query_id").agg(*out).select("query_id", F.when(none, F.col("n_again")).otherwise(F.col("n_first")).alias("n"), F.when(none, F.col("again_race")).otherwise(F.col("first_race")).alias("race_id"))
+    status = F.when(F.col("n") == 1, "unique").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return counted.select("query_id", F.when(F.col("n") == 1, F.col("race_id")).alias("race_id"), status.alias("status"))
+
+
+def _fits(held: Column, c: str) -> Column:
+    return F.coalesce(held[c] == F.col(f"q_{c}"), F.lit(False)) | F.coalesce(held[c] == ALL, F.lit(False))
+
+
+def _fits_query(held: Column) -> Column:
+    return F.col("q_gender").isNull() | (_fits(held, "gender") & _fits(held, "category"))
+
+
 def closest_match(races: DataFrame, queries: DataFrame) -> DataFrame:
     """The race that best fits (query_id, date, day, gender, category, trophy_id, flag_id, league_id).
 
     Date and day are equal; gender and category equal, or ALL in the race.  Without a gender neither
     is tested; without a category only ALL fits.  Trophy, flag and league count only where given.
+
+    Races are counted by every choice of the competition, so a query meets one row.
     """
-    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in ("date", "day", "gender", "category", *COMPETITION)])
-    pairs = races.join(q, (F.col("date") == F.col("q_date")) & (F.col("day") == F.col("q_day")))
-    fits = lambda c: F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)) | (F.col(c) == ALL)
-    given = all_of([F.col(f"q_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)) for c in COMPETITION])
-    pairs = pairs.filter(F.col("q_gender").isNull() | (fits("gender") & fits("category"))).filter(given)
-    return with_status(pairs.select("query_id", F.col("id").alias("race_id")), "query_id", "race_id", queries)
+    return _closest(races, queries)
 
 
 def closest_match_by_name(races: DataFrame, queries: DataFrame, force_gender: bool = False, force_category: bool = False) -> DataFrame:
@@ -117,15 +153,11 @@ def closest_match_by_name(races: DataFrame, queries: DataFrame, force_gender: bo
 
     queries hold the competition that their names were resolved to.
     """
-    first = materialize(closest_match(races, queries))
     if force_gender and force_category:
-        return first
-    left = queries.join(first.filter("status = 'none'").select("query_id"), "query_id", "left_semi")
-    if not force_gender:
-        left = left.withColumn("gender", F.lit(None).cast("string"))
-    if not force_category:
-        left = left.withColumn("category", F.lit(None).cast("string"))
-    return first.filter("status <> 'none'").unionByName(closest_match(races, left))
+        return _closest(races, queries)
+    if force_gender:
+        return _closest(races, queries, lambda h: F.col("q_gender").isNull() | (_fits(h, "gender") & F.coalesce(h["category"] == ALL, F.lit(False))))
+    return _closest(races, queries, lambda h: F.lit(True))
 
 
 def closest_tiers(races: DataFrame, queries: DataFrame, force_gender: bool = False, force_category: bool = False) -> DataFrame:
