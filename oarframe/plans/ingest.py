@@ -18,8 +18,10 @@ _CLOCK = "format_string('%02d:%02d:%02d.%03d', x div 3600000, x div 60000 % 60,
 
 def _race_documents(t):
     """The race documents in the form in which they are exchanged, each with the boats of its race."""
-    boat = F.struct(F.get("club_names", F.lit(0)).alias("club_name"), F.col("lane").cast("int").alias("lane"), F.expr(f"transform(laps_ms, x -> {_CLOCK})").alias("laps"))
-    boats = t.participant.groupBy("race_id").agg(F.collect_list(boat).alias("participants"))
+    boat = F.struct(F.get("club_names", F.lit(0)).alias("club_name"), F.col("lane").cast("int").alias("lane"), "laps_ms")
+    grouped = t.participant.groupBy("race_id").agg(F.collect_list(boat).alias("boats"))
+    clocks = F.expr(f"transform(boats, b -> struct(b.club_name, b.lane, transform(b.laps_ms, x -> {_CLOCK}) as laps))")
+    boats = grouped.select("race_id", clocks.alias("participants"))
     edition = F.when(F.col("pos") % 10 != 0, F.coalesce("trophy_edition", "flag_edition")).cast("string")
     return t.doc.join(boats, F.col("pos") == F.col("race_id"), "left").select(
         "name", F.date_format("date", "dd/MM/yyyy").alias("date"), F.col("day").cast("int").alias("day"), "league",
@@ -92,7 +94,7 @@ def _(t):
         return lambda batch, batch_id: shown(batch).write.mode("overwrite").parquet(f"{stored}/part={state}-{batch_id}")
 
     for part in (docs, docs.filter(again)):
-        part.drop("names").write.mode("append").json(landing)
+        part.drop("names").write.mode("append").option("compression", "gzip").json(landing)
         ingest_stream(t.spark, landing, checkpoint, lambda: known, put("merged"), put("aside"), lines=True).awaitTermination()
     return t.spark.read.schema("url string, datasource string, ref_id string, state string").parquet(stored).select("url", "datasource", "ref_id", "state")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import RACE_DOCUMENT
-from ..session import materialize
+from ..session import dealt, materialize
 from ..sources.scans import drop_known
 
 ANY_AGE = "36500d"
@@ -27,11 +27,18 @@ def document_stream(spark: SparkSession, landing: str, lines: bool = False) -> D
     return raw.select("*", F.try_element_at("race_ids", F.lit(1)).alias("ref_id"), F.col("_metadata.file_modification_time").alias("landed_at"), F.col("_metadata.file_path").alias("landed_in"))
 
 
+_LANDED = ["landed_at", "landed_in", "content"]
+
+
+def with_content(docs: DataFrame) -> DataFrame:
+    """docs with `content`, a digest of all but time and file."""
+    own = F.struct(*[c for c in docs.columns if c not in ("landed_at", "landed_in")])
+    return docs.withColumn("content", F.sha2(F.to_json(own), 256))
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The document of each key that landed first; equal times go by file and content, so a repeated run chooses alike."""
-    order = F.struct("landed_at", "landed_in", F.to_json(F.struct(*[c for c in docs.columns if c not in ("landed_at", "landed_in")])))
-    row = F.struct(*docs.columns)
-    return docs.groupBy(*[F.col(k).alias(f"key_{k}") for k in KEYS]).agg(F.min_by(row, order).alias("row")).select("row.*")
+    """Of each key the time, file and content of the document that landed first; equal times go by file and content, so a repeated run chooses alike."""
+    return docs.groupBy(*KEYS).agg(F.min(F.struct(*_LANDED)).alias("first")).select(*KEYS, "first.*")
 
 
 class Ledger:
@@ -71,7 +78,8 @@ def ingest_stream(
     beside the checkpoint, if none is named) has those that earlier batches handed on, so a document
     that lands again is left out even if its race was not stored.  Documents without a source or a race
     id cannot be told apart: all of them go to unidentified(batch, batch_id), or to merge with the
-    others if that is not given.  No document is dropped for being late.
+    others if that is not given.  No document is dropped for being late.  merge's batch is read from
+    the landed files each time that it is used.
 
     merge and unidentified must be idempotent by batch_id (overwrite a folder named by it, or upsert by
     key).  If a run ends between merge and the ledger, the batch comes again with the same number, finds
@@ -83,12 +91,15 @@ def ingest_stream(
         named = F.col("datasource").isNotNull() & F.col("ref_id").isNotNull()
         nameless = docs.filter(~named)
         earlier = seen.others(batch_id).withColumnRenamed("datasource", "datasource_name")
-        fresh = materialize(drop_known(drop_known(first_of_each(docs.filter(named)), earlier), known()))
+        keyed = with_content(docs.filter(named))
+        # Only keys and digests are written; documents are read again from where they landed, with the columns that merge uses.
+        chosen = materialize(drop_known(drop_known(first_of_each(keyed), earlier), known()))
+        fresh = keyed.join(dealt(chosen), [*KEYS, *_LANDED], "left_semi").dropDuplicates(KEYS).select(*docs.columns)
         if unidentified is None:
             merge(fresh.unionByName(nameless), batch_id)
         else:
             merge(fresh, batch_id)
             unidentified(nameless, batch_id)
-        seen.record(fresh, batch_id)
+        seen.record(chosen, batch_id)
 
     return document_stream(spark, landing, lines=lines).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -129,3 +129,23 @@ def test_documents_are_not_sent_through_the_driver(spark):
     queries = races.withColumnRenamed("id", "query_id").withColumns({"hint_trophy_id": F.lit(None).cast("long"), "hint_flag_id": F.lit(None).cast("long")})
     for df in (filters.closest_tiers(races, queries), filters.analogous_race(races, None), filters.closest_match(races, queries)):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_stream_writes_keys_and_not_documents(spark, tmp_path, monkeypatch):
+    import json
+
+    from oarframe.streaming import ingest
+
+    written, kept = [], ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df: written.append(df.columns) or kept(df))
+    doc = lambda ref, name: {"name": name, "datasource": "act", "race_ids": [ref], "participants": [{"club_name": name, "lane": 1, "laps": []}]}
+    (tmp_path / "landing").mkdir()
+    # One document twice as it is, one with two contents, one that is stored.
+    rows = [doc("1", "A"), doc("1", "A"), doc("2", "B"), doc("2", "C"), doc("3", "D")]
+    (tmp_path / "landing/one.json").write_text("\n".join(map(json.dumps, rows)))
+    refs = spark.createDataFrame([("act", "3")], "datasource_name string, ref_id string")
+    got = []
+    put = lambda batch, batch_id: got.extend((r["ref_id"], r["name"], r["participants"][0]["club_name"]) for r in batch.collect())
+    ingest.ingest_stream(spark, f"{tmp_path}/landing", f"{tmp_path}/checkpoint", lambda: refs, put, lines=True).awaitTermination()
+    assert sorted(r for r, *_ in got) == ["1", "2"] and all(name == club for _, name, club in got)
+    assert written == [["datasource", "ref_id", "landed_at", "landed_in", "content"]]
