@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata_contains
@@ -271,11 +271,15 @@ def participant_by(participants: DataFrame, queries: DataFrame) -> DataFrame:
     keys = ("race_id", "club_id", "gender", "category")
     q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in keys], F.col("branch").alias("q_branch"), "raw_name", "has_league")
     same = all_of([F.col(c) == F.col(f"q_{c}") for c in keys] + [F.col("branch").eqNullSafe(F.col("q_branch"))])
-    pairs = participants.join(dealt(q), same).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    pairs = dealt(q).join(participants, same, "left")
     letter = F.regexp_extract("raw_name", " ([BC])$", 1)
     fits = F.col("raw_name").isNull() | F.col("branch").eqNullSafe(F.when(letter != "", letter))
-    kept = pairs.filter((F.col("n") == 1) | F.col("has_league") | fits)
-    return with_status(kept.select("query_id", F.col("id").alias("participant_id")), "query_id", "participant_id", queries)
+    hit = F.col("id").isNotNull() & (F.col("has_league") | fits)
+    counted = pairs.groupBy("query_id").agg(F.count("id").alias("all"), F.min("id").alias("any_id"), F.count_if(hit).alias("kept"), F.min(F.when(hit, F.col("id"))).alias("kept_id"))
+    alone = F.col("all") == 1
+    n = F.when(alone, F.lit(1)).otherwise(F.col("kept"))
+    status = F.when(n == 1, "unique").when(n > 1, "ambiguous").otherwise("none")
+    return counted.select("query_id", F.when(alone, F.col("any_id")).when(n == 1, F.col("kept_id")).alias("participant_id"), status.alias("status"))
 
 
 def stale_flags(flags: DataFrame, races: DataFrame, datasource: str, as_of: str, only_new: bool = False) -> DataFrame:

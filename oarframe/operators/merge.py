@@ -176,7 +176,9 @@ def plan_participants(docs: DataFrame, participants: DataFrame, update: str = "a
     queries = docs.select(F.col("doc_id").alias("query_id"), *key, "raw_name", "has_league")
     found = participant_by(participants, queries).select(F.col("query_id").alias("doc_id"), "participant_id", F.col("status").alias("lookup"))
     old = participants.select(F.col("id").alias("participant_id"), F.col("laps_ms").alias("s_laps"), F.col("lane").alias("s_lane"), F.col("club_names").alias("s_names"), F.col("branch").alias("s_branch"), F.col("metadata").alias("s_refs"))
-    joined = docs.withColumn("lane", F.when(F.col("time_trial"), F.lit(1)).otherwise(F.col("lane"))).join(dealt(found), "doc_id").join(dealt(old), "participant_id", "left")
+    # Only boats that are found meet the stored rows: those that are not would all be dealt to one task.
+    stored = found.filter("participant_id is not null").select("doc_id", "participant_id").join(dealt(old), "participant_id").drop("participant_id")
+    joined = docs.withColumn("lane", F.when(F.col("time_trial"), F.lit(1)).otherwise(F.col("lane"))).join(dealt(found), "doc_id").join(dealt(stored), "doc_id", "left")
     none = F.col("participant_id").isNull()
     element = F.struct(F.col("datasource").alias("datasource_name"), F.col("ref_id").alias("ref_id"))
     longer = F.size("laps_ms") > F.size("s_laps")

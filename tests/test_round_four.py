@@ -149,3 +149,17 @@ def test_stream_writes_keys_and_not_documents(spark, tmp_path, monkeypatch):
     ingest.ingest_stream(spark, f"{tmp_path}/landing", f"{tmp_path}/checkpoint", lambda: refs, put, lines=True).awaitTermination()
     assert sorted(r for r, *_ in got) == ["1", "2"] and all(name == club for _, name, club in got)
     assert written == [["datasource", "ref_id", "landed_at", "landed_in", "content"]]
+
+
+def test_boats_without_a_stored_one_are_not_dealt_together(spark):
+    from oarframe.operators import merge
+
+    refs = F.expr("cast(array() as array<struct<datasource_name:string,ref_id:string>>)")
+    boats = spark.createDataFrame([(1, 1, 5, "MALE", "ABSOLUT", None, ["A"], [9], 1)], "id long, race_id long, club_id long, gender string, category string, branch string, club_names array<string>, laps_ms array<long>, lane int").withColumn("metadata", refs)
+    docs = boats.drop("club_names", "metadata").withColumnRenamed("id", "doc_id").withColumns({c: F.lit("A") for c in ("raw_name", "club_name", "datasource", "ref_id")} | {c: F.lit(False) for c in ("has_league", "time_trial", "can_be_branch")})
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(2).cast("long")).withColumn("club_id", F.lit(6).cast("long")))
+    planned = merge.plan_participants(docs, boats)
+    assert {r["doc_id"]: (r["participant_id"], r["status"]) for r in planned.collect()} == {1: (1, "EXISTING"), 2: (None, "NEW")}
+    text = planned._jdf.queryExecution().optimizedPlan().toString()
+    # Outer joins are over the document alone, and no window counts the boats.
+    assert "Window" not in text and "Join LeftOuter, (participant_id" not in text
