@@ -120,12 +120,11 @@ def test_documents_are_not_sent_through_the_driver(spark):
     from oarframe.operators import resolve
 
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    names = spark.createDataFrame([(1, 0, "COPA 1"), (2, 0, "COPA 2")], "doc_id long, pos int, q string")
+    names = spark.range(2).selectExpr("id as doc_id", "0 as pos", "concat('COPA ', id) as q")
     items = spark.createDataFrame([(1, "COPA 1", ["1", "copa"])], "item_id long, name string, tokens array<string>")
     text = plan(resolve.name_hits(names, items, items))
     assert "SortMergeJoin [doc_id" in text and "BroadcastHashJoin [doc_id" not in text
-    race = (dt.date(1995, 7, 1), 1, "MALE", "ABSOLUT", 1, 3, None, None, None)
-    races = spark.createDataFrame([(1, *race)], "id long, date date, day int, gender string, category string, trophy_id long, trophy_edition int, flag_id long, flag_edition int, league_id int")
+    races = spark.range(2).selectExpr("id", "date'1995-07-01' as date", "cast(id % 2 + 1 as int) as day", "if(id > 0, 'MALE', 'ALL') as gender", "'ALL' as category", "id as trophy_id", "3 as trophy_edition", "id as flag_id", "3 as flag_edition", "1 as league_id")
     queries = races.withColumnRenamed("id", "query_id").withColumns({"hint_trophy_id": F.lit(None).cast("long"), "hint_flag_id": F.lit(None).cast("long")})
     for df in (filters.closest_tiers(races, queries), filters.analogous_race(races, None), filters.closest_match(races, queries)):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
